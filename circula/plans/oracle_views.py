@@ -118,4 +118,7 @@ def with_views(query: str) -> str:
     if not need:
         return query
     ctes = ",\n".join(f"{v} AS (\n{VIEW_SQL[v]}\n)" for v in _VIEW_ORDER if v in need)
-    return f"WITH {ctes}\n{query}"
+    body = query.lstrip()
+    if body[:5].upper() == "WITH ":
+        return f"WITH {ctes},\n{body[5:]}"
+    return f"WITH {ctes}\n{body}"

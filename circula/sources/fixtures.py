@@ -60,6 +60,9 @@ class Fixtures:
             self._cache[name] = builder()
         return self._cache[name]
 
+    def __contains__(self, name: object) -> bool:
+        return name in FIXTURE_VIEWS
+
     def tables(self, *names: str) -> dict[str, DataFrame]:
         names = names or FIXTURE_VIEWS
         return {n: self[n] for n in names}
