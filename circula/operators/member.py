@@ -98,59 +98,58 @@ def recommend_books(t: dict, k: int = 5, as_of=None, num_partitions: int | None
     borrowed ISBNs that lead to the candidate; ties by ISBN.
 
     Exact without emitting every (member, book-by-author) pair:
-      * the related path joins history to the (symmetric) edge list;
-      * the author path is aggregated to (member, author, n) and, per
-        (member, author), only the first ``k + n + rc`` available titles of
-        that author (in ISBN order) are looked up by an equi-join on
-        (Author, rank) - where ``rc`` counts the member's related-path
-        candidates by that author.  Removing at most ``n`` borrowed and ``rc``
-        related candidates still leaves the author's first k pure author
-        candidates inside that window, so the top-k is unchanged.
+      * related path: history joined to the symmetric edge list; a source
+        that shares the candidate's author is left to the author path, so
+        no borrowed book is counted twice;
+      * author path: history aggregated to (member, author, n, b) with b
+        the borrowed titles that are Available now; per (member, author)
+        only the author's first ``k + b`` available titles in ISBN order are
+        looked up, by an equi-join on (Author, rank).  At most ``b`` of them
+        are borrowed, so any later title has at least k unborrowed titles
+        with the same or a higher score and a smaller ISBN ahead of it and
+        cannot reach the top k;
+      * both paths are unioned and merged per (member, ISBN) with ``max``
+        (the related score already includes the author part), borrowed books
+        are removed once, and the per-member top-k is a WindowGroupLimit.
     """
     history = borrow_history(t, as_of)
     books = t["book"].select("ISBN", "Title", "Author", "Status")
     author_of = books.select("ISBN", "Author")
-    edges = symmetric_related(t)
+    available = books.filter(F.col("Status") == "Available").select("ISBN", "Author")
 
-    # -- related path: (user, src, cand) with a flag for "same author as src"
-    rel = (history.join(edges, "ISBN")
+    # -- author path, aggregated: n = distinct borrowed ISBNs per (user, author)
+    per_author = (history.join(books.filter(F.col("Author").isNotNull()).select("ISBN", "Author", "Status"), "ISBN")
+                  .groupBy("UserID", "Author")
+                  .agg(F.count(F.lit(1)).alias("_n"),
+                       F.count(F.when(F.col("Status") == "Available", F.lit(1))).alias("_b")))
+
+    # -- related path: (user, src, cand) triples are unique (distinct history
+    # x distinct edges), so a plain count is the distinct-source count
+    rel = (history.join(symmetric_related(t), "ISBN")
            .select("UserID", F.col("ISBN").alias("_src"), F.col("RelatedISBN").alias("ISBN"))
-           .join(author_of.withColumnRenamed("ISBN", "_src").withColumnRenamed("Author", "_src_author"),
+           .join(author_of.select(F.col("ISBN").alias("_src"), F.col("Author").alias("_src_author")),
                  "_src", "left")
-           .join(books.filter(F.col("Status") == "Available").select("ISBN", "Author"), "ISBN")
-           .join(history, ["UserID", "ISBN"], "left_anti"))
-    # A source sharing the candidate's author is counted by the author path.
+           .join(available, "ISBN"))
     other_src = ~F.coalesce(F.col("_src_author") == F.col("Author"), F.lit(False))
-    rel_cands = rel.groupBy("UserID", "ISBN", "Author").agg(
-        F.count_distinct(F.when(other_src, F.col("_src"))).alias("_rel"))
-
-    # -- author path, aggregated: n = distinct borrowed ISBNs per (user, author)
-    per_author = (history.join(author_of.filter(F.col("Author").isNotNull()), "ISBN")
-                  .groupBy("UserID", "Author").agg(F.count(F.lit(1)).alias("_n")))
-
-    # related candidates scored in full
-    scored_rel = (rel_cands.join(per_author, ["UserID", "Author"], "left")
-                  .select("UserID", "ISBN",
-                          (F.coalesce("_n", F.lit(0)) + F.col("_rel")).alias("Score")))
-
-    # pure author candidates inside the (Author, rank) window
-    ranked = sequence_numbers(
-        books.filter((F.col("Status") == "Available") & F.col("Author").isNotNull())
-             .select("Author", "ISBN"),
-        order_cols=["ISBN"], partition_cols=["Author"], out_col="_arank",
-        num_partitions=num_partitions)
-    rc = rel_cands.groupBy("UserID", "Author").agg(F.count(F.lit(1)).alias("_rc"))
-    window = (per_author.join(rc, ["UserID", "Author"], "left")
-              .select("UserID", "Author", "_n",
-                      F.explode(F.sequence(F.lit(1).cast("bigint"),
-                                           F.lit(int(k)) + F.col("_n")
-                                           + F.coalesce("_rc", F.lit(0)))).alias("_arank")))
+    scored_rel = (rel.groupBy("UserID", "ISBN", "Author")
+                  .agg(F.count(F.when(other_src, F.lit(1))).alias("_rel"))
+                  .join(per_author.select("UserID", "Author", "_n"), ["UserID", "Author"], "left")
+                  .select("UserID", "ISBN", (F.coalesce("_n", F.lit(0)) + F.col("_rel")).alias("Score")))
+
+    # -- author path candidates inside the (Author, rank <= k + b) window
+    ranked = sequence_numbers(available.filter(F.col("Author").isNotNull()),
+                              order_cols=["ISBN"], partition_cols=["Author"], out_col="_arank",
+                              num_partitions=num_partitions)
+    window = per_author.select(
+        "UserID", "Author", "_n",
+        F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(int(k)) + F.col("_b"))).alias("_arank"))
     scored_author = (window.join(ranked, ["Author", "_arank"])
-                     .join(history, ["UserID", "ISBN"], "left_anti")
-                     .join(rel_cands.select("UserID", "ISBN"), ["UserID", "ISBN"], "left_anti")
                      .select("UserID", "ISBN", F.col("_n").alias("Score")))
 
-    top = top_k_per_group(scored_rel.unionByName(scored_author), ["UserID"],
-                          [F.col("Score").desc(), F.col("ISBN")], k, "RankNo")
+    merged = (scored_rel.unionByName(scored_author)
+              .groupBy("UserID", "ISBN").agg(F.max("Score").alias("Score"))
+              .join(history, ["UserID", "ISBN"], "left_anti"))
+    top = top_k_per_group(merged, ["UserID"], [F.col("Score").desc(), F.col("ISBN")], k, "RankNo")
     return (top.join(books.select("ISBN", "Title", "Author"), "ISBN", "left")
-            .select("UserID", F.col("RankNo").cast("bigint").alias("RankNo"), "ISBN", "Title", "Author", F.col("Score").cast("bigint").alias("Score")))
+            .select("UserID", F.col("RankNo").cast("bigint").alias("RankNo"), "ISBN", "Title", "Author",
+                    F.col("Score").cast("bigint").alias("Score")))

@@ -21,6 +21,8 @@ from circula.sources.fixtures import fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+# name -> fn(tables, spark): the operator call itself, for any table source
+BUILDERS: dict[str, Callable] = {}
 
 D = f"DATE '{AS_OF}'"
 MONTH0 = f"DATE '{AS_OF[:8]}01'"
@@ -35,6 +37,7 @@ def query(name: str, sql: str | None = None):
         run.__name__ = name
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
+        BUILDERS[name] = fn
         if sql is not None:
             ORACLE[name] = with_views(sql.replace("{D}", D).replace("{M0}", MONTH0))
         return fn
