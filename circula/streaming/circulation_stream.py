@@ -26,6 +26,10 @@ from circula.operators.circulation import fold_circulation
 from circula.sources.paths import list_dirs
 
 EVENT_SCHEMA = "LoanID INT, UserID INT, Kind STRING, EventDate DATE, Seq INT"
+LOAN_SCHEMA = "LoanID INT, UserID INT, CheckoutDate DATE, DueDate DATE, ReturnDate DATE, Renewals BIGINT"
+# stored layouts, partition columns last (explicit, so an empty batch folder reads fine)
+STORED_EVENTS = EVENT_SCHEMA + ", batch INT, bucket INT"
+STORED_LOANS = LOAN_SCHEMA + ", batch INT"
 EVENT_KEY = ["LoanID", "Kind", "Seq", "EventDate"]
 BUCKETS = 64
 
@@ -45,9 +49,8 @@ def current_loans(spark: SparkSession, state: str) -> DataFrame:
     root = f"{state.rstrip('/')}/loans"
     paths = list_dirs(spark, root)
     if not any(p.startswith("batch=") for p in paths):
-        return spark.createDataFrame(
-            [], "LoanID int, UserID int, CheckoutDate date, DueDate date, ReturnDate date, Renewals bigint")
-    loans = spark.read.parquet(root)
+        return spark.createDataFrame([], LOAN_SCHEMA)
+    loans = spark.read.schema(STORED_LOANS).parquet(root)
     cols = [c for c in loans.columns if c not in ("LoanID", "batch")]
     newest = loans.groupBy("LoanID").agg(F.max_by(F.struct(*cols), "batch").alias("_r"))
     return newest.select("LoanID", *[F.col(f"_r.{c}").alias(c) for c in cols]).filter(
@@ -64,7 +67,7 @@ def make_batch_handler(state: str, policy):
         if _batch_dirs(s, ev_root, below=batch_id):
             # partition pruning on batch; a half-written folder of this very
             # batch (from a failed attempt) is excluded by the filter
-            kept = s.read.parquet(ev_root).filter(F.col("batch") < batch_id).drop("batch")
+            kept = s.read.schema(STORED_EVENTS).parquet(ev_root).filter(F.col("batch") < batch_id).drop("batch")
         else:
             kept = s.createDataFrame([], EVENT_SCHEMA + ", bucket INT")
         # joining on the bucket column too lets the kept store be pruned to
@@ -74,7 +77,7 @@ def make_batch_handler(state: str, policy):
                  .withColumn("bucket", F.pmod(F.col("LoanID"), F.lit(BUCKETS)))
                  .join(kept.select(*EVENT_KEY, "bucket"), [*EVENT_KEY, "bucket"], "left_anti"))
         fresh.write.mode("overwrite").partitionBy("bucket").parquet(f"{ev_root}/batch={batch_id}")
-        written = s.read.parquet(f"{ev_root}/batch={batch_id}")
+        written = s.read.schema(EVENT_SCHEMA + ", bucket INT").parquet(f"{ev_root}/batch={batch_id}")
         touched = written.select("LoanID", "bucket").distinct()
         history = kept.unionByName(written.select(*kept.columns))
         events = history.join(touched, ["LoanID", "bucket"], "left_semi").drop("bucket")
