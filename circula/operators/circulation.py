@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from circula.functions.common import read_policy
 from circula.operators.policy import open_books_per_user
 from circula.operators.ranking import top_k_per_group
+from circula.session import ensure_checkpoint_dir
 
 # Rejection reasons, in the order they are tested.
 UNKNOWN_USER = "unknown user"
@@ -33,6 +34,7 @@ def issue_loans(t: dict, requests: DataFrame, policy, as_of) -> DataFrame:
     a busy member's requests into one task.
     """
     p = read_policy(policy)
+    ensure_checkpoint_dir(requests.sparkSession)
     users = t["library_user"].select("UserID", "AccountStatus", F.lit(True).alias("_user"))
     books = t["book"].select("ISBN", F.col("Status").alias("_book_status"), F.lit(True).alias("_book"))
     r = (requests.select("RequestID", "UserID", "ISBN", "RequestDate")
@@ -41,7 +43,9 @@ def issue_loans(t: dict, requests: DataFrame, policy, as_of) -> DataFrame:
               .when(~F.coalesce(F.col("AccountStatus") == "Active", F.lit(False)), F.lit(ACCOUNT_NOT_ACTIVE))
               .when(F.col("_book").isNull(), F.lit(UNKNOWN_BOOK))
               .when(~F.coalesce(F.col("_book_status") == "Available", F.lit(False)), F.lit(BOOK_NOT_AVAILABLE)))
-    r = r.select("RequestID", "UserID", "ISBN", "RequestDate", reason.alias("Reason"))
+    # Checkpointed (into spark.checkpoint.dir): the decisions below read this
+    # first stage three times and must all see the same rows.
+    r = r.select("RequestID", "UserID", "ISBN", "RequestDate", reason.alias("Reason")).checkpoint(eager=True)
 
     winners = (r.filter(F.col("Reason").isNull()).groupBy("ISBN")
                .agg(F.min("RequestID").alias("RequestID"))

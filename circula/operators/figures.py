@@ -171,22 +171,44 @@ def pending_fines(t: dict) -> DataFrame:
                       F.count_distinct("UserID").alias("MembersOwing"))
 
 
-def _transactions(t: dict, as_of) -> DataFrame:
-    """Borrow rows (one per loan item) and Return rows (one per returned item)."""
+def _transactions(t: dict, as_of, date_from=None, date_to=None) -> DataFrame:
+    """Borrow rows (one per loan item) and Return rows (one per returned item).
+
+    One pass over loan x loan_item: each item explodes into its Borrow row
+    and, when returned, its Return row.  A date range is applied first as
+    ``CheckoutDate in range OR ReturnDate in range`` (pushed to the scan)
+    and then exactly on the transaction date.
+    """
     d = as_date(as_of)
     loans = t["loan"].filter(F.col("CheckoutDate") <= d).select(
         "LoanID", "UserID", "CheckoutDate", "DueDate", "ReturnDate")
+    lo = as_date(date_from) if date_from is not None else None
+    hi = as_date(date_to) if date_to is not None else None
+
+    def in_range(c):
+        cond = F.lit(True)
+        if lo is not None:
+            cond = cond & (F.col(c) >= lo)
+        if hi is not None:
+            cond = cond & (F.col(c) <= hi)
+        return cond
+
+    if lo is not None or hi is not None:
+        loans = loans.filter(in_range("CheckoutDate") | in_range("ReturnDate"))
     items = loans.join(t["loan_item"].select("LoanID", "ISBN"), "LoanID")
     returned = F.col("ReturnDate").isNotNull() & (F.col("ReturnDate") <= d)
-    borrow = items.select(
-        "LoanID", "UserID", "ISBN", F.lit("Borrow").alias("TxType"),
-        F.col("CheckoutDate").alias("TxDate"), "DueDate",
-        F.when(returned, F.lit("Returned")).otherwise(F.lit("Active")).alias("Status"))
-    ret = items.filter(returned).select(
-        "LoanID", "UserID", "ISBN", F.lit("Return").alias("TxType"),
-        F.col("ReturnDate").alias("TxDate"), F.lit(None).cast("date").alias("DueDate"),
-        F.lit("Returned").alias("Status"))
-    return borrow.unionByName(ret)
+    borrow = F.struct(F.lit("Borrow").alias("TxType"), F.col("CheckoutDate").alias("TxDate"),
+                      F.col("DueDate").alias("DueDate"),
+                      F.when(returned, F.lit("Returned")).otherwise(F.lit("Active")).alias("Status"))
+    ret = F.when(returned, F.struct(F.lit("Return").alias("TxType"), F.col("ReturnDate").alias("TxDate"),
+                                    F.lit(None).cast("date").alias("DueDate"),
+                                    F.lit("Returned").alias("Status")))
+    tx = (items.select("LoanID", "UserID", "ISBN",
+                       F.explode(F.filter(F.array(borrow, ret), lambda x: x.isNotNull())).alias("_tx"))
+          .select("LoanID", "UserID", "ISBN", "_tx.*"))
+    if lo is not None or hi is not None:
+        tx = tx.filter(in_range("TxDate"))
+    return tx
 
 
 def _tx_order():
@@ -220,13 +242,9 @@ def transaction_history(t: dict, as_of, member: int | None = None, date_from=Non
     ``after`` is the (TxDate, LoanID, TxType, ISBN) of the last row of the previous
     page; the next page starts strictly after it in L5's order (no offset scan).
     """
-    tx = _transactions(t, as_of)
+    tx = _transactions(t, as_of, date_from, date_to)
     if member is not None:
         tx = tx.filter(F.col("UserID") == F.lit(member))
-    if date_from is not None:
-        tx = tx.filter(F.col("TxDate") >= as_date(date_from))
-    if date_to is not None:
-        tx = tx.filter(F.col("TxDate") <= as_date(date_to))
     if tx_type is not None:
         tx = tx.filter(F.col("TxType") == F.lit(tx_type))
     if after is not None:
