@@ -98,51 +98,63 @@ def recommend_books(t: dict, k: int = 5, as_of=None, num_partitions: int | None
     borrowed ISBNs that lead to the candidate; ties by ISBN.
 
     Exact without emitting every (member, book-by-author) pair:
-      * related path: history joined to the symmetric edge list; a source
-        that shares the candidate's author is left to the author path, so
-        no borrowed book is counted twice;
-      * author path: history aggregated to (member, author, n, b) with b
-        the borrowed titles that are Available now; per (member, author)
-        only the author's first ``k + b`` available titles in ISBN order are
-        looked up, by an equi-join on (Author, rank).  At most ``b`` of them
+      * related path: the symmetric edge list is first reduced to available
+        candidates and tagged with both authors (edge level, no member yet),
+        then joined to the history; a source that shares the candidate's
+        author is left to the author path, so no borrowed book counts twice;
+      * author path: history aggregated to (member, author, n, b) with b the
+        borrowed titles that are Available now.  Per (member, author) only
+        the author's first ``k + b`` available titles in ISBN order are
+        looked up, by an equi-join on (Author, rank): at most ``b`` of them
         are borrowed, so any later title has at least k unborrowed titles
-        with the same or a higher score and a smaller ISBN ahead of it and
-        cannot reach the top k;
+        with the same or a higher score and a smaller ISBN ahead of it;
+      * authors are pruned per member: if an author with n = T alone offers
+        at least k unborrowed available titles, every top-k score is >= T, so
+        author-only candidates of authors with n < T cannot qualify (T is a
+        per-member ``max`` aggregate, combined map-side);
       * both paths are unioned and merged per (member, ISBN) with ``max``
         (the related score already includes the author part), borrowed books
         are removed once, and the per-member top-k is a WindowGroupLimit.
     """
+    k = int(k)
     history = borrow_history(t, as_of)
     books = t["book"].select("ISBN", "Title", "Author", "Status")
-    author_of = books.select("ISBN", "Author")
     available = books.filter(F.col("Status") == "Available").select("ISBN", "Author")
 
-    # -- author path, aggregated: n = distinct borrowed ISBNs per (user, author)
+    # -- (member, author): n borrowed titles, b of them Available now
     per_author = (history.join(books.filter(F.col("Author").isNotNull()).select("ISBN", "Author", "Status"), "ISBN")
                   .groupBy("UserID", "Author")
                   .agg(F.count(F.lit(1)).alias("_n"),
                        F.count(F.when(F.col("Status") == "Available", F.lit(1))).alias("_b")))
 
-    # -- related path: (user, src, cand) triples are unique (distinct history
-    # x distinct edges), so a plain count is the distinct-source count
-    rel = (history.join(symmetric_related(t), "ISBN")
-           .select("UserID", F.col("ISBN").alias("_src"), F.col("RelatedISBN").alias("ISBN"))
-           .join(author_of.select(F.col("ISBN").alias("_src"), F.col("Author").alias("_src_author")),
-                 "_src", "left")
-           .join(available, "ISBN"))
-    other_src = ~F.coalesce(F.col("_src_author") == F.col("Author"), F.lit(False))
-    scored_rel = (rel.groupBy("UserID", "ISBN", "Author")
-                  .agg(F.count(F.when(other_src, F.lit(1))).alias("_rel"))
+    # -- related path; (member, src, cand) triples are unique, so a plain
+    # count is the distinct-source count
+    edge_info = (symmetric_related(t)
+                 .join(available.select(F.col("ISBN").alias("RelatedISBN"), "Author"), "RelatedISBN")
+                 .join(books.select("ISBN", F.col("Author").alias("_src_author")), "ISBN", "left")
+                 .select("ISBN", "RelatedISBN", "Author",
+                         (~F.coalesce(F.col("_src_author") == F.col("Author"), F.lit(False))).alias("_other")))
+    scored_rel = (history.join(edge_info, "ISBN")
+                  .groupBy("UserID", F.col("RelatedISBN").alias("ISBN"), "Author")
+                  .agg(F.count(F.when(F.col("_other"), F.lit(1))).alias("_rel"))
                   .join(per_author.select("UserID", "Author", "_n"), ["UserID", "Author"], "left")
                   .select("UserID", "ISBN", (F.coalesce("_n", F.lit(0)) + F.col("_rel")).alias("Score")))
 
-    # -- author path candidates inside the (Author, rank <= k + b) window
+    # -- author path: ranks of available titles per author (skew-safe)
     ranked = sequence_numbers(available.filter(F.col("Author").isNotNull()),
                               order_cols=["ISBN"], partition_cols=["Author"], out_col="_arank",
                               num_partitions=num_partitions)
-    window = per_author.select(
+    per_author_avail = ranked.groupBy("Author").agg(F.max("_arank").alias("_avail"))
+    cand = (per_author.join(per_author_avail, "Author")
+            .withColumn("_free", F.col("_avail") - F.col("_b")))
+    floor = cand.groupBy("UserID").agg(
+        F.max(F.when(F.col("_free") >= k, F.col("_n"))).alias("_floor"))
+    kept = (cand.join(floor, "UserID")
+            .filter(F.col("_floor").isNull() | (F.col("_n") >= F.col("_floor"))))
+    window = kept.select(
         "UserID", "Author", "_n",
-        F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(int(k)) + F.col("_b"))).alias("_arank"))
+        F.explode(F.sequence(F.lit(1).cast("bigint"),
+                             F.least(F.lit(k) + F.col("_b"), F.col("_avail")))).alias("_arank"))
     scored_author = (window.join(ranked, ["Author", "_arank"])
                      .select("UserID", "ISBN", F.col("_n").alias("Score")))
 

@@ -534,6 +534,57 @@ def _q10g(t, spark):
     return quality.split_valid(t, "fine", t["raw_fine"])[0]
 
 
+@query("q2_check_primary_key_user", f"""SELECT 'library_user' AS table_name, 'PRIMARY KEY' AS rule, {_key('UserID')} AS row_key,
+ 'null key' AS detail FROM raw_user WHERE UserID IS NULL
+UNION ALL SELECT 'library_user', 'PRIMARY KEY', {_key('UserID')}, 'repeated ' || CAST(n AS VARCHAR) || ' times'
+ FROM (SELECT UserID, count(*) AS n FROM raw_user WHERE UserID IS NOT NULL GROUP BY UserID HAVING count(*) > 1)""")
+def _q2u(t, spark):
+    """Repeated member ids in the raw member feed."""
+    return quality.check_primary_key(t["raw_user"], "library_user")
+
+
+@query("q4_check_not_null_book", _not_null_sql("raw_book", "book", "ISBN", ["Title"]))
+def _q4b(t, spark):
+    """Raw catalogue rows without a Title."""
+    return quality.check_not_null(t["raw_book"], "book")
+
+
+@query("q10_split_valid_user", """WITH rep AS (SELECT UserID FROM raw_user WHERE UserID IS NOT NULL GROUP BY UserID HAVING count(*) > 1),
+ rem AS (SELECT Email FROM raw_user WHERE Email IS NOT NULL GROUP BY Email HAVING count(*) > 1),
+ x AS (SELECT u.*, concat_ws(',',
+   CASE WHEN u.UserID IS NULL THEN 'PRIMARY KEY(null)' END,
+   CASE WHEN u.UserID IN (SELECT UserID FROM rep) THEN 'PRIMARY KEY(repeated)' END,
+   CASE WHEN u.Email IN (SELECT Email FROM rem) THEN 'UNIQUE(Email)' END,
+   CASE WHEN u.Name IS NULL THEN 'NOT NULL(Name)' END,
+   CASE WHEN length(u.Name) > 100 THEN 'LENGTH(Name<=100)' END,
+   CASE WHEN length(u.Email) > 100 THEN 'LENGTH(Email<=100)' END,
+   CASE WHEN length(u.Phone) > 20 THEN 'LENGTH(Phone<=20)' END,
+   CASE WHEN length(u.City) > 50 THEN 'LENGTH(City<=50)' END,
+   CASE WHEN length(u.Zip) > 10 THEN 'LENGTH(Zip<=10)' END) AS BrokenRules FROM raw_user u)
+SELECT UserID, Name, Email, Phone, City, Zip, MembershipDate, BrokenRules FROM x WHERE BrokenRules <> ''""")
+def _q10u(t, spark):
+    """Quarantined raw member rows (keys, unique e-mail, NOT NULL, lengths)."""
+    return quality.split_valid(t, "library_user", t["raw_user"])[1]
+
+
+@query("q10_split_valid_book", """WITH rep AS (SELECT ISBN FROM raw_book WHERE ISBN IS NOT NULL GROUP BY ISBN HAVING count(*) > 1),
+ x AS (SELECT b.*, concat_ws(',',
+   CASE WHEN b.ISBN IS NULL THEN 'PRIMARY KEY(null)' END,
+   CASE WHEN b.ISBN IN (SELECT ISBN FROM rep) THEN 'PRIMARY KEY(repeated)' END,
+   CASE WHEN b.Title IS NULL THEN 'NOT NULL(Title)' END,
+   CASE WHEN length(b.ISBN) > 20 THEN 'LENGTH(ISBN<=20)' END,
+   CASE WHEN length(b.Title) > 200 THEN 'LENGTH(Title<=200)' END,
+   CASE WHEN length(b.Genre) > 100 THEN 'LENGTH(Genre<=100)' END,
+   CASE WHEN length(b.Author) > 100 THEN 'LENGTH(Author<=100)' END,
+   CASE WHEN b.Status NOT IN ('Available', 'Borrowed', 'Reserved', 'Lost') THEN 'ENUM(Status)' END,
+   CASE WHEN NOT (b.PublicationYear BETWEEN 1901 AND 2155 OR b.PublicationYear = 0) THEN 'YEAR(PublicationYear)' END
+   ) AS BrokenRules FROM raw_book b)
+SELECT ISBN, Title, PublicationYear, Genre, Author, Status, BrokenRules FROM x WHERE BrokenRules <> ''""")
+def _q10b(t, spark):
+    """Quarantined raw catalogue rows (title, status enum, YEAR range)."""
+    return quality.split_valid(t, "book", t["raw_book"])[1]
+
+
 Q13_SQL = """s AS (SELECT SubmissionID, concat_ws(' ', trim(firstName), trim(lastName)) AS Name, lower(trim(email)) AS Email,
    trim(phone) AS Phone, trim(address) AS Street, coalesce(terms, false) AS terms_ok,
    trim(firstName) AS fn, trim(lastName) AS ln FROM raw_signup),

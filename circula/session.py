@@ -26,7 +26,7 @@ def build_session(cpus: int | None = None, shuffle_partitions: int | None = None
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("CIRCULA_DRIVER_MEMORY", "8g"))
+        .config("spark.driver.memory", os.environ.get("CIRCULA_DRIVER_MEMORY", _default_heap()))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -34,6 +34,41 @@ def build_session(cpus: int | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+def _default_heap() -> str:
+    """Local mode runs everything in the driver JVM: give it about 60% of the
+    machine's memory, between 2 and 16 GiB."""
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+    except (ValueError, OSError, AttributeError):
+        return "4g"
+    gib = int(total * 0.6 / 2**30)
+    return f"{max(2, min(16, gib))}g"
+
+
+def cluster_settings(input_bytes: int, executor_cores_total: int,
+                     target_partition_bytes: int = 256 * 2**20) -> dict[str, str]:
+    """Settings for a large cluster, sized from the bytes the jobs read.
+
+    Shuffle partitions are chosen so one partition is about
+    ``target_partition_bytes`` (spill-free sort / aggregation buffers) and
+    never fewer than two waves of tasks; AQE then coalesces small ones and
+    splits skewed ones at run time.
+    """
+    parts = max(2 * executor_cores_total, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        "spark.sql.optimizer.windowGroupLimitThreshold": "1000",
+        "spark.sql.session.timeZone": "UTC",
+    }
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's checkpoint folder; create a local one only if unset.
 
