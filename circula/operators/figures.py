@@ -325,12 +325,19 @@ def member_list(t: dict, as_of) -> DataFrame:
                     F.coalesce("_unpaid", F.lit(0)).cast(MONEY_SUM).alias("UnpaidFines")))
 
 
-def book_authors_list(t: dict) -> DataFrame:
-    """Per ISBN the sorted distinct authors of Book.Author and BookAuthors."""
+def book_authors_list(t: dict, isbns: DataFrame | None = None) -> DataFrame:
+    """Per ISBN the sorted distinct authors of Book.Author and BookAuthors.
+
+    ``isbns`` (optional) restricts the work to those books before any
+    shuffle.  Each group is one book's author list, deduplicated map-side
+    before it is gathered.
+    """
     names = (t["book"].select("ISBN", F.col("Author").alias("AuthorName"))
              .unionByName(t["book_authors"].select("ISBN", "AuthorName"))
-             .filter(F.col("AuthorName").isNotNull())
-             .distinct())
+             .filter(F.col("AuthorName").isNotNull()))
+    if isbns is not None:
+        names = names.join(isbns.select("ISBN").distinct(), "ISBN", "left_semi")
+    names = names.distinct()
     return names.groupBy("ISBN").agg(
         F.array_join(F.array_sort(F.collect_list("AuthorName")), "; ").alias("Authors"),
         F.count(F.lit(1)).alias("AuthorCount"))
@@ -353,11 +360,11 @@ def browse_catalog(t: dict, genre: str | None = None, author: str | None = None,
         books = books.filter(F.col("Title").ilike(title_like))
     if year_range is not None:
         books = books.filter(F.col("PublicationYear").between(year_range[0], year_range[1]))
-    authors = book_authors_list(t)
-    out = books.select("ISBN", "Title", "PublicationYear", "Genre", "Status").join(
-        authors.select("ISBN", "Authors"), "ISBN", "left")
     if author is not None:
         hits = (t["book_authors"].filter(F.col("AuthorName") == F.lit(author)).select("ISBN")
                 .unionByName(t["book"].filter(F.col("Author") == F.lit(author)).select("ISBN")))
-        out = out.join(hits.distinct(), "ISBN", "left_semi")
-    return out
+        books = books.join(hits.distinct(), "ISBN", "left_semi")
+    books = books.select("ISBN", "Title", "PublicationYear", "Genre", "Status")
+    # author lists only for the books that passed the filters
+    authors = book_authors_list(t, books)
+    return books.join(authors.select("ISBN", "Authors"), "ISBN", "left")

@@ -9,6 +9,7 @@ from circula.functions.common import MONEY_SUM, as_date, is_active_reservation,
 from circula.operators.policy import allowance, due_dates, status_label
 from circula.operators.ranking import sequence_numbers, top_k_per_group
 from circula.operators.reconcile import symmetric_related
+from circula.session import ensure_checkpoint_dir
 
 
 def borrowed_count(t: dict, policy, as_of) -> DataFrame:
@@ -117,7 +118,9 @@ def recommend_books(t: dict, k: int = 5, as_of=None, num_partitions: int | None
         are removed once, and the per-member top-k is a WindowGroupLimit.
     """
     k = int(k)
-    history = borrow_history(t, as_of)
+    # read by three branches below: materialized once in spark.checkpoint.dir
+    ensure_checkpoint_dir(t["loan"].sparkSession)
+    history = borrow_history(t, as_of).checkpoint(eager=True)
     books = t["book"].select("ISBN", "Title", "Author", "Status")
     available = books.filter(F.col("Status") == "Available").select("ISBN", "Author")
 

@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 
 from circula.session import ensure_checkpoint_dir
 
+# Largest (partition, group) summary that is broadcast (about 50 bytes a row).
+SUMMARY_BROADCAST_ROWS = 500_000
+
 
 def _sort_col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -64,6 +67,13 @@ def sequence_numbers(df: DataFrame, order_cols: Sequence, partition_cols: Sequen
     if not group:
         # One row per partition: a proven size bound, so broadcast it.
         summary = F.broadcast(summary)
+    else:
+        # One row per (partition, group).  Materialize it once and broadcast
+        # it only when its measured size is under the bound; beyond that the
+        # join back stays a shuffle join.
+        summary = summary.checkpoint(eager=True)
+        if summary.limit(SUMMARY_BROADCAST_ROWS + 1).count() <= SUMMARY_BROADCAST_ROWS:
+            summary = F.broadcast(summary)
     s = summary.select(F.col("_pid").alias("_spid"),
                        *[F.col(c).alias(f"_s_{c}") for c in group], "_before", "_first")
     # Null-safe on the group columns: a null group is a group too.
