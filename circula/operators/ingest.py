@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from circula.functions.common import as_date
-from circula.operators.quality import apply_defaults
+from circula.operators.quality import apply_defaults, conform, flag_rules
 from circula.operators.ranking import sequence_numbers
 from circula.schema import table
+from circula.session import ensure_checkpoint_dir
 
 
 def assign_ids(df: DataFrame, id_col: str, order_cols: Sequence, start,
@@ -147,3 +148,20 @@ def signups_to_users(decided: DataFrame, users: DataFrame, as_of,
                           next_id(users, "UserID"),
                           num_partitions=num_partitions)
     return apply_defaults(with_ids.drop("SubmissionID"), "library_user", as_of)
+
+
+def ingest_table(t: dict, tname: str, raw: DataFrame, good_path: str, bad_path: str, as_of) -> None:
+    """Ingest one table: defaults (Q1) -> every check as a flag on the row
+    (Q10) -> good rows cast to the declared types and written, quarantined
+    rows written with their broken rules.
+
+    The flagged rows are checkpointed once (into spark.checkpoint.dir), so
+    both writes read the same checked rows and the joins behind the checks
+    run once.  ``t`` holds the parent tables for the foreign-key checks.
+    """
+    ensure_checkpoint_dir(raw.sparkSession)
+    flagged = flag_rules(t, apply_defaults(raw, tname, as_of), tname).checkpoint(eager=True)
+    good = conform(flagged.filter(F.size("BrokenRules") == 0).drop("BrokenRules"), tname)
+    bad = flagged.filter(F.size("BrokenRules") > 0).withColumn("BrokenRules", F.array_join("BrokenRules", ","))
+    good.write.mode("overwrite").parquet(good_path)
+    bad.write.mode("overwrite").parquet(bad_path)

@@ -39,15 +39,18 @@ def _union(frames: list[DataFrame], df: DataFrame) -> DataFrame:
 def apply_defaults(df: DataFrame, tname: str, as_of) -> DataFrame:
     """Q1: add every absent column with its declared default (null if none).
 
-    A column that is present but null stays null (SQL default rule); the
-    result has the table's columns in declared order and types.
+    A column that is present but null stays null (SQL default rule).  The
+    result has the table's columns in declared order; present columns keep
+    their incoming type, because a raw value may not fit the declared type
+    yet (an ANSI cast would fail the job) - Q7 reports it, and
+    :func:`conform` casts only rows that passed.
     """
     spec = table(tname)
     present = set(df.columns)
     out = []
     for name, dtype in spec.columns:
         if name in present:
-            out.append(F.col(name).cast(dtype).alias(name))
+            out.append(F.col(name))
             continue
         default = spec.defaults.get(name)
         if default == CURRENT_DATE:
@@ -60,6 +63,13 @@ def apply_defaults(df: DataFrame, tname: str, as_of) -> DataFrame:
     return df.select(*out)
 
 
+def conform(df: DataFrame, tname: str) -> DataFrame:
+    """Cast a table's columns to their declared types (for rows that passed
+    every check, so each value fits)."""
+    spec = table(tname)
+    return df.select(*[F.col(c).cast(t).alias(c) for c, t in spec.columns if c in df.columns])
+
+
 # --------------------------------------------------------------------- Q2
 def check_primary_key(df: DataFrame, tname: str) -> DataFrame:
     """Q2: null key parts (one row each) and repeated keys (one row per key)."""

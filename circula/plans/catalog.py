@@ -585,6 +585,19 @@ def _q10b(t, spark):
     return quality.split_valid(t, "book", t["raw_book"])[1]
 
 
+@query("q10_ingest_table", Q10_FLAGS + """
+SELECT FineID, LoanID, UserID, IssueDate, CAST(Amount AS DECIMAL(8,2)) AS Amount, Status, Description FROM x
+ WHERE BrokenRules = ''""")
+def _q10i(t, spark):
+    """Ingest of the raw fine feed: defaults, all checks in one pass, good rows
+    written with the declared types (quarantine written beside them); the
+    good table is read back."""
+    from circula.sources.paths import scratch_dir
+    base = scratch_dir(spark, "q10-ingest")
+    ingest.ingest_table(t, "fine", t["raw_fine"], f"{base}/good", f"{base}/quarantine", AS_OF)
+    return spark.read.parquet(f"{base}/good")
+
+
 Q13_SQL = """s AS (SELECT SubmissionID, concat_ws(' ', trim(firstName), trim(lastName)) AS Name, lower(trim(email)) AS Email,
    trim(phone) AS Phone, trim(address) AS Street, coalesce(terms, false) AS terms_ok,
    trim(firstName) AS fn, trim(lastName) AS ln FROM raw_signup),

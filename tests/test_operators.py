@@ -345,3 +345,19 @@ def test_reading_history_is_latest_k(fx, k):
     got = member.reading_history(fx, k)
     assert got.groupBy("UserID").count().agg(F.max("count")).first()[0] <= k
     assert got.agg(F.min("RankNo"), F.max("RankNo")).first() == (1, k)
+
+
+def test_ingest_quarantines_oversize_amounts_instead_of_failing(spark, tmp_path):
+    loans = frame(spark, "loan", [(1, 7, D(2001, 7, 1), D(2001, 7, 15), None, Decimal("0"))])
+    users = frame(spark, "library_user", [(7, "U", None, None, None, None, None, "Active", None)])
+    raw = spark.createDataFrame(
+        [(1, 1, 7, D(2001, 7, 20), Decimal("1234567.89"), "Unpaid", "x"),
+         (2, 1, 7, D(2001, 7, 20), Decimal("3.50"), "Unpaid", "x"),
+         (3, 9, 7, D(2001, 7, 20), Decimal("1.00"), "Paid", "x")],
+        "FineID int, LoanID int, UserID int, IssueDate date, Amount decimal(12,2), Status string, Description string")
+    ingest.ingest_table({"loan": loans, "library_user": users}, "fine", raw,
+                        str(tmp_path / "good"), str(tmp_path / "bad"), "2001-07-26")
+    good = spark.read.parquet(str(tmp_path / "good"))
+    bad = dict(spark.read.parquet(str(tmp_path / "bad")).select("FineID", "BrokenRules").collect())
+    assert dict(good.dtypes)["Amount"] == "decimal(8,2)" and [r.FineID for r in good.collect()] == [2]
+    assert bad == {1: "DECIMAL(Amount,8,2)", 3: "FOREIGN KEY(LoanID->loan)"}
