@@ -124,7 +124,7 @@ def test_formats(spark):
 
 
 # ------------------------------------------------------------------ ranking
-def test_sequence_numbers_equal_row_number_under_a_hot_key(spark):
+def test_sequence_numbers_equal_row_number_under_a_hot_key(spark, split_path):
     hot = [("hot", i) for i in range(3000)]
     cold = [(f"k{i % 97}", i) for i in range(6000)]
     df = spark.createDataFrame(hot + cold, "g string, v int")
@@ -137,12 +137,21 @@ def test_sequence_numbers_equal_row_number_under_a_hot_key(spark):
     assert spread > 1
 
 
-def test_global_sequence_is_gap_free(spark):
+def test_global_sequence_is_gap_free(spark, split_path):
     df = spark.range(0, 5000).select((F.col("id") * 7 % 5003).alias("v"))
     got = sorted(r.n for r in sequence_numbers(df, ["v"], [], "n", num_partitions=7).collect())
     assert got == list(range(1, 5001))
 
 
+def test_both_numbering_paths_agree(spark, monkeypatch):
+    from circula.operators import ranking
+    df = spark.range(0, 3000).select((F.col("id") % 7).alias("g"), ((F.col("id") * 13) % 3001).alias("v"))
+    plain = sequence_numbers(df, ["v"], ["g"], "n")
+    monkeypatch.setattr(ranking, "HOT_GROUP_ROWS", 100)
+    split = sequence_numbers(df, ["v"], ["g"], "n", num_partitions=5)
+    assert plain.exceptAll(split).count() == 0 and split.exceptAll(plain).count() == 0
+
+
 def test_top_k_plans_a_partial_group_limit(spark):
     df = spark.range(0, 1000).select((F.col("id") % 3).alias("g"), F.col("id").alias("v"))
     top = top_k_per_group(df, ["g"], [F.col("v").desc()], 2, "r")
@@ -170,7 +179,11 @@ def _brute_recommend(history, books, edges, k):
     return out
 
 
-def test_recommendations_match_brute_force(spark):
+@pytest.mark.parametrize("path", ["window", "split"])
+def test_recommendations_match_brute_force(spark, monkeypatch, path):
+    if path == "split":
+        from circula.operators import ranking
+        monkeypatch.setattr(ranking, "HOT_GROUP_ROWS", 3)
     books = [(f"b{i:02d}", f"A{i % 3}", "Available" if i % 4 else "Borrowed") for i in range(30)]
     books += [("x1", None, "Available"), ("x2", None, "Available")]
     edges = [("b01", "b02"), ("b02", "b05"), ("b03", "x1"), ("b07", "b07"), ("b10", "b11"), ("x1", "x2"), ("b05", "b13")]

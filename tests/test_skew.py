@@ -58,7 +58,7 @@ def test_upsert_with_a_hot_key(spark):
     assert len(got) == 1 and got[0].Name == "N19999"
 
 
-def test_waiting_list_with_a_hot_title(spark):
+def test_waiting_list_with_a_hot_title(spark, split_path):
     res = [(i, 1 + i % 300, D(2001, 1, 1) + dt.timedelta(days=i % 90), D(2002, 1, 1), "Active") for i in range(1, 4001)]
     items = [(i, "hot") for i in range(1, 3001)] + [(i, f"c{i % 40}") for i in range(3001, 4001)]
     t = {"reservation": spark.createDataFrame(res, TABLES["reservation"].schema),
