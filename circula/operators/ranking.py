@@ -4,10 +4,11 @@
   ``k`` Spark plans a partial ``WindowGroupLimit`` before the shuffle, so a
   group holding a third of all rows ships at most ``k`` rows per map task.
 * :func:`sequence_numbers` - a full, gap-free ``row_number`` (global or per
-  group) that never puts a hot group into one task.  The largest group is
-  measured first (one aggregate, combined map-side).  Up to
+  group) that never puts a hot group into one task.  For groups, the
+  largest one is measured first (one aggregate, combined map-side); up to
   ``HOT_GROUP_ROWS`` rows a plain window is used - no task sorts more than
-  that.  Beyond it rows are range-partitioned on (group, order) so the hot
+  that.  A global numbering, or a group beyond the bound, is
+  range-partitioned on (group, order) so the hot
   group is split across many tasks, each task numbers its rows locally, and
   per-partition offsets (a summary with at most one row per partition and
   group) turn local numbers into final ones.  The ranged input is
@@ -53,8 +54,11 @@ def sequence_numbers(df: DataFrame, order_cols: Sequence, partition_cols: Sequen
     a key column; otherwise numbering among ties is arbitrary.
     """
     keys = [F.col(c) for c in partition_cols] + [_sort_col(c) for c in order_cols]
+    if not partition_cols:
+        # a global numbering never runs in one sort partition
+        return _split_sequence_numbers(df, keys, [], out_col, num_partitions)
     largest = (df.groupBy(*partition_cols).agg(F.count(F.lit(1)).alias("_n"))
-               .agg(F.max("_n")).first()[0]) if partition_cols else df.count()
+               .agg(F.max("_n")).first()[0])
     if (largest or 0) <= HOT_GROUP_ROWS:
         w = Window.partitionBy(*partition_cols).orderBy(*[_sort_col(c) for c in order_cols])
         return df.withColumn(out_col, F.row_number().over(w).cast("bigint"))
