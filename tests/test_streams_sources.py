@@ -93,3 +93,20 @@ def test_report_sink_appends_and_refuses_big_inputs(spark, fx):
     assert r1.Content.startswith("[{") and '"PaymentMethod"' in r1.Content
     with pytest.raises(ValueError):
         write_report(fx["loan"], "too big", 2, "2001-07-26", f"{base}/report", row_cap=10)
+
+
+def test_bucketed_store_joins_loans_without_shuffle(spark, tmp_path):
+    from circula.operators.policy import open_books_per_user
+    from circula.sources.stored import StoredTables, materialize
+    materialize(spark, SF_SMALL, str(tmp_path), names=("loan", "loan_item"), buckets=4, database="bucket_test")
+    t = StoredTables(spark, str(tmp_path), bucketed=True, database="bucket_test")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = open_books_per_user(t, "2001-07-26")
+        plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+        assert "SortMergeJoin" in plan
+        assert "hashpartitioning(LoanID" not in plan
+        assert df.count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
