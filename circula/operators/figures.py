@@ -62,9 +62,18 @@ def librarian_roster(t: dict) -> DataFrame:
             .orderBy("EmployeeID"))
 
 
-def monthly_revenue(t: dict) -> DataFrame:
-    """Payments per calendar month and method: count and amount."""
-    return (t["payment"]
+def monthly_revenue(t: dict, date_from=None, date_to=None) -> DataFrame:
+    """Payments per calendar month and method: count and amount.
+
+    An optional report period (both ends in) is applied on PaymentDate before
+    the aggregation, so it is pushed to the parquet scan.
+    """
+    pay = t["payment"]
+    if date_from is not None:
+        pay = pay.filter(F.col("PaymentDate") >= as_date(date_from))
+    if date_to is not None:
+        pay = pay.filter(F.col("PaymentDate") <= as_date(date_to))
+    return (pay
             .groupBy(F.trunc("PaymentDate", "month").alias("Month"), "PaymentMethod")
             .agg(F.count(F.lit(1)).alias("Payments"),
                  money_sum("AmountPaid").alias("Amount")))

@@ -157,6 +157,14 @@ def _a7(t, spark):
     return figures.monthly_revenue(t)
 
 
+@query("a7_monthly_revenue_period", """SELECT CAST(date_trunc('month', PaymentDate) AS DATE) AS Month, PaymentMethod,
+ count(*) AS Payments, CAST(coalesce(sum(AmountPaid), 0) AS DECIMAL(18,2)) AS Amount FROM payment
+ WHERE PaymentDate BETWEEN DATE '2001-01-01' AND DATE '2001-12-31' GROUP BY 1, 2""")
+def _a7p(t, spark):
+    """Monthly revenue report for the calendar year 2001 (period pushed to the scan)."""
+    return figures.monthly_revenue(t, "2001-01-01", "2001-12-31")
+
+
 @query("a8_inventory_report", """SELECT Genre, Status, count(*) AS Books,
  round(CAST(count(*) AS DOUBLE) / CAST(sum(count(*)) OVER (PARTITION BY Genre) AS DOUBLE), 4) AS ShareOfGenre
  FROM book GROUP BY Genre, Status""")
@@ -254,6 +262,21 @@ def _l6(t, spark):
     return figures.transaction_history(t, AS_OF, date_from="2001-07-01", date_to=AS_OF, page=100)
 
 
+@query("l6_transaction_history_next_page", f"""WITH {TX_SQL},
+ top AS (SELECT * FROM tx WHERE TxDate BETWEEN DATE '2001-07-01' AND {{D}} AND TxType = 'Return'
+   AND (TxDate < DATE '2001-07-20'
+        OR (TxDate = DATE '2001-07-20' AND LoanID < 2147483647)
+        OR (TxDate = DATE '2001-07-20' AND LoanID = 2147483647 AND TxType > 'Return')
+        OR (TxDate = DATE '2001-07-20' AND LoanID = 2147483647 AND TxType = 'Return' AND ISBN > ''))
+   ORDER BY TxDate DESC, LoanID DESC, TxType, ISBN LIMIT 25)
+{TX_ENRICH}""")
+def _l6b(t, spark):
+    """Returns of July 2001, the 25-row page that follows the cursor
+    (2001-07-20, LoanID 2147483647, 'Return', '') in L5 order."""
+    return figures.transaction_history(t, AS_OF, date_from="2001-07-01", date_to=AS_OF, tx_type="Return",
+                                       after=("2001-07-20", 2147483647, "Return", ""), page=25)
+
+
 @query("l7_books_due", f"""WITH l AS (SELECT l.LoanID, l.UserID, {DUE} AS DueDate FROM loan l CROSS JOIN policy p WHERE {OPEN})
 SELECT l.LoanID, i.ISBN, b.Title, l.UserID, u.Name AS Borrower, {_code('M', 'l.UserID', 4)} AS MemberCode, l.DueDate
  FROM l JOIN loan_item i ON l.LoanID = i.LoanID LEFT JOIN library_user u ON l.UserID = u.UserID

@@ -31,6 +31,11 @@ def test_catalogue_filters_reach_the_scan(spark, stored):
     assert "ReadSchema: struct<ISBN:string,Title:string,PublicationYear:int,Genre:string,Status:string>" in plan
 
 
+def test_revenue_period_reaches_the_scan(spark, stored):
+    plan = plan_of(spark, BUILDERS["a7_monthly_revenue_period"](stored, spark))
+    assert re.search(r"PushedFilters: \[.*GreaterThanOrEqual\(PaymentDate,2001-01-01\)", plan)
+
+
 def test_open_loan_predicates_reach_the_scan(spark, stored):
     plan = plan_of(spark, BUILDERS["l9_member_list"](stored, spark))
     assert re.search(r"PushedFilters: \[.*IsNull\(ReturnDate\).*LessThanOrEqual\(CheckoutDate,2001-07-26\)", plan)
