@@ -15,18 +15,32 @@ from pyspark.sql import functions as F
 
 from circula.sources.paths import list_dirs
 
-EVENTS_SCHEMA = ("event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, "
+EVENTS_SCHEMA = ("event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, "
                  "value DOUBLE, props STRING")
 
 
 def daily_counts(events: DataFrame, delay: str = "1 day", ts_col: str = "ts",
                  kind_col: str = "event_type") -> DataFrame:
-    """Streaming (or batch) frame of running counts per (day, kind)."""
-    return (events.withWatermark(ts_col, delay)
-            .groupBy(F.window(ts_col, "1 day").alias("w"), F.col(kind_col).alias("Kind"))
+    """Streaming (or batch) frame of running counts per (UTC day, kind).
+
+    A wall-clock ``TIMESTAMP_NTZ`` event time is read as UTC (watermarks need
+    an instant); windows are whole UTC days whatever the session time zone.
+    """
+    ts = F.col(ts_col)
+    if events.schema[ts_col].dataType.typeName() == "timestamp_ntz":
+        tz = events.sparkSession.conf.get("spark.sql.session.timeZone")
+        ts = F.convert_timezone(F.lit("UTC"), F.lit(tz), ts).cast("timestamp")
+    return (events.withColumn("_event_time", ts)
+            .withWatermark("_event_time", delay)
+            .groupBy(F.window("_event_time", "1 day").alias("w"), F.col(kind_col).alias("Kind"))
             .agg(F.count(F.lit(1)).alias("Events")))
 
 
+def window_day(window_col: str = "w"):
+    """The UTC calendar day of a 1-day window (independent of the session zone)."""
+    return F.date_from_unix_date((F.unix_seconds(F.col(f"{window_col}.start")) / 86400).cast("int"))
+
+
 def _version(batch_id: int) -> str:
     return f"v{batch_id:012d}"
 
@@ -60,7 +74,7 @@ def stream_daily_counts(spark: SparkSession, source_dir: str, sink: str, checkpo
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession
-        changed = batch.select(F.col("w.start").cast("date").alias("Day"), "Kind", "Events")
+        changed = batch.select(window_day("w").alias("Day"), "Kind", "Events")
         prev = None
         for v in reversed([d for d in list_dirs(s, sink) if d.startswith("v")]):
             if v < _version(batch_id):
