@@ -880,3 +880,18 @@ def _w2(t, spark):
     stream_circulation(spark, f"{base}/source", f"{base}/state", f"{base}/checkpoint", _pol(t),
                        max_files_per_trigger=1)
     return current_loans(spark, f"{base}/state")
+
+
+@query("w2_stream_loan_state", f"WITH {T2_SQL}\n{T2_SELECT}")
+def _w2s(t, spark):
+    """Loan state kept current by a keyed-state stream (applyInPandasWithState)
+    over the circulation events in several micro-batches; the final state
+    equals the batch fold (T2)."""
+    from circula.sources.paths import scratch_dir
+    from circula.streaming.circulation_stream import current_loans
+    from circula.streaming.loan_state import stream_loan_state
+    base = scratch_dir(spark, "w2s")
+    t["circulation_event"].repartition(4, "LoanID").write.parquet(f"{base}/source")
+    stream_loan_state(spark, f"{base}/source", f"{base}/state", f"{base}/checkpoint", _pol(t),
+                      max_files_per_trigger=1)
+    return current_loans(spark, f"{base}/state")

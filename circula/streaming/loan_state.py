@@ -1,0 +1,121 @@
+"""W2 with keyed state: Loan rows kept current by ``applyInPandasWithState``.
+
+Each LoanID keeps a compact state in Spark's state store, so a micro-batch
+costs its own events plus the touched loans' state - never a re-read of the
+event history:
+
+* the earliest ISSUE as (date, seq, user) - the borrower and checkout day;
+* the earliest RETURN date;
+* the RENEW events (seq -> earliest date) dated on or before that return.
+  A return only ever moves earlier, so a renewal after it can never count
+  again and is dropped from the state.
+
+This is exactly T2's fold (duplicates of (LoanID, Kind, Seq) count once with
+their earliest date; renewals not after the return).  The state store is
+checkpointed with the query, so a restarted query resumes where it stopped.
+Loans whose ISSUE has not arrived yet keep state but emit no row.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming.state import GroupStateTimeout
+
+from circula.functions.common import read_policy
+from circula.streaming.circulation_stream import EVENT_SCHEMA, LOAN_SCHEMA
+
+STATE_SCHEMA = ("issue_date date, issue_seq int, issue_user int, return_date date, "
+                "renew_seqs array<int>, renew_dates array<date>")
+
+
+def _day(v):
+    if v is None or (isinstance(v, float) and pd.isna(v)) or v is pd.NaT:
+        return None
+    if isinstance(v, pd.Timestamp):
+        return v.date()
+    if isinstance(v, dt.datetime):
+        return v.date()
+    return v
+
+
+def make_state_fold(loan_period_days: int):
+    """The per-LoanID state function for ``applyInPandasWithState``.
+
+    A loan's events in one micro-batch are a handful of rows, so they are
+    walked as plain column lists (pandas operations on tiny frames would cost
+    more than the fold itself).  Events without a date are ignored.
+    """
+    period = dt.timedelta(days=loan_period_days)
+
+    def fold(key, batches, state):
+        (loan_id,) = key
+        if state.exists:
+            issue_date, issue_seq, issue_user, return_date, seqs, dates = state.get
+            renews = dict(zip(seqs or [], dates or []))
+        else:
+            issue_date = issue_seq = issue_user = return_date = None
+            renews = {}
+        issue = (issue_date, issue_seq, issue_user) if issue_date is not None else None
+        for pdf in batches:
+            for kind, day, seq, user in zip(pdf["Kind"].tolist(), pdf["EventDate"].tolist(),
+                                            pdf["Seq"].tolist(), pdf["UserID"].tolist()):
+                day = _day(day)
+                if day is None:
+                    continue
+                if kind == "ISSUE":
+                    cand = (day, int(seq), None if user is None else int(user))
+                    if issue is None or cand[:2] < issue[:2]:
+                        issue = cand
+                elif kind == "RETURN":
+                    return_date = day if return_date is None else min(return_date, day)
+                elif kind == "RENEW":
+                    seq = int(seq)
+                    renews[seq] = day if seq not in renews else min(renews[seq], day)
+        if return_date is not None:
+            renews = {q: d for q, d in renews.items() if d <= return_date}
+        issue_date, issue_seq, issue_user = issue if issue is not None else (None, None, None)
+        state.update((issue_date, issue_seq, issue_user, return_date,
+                      list(renews.keys()), list(renews.values())))
+        if issue_date is None:
+            return
+        n = len(renews)
+        yield pd.DataFrame({
+            "LoanID": [loan_id], "UserID": [issue_user], "CheckoutDate": [issue_date],
+            "DueDate": [issue_date + period * (1 + n)], "ReturnDate": [return_date], "Renewals": [n]})
+
+    return fold
+
+
+def loan_state_stream(events: DataFrame, policy) -> DataFrame:
+    """Streaming frame of updated Loan rows (update mode)."""
+    p = read_policy(policy)
+    return (events.select("LoanID", "UserID", "Kind", "EventDate", "Seq")
+            .groupBy("LoanID")
+            .applyInPandasWithState(make_state_fold(p.loan_period_days), LOAN_SCHEMA, STATE_SCHEMA,
+                                    "update", GroupStateTimeout.NoTimeout))
+
+
+def stream_loan_state(spark: SparkSession, source_dir: str, state: str, checkpoint: str, policy,
+                      max_files_per_trigger: int | None = None, available_now: bool = True):
+    """Run the keyed-state W2 over parquet event files; each micro-batch's
+    updated loans are written under ``<state>/loans/batch=<id>`` (replay
+    rewrites the same folder) and read with ``current_loans``."""
+    reader = spark.readStream.schema(EVENT_SCHEMA)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    updates = loan_state_stream(reader.parquet(source_dir), policy)
+    root = f"{state.rstrip('/')}/loans"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+
+    writer = (updates.writeStream.outputMode("update").foreachBatch(write)
+              .option("checkpointLocation", checkpoint))
+    writer = writer.trigger(availableNow=True) if available_now else writer
+    q = writer.start()
+    if available_now:
+        q.awaitTermination()
+    return q
