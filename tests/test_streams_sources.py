@@ -138,3 +138,18 @@ def test_keyed_state_stream_resumes_after_restart(spark, fx):
     got = current_loans(spark, f"{base}/state")
     want, _ = fold_circulation(ev, fx["policy"])
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_w1_upsert_replaces_counts_of_days_seen_again(spark):
+    base = tempfile.mkdtemp(prefix="w1u-")
+    src = f"{base}/src"
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    # two micro-batches that both hold every day: the second re-emits each
+    # (day, kind) with its running total, which must replace the first
+    ev.filter(F.col("event_id") % 2 == 0).coalesce(1).write.mode("append").parquet(src)
+    ev.filter(F.col("event_id") % 2 == 1).coalesce(1).write.mode("append").parquet(src)
+    stream_daily_counts(spark, src, f"{base}/sink", f"{base}/ck", delay="40 days", max_files_per_trigger=1)
+    got = read_daily_counts(spark, f"{base}/sink")
+    want = (ev.groupBy(F.col("ts").cast("date").alias("Day"), F.col("event_type").alias("Kind"))
+            .agg(F.count(F.lit(1)).alias("Events")))
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
