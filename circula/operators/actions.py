@@ -1,9 +1,10 @@
 """Referential actions: bulk deletes with CASCADE / RESTRICT / SET NULL and
 ISBN re-keying (R1-R5).
 
-Each action returns ``(tables, counts)``: the changed tables (survivors, as
+Each action returns ``(tables, counts)`` - the changed tables (survivors, as
 lazy DataFrames to be written by the caller) and a count frame
-``(table_name, action, rows)``.  Doomed keys flow down the foreign-key chain
+``(table_name, action, row_count)`` - and R2 / R4 add a per-key outcome
+frame as a third item.  Doomed keys flow down the foreign-key chain
 with ``left_semi`` joins; survivors are ``left_anti`` joins against them.
 Key lists can be large, so no side is forced to broadcast; AQE picks.
 """

@@ -3,9 +3,10 @@
 Per micro-batch (``foreachBatch``):
 
 1. the batch's events not yet kept (by LoanID, Kind, Seq, EventDate) are
-   appended to the event store under ``events/batch=<id>``, laid out by a
-   LoanID bucket so a later re-fold reads only the touched buckets (dynamic
-   partition pruning);
+   appended to the event store under ``events/batch=<id>/bucket=<b>``; the
+   buckets the batch touches (a bounded set of LoanID buckets) become a
+   partition filter, so the anti-join and the re-fold read only those
+   buckets of the history;
 2. the loans touched by the batch are re-folded with T2 over all their kept
    events;
 3. the re-folded rows are appended under ``loans/batch=<id>``.
@@ -64,18 +65,21 @@ def make_batch_handler(state: str, policy):
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession
-        if _batch_dirs(s, ev_root, below=batch_id):
-            # partition pruning on batch; a half-written folder of this very
-            # batch (from a failed attempt) is excluded by the filter
-            kept = s.read.schema(STORED_EVENTS).parquet(ev_root).filter(F.col("batch") < batch_id).drop("batch")
+        incoming = (batch.select("LoanID", "UserID", "Kind", "EventDate", "Seq")
+                    .dropDuplicates(EVENT_KEY)
+                    .withColumn("bucket", F.pmod(F.col("LoanID"), F.lit(BUCKETS))))
+        # the buckets this batch touches: at most BUCKETS small ints, so a
+        # bounded collect; they become a partition filter on the event store
+        touched_buckets = sorted(r[0] for r in incoming.select("bucket").distinct().collect())
+        if _batch_dirs(s, ev_root, below=batch_id) and touched_buckets:
+            # partition pruning on batch and bucket; a half-written folder of
+            # this very batch (from a failed attempt) is excluded by the filter
+            kept = (s.read.schema(STORED_EVENTS).parquet(ev_root)
+                    .filter((F.col("batch") < batch_id) & F.col("bucket").isin(touched_buckets))
+                    .drop("batch"))
         else:
             kept = s.createDataFrame([], EVENT_SCHEMA + ", bucket INT")
-        # joining on the bucket column too lets the kept store be pruned to
-        # the buckets this batch touches
-        fresh = (batch.select("LoanID", "UserID", "Kind", "EventDate", "Seq")
-                 .dropDuplicates(EVENT_KEY)
-                 .withColumn("bucket", F.pmod(F.col("LoanID"), F.lit(BUCKETS)))
-                 .join(kept.select(*EVENT_KEY, "bucket"), [*EVENT_KEY, "bucket"], "left_anti"))
+        fresh = incoming.join(kept.select(*EVENT_KEY, "bucket"), [*EVENT_KEY, "bucket"], "left_anti")
         fresh.write.mode("overwrite").partitionBy("bucket").parquet(f"{ev_root}/batch={batch_id}")
         written = s.read.schema(EVENT_SCHEMA + ", bucket INT").parquet(f"{ev_root}/batch={batch_id}")
         touched = written.select("LoanID", "bucket").distinct()
