@@ -28,10 +28,12 @@ def issue_loans(t: dict, requests: DataFrame, policy, as_of) -> DataFrame:
     accepted when ``open books + its rank among the user's remaining requests
     <= MaxBooks``.  Accepted rows get DueDate = RequestDate + LoanPeriodDays.
 
-    Plan: the per-book winner is a ``min`` aggregate joined back on the unique
-    RequestID, and the per-user rank is a top-MaxBooks window (partial
-    WindowGroupLimit before the shuffle) - no step gathers a popular book's or
-    a busy member's requests into one task.
+    Plan: the per-book winner is a ``min`` aggregate (combined map-side)
+    joined back on the unique RequestID, and the per-user rank is a
+    top-MaxBooks window (partial WindowGroupLimit before the shuffle), so
+    neither a popular book nor a busy member is ranked in one task; the
+    plain key joins to members and books leave hot keys to AQE's skew-join
+    splitting.
     """
     p = read_policy(policy)
     ensure_checkpoint_dir(requests.sparkSession)

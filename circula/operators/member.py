@@ -34,8 +34,8 @@ def waiting_list(t: dict, as_of, num_partitions: int | None = None) -> DataFrame
     """Queue position of every active reservation item, per ISBN, by
     ReservationDate then ReservationID.
 
-    A very popular ISBN is split over many tasks (see ``sequence_numbers``)
-    instead of being sorted in one.
+    An ISBN whose queue is larger than one task should sort is split over
+    many tasks (see ``sequence_numbers``) instead of being sorted in one.
     """
     active = t["reservation"].filter(is_active_reservation(as_of)).select(
         "ReservationID", "UserID", "ReservationDate")
