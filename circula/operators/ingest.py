@@ -165,3 +165,13 @@ def ingest_table(t: dict, tname: str, raw: DataFrame, good_path: str, bad_path:
     bad = flagged.filter(F.size("BrokenRules") > 0).withColumn("BrokenRules", F.array_join("BrokenRules", ","))
     good.write.mode("overwrite").parquet(good_path)
     bad.write.mode("overwrite").parquet(bad_path)
+
+
+def ingest_files(t: dict, tname: str, path: str, fmt: str, good_path: str, bad_path: str, as_of) -> None:
+    """The ingest flow from files: S1 load (raw parquet as stored, or CSV
+    with unparsable rows kept aside) -> :func:`ingest_table`.  Rows that did
+    not parse are quarantined under the rule ``PARSE``."""
+    from circula.sources.tables import load_table
+    some = next(iter(t.values())) if isinstance(t, dict) and t else t["loan"]
+    raw = load_table(some.sparkSession, tname, path, fmt=fmt, strict=False)
+    ingest_table(t, tname, raw, good_path, bad_path, as_of)

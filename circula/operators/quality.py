@@ -18,6 +18,7 @@ from circula.functions.common import as_date, key_text
 from circula.schema import CURRENT_DATE, YEAR_MAX, YEAR_MIN, YEAR_ZERO, table
 
 VIOLATION_COLS = ("table_name", "rule", "row_key", "detail")
+CORRUPT = "_corrupt_record"  # set by the CSV loader for rows that did not parse
 
 
 def _violations(df: DataFrame, tname: str, rule: Column | str, detail: Column) -> DataFrame:
@@ -40,7 +41,8 @@ def apply_defaults(df: DataFrame, tname: str, as_of) -> DataFrame:
     """Q1: add every absent column with its declared default (null if none).
 
     A column that is present but null stays null (SQL default rule).  The
-    result has the table's columns in declared order; present columns keep
+    result has the table's columns in declared order (plus the loader's
+    ``_corrupt_record`` when present); present columns keep
     their incoming type, because a raw value may not fit the declared type
     yet (an ANSI cast would fail the job) - Q7 reports it, and
     :func:`conform` casts only rows that passed.
@@ -60,6 +62,8 @@ def apply_defaults(df: DataFrame, tname: str, as_of) -> DataFrame:
         else:
             value = F.lit(default)
         out.append(value.cast(dtype).alias(name))
+    if CORRUPT in present:  # the CSV loader's raw text of unparsable rows rides along
+        out.append(F.col(CORRUPT))
     return df.select(*out)
 
 
@@ -206,6 +210,8 @@ def flag_rules(t: dict, df: DataFrame, tname: str) -> DataFrame:
     pk = list(spec.primary_key)
     flagged = df
     names: list[tuple[str, Column]] = []
+    if CORRUPT in df.columns:
+        names.append(("PARSE", F.col(CORRUPT).isNotNull()))
 
     # Q2: null key parts, and every row of a repeated key
     any_null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in pk])
@@ -240,7 +246,7 @@ def flag_rules(t: dict, df: DataFrame, tname: str) -> DataFrame:
                       nonnull & F.col(flag).isNull()))
 
     broken = F.filter(F.array(*[F.when(b, F.lit(n)) for n, b in names]), lambda x: x.isNotNull())
-    helper = [c for c in flagged.columns if c.startswith("_")]
+    helper = [c for c in flagged.columns if c.startswith("_") and c != CORRUPT]
     return flagged.withColumn("BrokenRules", broken).drop(*helper).select(*df.columns, "BrokenRules")
 
 

@@ -612,12 +612,15 @@ def _q10b(t, spark):
 SELECT FineID, LoanID, UserID, IssueDate, CAST(Amount AS DECIMAL(8,2)) AS Amount, Status, Description FROM x
  WHERE BrokenRules = ''""")
 def _q10i(t, spark):
-    """Ingest of the raw fine feed: defaults, all checks in one pass, good rows
-    written with the declared types (quarantine written beside them); the
-    good table is read back."""
+    """Ingest of the raw fine feed from files: S1 load of the raw parquet as
+    stored, defaults, all checks in one pass, good rows written with the
+    declared types (quarantine written beside them); the good table is read
+    back."""
     from circula.sources.paths import scratch_dir
     base = scratch_dir(spark, "q10-ingest")
-    ingest.ingest_table(t, "fine", t["raw_fine"], f"{base}/good", f"{base}/quarantine", AS_OF)
+    t["raw_fine"].write.parquet(f"{base}/raw")
+    ingest.ingest_files({"loan": t["loan"], "library_user": t["library_user"]}, "fine", f"{base}/raw",
+                        "parquet", f"{base}/good", f"{base}/quarantine", AS_OF)
     return spark.read.parquet(f"{base}/good")
 
 

@@ -17,8 +17,10 @@ def load_table(spark: SparkSession, name: str, path: str, fmt: str = "parquet",
 
     * parquet, ``strict=True``: the declared schema is imposed on the scan
       (column pruning and filter pushdown still apply).
-    * parquet, ``strict=False``: columns are read as stored and cast by name;
-      an absent column comes back null.
+    * parquet, ``strict=False`` (raw feeds): the declared columns that the
+      files hold, in their stored types and declared order; absent columns
+      stay absent so Q1 can add them with their defaults, and values that do
+      not fit their declared type yet are left for the checks to report.
     * csv: header row, declared schema, PERMISSIVE mode; a row that does not
       parse keeps its raw text in ``_corrupt_record`` (null for good rows).
     """
@@ -29,8 +31,7 @@ def load_table(spark: SparkSession, name: str, path: str, fmt: str = "parquet",
             return spark.read.schema(schema).parquet(path)
         raw = spark.read.parquet(path)
         have = set(raw.columns)
-        return raw.select(*[(F.col(c) if c in have else F.lit(None)).cast(t).alias(c)
-                            for c, t in spec.columns])
+        return raw.select(*[F.col(c) for c, _ in spec.columns if c in have])
     if fmt == "csv":
         with_corrupt = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType(), True)])
         return (spark.read.schema(with_corrupt)

@@ -374,3 +374,22 @@ def test_ingest_quarantines_oversize_amounts_instead_of_failing(spark, tmp_path)
     bad = dict(spark.read.parquet(str(tmp_path / "bad")).select("FineID", "BrokenRules").collect())
     assert dict(good.dtypes)["Amount"] == "decimal(8,2)" and [r.FineID for r in good.collect()] == [2]
     assert bad == {1: "DECIMAL(Amount,8,2)", 3: "FOREIGN KEY(LoanID->loan)"}
+
+
+def test_ingest_files_quarantines_unparsable_csv_rows(spark, tmp_path):
+    src = tmp_path / "fine_csv"
+    src.mkdir()
+    (src / "part.csv").write_text(
+        "FineID,LoanID,UserID,IssueDate,Amount,Status,Description\n"
+        "1,1,7,2001-07-20,3.50,Unpaid,late\n"
+        "two,1,7,2001-07-20,3.50,Unpaid,late\n"
+        "3,1,7,2001-07-20,1.00,Overdue,late\n")
+    loans = frame(spark, "loan", [(1, 7, D(2001, 7, 1), D(2001, 7, 15), None, Decimal("0"))])
+    users = frame(spark, "library_user", [(7, "U", None, None, None, None, None, "Active", None)])
+    ingest.ingest_files({"loan": loans, "library_user": users}, "fine", str(src), "csv",
+                        str(tmp_path / "good"), str(tmp_path / "bad"), "2001-07-26")
+    good = spark.read.parquet(str(tmp_path / "good"))
+    assert [r.FineID for r in good.collect()] == [1] and "_corrupt_record" not in good.columns
+    bad = {r._corrupt_record: r.BrokenRules for r in spark.read.parquet(str(tmp_path / "bad")).collect()}
+    assert bad[None] == "ENUM(Status)"
+    assert [v for k, v in bad.items() if k is not None][0].startswith("PARSE")
