@@ -40,7 +40,7 @@ def main() -> None:
     timings: dict[str, float] = {}
     for name in names:
         best = None
-        for _ in range(2):  # first run warms the JVM code paths; keep the best
+        for _ in range(3):  # the first run warms the JVM code paths; keep the best
             s = time.time()
             BUILDERS[name](t, spark).write.format("noop").mode("overwrite").save()
             el = time.time() - s
