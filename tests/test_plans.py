@@ -64,3 +64,13 @@ def test_no_cross_or_nested_loop_joins(spark, stored, name):
     plan = plan_of(spark, BUILDERS[name](stored, spark))
     assert "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
+
+
+BATCH_QUERIES = sorted(n for n in BUILDERS if not n.startswith(("w1_", "w2_", "s1_", "s2_")))
+
+
+@pytest.mark.parametrize("name", BATCH_QUERIES)
+def test_no_query_plans_a_cross_join(spark, stored, name):
+    df = BUILDERS[name](stored, spark)
+    plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
