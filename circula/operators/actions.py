@@ -7,6 +7,11 @@ lazy DataFrames to be written by the caller) and a count frame
 frame as a third item.  Doomed keys flow down the foreign-key chain
 with ``left_semi`` joins; survivors are ``left_anti`` joins against them.
 Key lists can be large, so no side is forced to broadcast; AQE picks.
+
+Every doomed key set is materialized once (``checkpoint`` into
+``spark.checkpoint.dir``): the survivor tables and the counts all read it, so
+the key chain (users -> loans -> fines -> payments ...) is derived once and
+each table is scanned once per output, not once per dependent key set.
 """
 
 from __future__ import annotations
@@ -16,9 +21,17 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from circula.session import ensure_checkpoint_dir
+
 COUNT_COLS = "table_name string, action string, row_count bigint"
 
 
+def _keys(df: DataFrame) -> DataFrame:
+    """A doomed key set, materialized once for all its readers."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.distinct().checkpoint(eager=True)
+
+
 def _count(df: DataFrame, tname: str, action: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("row_count")).select(
         F.lit(tname).alias("table_name"), F.lit(action).alias("action"), "row_count")
@@ -30,15 +43,15 @@ def _counts(parts: list[tuple[DataFrame, str, str]]) -> DataFrame:
 
 def _loan_chain(t: dict, doomed_loans: DataFrame, doomed_users: DataFrame | None = None):
     """Loans -> LoanItem, Fine (by loan or by user) -> Payment."""
-    loan_keys = doomed_loans.select("LoanID").distinct()
+    loan_keys = _keys(doomed_loans.select("LoanID"))
     items = t["loan_item"].join(loan_keys, "LoanID", "left_semi")
     fine = t["fine"]
     by_loan = fine.join(loan_keys, "LoanID", "left_semi")
     if doomed_users is not None:
         by_user = fine.join(doomed_users, "UserID", "left_semi")
-        doomed_fines = by_loan.unionByName(by_user).select("FineID").distinct()
+        doomed_fines = _keys(by_loan.unionByName(by_user).select("FineID"))
     else:
-        doomed_fines = by_loan.select("FineID").distinct()
+        doomed_fines = _keys(by_loan.select("FineID"))
     fines = fine.join(doomed_fines, "FineID", "left_semi")
     payments = t["payment"].join(doomed_fines, "FineID", "left_semi")
     return loan_keys, items, fines, doomed_fines, payments
@@ -47,12 +60,13 @@ def _loan_chain(t: dict, doomed_loans: DataFrame, doomed_users: DataFrame | None
 def delete_users(t: dict, keys: DataFrame):
     """User -> Loan -> LoanItem; Fine (its loan *or* its user is deleted)
     -> Payment; User -> Reservation -> ReservationItem."""
-    users = t["library_user"].join(keys.select("UserID").distinct(), "UserID", "left_semi")
-    user_keys = users.select("UserID").distinct()
+    user_keys = _keys(t["library_user"].join(keys.select("UserID").distinct(), "UserID", "left_semi")
+                      .select("UserID"))
+    users = t["library_user"].join(user_keys, "UserID", "left_semi")
     loans = t["loan"].join(user_keys, "UserID", "left_semi")
     loan_keys, items, fines, fine_keys, payments = _loan_chain(t, loans, user_keys)
-    res = t["reservation"].join(user_keys, "UserID", "left_semi")
-    res_keys = res.select("ReservationID")
+    res_keys = _keys(t["reservation"].join(user_keys, "UserID", "left_semi").select("ReservationID"))
+    res = t["reservation"].join(res_keys, "ReservationID", "left_semi")
     res_items = t["reservation_item"].join(res_keys, "ReservationID", "left_semi")
     tables = {
         "library_user": t["library_user"].join(user_keys, "UserID", "left_anti"),
@@ -87,8 +101,9 @@ def delete_loans(t: dict, keys: DataFrame):
 
 def delete_reservations(t: dict, keys: DataFrame):
     """Reservation -> ReservationItem."""
-    res = t["reservation"].join(keys.select("ReservationID").distinct(), "ReservationID", "left_semi")
-    res_keys = res.select("ReservationID")
+    res_keys = _keys(t["reservation"].join(keys.select("ReservationID").distinct(), "ReservationID", "left_semi")
+                     .select("ReservationID"))
+    res = t["reservation"].join(res_keys, "ReservationID", "left_semi")
     items = t["reservation_item"].join(res_keys, "ReservationID", "left_semi")
     tables = {
         "reservation": t["reservation"].join(res_keys, "ReservationID", "left_anti"),
@@ -115,7 +130,7 @@ def delete_books(t: dict, keys: DataFrame):
     """R2: refuse books still referenced by LoanItem / ReservationItem (per
     key; the rest of the batch proceeds); for the others drop BookAuthors and
     both sides of RelatedBooks."""
-    outcomes = book_delete_outcomes(t, keys)
+    outcomes = _keys(book_delete_outcomes(t, keys))
     gone = outcomes.filter(F.col("Outcome") == "deleted").select("ISBN")
     refused = outcomes.filter(F.col("Outcome") == "refused")
     books = t["book"].join(gone, "ISBN", "left_semi")
@@ -139,8 +154,9 @@ def delete_books(t: dict, keys: DataFrame):
 
 def delete_employees(t: dict, keys: DataFrame):
     """ProcessedBy rows cascade; Report.GeneratedBy is set to null."""
-    emp = t["employee"].join(keys.select("EmployeeID").distinct(), "EmployeeID", "left_semi")
-    ek = emp.select("EmployeeID")
+    ek = _keys(t["employee"].join(keys.select("EmployeeID").distinct(), "EmployeeID", "left_semi")
+               .select("EmployeeID"))
+    emp = t["employee"].join(ek, "EmployeeID", "left_semi")
     pb = t["processed_by"].join(ek, "EmployeeID", "left_semi")
     rep_hit = t["report"].join(ek.withColumnRenamed("EmployeeID", "GeneratedBy"), "GeneratedBy", "left_semi")
     flagged = t["report"].join(ek.select(F.col("EmployeeID").alias("GeneratedBy"),
@@ -189,7 +205,7 @@ def rekey_outcomes(t: dict, mapping: DataFrame) -> DataFrame:
 
 def rekey_books(t: dict, mapping: DataFrame):
     """Change ISBNs; BookAuthors follows (its only ON UPDATE CASCADE)."""
-    outcomes = rekey_outcomes(t, mapping)
+    outcomes = _keys(rekey_outcomes(t, mapping))
     ok = outcomes.filter(F.col("Outcome") == "renamed").select("OldISBN", "NewISBN")
 
     def rename(df: DataFrame) -> DataFrame:
