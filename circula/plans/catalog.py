@@ -851,13 +851,17 @@ def _s1(t, spark):
     return df.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
 
 
-@query("s2_write_report")
+@query("s2_write_report", """SELECT CAST(date_trunc('month', PaymentDate) AS DATE) AS Month, PaymentMethod,
+ count(*) AS Payments, CAST(coalesce(sum(AmountPaid), 0) AS DECIMAL(18,2)) AS Amount FROM payment GROUP BY 1, 2""")
 def _s2(t, spark):
-    """A7's monthly revenue appended as one Report row (JSON content)."""
+    """A7's monthly revenue appended as one Report row (JSON content), then
+    the stored report read back and its content decoded into rows."""
     from circula.sources.paths import scratch_dir
-    from circula.sources.reports import write_report
+    from circula.sources.reports import read_report_rows, write_report
     path = scratch_dir(spark, "s2-report")
-    return write_report(figures.monthly_revenue(t), "Monthly Revenue Report", 2, AS_OF, path)
+    row = write_report(figures.monthly_revenue(t), "Monthly Revenue Report", 2, AS_OF, path).first()
+    return read_report_rows(spark, path, row.ReportID,
+                            "Month: date, PaymentMethod: string, Payments: bigint, Amount: decimal(18,2)")
 
 
 # ========================================================== W: streaming ======

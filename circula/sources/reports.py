@@ -38,3 +38,10 @@ def write_report(df: DataFrame, report_type: str, generated_by: int | None, as_o
         "Content")
     row.write.mode("append").parquet(path)
     return spark.read.parquet(path).filter(F.col("ReportID") == next_id)
+
+
+def read_report_rows(spark, path: str, report_id: int, row_schema: str) -> DataFrame:
+    """Decode one stored report's JSON Content back into rows of ``row_schema``."""
+    rep = spark.read.parquet(path).filter(F.col("ReportID") == F.lit(report_id))
+    decoded = rep.select(F.explode(F.from_json("Content", f"array<struct<{row_schema}>>")).alias("r"))
+    return decoded.select("r.*")
