@@ -12,8 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from circula.functions import formats as fmt
-from circula.functions.common import (MONEY_SUM, as_date, is_open_loan,
-                                      money_sum, month_start, read_policy)
+from circula.functions.common import MONEY_SUM, as_date, is_open_loan, money_sum, month_start
 from circula.operators.policy import due_dates, open_books_per_user
 
 ENTITY_TYPES = ("Loan", "Reservation", "Book")
