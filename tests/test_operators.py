@@ -393,3 +393,18 @@ def test_ingest_files_quarantines_unparsable_csv_rows(spark, tmp_path):
     bad = {r._corrupt_record: r.BrokenRules for r in spark.read.parquet(str(tmp_path / "bad")).collect()}
     assert bad[None] == "ENUM(Status)"
     assert [v for k, v in bad.items() if k is not None][0].startswith("PARSE")
+
+
+def test_rekey_refuses_ambiguous_maps_and_taken_keys(spark):
+    t = {"book": frame(spark, "book", [(b, "T", 2000, "G", "X", "Available", "S") for b in ("a", "b", "c", "d")]),
+         "book_authors": spark.createDataFrame([("a", "X"), ("d", "X")], "ISBN string, AuthorName string"),
+         "related_books": spark.createDataFrame([], "ISBN string, RelatedISBN string"),
+         "reservation_item": spark.createDataFrame([], "ReservationID int, ISBN string"),
+         "loan_item": spark.createDataFrame([], "LoanID int, ISBN string")}
+    m = spark.createDataFrame([("a", "n1"), ("b", "n1"), ("c", "d"), ("d", "n2"), ("d", "n3")],
+                              "OldISBN string, NewISBN string")
+    _, counts, outcomes = actions.rekey_books(t, m)
+    got = {(r.OldISBN, r.NewISBN): r.Outcome for r in outcomes.collect()}
+    assert got == {("a", "n1"): "ambiguous", ("b", "n1"): "ambiguous", ("c", "d"): "new key exists",
+                   ("d", "n2"): "ambiguous", ("d", "n3"): "ambiguous"}
+    assert {(r.table_name, r.action): r.row_count for r in counts.collect()}[("book", "UPDATE")] == 0
