@@ -74,3 +74,22 @@ def test_no_query_plans_a_cross_join(spark, stored, name):
     df = BUILDERS[name](stored, spark)
     plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_date_partitioned_store_prunes_by_the_operators_own_predicates(spark, tmp_path):
+    root = str(tmp_path / "bydate")
+    materialize(spark, SF_SMALL, root, names=("loan", "loan_item", "payment", "processed_by"), by_date=True)
+    t = StoredTables(spark, root, SF_SMALL)
+    l1 = plan_of(spark, BUILDERS["l1_checked_out_on"](t, spark))
+    assert re.search(r"PartitionFilters: \[.*\(CheckoutDate#\d+ = 2001-07-26\)", l1)
+    a7 = plan_of(spark, BUILDERS["a7_monthly_revenue_period"](t, spark))
+    assert re.search(r"PartitionFilters: \[.*PaymentDate#\d+ >= 2001-01-01", a7)
+    a3 = plan_of(spark, BUILDERS["a3_books_added_this_month"](t, spark))
+    assert "PartitionFilters: [isnotnull(ActionDate" in a3
+    # same answers as the plain layout
+    plain_root = str(tmp_path / "plain")
+    materialize(spark, SF_SMALL, plain_root, names=("loan", "loan_item", "payment", "processed_by"))
+    plain = StoredTables(spark, plain_root, SF_SMALL)
+    for name in ("l1_checked_out_on", "a7_monthly_revenue_period", "a3_books_added_this_month"):
+        a, b = BUILDERS[name](t, spark), BUILDERS[name](plain, spark)
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
