@@ -6,6 +6,10 @@ plain parquet folder, so each batch writes a new version folder named by its
 batch id (a replayed batch rewrites the same folder - idempotent) holding
 the previous version minus the changed keys plus the changed rows.  State is
 one row per (day, kind) and old days are dropped by the watermark.
+
+Late data: events inside ``delay`` always count (so the result equals the
+batch count when no event is later than that); Spark drops an event that is
+behind the watermark set by the previous micro-batch.
 """
 
 from __future__ import annotations

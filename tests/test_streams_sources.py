@@ -153,3 +153,39 @@ def test_w1_upsert_replaces_counts_of_days_seen_again(spark):
     want = (ev.groupBy(F.col("ts").cast("date").alias("Day"), F.col("event_type").alias("Kind"))
             .agg(F.count(F.lit(1)).alias("Events")))
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_w1_drops_an_event_behind_the_watermark(spark):
+    """Spark drops rows behind the watermark the previous micro-batch set;
+    events inside the delay always count."""
+    base = tempfile.mkdtemp(prefix="w1l-")
+    src = f"{base}/src"
+    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    batches = [
+        [(1, dt.datetime(2024, 1, 20, 10), 1, "view", 1.0, "{}"), (2, dt.datetime(2024, 1, 21, 10), 1, "view", 1.0, "{}")],
+        [(3, dt.datetime(2024, 1, 22, 10), 1, "view", 1.0, "{}")],
+        [(4, dt.datetime(2024, 1, 2, 10), 1, "view", 1.0, "{}"),      # far behind the watermark
+         (5, dt.datetime(2024, 1, 21, 11), 1, "view", 1.0, "{}")],    # inside the delay
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+    stream_daily_counts(spark, src, f"{base}/sink", f"{base}/ck", delay="1 day", max_files_per_trigger=1)
+    got = {(r.Day, r.Kind): r.Events for r in read_daily_counts(spark, f"{base}/sink").collect()}
+    assert got == {(dt.date(2024, 1, 20), "view"): 1, (dt.date(2024, 1, 21), "view"): 2,
+                   (dt.date(2024, 1, 22), "view"): 1}
+
+
+def test_bench_prints_one_json_line(tmp_path):
+    import json
+    import os
+    import subprocess
+    import sys
+    env = dict(os.environ, BENCH_SF_DIR=SF_SMALL, BENCH_CPUS="2")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, os.path.join(root, "bench.py"), "a7_monthly_revenue", "l4_pending_fines"],
+                         capture_output=True, text=True, env=env, timeout=900, check=True).stdout
+    lines = [line for line in out.splitlines() if line.strip()]
+    assert len(lines) == 1
+    rec = json.loads(lines[0])
+    assert rec["unit"] == "sec" and set(rec["queries"]) == {"a7_monthly_revenue", "l4_pending_fines"}
+    assert rec["value"] == pytest.approx(sum(rec["queries"].values()), abs=1e-2) and rec["sf"] == 0.001
