@@ -219,3 +219,19 @@ def rekey_books(t: dict, mapping: DataFrame):
     counts = _counts([(books_hit, "book", "UPDATE"), (authors_hit, "book_authors", "CASCADE"),
                       (outcomes.filter(F.col("Outcome") != "renamed"), "book", "REFUSED")])
     return tables, counts, outcomes
+
+
+def apply_action(tables: dict, root: str, version: str) -> dict[str, str]:
+    """Write the changed tables of an action as new version folders
+    ``<root>/<table>/v=<version>`` and return their paths.
+
+    The survivors are computed from the current tables, which may live under
+    the same root, so a new version is written instead of overwriting the
+    folder being read; rerunning the same version rewrites the same folders.
+    """
+    paths = {}
+    for name, df in tables.items():
+        path = f"{root.rstrip('/')}/{name}/v={version}"
+        df.write.mode("overwrite").parquet(path)
+        paths[name] = path
+    return paths

@@ -408,3 +408,12 @@ def test_rekey_refuses_ambiguous_maps_and_taken_keys(spark):
     assert got == {("a", "n1"): "ambiguous", ("b", "n1"): "ambiguous", ("c", "d"): "new key exists",
                    ("d", "n2"): "ambiguous", ("d", "n3"): "ambiguous"}
     assert {(r.table_name, r.action): r.row_count for r in counts.collect()}[("book", "UPDATE")] == 0
+
+
+def test_apply_action_writes_new_versions(spark, fx, tmp_path):
+    t = fx.tables()
+    tables, counts = actions.delete_users(t, fx["delete_user"])
+    paths = actions.apply_action(tables, str(tmp_path), "1")
+    removed = {r.table_name: r.row_count for r in counts.collect()}
+    for name, path in paths.items():
+        assert spark.read.parquet(path).count() == t[name].count() - removed[name]
