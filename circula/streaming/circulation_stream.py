@@ -58,7 +58,7 @@ def current_loans(spark: SparkSession, state: str) -> DataFrame:
         F.col("CheckoutDate").isNotNull())
 
 
-def make_batch_handler(state: str, policy):
+def make_batch_handler(state: str, policy, buckets: int = BUCKETS):
     policy = read_policy(policy)
     state = state.rstrip("/")
     ev_root, loan_root = f"{state}/events", f"{state}/loans"
@@ -67,8 +67,8 @@ def make_batch_handler(state: str, policy):
         s = batch.sparkSession
         incoming = (batch.select("LoanID", "UserID", "Kind", "EventDate", "Seq")
                     .dropDuplicates(EVENT_KEY)
-                    .withColumn("bucket", F.pmod(F.col("LoanID"), F.lit(BUCKETS))))
-        # the buckets this batch touches: at most BUCKETS small ints, so a
+                    .withColumn("bucket", F.pmod(F.col("LoanID"), F.lit(buckets))))
+        # the buckets this batch touches: at most ``buckets`` small ints, so a
         # bounded collect; they become a partition filter on the event store
         touched_buckets = sorted(r[0] for r in incoming.select("bucket").distinct().collect())
         if _batch_dirs(s, ev_root, below=batch_id) and touched_buckets:
@@ -99,13 +99,21 @@ def make_batch_handler(state: str, policy):
 
 
 def stream_circulation(spark: SparkSession, source_dir: str, state: str, checkpoint: str, policy,
-                       max_files_per_trigger: int | None = None, available_now: bool = True):
-    """Run W2 over parquet event files in ``source_dir``; returns the query."""
+                       max_files_per_trigger: int | None = None, available_now: bool = True,
+                       buckets: int = BUCKETS):
+    """Run W2 over parquet event files in ``source_dir``; returns the query.
+
+    ``buckets`` sets the LoanID buckets of the event store (fixed for the
+    life of a state folder).  Pruning pays off when a batch touches few
+    buckets; when busy batches touch them all, the keyed-state form
+    (``loan_state.stream_loan_state``) keeps the per-batch cost independent
+    of the history.
+    """
     reader = spark.readStream.schema(EVENT_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     events = reader.parquet(source_dir)
-    writer = (events.writeStream.foreachBatch(make_batch_handler(state, policy))
+    writer = (events.writeStream.foreachBatch(make_batch_handler(state, policy, buckets))
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer
     q = writer.start()
