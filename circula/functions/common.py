@@ -9,6 +9,8 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from circula.schema import table
+
 MONEY = "decimal(8,2)"      # stored money columns
 MONEY_SUM = "decimal(18,2)" # every money total we return
 
@@ -72,10 +74,15 @@ def read_policy(policy: DataFrame | Policy) -> Policy:
     if len(rows) != 1:
         raise ValueError(f"expected exactly one policy row, got {len(rows)}")
     r = rows[0].asDict()
+    defaults = table("policy").defaults  # a missing value takes its declared default
+
+    def value(col):
+        return r[col] if r.get(col) is not None else defaults[col]
+
     return Policy(
         policy_id=r.get("PolicyID"), name=r.get("Name"),
-        loan_period_days=int(r["LoanPeriodDays"] if r.get("LoanPeriodDays") is not None else 14),
-        max_books=int(r["MaxBooks"] if r.get("MaxBooks") is not None else 5),
-        fine_rate_per_day=Decimal(r["FineRatePerDay"] if r.get("FineRatePerDay") is not None else "0.50"),
-        grace_period_days=int(r["GracePeriodDays"] if r.get("GracePeriodDays") is not None else 2),
+        loan_period_days=int(value("LoanPeriodDays")),
+        max_books=int(value("MaxBooks")),
+        fine_rate_per_day=Decimal(str(value("FineRatePerDay"))),
+        grace_period_days=int(value("GracePeriodDays")),
     )
