@@ -46,6 +46,12 @@ def waiting_list(t: dict, as_of, num_partitions: int | None = None) -> DataFrame
     ).select("ISBN", "ReservationID", "UserID", "ReservationDate", "QueuePosition")
 
 
+def reservations_per_member(t: dict, as_of, num_partitions: int | None = None) -> DataFrame:
+    """U3 per member: active reserved items and the best (lowest) queue place."""
+    return (waiting_list(t, as_of, num_partitions).groupBy("UserID")
+            .agg(F.count(F.lit(1)).alias("ReservedItems"), F.min("QueuePosition").alias("BestQueuePosition")))
+
+
 def fine_balance(t: dict) -> DataFrame:
     """U4: per member unpaid sum and count; 0.00 / 0 when none."""
     unpaid = (t["fine"].filter(F.col("Status") == "Unpaid").groupBy("UserID")

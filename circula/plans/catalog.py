@@ -354,6 +354,15 @@ def _u3(t, spark):
     return member.waiting_list(t, AS_OF)
 
 
+@query("u3_reservations_per_member", """WITH q AS (SELECT i.ISBN, r.ReservationID, r.UserID,
+   row_number() OVER (PARTITION BY i.ISBN ORDER BY r.ReservationDate ASC NULLS LAST, r.ReservationID) AS QueuePosition
+   FROM reservation_item i JOIN reservation r ON i.ReservationID = r.ReservationID
+   WHERE r.Status = 'Active' AND (r.ExpiryDate IS NULL OR r.ExpiryDate >= {D}))
+SELECT UserID, count(*) AS ReservedItems, min(QueuePosition) AS BestQueuePosition FROM q GROUP BY UserID""")
+def _u3m(t, spark):
+    return member.reservations_per_member(t, AS_OF)
+
+
 @query("u4_fine_balance", """WITH f AS (SELECT UserID, sum(Amount) AS amt, count(*) AS n FROM fine WHERE Status = 'Unpaid' GROUP BY UserID)
 SELECT u.UserID, CAST(coalesce(f.amt, 0) AS DECIMAL(18,2)) AS UnpaidAmount, coalesce(f.n, 0) AS UnpaidFines
  FROM library_user u LEFT JOIN f ON u.UserID = f.UserID""")
