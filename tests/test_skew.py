@@ -68,3 +68,34 @@ def test_waiting_list_with_a_hot_title(spark, split_path):
     want = [r[0] for r in sorted(res[:3000], key=lambda r: (r[2], r[0]))]
     assert hot == want
     assert got.filter("ISBN = 'hot'").agg(F.max("QueuePosition")).first()[0] == 3000
+
+
+def test_recommendations_with_hot_author_and_hot_member_match_brute_force(spark, monkeypatch):
+    import random
+
+    from circula.operators import ranking
+    from tests.test_operators import _brute_recommend
+
+    rnd = random.Random(7)
+    authors = ["HOT"] * 4 + [f"A{i}" for i in range(6)]
+    books = [(f"b{i:03d}", rnd.choice(authors), "Available" if rnd.random() < 0.6 else "Borrowed")
+             for i in range(300)]
+    edges = [(f"b{rnd.randrange(300):03d}", f"b{rnd.randrange(300):03d}") for _ in range(400)]
+    history = set()
+    for _ in range(700):
+        user = 1 if rnd.random() < 0.3 else rnd.randrange(2, 60)
+        history.add((user, f"b{rnd.randrange(300):03d}"))
+    history = sorted(history)
+    t = {
+        "book": spark.createDataFrame([(b, f"T {b}", 2000, "G", a, s, "S1") for b, a, s in books], TABLES["book"].schema),
+        "related_books": spark.createDataFrame(sorted(set(edges)), "ISBN string, RelatedISBN string"),
+        "loan": spark.createDataFrame([(i, u, D(2001, 1, 1), None, None, Decimal("0")) for i, (u, _) in enumerate(history)],
+                                      TABLES["loan"].schema),
+        "loan_item": spark.createDataFrame([(i, b) for i, (_, b) in enumerate(history)], "LoanID int, ISBN string"),
+    }
+    for bound in (ranking.HOT_GROUP_ROWS, 20):   # plain window, then the split path
+        monkeypatch.setattr(ranking, "HOT_GROUP_ROWS", bound)
+        for k in (1, 4, 9):
+            got = {(r.UserID, r.RankNo): (r.ISBN, r.Score)
+                   for r in member.recommend_books(t, k, "2001-07-26", num_partitions=6).collect()}
+            assert got == _brute_recommend(history, books, edges, k), (bound, k)
