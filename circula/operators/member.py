@@ -153,7 +153,8 @@ def recommend_books(t: dict, k: int = 5, as_of=None, num_partitions: int | None
     ranked = sequence_numbers(available.filter(F.col("Author").isNotNull()),
                               order_cols=["ISBN"], partition_cols=["Author"], out_col="_arank",
                               num_partitions=num_partitions)
-    per_author_avail = ranked.groupBy("Author").agg(F.max("_arank").alias("_avail"))
+    per_author_avail = (available.filter(F.col("Author").isNotNull())
+                        .groupBy("Author").agg(F.count(F.lit(1)).alias("_avail")))
     cand = (per_author.join(per_author_avail, "Author")
             .withColumn("_free", F.col("_avail") - F.col("_b")))
     floor = cand.groupBy("UserID").agg(
