@@ -35,7 +35,9 @@ def query(name: str, sql: str | None = None):
             ensure_checkpoint_dir(spark)
             return fn(fixtures(spark, sf_dir), spark)
         run.__name__ = name
-        run.__doc__ = fn.__doc__
+        run.__doc__ = fn.__doc__ or (
+            f"Operator {name.split('_', 1)[0].upper()} ({name.split('_', 1)[1]}) over the fixture "
+            f"tables of sf_dir, as of {AS_OF}.")
         QUERIES[name] = run
         BUILDERS[name] = fn
         if sql is not None:
