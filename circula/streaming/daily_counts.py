@@ -42,7 +42,7 @@ def daily_counts(events: DataFrame, delay: str = "1 day", ts_col: str = "ts",
 
 def window_day(window_col: str = "w"):
     """The UTC calendar day of a 1-day window (independent of the session zone)."""
-    return F.date_from_unix_date((F.unix_seconds(F.col(f"{window_col}.start")) / 86400).cast("int"))
+    return F.date_from_unix_date(F.floor(F.unix_seconds(F.col(f"{window_col}.start")) / 86400).cast("int"))
 
 
 def _version(batch_id: int) -> str:
