@@ -76,13 +76,15 @@ def fold_circulation(events: DataFrame, policy) -> tuple[DataFrame, DataFrame]:
     Repeated events (same LoanID, Kind, Seq) count once (earliest date kept).
     CheckoutDate = earliest ISSUE (its UserID is the borrower); ReturnDate =
     earliest RETURN; DueDate = CheckoutDate + LoanPeriodDays x (1 + RENEWs
-    not after the return).  Everything is order-free, so late or replayed
-    events do no harm.  Loans without an ISSUE go to the reject frame.
+    not after the return).  Events without a date are ignored.  Everything
+    is order-free, so late or replayed events do no harm.  Loans without an
+    ISSUE go to the reject frame.
 
     Returns ``(loans, rejects)``.
     """
     p = read_policy(policy)
-    ev = (events.groupBy("LoanID", "Kind", "Seq")
+    ev = (events.filter(F.col("EventDate").isNotNull())
+          .groupBy("LoanID", "Kind", "Seq")
           .agg(F.min("EventDate").alias("EventDate"),
                F.min_by("UserID", "EventDate").alias("UserID")))
     issue = F.col("Kind") == "ISSUE"

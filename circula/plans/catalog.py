@@ -790,7 +790,7 @@ def _t1(t, spark):
 
 
 T2_SQL = """ev AS (SELECT LoanID, Kind, Seq, min(EventDate) AS EventDate, arg_min(UserID, EventDate) AS UserID
-   FROM circulation_event GROUP BY LoanID, Kind, Seq),
+   FROM circulation_event WHERE EventDate IS NOT NULL GROUP BY LoanID, Kind, Seq),
  pl AS (SELECT LoanID, min(EventDate) FILTER (WHERE Kind = 'ISSUE') AS CheckoutDate,
    min(EventDate) FILTER (WHERE Kind = 'RETURN') AS ReturnDate FROM ev GROUP BY LoanID),
  iu AS (SELECT LoanID, UserID FROM (SELECT LoanID, UserID, row_number() OVER (PARTITION BY LoanID ORDER BY EventDate, Seq) AS rn

@@ -417,3 +417,12 @@ def test_apply_action_writes_new_versions(spark, fx, tmp_path):
     removed = {r.table_name: r.row_count for r in counts.collect()}
     for name, path in paths.items():
         assert spark.read.parquet(path).count() == t[name].count() - removed[name]
+
+
+def test_fold_ignores_events_without_a_date(spark):
+    ev = spark.createDataFrame([
+        (1, 5, "ISSUE", D(2001, 7, 1), 1), (1, 5, "RENEW", None, 2), (2, 6, "ISSUE", None, 1)],
+        "LoanID int, UserID int, Kind string, EventDate date, Seq int")
+    loans, rejects = circulation.fold_circulation(ev, POL)
+    assert [(r.LoanID, r.Renewals, r.DueDate) for r in loans.collect()] == [(1, 0, D(2001, 7, 15))]
+    assert [r.LoanID for r in rejects.collect()] == []
