@@ -26,6 +26,7 @@ Training reads a bounded sample (``Sample``); everything else reads all rows.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from dataclasses import dataclass
 
@@ -393,13 +394,13 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     with ``tox_score``, 0 to 1.  Null and empty texts score by the bias alone."""
     keep = keep if keep is not None else docs.columns
     rows = docs.select(*keep, F.col("text").alias("_tox_text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # landmarks and weights, a few kB
+    mark = uuid.uuid4().hex
 
     def run(batches):
-        if shared.id not in _SCORERS:  # a worker keeps its word cache between tasks
+        if mark not in _SCORERS:  # a worker keeps its word cache between tasks
             _SCORERS.clear()
-            _SCORERS[shared.id] = Scorer(shared.value)
-        scorer = _SCORERS[shared.id]
+            _SCORERS[mark] = Scorer(model)  # the model is a few kB and goes with the task
+        scorer = _SCORERS[mark]
         for b in batches:
             texts, out = b.column(len(keep)), []
             for lo in range(0, len(texts), 512):
