@@ -17,8 +17,8 @@ Training sentences have their document's label, but most words of a toxic
 document are clean.  So training starts from the words that mark toxic
 documents and is repeated with those words of toxic documents that the last
 round called toxic, at least the best one of each (multiple-instance SVM).  A
-logistic fit turns a document's margin into a score.  Words that mark toxic
-documents are also given as training words with one letter put in.
+logistic fit turns a document's margin into a score.  The toxic
+landmarks are also given as training words with one letter put in.
 
 Training reads a bounded sample (``Sample``); everything else reads all rows.
 """
@@ -328,8 +328,8 @@ def train(rows: list[tuple], sample: Sample | None = None, share: float | None =
     bad, good = Counter(), Counter()
     for d in ids:
         (bad if label[d] else good).update(seen[d])
-    altered = sorted({v for w in bad if _marks_toxic(w, bad, good, len(toxic), n_good)
-                      for v in _altered(w)} - bad.keys() - good.keys())
+    marks = _covering(bad, good, seen, toxic, n_good, sample.landmarks * 2 // 3)
+    altered = sorted({v for w in marks for v in _altered(w)} - bad.keys() - good.keys())
     vocabulary = sorted(bad.keys() | good.keys()) + altered
     place = {w: i for i, w in enumerate(vocabulary)}
     bags = {d: np.array([place[w] for w in sorted(seen[d])], np.int64) for d in ids}
@@ -337,8 +337,8 @@ def train(rows: list[tuple], sample: Sample | None = None, share: float | None =
     marked[len(vocabulary) - len(altered):] = True
     clean = np.array([good[w] > 0 for w in vocabulary]) & ~marked
     # a word counts by the documents that hold it, in logarithm
-    amount = np.log1p([max(bad[w], good[w], 1) for w in vocabulary])
-    marks = _covering(bad, good, seen, toxic, n_good, sample.landmarks * 2 // 3)
+    amount = np.log1p([max(bad[w], good[w]) for w in vocabulary])
+    amount[len(vocabulary) - len(altered):] = 0.1 * amount[marked].sum() / max(1, len(altered))
     x = _features(vocabulary, marks)
     for turn in range(2):
         root = _root(marks)
