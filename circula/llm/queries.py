@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from circula.llm import toxicity
+from circula.llm import quality, secrets, toxicity
 from circula.llm.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +34,19 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).alias("held_out"),
         F.col("tox_score").alias("score"),
         (F.col("tox_score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op2_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules of every document: base counts, and Jensen-Shannon
+    distance to its language's character classes and common words."""
+    docs = read_table(spark, sf_dir, "documents")
+    return quality.measure(docs, quality.references(docs))
+
+
+@query
+def op8_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, by patterns and by marginal compressed bytes."""
+    return secrets.scan(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_assign", "n_access", "n_hex", "n_novel",
+        F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans")
