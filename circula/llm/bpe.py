@@ -48,8 +48,11 @@ def _field(number: int, value: int | float | bytes) -> bytes:
     return _number(number << 3) + _number(value)
 
 
+_CHARACTER = {b: SHIFT + b for b in range(256)}
+
+
 def to_characters(piece: bytes) -> str:
-    return "".join(chr(SHIFT + b) for b in piece)
+    return piece.decode("latin-1").translate(_CHARACTER)
 
 
 def to_bytes(characters: str) -> bytes:
@@ -182,18 +185,38 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return rows.mapInArrow(run, schema.add("decoded_sha256", "string"))
 
 
+#: The character that stands for a byte in the tokenizers files: itself if it is
+#: printable and no space, else the next one from 256 on.
+_PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_PACK = struct.Struct("<I").pack
+_STANDS = dict(zip((b for b in range(256) if b not in _PLAIN), itertools.count(256)))
+
+
 class Tokens:
-    """Ids of whole texts by a tokenizers file.  ``cut`` splits a text (as
-    str, or bytes) into pieces that the tokenizer never joins, so the ids of a text are
-    those of its pieces in turn; pieces are remembered."""
+    """Ids of whole texts by a tokenizers file.  Texts are cut into pieces that
+    the tokenizer never joins, each new piece is encoded by the file's BPE
+    model, and its ids are remembered."""
 
-    def __init__(self, path: str, cut):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel work
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.cut, self.known = cut, {}
+        self.merge = self.model.model.tokenize
+        self.known: dict = {}
+
+    def cut(self, text: str) -> list:
+        raise NotImplementedError
+
+    def fresh(self, piece) -> bytes:
+        raise NotImplementedError
+
+    def merged(self, piece: str) -> bytes:
+        """Ids of one piece that the pre-tokenizer cuts no further."""
+        if not piece.isascii() or not piece.isprintable() or " " in piece:
+            piece = piece.encode().decode("latin-1").translate(_STANDS)
+        return b"".join([_PACK(t.id) for t in self.merge(piece)])
 
     def ids(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -202,21 +225,53 @@ class Tokens:
             return b"".join(map(self.known.__getitem__, pieces))
         except KeyError:
             met = set(pieces)
-            new = [p for p in met if p not in self.known]
-            if len(self.known) + len(new) > CACHE:
+            if len(self.known) + len(met) > CACHE:
                 self.known.clear()
-                new = list(met)
-            texts = [p.decode() if isinstance(p, bytes) else p for p in new]
-            found = self.model.encode_batch_fast(texts, add_special_tokens=False)
-            self.known.update((p, struct.pack(f"<{len(e.ids)}I", *e.ids)) for p, e in zip(new, found, strict=True))
+            known = self.known
+            for p in met:
+                if p not in known:
+                    known[p] = self.fresh(p)
             return b"".join(map(self.known.__getitem__, pieces))
 
 
-def cut_by(pattern: str):
-    """Pieces of a byte-level tokenizer: the matches of its pattern."""
-    return regex.compile(pattern).findall
+class ByteTokens(Tokens):
+    """Of a byte-level tokenizer without normalisation: pieces are the matches of its pattern."""
+
+    def __init__(self, path: str, pattern: str):
+        super().__init__(path)
+        self.cut = regex.compile(pattern).findall
+        self.fresh = self.merged
+
+
+class WordTokens(Tokens):
+    """Of a tokenizer that lower-cases, drops white space and marks word ends:
+    pieces are runs of bytes other than ASCII white space.  A piece of Latin
+    letters, digits and marks, whose normal form is itself, is cut by the
+    tokenizer's pattern here; any other goes through the whole tokenizer."""
+
+    _LATIN = regex.compile("[\x21-\x7e\u00a1-\u012f\u0131-\u024f]+").fullmatch
+    _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+
+    def cut(self, text: str) -> list[bytes]:
+        return text.encode().split()
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.parts: dict[str, bytes] = {}
 
+    def fresh(self, piece: bytes) -> bytes:
+        text = piece.decode()
+        if not self._LATIN(text):
+            return b"".join(map(_PACK, self.model.encode(text, add_special_tokens=False).ids))
+        low = text.lower()
+        if low.isalpha():
+            return self._part(low)
+        return b"".join(map(self._part, self._PIECES(low)))
 
-def cut_white(text: str) -> list[bytes]:
-    """Pieces of a tokenizer that drops white space: runs of other bytes."""
-    return text.encode().split()
+    def _part(self, piece: str) -> bytes:
+        ids = self.parts.get(piece)
+        if ids is None:
+            if len(self.parts) >= CACHE:
+                self.parts.clear()
+            ids = self.parts[piece] = self.merged(piece)
+        return ids

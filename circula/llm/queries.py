@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from circula.llm import quality, secrets, toxicity
-from circula.llm.tables import read_table
+from circula.llm import bpe, chat, packing, quality, records, secrets, toxicity
+from circula.llm.tables import Staging, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -50,3 +51,47 @@ def op8_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_assign", "n_access", "n_hex", "n_novel",
         F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
+@query
+def op4_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 tokens by length patterns
+    fitted to the histogram."""
+    docs = read_table(spark, sf_dir, "documents")
+    pieces = packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN,
+                                  1024, 2)
+    return packing.pack(pieces, 1024, Staging(spark, "packing"))
+
+
+@query
+def op5_chat_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that says control strings, formatted by the
+    mapping of their fingerprint and read back from the output."""
+    table = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)],
+                                  "conv_id long, turn long, role string, text string")
+    turns = chat.turn_rows(table.union(extra), "conv_id", "turn")
+    return chat.read_back(chat.format_turns(turns))
+
+
+ORACLE["op5_chat_fingerprint"] = chat.oracle(
+    "SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))")
+
+
+@query
+def op9_sentencepiece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by a sentencepiece model made from the ranks, and decoded again."""
+    return bpe.digests(read_table(spark, sf_dir, "documents"),
+                       public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query
+def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids written as framed records in order of doc_id, and read back."""
+    stage = Staging(spark, "records")
+    dest = stage.path("files")
+    records.write(read_table(spark, sf_dir, "documents"), dest, public_tokenizers.path("word_bpe_49k.json"), 2, 49_408)
+    rows = stage.keep(records.read(spark, dest), "rows")
+    stage.drop("files")
+    return records.placed(rows)
