@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from circula.llm.tables import extended
+
 SHIFT = 0x100  # a byte's character; none of these is white space or changes under identity normalisation
 CACHE = 300_000  # pieces of text whose ids a Python worker remembers
 _NORMAL, _UNKNOWN, _BPE = 1, 2, 2  # of sentencepiece's model format
@@ -141,7 +143,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:at], ids], [*b.schema.names[:at], "token_ids"])
 
     return docs.select(*docs.columns, F.col("text").alias("_b_text")).mapInArrow(
-        run, docs.schema.add("token_ids", "array<int>"))
+        run, extended(docs.schema, "token_ids array<int>"))
 
 
 def decode(tokens: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -157,7 +159,7 @@ def decode(tokens: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                                              [*b.schema.names[:at], "decoded"])
 
     return tokens.select(*tokens.columns, F.col("token_ids").alias("_b_ids")).mapInArrow(
-        run, tokens.schema.add("decoded", "binary"))
+        run, extended(tokens.schema, "decoded binary"))
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -181,8 +183,8 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select("doc_id", "text")
-    schema = rows.select("doc_id").schema.add("n_tokens", "long").add("ids_sha256", "string")
-    return rows.mapInArrow(run, schema.add("decoded_sha256", "string"))
+    return rows.mapInArrow(run, extended(rows.select("doc_id").schema,
+                                         "n_tokens long, ids_sha256 string, decoded_sha256 string"))
 
 
 #: The character that stands for a byte in the tokenizers files: itself if it is

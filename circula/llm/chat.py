@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from circula.llm.tables import extended
+
 MARKS = {"user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>"), "system": ("<<SYS>>", "<</SYS>>")}
 OTHER = ("[ROLE]", "[TEXT]", "[/ROLE]")
 _RISKY = re.compile(r"[\\<\[]")
@@ -170,9 +172,8 @@ def canonical(records: DataFrame, keep: list[str], column: str = "record") -> Da
                  pa.array(mark, pa.string()), pa.array(turn, pa.int64()), pa.array(role, pa.string()),
                  pa.array(text, pa.string())], names)
 
-    schema = records.select(*keep).schema.add("fingerprint", "string").add("turn", "long")
     return records.select(F.col(column).alias("_c_record"), *keep).mapInArrow(
-        run, schema.add("role", "string").add("text", "string"))
+        run, extended(records.select(*keep).schema, "fingerprint string, turn long, role string, text string"))
 
 
 def turn_rows(table: DataFrame, conversation: str, turn: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from circula.llm.bpe import ByteTokens, _held
-from circula.llm.tables import Staging
+from circula.llm.tables import Staging, extended
 
 FREQUENT = 40   # lengths from which patterns of three and four are made
 WASTE = 2       # tokens that a pattern may leave free
@@ -161,7 +161,7 @@ def pack(pieces: DataFrame, capacity: int, stage: Staging, length: str = "length
                 [*b.columns, pa.array(np.full(len(size), part), pa.int32()), pa.array(rank, pa.int64())],
                 [*names, "_part", "_rank"])
 
-    rows = stage.keep(pieces.mapInArrow(number, pieces.schema.add("_part", "int").add("_rank", "long")), "numbered")
+    rows = stage.keep(pieces.mapInArrow(number, extended(pieces.schema, "_part int, _rank long")), "numbered")
     counts = rows.groupBy("_part", F.col(length).alias("_length")).agg(F.count(F.lit(1)).alias("_n"))
     histogram = {r[0]: r[1] for r in counts.groupBy("_length").agg(F.sum("_n")).collect()}  # capacity rows at most
     table = slots(plan(histogram, capacity))
@@ -183,7 +183,7 @@ def pack(pieces: DataFrame, capacity: int, stage: Staging, length: str = "length
                 [*b.columns[:len(names)], pa.array(table[k, 2] + rank - table[k, 1], pa.int64()),
                  pa.array(table[k, 3], pa.int64())], [*names, "sequence_id", "offset"])
 
-    return joined.mapInArrow(place, pieces.schema.add("sequence_id", "long").add("offset", "long"))
+    return joined.mapInArrow(place, extended(pieces.schema, "sequence_id long, offset long"))
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, pattern: str, capacity: int, end_id: int,
@@ -220,6 +220,6 @@ def token_pieces(docs: DataFrame, tokenizer: str, pattern: str, capacity: int, e
                  *(pa.array(x, pa.list_(pa.int64())) for x in out[5:])], names)
 
     rows = docs.select("doc_id", F.col("text").alias("_text"))
-    schema = rows.select("doc_id").schema.add("piece", "int").add("start", "long").add("length", "long")
-    schema = schema.add("ids_crc32", "long")
-    return rows.mapInArrow(run, schema.add("ids", "array<long>") if with_ids else schema)
+    return rows.mapInArrow(run, extended(
+        rows.select("doc_id").schema,
+        "piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids))

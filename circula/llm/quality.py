@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from circula.llm.tables import extended
 from circula.llm.words import WHITE, Words, runs, shingles
 
 #: Character classes by byte; a UTF-8 continuation byte belongs to the byte that it follows.
@@ -241,10 +242,7 @@ def measure(docs: DataFrame, refs: References, rules: Rules | None = None, keep:
                      pa.array(far_class, pa.float64(), mask=no_class), pa.array(far_word, pa.float64(), mask=no_word),
                      pa.array(kept, pa.bool_())], names)
 
-    schema = docs.select(*keep).schema
-    for name in names[len(keep):6 + len(keep) - 1]:
-        schema = schema.add(name, "long")
-    schema = (schema.add("base_failed", "boolean").add("class_distance", "double")
-              .add("word_distance", "double").add("kept", "boolean"))
     rows = docs.select(F.col("text").alias("_q_text"), F.col("lang").cast("string").alias("_q_lang"), *keep)
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, extended(docs.select(*keep).schema, (
+        "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
+        "base_failed boolean, class_distance double, word_distance double, kept boolean")))

@@ -41,6 +41,7 @@ MAGIC = b"TOKREC01"
 _FRAME = struct.Struct("<II")
 _CRC = struct.Struct("<I")
 _DOC = struct.Struct("<?q")
+DOC_BYTES = _DOC.size
 INDEX = np.dtype([("place", "<u8"), ("bytes", "<u4"), ("ids", "<u4")])
 FILE_BYTES = 16 << 20
 ROWS_PER_RANGE = 2000
@@ -152,7 +153,7 @@ def write(docs: DataFrame, dest: str, tokenizer: str, end_id: int, vocabulary: i
         bounds = sorted(set(found or []))
     cuts = np.array(bounds, np.int64)
     mark = uuid.uuid4().hex
-    last = struct.pack("<I", end_id)
+    last = end_id.to_bytes(4, "little")
 
     def encode(batches):
         coder = _held(mark, lambda: WordTokens(tokenizer))
@@ -178,7 +179,7 @@ def write(docs: DataFrame, dest: str, tokenizer: str, end_id: int, vocabulary: i
                     names.append(f"part-{k:06d}-{number:06d}")
                     file = _File(fs, folder, names[-1], width)
                 data = payload.as_py()
-                file.add(data, (len(data) - _DOC.size) // width)
+                file.add(data, (len(data) - DOC_BYTES) // width)
         if file is not None:
             file.close()
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["name"])

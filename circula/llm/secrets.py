@@ -22,6 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from circula.llm.tables import extended
 from circula.llm.words import runs
 
 KINDS = ("assign", "access", "hex", "novel")
@@ -140,11 +141,9 @@ def scan(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
                 [*(b.column(1 + i) for i in range(len(keep))), *counts, pa.array(base, pa.string()),
                  pa.array([_said(x) for x in found], pa.string())], names)
 
-    schema = docs.select(*keep).schema
-    for name in names[len(keep):-2]:
-        schema = schema.add(name, "long")
-    schema = schema.add("base_spans", "string").add("spans", "string")
-    return docs.select(F.col("text").alias("_s_text"), *keep).mapInArrow(run, schema)
+    return docs.select(F.col("text").alias("_s_text"), *keep).mapInArrow(run, extended(
+        docs.select(*keep).schema,
+        "n_assign long, n_access long, n_hex long, n_novel long, base_spans string, spans string"))
 
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:

@@ -9,18 +9,33 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from circula.sources.paths import _fs, scratch_dir
 
 _LEFT: dict[str, SparkSession] = {}
 
 
+def importable(spark: SparkSession) -> None:
+    """Let the Python workers of a local session import this package, whatever
+    the folder it was started in; on a cluster it is sent with --py-files."""
+    sc = spark.sparkContext
+    if sc.master.startswith("local["):
+        sc.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def extended(schema: StructType, ddl: str) -> StructType:
+    """A new schema: the fields given and those of ``ddl``."""
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 class Staging:
     """Tables that one operator call writes and reads again.
 

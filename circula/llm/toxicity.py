@@ -35,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from circula.llm.tables import extended
+
 P = 3           # letters of a counted subsequence
 GAP = 0.7       # weight of each letter that a subsequence spans
 SHARP = 3.0     # the SVM's kernel is exp(SHARP * (k - 1)), with k the scaled subsequence kernel
@@ -408,5 +410,4 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
             got = pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(keep))), got], [*keep, "tox_score"])
 
-    schema = rows.select(*keep).schema.add("tox_score", "double")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, extended(rows.select(*keep).schema, "tox_score double"))
