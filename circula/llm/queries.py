@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from circula.llm import bpe, chat, packing, quality, records, secrets, toxicity
+from circula.llm import bpe, chat, packing, quality, records, secrets, substrings, toxicity
 from circula.llm.tables import Staging, importable, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,12 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stage.keep(records.read(spark, dest), "rows")
     stage.drop("files")
     return records.placed(rows)
+
+
+@query
+def op3_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of windows of 35 words that also start elsewhere."""
+    return substrings.digests(read_table(spark, sf_dir, "documents"), 35, Staging(spark, "substrings"))
+
+
+ORACLE["op3_suffix_automata"] = substrings.oracle(35)
