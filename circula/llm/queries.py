@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from circula.llm import bpe, chat, packing, quality, records, secrets, substrings, toxicity
+from circula.llm import bpe, chat, forest, packing, quality, records, secrets, substrings, toxicity
 from circula.llm.tables import Staging, importable, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,11 @@ def op3_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op3_suffix_automata"] = substrings.oracle(35)
+
+
+@query
+def op7_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document, by 4-word shingles and a similarity of 0.8."""
+    docs = read_table(spark, sf_dir, "documents")
+    return forest.near_duplicates(docs, 4, 80, Staging(spark, "forest")).withColumn(
+        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
