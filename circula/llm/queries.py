@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from circula.llm import bpe, chat, forest, packing, quality, records, secrets, substrings, toxicity
+from circula.llm import bpe, caps, chat, forest, packing, quality, records, secrets, substrings, toxicity
 from circula.llm.tables import Staging, importable, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,13 @@ def op7_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return forest.near_duplicates(docs, 4, 80, Staging(spark, "forest")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+@query
+def op6_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings of one label with a cosine of 0.93 or more."""
+    return caps.near_duplicates(read_table(spark, sf_dir, "embeddings"), 0.93, Staging(spark, "caps")).withColumn(
+        "kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
+ORACLE["op6_cap_filters"] = caps.oracle(0.93)
