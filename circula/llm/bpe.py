@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from circula.llm.tables import extended
 
 SHIFT = 0x100  # a byte's character; none of these is white space or changes under identity normalisation
-CACHE = 300_000  # pieces of text whose ids a Python worker remembers
+CACHE = 300_000  # pieces of text whose ids a Python worker remembers, and twice as many words
 _NORMAL, _UNKNOWN, _BPE = 1, 2, 2  # of sentencepiece's model format
 
 
@@ -92,21 +92,44 @@ class Coder:
         whole = self.sp.encode([to_characters(t) for t in self.table], num_threads=1)
         self.fixed = {t.decode(): (i,) for i, (t, ids) in enumerate(zip(self.table, whole, strict=True))
                       if ids != [i] and _is_text(t)}
-        self.known: dict[str, tuple[int, ...]] = dict(self.fixed)
+        self.known: dict[str, tuple[int, ...]] = dict(self.fixed)  # by match of the pattern
+        self.words: dict[str, tuple[int, ...]] = {}  # by word with a space before it
 
     def encode(self, text: str | None) -> list[int]:
-        pieces = self.split(text or "")
+        text = text or ""
+        if not plain(text):
+            return list(itertools.chain.from_iterable(map(self._piece, self.split(text))))
+        words = text.split(" ")  # all but the first have a space before them
+        known = self.words
         try:
-            return list(itertools.chain.from_iterable(map(self.known.__getitem__, pieces)))
+            ids = list(itertools.chain.from_iterable(map(known.__getitem__, words[1:])))
         except KeyError:
-            met = set(pieces)
-            new = [p for p in met if p not in self.known]
-            if len(self.known) + len(new) > CACHE:
-                self.known = dict(self.fixed)
-                new = [p for p in met if p not in self.known]
-            ids = self.sp.encode([to_characters(p.encode("utf-8")) for p in new], num_threads=1)
-            self.known.update(zip(new, map(tuple, ids), strict=True))
-            return list(itertools.chain.from_iterable(map(self.known.__getitem__, pieces)))
+            met = set(words[1:])
+            if len(known) + len(met) > 2 * CACHE:
+                known.clear()
+            new = [w for w in met if w not in known]
+            pieces = [self.split(" " + w) for w in new]
+            self._learn([p for ps in pieces for p in ps])
+            get = self.known.__getitem__
+            known.update((w, tuple(itertools.chain.from_iterable(map(get, ps))))
+                         for w, ps in zip(new, pieces, strict=True))
+            ids = list(itertools.chain.from_iterable(map(known.__getitem__, words[1:])))
+        return list(itertools.chain.from_iterable(map(self._piece, self.split(words[0])))) + ids
+
+    def _learn(self, pieces: list[str]) -> None:
+        new = list({p for p in pieces if p not in self.known})
+        if len(self.known) + len(new) > CACHE:
+            self.known = dict(self.fixed)
+            new = list({p for p in pieces if p not in self.known})
+        ids = self.sp.encode([to_characters(p.encode()) for p in new], num_threads=1)
+        self.known.update(zip(new, map(tuple, ids), strict=True))
+
+    def _piece(self, piece: str) -> tuple[int, ...]:
+        ids = self.known.get(piece)
+        if ids is None:
+            self._learn([piece])
+            ids = self.known[piece]
+        return ids
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.table.__getitem__, ids))
@@ -120,6 +143,19 @@ def _is_text(token: bytes) -> bool:
     return True
 
 
+#: White space other than the space and the line end, and those two next to one another.
+_ODD = regex.compile("[\\x09\\x0b-\\x0d\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]").search
+_SEVERAL = ("  ", "\n\n", " \n", "\n ")
+
+
+def plain(text: str) -> bool:
+    """Whether all white space of the text is single spaces and line ends
+    between other characters.  A byte-level pattern then always cuts before a
+    space, so each word with the space before it can be encoded alone."""
+    return not (text[:1].isspace() or text[-1:].isspace() or any(x in text for x in _SEVERAL)
+                or (any(x in text for x in "\t\x0b\x0c\r") if text.isascii() else _ODD(text)))
+
+
 _HELD: dict = {}
 
 
@@ -190,14 +226,18 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 #: The character that stands for a byte in the tokenizers files: itself if it is
 #: printable and no space, else the next one from 256 on.
 _PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
-_PACK = struct.Struct("<I").pack
 _STANDS = dict(zip((b for b in range(256) if b not in _PLAIN), itertools.count(256)))
 
 
+def _standing(piece: str) -> str:
+    return piece.encode().decode("latin-1").translate(_STANDS)
+
+
 class Tokens:
-    """Ids of whole texts by a tokenizers file.  Texts are cut into pieces that
-    the tokenizer never joins, each new piece is encoded by the file's BPE
-    model, and its ids are remembered."""
+    """Ids of whole texts by a tokenizers file.  Texts are cut into words that
+    the tokenizer never joins, a new word into the pieces that its pre-tokenizer
+    makes, and a new piece is encoded by the file's BPE model.  Words and
+    pieces are remembered."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel work
@@ -206,74 +246,80 @@ class Tokens:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
         self.merge = self.model.model.tokenize
-        self.known: dict = {}
+        self.packed = [struct.pack("<I", i) for i in range(self.model.get_vocab_size())]
+        self.words: dict = {}
+        self.pieces: dict[str, bytes] = {}
 
-    def cut(self, text: str) -> list:
+    def fresh(self, word) -> bytes:
         raise NotImplementedError
 
-    def fresh(self, piece) -> bytes:
-        raise NotImplementedError
-
-    def merged(self, piece: str) -> bytes:
-        """Ids of one piece that the pre-tokenizer cuts no further."""
-        if not piece.isascii() or not piece.isprintable() or " " in piece:
-            piece = piece.encode().decode("latin-1").translate(_STANDS)
-        return b"".join([_PACK(t.id) for t in self.merge(piece)])
-
-    def ids(self, text: str | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        pieces = self.cut(text or "")
+    def joined(self, words: list) -> bytes:
+        known = self.words
         try:
-            return b"".join(map(self.known.__getitem__, pieces))
+            return b"".join(map(known.__getitem__, words))
         except KeyError:
-            met = set(pieces)
-            if len(self.known) + len(met) > CACHE:
-                self.known.clear()
-            known = self.known
-            for p in met:
-                if p not in known:
-                    known[p] = self.fresh(p)
-            return b"".join(map(self.known.__getitem__, pieces))
+            met = set(words)
+            if len(known) + len(met) > 2 * CACHE:
+                known.clear()
+            fresh = self.fresh
+            for w in met:
+                if w not in known:
+                    known[w] = fresh(w)
+            return b"".join(map(known.__getitem__, words))
+
+    def piece(self, piece: str) -> bytes:
+        """Ids of one piece that the pre-tokenizer cuts no further."""
+        ids = self.pieces.get(piece)
+        if ids is None:
+            if len(self.pieces) >= CACHE:
+                self.pieces.clear()
+            said = piece if piece.isalpha() and piece.isascii() else _standing(piece)
+            packed = self.packed
+            ids = self.pieces[piece] = b"".join([packed[t.id] for t in self.merge(said)])
+        return ids
 
 
 class ByteTokens(Tokens):
-    """Of a byte-level tokenizer without normalisation: pieces are the matches of its pattern."""
+    """Of a byte-level tokenizer without normalisation, which cuts by a pattern."""
 
     def __init__(self, path: str, pattern: str):
         super().__init__(path)
-        self.cut = regex.compile(pattern).findall
-        self.fresh = self.merged
+        self.split = regex.compile(pattern).findall
+
+    def ids(self, text: str | None) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers."""
+        text = text or ""
+        if not plain(text):
+            return b"".join(map(self.piece, self.split(text)))
+        words = text.split(" ")
+        return b"".join(map(self.piece, self.split(words[0]))) + self.joined(words[1:])
+
+    def fresh(self, word: str) -> bytes:
+        if word.isalpha():
+            return self.piece(" " + word)
+        return b"".join(map(self.piece, self.split(" " + word)))
 
 
 class WordTokens(Tokens):
     """Of a tokenizer that lower-cases, drops white space and marks word ends:
-    pieces are runs of bytes other than ASCII white space.  A piece of Latin
+    words are runs of bytes other than ASCII white space.  A word of Latin
     letters, digits and marks, whose normal form is itself, is cut by the
     tokenizer's pattern here; any other goes through the whole tokenizer."""
 
     _LATIN = regex.compile("[\x21-\x7e\u00a1-\u012f\u0131-\u024f]+").fullmatch
     _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
 
-    def cut(self, text: str) -> list[bytes]:
-        return text.encode().split()
-
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.parts: dict[str, bytes] = {}
+    def ids(self, text: str | None) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers."""
+        return self.joined((text or "").encode().split())
 
-    def fresh(self, piece: bytes) -> bytes:
-        text = piece.decode()
+    def fresh(self, word: bytes) -> bytes:
+        low = word.decode().lower()
+        if low.isalpha() and word.isascii():
+            return self.piece(low)
+        text = word.decode()
         if not self._LATIN(text):
-            return b"".join(map(_PACK, self.model.encode(text, add_special_tokens=False).ids))
-        low = text.lower()
+            return b"".join([self.packed[i] for i in self.model.encode(text, add_special_tokens=False).ids])
         if low.isalpha():
-            return self._part(low)
-        return b"".join(map(self._part, self._PIECES(low)))
-
-    def _part(self, piece: str) -> bytes:
-        ids = self.parts.get(piece)
-        if ids is None:
-            if len(self.parts) >= CACHE:
-                self.parts.clear()
-            ids = self.parts[piece] = self.merged(piece)
-        return ids
+            return self.piece(low)
+        return b"".join(map(self.piece, self._PIECES(low)))
