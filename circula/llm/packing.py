@@ -113,6 +113,7 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...]
     out = []
     if left[capacity]:
         out.append(((capacity,), left.pop(capacity)))
+    plain = out + _best_fit(left, capacity)
     found = patterns(left, capacity)
     x = repeats(found, left)
     for i in np.argsort(-x, kind="stable"):
@@ -122,7 +123,9 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...]
             out.append((found[i], n))
             for k, m in c.items():
                 left[k] -= n * m
-    return out + _best_fit(Counter({k: v for k, v in left.items() if v}), capacity)
+    out += _best_fit(Counter({k: v for k, v in left.items() if v}), capacity)
+    # where no patterns suit the histogram, best-fit alone can need fewer sequences
+    return min(out, plain, key=lambda made: sum(n for _, n in made))
 
 
 def slots(made: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
@@ -143,8 +146,9 @@ def slots(made: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
 def pack(pieces: DataFrame, capacity: int, stage: Staging, length: str = "length") -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to every row; ``length`` must be 1
     to ``capacity``.  No rows give no rows; repeated rows are packed apart."""
-    names = pieces.columns
-    at = names.index(length)
+    own, at = pieces.columns, pieces.columns.index(length)
+    names, length = [f"c{i}" for i in range(len(own))], f"c{at}"  # no column of the rows meets one of ours
+    pieces = pieces.toDF(*names)
 
     def number(batches):
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
@@ -183,7 +187,8 @@ def pack(pieces: DataFrame, capacity: int, stage: Staging, length: str = "length
                 [*b.columns[:len(names)], pa.array(table[k, 2] + rank - table[k, 1], pa.int64()),
                  pa.array(table[k, 3], pa.int64())], [*names, "sequence_id", "offset"])
 
-    return joined.mapInArrow(place, extended(pieces.schema, "sequence_id long, offset long"))
+    return joined.mapInArrow(place, extended(pieces.schema, "sequence_id long, offset long")).toDF(
+        *own, "sequence_id", "offset")
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, pattern: str, capacity: int, end_id: int,

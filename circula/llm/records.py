@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from circula.llm.bpe import WordTokens, _held
+from circula.sources.paths import path_exists
 
 HEADER = struct.Struct("<8sI")
 MAGIC = b"TOKREC01"
@@ -195,6 +196,9 @@ def read(spark: SparkSession, dest: str) -> DataFrame:
     """file, row, doc_id, start (ids of the file's records before), n_tokens
     and ids_crc32 of every record under ``dest``, in which all checksums are verified."""
     names = ["file", "row", "doc_id", "start", "n_tokens", "ids_crc32"]
+    schema = "file string, row long, doc_id long, start long, n_tokens long, ids_crc32 long"
+    if not path_exists(spark, dest):  # no rows were written
+        return spark.createDataFrame([], schema)
 
     def run(batches):
         for b in batches:
@@ -209,7 +213,7 @@ def read(spark: SparkSession, dest: str) -> DataFrame:
 
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "part-*.rec").load(dest)
              .select(F.regexp_extract("path", r"(part-[0-9-]+)\.rec", 1).alias("file"), "content"))
-    return files.mapInArrow(run, "file string, row long, doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(run, schema)
 
 
 def placed(records: DataFrame) -> DataFrame:

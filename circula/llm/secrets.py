@@ -3,7 +3,8 @@
 Spans count code points, the end excluded.  The patterns find assignments,
 access keys and hex strings, each kind leftmost and without overlap.  Beyond
 them a *candidate* is a run of at least ``MIN_RUN`` characters of
-``[A-Za-z0-9+/_.=-]`` with letters and digits in it, near behind a word of a
+``[A-Za-z0-9+/_.=-]`` with letters and digits in it that change between digits,
+capitals and small letters at one place in ``CHANGE`` at least, near behind a word of a
 sensitive context.  It is compressed on its own by zstandard with a dictionary
 that holds common identifiers of code and the text around the candidate.  The
 *marginal bytes* are the size above that of an empty input: an identifier, a
@@ -32,7 +33,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 
-MIN_RUN, MIN_SHARE = 16, 0.6
+MIN_RUN, MIN_SHARE, CHANGE = 16, 0.6, 4
 CONTEXT = 64   # code points before a candidate that may hold the sensitive word
 AROUND = 512   # code points on either side that prime the compressor
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
@@ -54,6 +55,12 @@ _HEXES[[ord(c) for c in "0123456789abcdef"]] = True
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
 
+def _mixed(run: str) -> bool:
+    kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" for c in run if c.isalnum()]
+    return "d" in kinds and ("u" in kinds or "l" in kinds) and CHANGE * sum(
+        a != b for a, b in zip(kinds, kinds[1:], strict=False)) >= len(run)
+
+
 def marginal_bytes(candidate: str, around: str) -> int:
     """Bytes that the candidate adds to what a compressor primed with the
     identifiers and the text around it has."""
@@ -82,7 +89,7 @@ def _novel(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int,
         lo, hi = m.span()
         run = m.group()
         k = np.searchsorted(at, lo) - 1  # the last sensitive word that begins before the run
-        if k < 0 or lo - at[k] > CONTEXT or not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
+        if k < 0 or lo - at[k] > CONTEXT or not _mixed(run):
             continue
         if any(s < hi and lo < e for s, _, e in base):
             continue

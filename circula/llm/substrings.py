@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from circula.llm.tables import Staging, extended
+from circula.llm.tables import Staging, extended, unused
 from circula.llm.words import Words, mix, runs, shingles
 
 SHINGLE = 8
@@ -340,12 +340,14 @@ def _gone(n: int, spans: list[dict], window: int) -> np.ndarray:
 
 
 def _with_spans(docs: DataFrame, window: int, stage: Staging) -> DataFrame:
+    """All columns of ``docs`` and, last, the spans that go."""
     found = repeated(docs, window, stage)
-    keyed = docs.withColumn("_sub_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    found = found.select(F.col("doc_id").alias("_sub_id"), F.col("text_hash").alias("_sub_text"),
-                         F.col("spans").alias("_sub_spans"))
-    return keyed.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_sub_id"))
-                      & (F.col("_sub_hash") == F.col("_sub_text")), "left").drop("_sub_id", "_sub_text", "_sub_hash")
+    own = docs.columns
+    key, there, text, spans = (unused(f"_sub_{x}", own) for x in ("key", "id", "text", "spans"))
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
+    found = found.select(F.col("doc_id").alias(there), F.col("text_hash").alias(text), F.col("spans").alias(spans))
+    return keyed.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(there))
+                      & (F.col(key) == F.col(text)), "left").select(*own, spans)
 
 
 def remove(docs: DataFrame, window: int, stage: Staging) -> DataFrame:
@@ -367,7 +369,7 @@ def remove(docs: DataFrame, window: int, stage: Staging) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [texts if k == at else b.column(k) for k in range(b.num_columns - 1)], b.schema.names[:-1])
 
-    return _with_spans(docs, window, stage).select(*docs.columns, "_sub_spans").mapInArrow(run, docs.schema)
+    return _with_spans(docs, window, stage).mapInArrow(run, docs.schema)
 
 
 def digests(docs: DataFrame, window: int, stage: Staging) -> DataFrame:
@@ -390,7 +392,7 @@ def digests(docs: DataFrame, window: int, stage: Staging) -> DataFrame:
                 [b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(said, pa.string())],
                 ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    rows = _with_spans(docs.select("doc_id", "text"), window, stage).select("doc_id", "text", "_sub_spans")
+    rows = _with_spans(docs.select("doc_id", "text"), window, stage)
     return rows.mapInArrow(run, extended(rows.select("doc_id").schema,
                                          "n_words long, n_removed long, kept_sha256 string"))
 

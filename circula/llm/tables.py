@@ -31,6 +31,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, or a longer one that no column has."""
+    while name in columns:
+        name += "_"
+    return name
+
+
 def extended(schema: StructType, ddl: str) -> StructType:
     """A new schema: the fields given and those of ``ddl``."""
     return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])

@@ -11,13 +11,15 @@ SVM's kernel is the Gaussian one in that kernel's feature space.
 cover the toxic documents, and the clean words that a first round called most toxic.  A word's features
 are its kernel values with the landmarks, multiplied by the inverse root of
 the landmarks' own kernel matrix, and a linear SVM is trained on them.  A
-sentence has the margin of its best word (runs of single letters, as in
-"i d i o t", count as one word too), a document that of its best sentence.
+document is judged by the margin of its best word, the margins above 0 of all
+its words, and the number above DOUBT, among how many (runs of single letters, as in
+"i d i o t", count as one word too).
 Training sentences have their document's label, but most words of a toxic
 document are clean.  So training starts from the words that mark toxic
 documents and is repeated with those words of toxic documents that the last
-round called toxic, at least the best one of each (multiple-instance SVM).  A
-logistic fit turns a document's margin into a score.  The toxic
+round called toxic (multiple-instance SVM).  Documents whose label looks wrong
+thus have no say, and copies of a document count once.  A
+logistic fit turns these into a score.  The toxic
 landmarks are also given as training words with one letter put in.
 
 Training reads a bounded sample (``Sample``); everything else reads all rows.
@@ -25,8 +27,10 @@ Training reads a bounded sample (``Sample``); everything else reads all rows.
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -35,16 +39,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from circula.llm.tables import extended
+from circula.llm.tables import extended, unused
 
 P = 3           # letters of a counted subsequence
 GAP = 0.7       # weight of each letter that a subsequence spans
 SHARP = 3.0     # the SVM's kernel is exp(SHARP * (k - 1)), with k the scaled subsequence kernel
 WORD_CHARS = 24  # kernel pieces of longer words: all windows of this many letters, half overlapping
+NEAR, FAMILY = 0.5, 0.2  # kernel values from which two clean, or toxic, landmarks are too much alike
+DOUBT = -0.5    # margin from which a word may be toxic
+FEATURES = 5    # of a document
+COST = 1.0      # of the SVM's squared hinge loss
 LANDMARK_CHARS = 10  # longest landmark
 SENTENCE_CHARS = 2000  # of a training sentence; scoring reads whole texts
 CACHE_WORDS = 400_000  # words a Python worker remembers
 
+START = "\x02"    # stands before every word, as a letter
+LEVELS = (1e-7, 1e-5, 1e-3, 1e-2)  # of chance for words that mark toxic documents
+_ODD = [2654435761, 2246822519, 3266489917, 668265263, 374761393, 40503 * 65537, 2891336453, 1664525]
+
 _END = re.compile(r"[.!?\n]+(?=\s|$)")
 _MARKS = str.maketrans("", "", "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()))
 _SPACED = re.compile(r"(?:(?<=\s)|^)\w(?:\s\w){2,}(?=\s|$)")
@@ -93,6 +105,7 @@ class Kernel:
 
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
+        landmarks = [START + w for w in landmarks]
         codes, size = _codes(landmarks)
         letters = np.unique(codes[codes > 0])
         # match[k + 1][j, m]: weight of letter k at place j of landmark m; match[0] is for other letters
@@ -106,6 +119,7 @@ class Kernel:
         """Kernel of each word with each landmark; a long word counts by its best piece."""
         pieces, owner = [], []
         for i, w in enumerate(words):
+            w = START + w
             if len(w) <= WORD_CHARS:
                 pieces.append(w)
                 owner.append(i)
@@ -118,7 +132,7 @@ class Kernel:
         owner = np.array(owner, np.int64)
         for n in np.unique(size):  # words of one length together, as one array
             if n < P:
-                continue  # shares no subsequence of P letters with any word
+                continue  # too short to share a subsequence of P letters
             at = np.flatnonzero(size == n)
             for lo in range(0, len(at), 512):
                 some = at[lo:lo + 512]
@@ -173,11 +187,18 @@ def _self(word: str) -> float:
 
 
 class Model:
-    """A trained scorer; ``weights`` has the inverse root of the landmark matrix in it."""
+    """A trained scorer; ``weights`` has the inverse root of the landmark
+    matrix in it, ``fit`` weighs a document's features and a constant."""
+
+    def __init__(self, landmarks: list[str], weights: np.ndarray, bias: float, fit: np.ndarray):
+        self.landmarks, self.weights, self.bias, self.fit = landmarks, weights, bias, fit
+
 
-    def __init__(self, landmarks: list[str], weights: np.ndarray, bias: float, slope: float, level: float):
-        self.landmarks, self.weights, self.bias = landmarks, weights, bias
-        self.slope, self.level = slope, level
+def _summary(margins: np.ndarray, bias: float) -> tuple[float, ...]:
+    """A document's features: its best word, the toxic words by their margins
+    (1 at most), the words that may be toxic, how many words there are, and a constant."""
+    return (min(1.0, float(margins.max(initial=bias))), math.log1p(np.clip(margins, 0, 1).sum()),
+            math.log1p(int((margins > DOUBT).sum())), math.log1p(len(margins)), 1.0)
 
 
 class Scorer:
@@ -196,69 +217,95 @@ class Scorer:
         margins = self.kernel.values(list(bare)) @ self.model.weights + self.model.bias
         self.known.update(zip(new, margins[where].tolist(), strict=True))
 
-    def margins(self, texts: list[str | None]) -> np.ndarray:
-        """Margin of each text's best word; a text without words has that of a
-        word which shares nothing with a landmark."""
+    def features(self, texts: list[str | None]) -> np.ndarray:
         bags = [words(t) for t in texts]
         met = set().union(*bags)
         if not met <= self.known.keys():
             self.learn(met)
         get = self.known.__getitem__
-        return np.array([max(map(get, bag), default=self.model.bias) for bag in bags])
+        return np.array([_summary(np.fromiter(map(get, bag), np.float64, len(bag)), self.model.bias)
+                         for bag in bags]).reshape(-1, FEATURES)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        z = np.clip(self.model.slope * self.margins(texts) + self.model.level, -30, 30)
-        return 1 / (1 + np.exp(-z))
+        return 1 / (1 + np.exp(-np.clip(self.features(texts) @ self.model.fit, -30, 30)))
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 20.0) -> tuple[np.ndarray, float]:
-    """Linear SVM with squared hinge loss by Newton steps on the active set."""
+def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = COST) -> tuple[np.ndarray, float]:
+    """Linear SVM with squared hinge loss by damped Newton steps."""
     a = np.hstack([x, np.ones((len(x), 1))]).astype(np.float64)
-    w = np.zeros(a.shape[1])
     reg = np.eye(a.shape[1])
     reg[-1, -1] = 1e-6
-    for _ in range(40):
+
+    def loss(w: np.ndarray) -> float:
+        return float(w @ reg @ w + cost * (weight * np.maximum(0, 1 - y * (a @ w)) ** 2).sum())
+
+    w = np.zeros(a.shape[1])
+    now = loss(w)
+    for _ in range(60):
         on = y * (a @ w) < 1
-        if not on.any():
-            break
         h = reg + cost * (a[on] * weight[on, None]).T @ a[on]
-        new = np.linalg.solve(h, cost * a[on].T @ (weight[on] * y[on]))
-        if np.allclose(new, w, atol=1e-7):
+        step = np.linalg.solve(h, cost * a[on].T @ (weight[on] * y[on])) - w
+        size = 1.0
+        while size > 1e-4 and loss(w + size * step) > now:
+            size /= 2
+        new = loss(w + size * step)
+        if new > now * (1 - 1e-9):
             break
-        w = new
+        w, now = w + size * step, new
     return w[:-1], float(w[-1])
 
 
-def _logistic(m: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Platt's fit of P(y=1) to a margin, with his smoothed targets."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Ridge logistic fit of P(y = 1) with Platt's smoothed targets, by damped Newton steps; the last column is constant."""
     p, n = y.sum(), len(y) - y.sum()
     t = np.where(y == 1, (p + 1) / (p + 2), 1 / (n + 2))
-    a, b = 1.0, 0.0
-    for _ in range(60):
-        q = 1 / (1 + np.exp(-np.clip(a * m + b, -30, 30)))
-        d = weight * (q - t)
-        g = np.array([(d * m).sum() + 1e-3 * (a - 1), d.sum()])
+    mean, scale = x.mean(0), x.std(0) + 1e-9
+    mean[-1], scale[-1] = 0, 1
+    z = (x - mean) / scale
+    reg = np.full(x.shape[1], 0.05)
+    reg[-1] = 1e-6
+
+    def loss(w: np.ndarray) -> float:
+        s = z @ w
+        return float((weight * (np.logaddexp(0, s) - t * s)).sum() + (reg * w * w).sum() / 2)
+
+    w = np.zeros(x.shape[1])
+    now = loss(w)
+    for _ in range(100):
+        q = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         v = weight * (q * (1 - q) + 1e-9)
-        h = np.array([[(v * m * m).sum() + 1e-3, (v * m).sum()], [(v * m).sum(), v.sum() + 1e-6]])
-        step = np.linalg.solve(h, g)
-        a, b = a - np.clip(step[0], -5, 5), b - np.clip(step[1], -5, 5)
-    return max(float(a), 1e-3), float(b)
+        step = -np.linalg.solve((z * v[:, None]).T @ z + np.diag(reg), z.T @ (weight * (q - t)) + reg * w)
+        size = 1.0
+        while size > 1e-4 and loss(w + size * step) > now:
+            size /= 2
+        new = loss(w + size * step)
+        if new > now - 1e-9:
+            break
+        w, now = w + size * step, new
+    w = w / scale
+    w[-1] -= (w[:-1] * mean[:-1]).sum()
+    return w
 
 
-def _covering(bad: Counter, good: Counter, seen: dict, toxic: list, n_good: int, many: int) -> list[str]:
-    """Words that together cover the toxic documents, three times if they can."""
-    pure = sorted((w for w in bad if _marks_toxic(w, bad, good, len(toxic), n_good) and len(w) <= LANDMARK_CHARS),
-                  key=lambda w: (-bad[w], w))[:400]
+def _covering(marking: set, bad: Counter, seen: dict, toxic: list, many: int) -> list[str]:
+    """Words unlike one another that together cover the toxic documents, twice if they can, and then the most frequent others."""
+    pure = sorted((w for w in marking if len(w) <= LANDMARK_CHARS), key=lambda w: (-bad[w], w))[:400]
     chosen: list[str] = []
-    left = {d: 3 for d in toxic}  # documents to cover, each so many times
+    left = {d: 2 for d in toxic}  # documents to cover, each so many times
+    near = Kernel(pure).values(pure) if pure else None
     holds = {w: [d for d in toxic if w in seen[d]] for w in pure}
+    covers = dict(holds)
     while len(chosen) < many:
-        gain = {w: sum(left[d] > 0 for d in holds[w]) for w in pure if w not in chosen}
-        best = max(gain, key=lambda w: (gain[w], w), default=None)
-        if best is None or not gain[best]:
+        gain = {w: (sum(left[d] > 0 for d in holds[w]), len(holds[w]), w) for w in pure if holds[w]}
+        best = max(gain, key=gain.get, default=None)
+        if best is None:
             break
         chosen.append(best)
-        for d in holds[best]:
+        alike = near[pure.index(best)] >= FAMILY
+        for i, w in enumerate(pure):
+            if alike[i]:
+                holds[w] = []  # of a family of words one is enough
+        for d in covers[best]:
             left[d] -= 1
     return chosen or ["none"]
 
@@ -276,29 +323,44 @@ def _features(vocabulary: list[str], marks: list[str]) -> np.ndarray:
     return np.concatenate([kernel.values(vocabulary[i:i + 20_000]) for i in range(0, len(vocabulary), 20_000)])
 
 
+def _spread(ordered: list[str], many: int) -> list[str]:
+    """The first words that are not near to one taken before."""
+    out: list[str] = []
+    if ordered:
+        near = Kernel(ordered).values(ordered)
+        taken: list[int] = []
+        for i in range(len(ordered)):
+            if len(taken) < many and all(near[i, j] < NEAR for j in taken):
+                taken.append(i)
+        out = [ordered[i] for i in taken]
+    return out
+
+
 def _root(marks: list[str]) -> np.ndarray:
     values, vectors = np.linalg.eigh(Kernel(marks).values(marks).astype(np.float64))
     return vectors @ np.diag(np.maximum(values, 1e-2) ** -0.5) @ vectors.T
 
 
-def _instances(x: np.ndarray, marked: np.ndarray, clean: np.ndarray, amount: np.ndarray,
-               bags: list[np.ndarray], always: int) -> tuple[np.ndarray, float, np.ndarray]:
-    """Multiple-instance SVM: weights, bias and margins of all words; the last
-    ``always`` words stay toxic in every round."""
-    as_toxic = marked if marked.any() else ~clean
+def _instances(x: np.ndarray, marked: np.ndarray, clean: np.ndarray, in_bad: np.ndarray, in_good: np.ndarray,
+               bags: list[np.ndarray]) -> tuple[np.ndarray, float, np.ndarray]:
+    """Multiple-instance SVM: weights, bias and margins of all words.  A word
+    counts as toxic by ``in_bad`` if it is marked or the last round called it
+    toxic, and as clean by ``in_good``, so that margins follow how often words
+    like it come from toxic documents."""
+    if not marked.any():
+        return np.zeros(x.shape[1]), -1.0, np.full(len(x), -1.0)
+    as_toxic = marked
+    held = np.flatnonzero(in_good > 0)
     for _ in range(5):
-        use = np.flatnonzero(as_toxic | clean)
-        sign = np.where(as_toxic[use], 1.0, -1.0)
-        weight = amount[use].copy()
-        for s, share in ((1, 1000), (-1, 4000)):
-            weight[sign == s] *= share / max(1e-9, weight[sign == s].sum())
+        own = np.flatnonzero(as_toxic)
+        use = np.concatenate([own, held])
+        sign = np.repeat([1.0, -1.0], [len(own), len(held)])
+        weight = np.concatenate([in_bad[own], in_good[held]]) * (1000 / in_bad[own].sum())
         w, bias = _svm(x[use], sign, weight)
         f = x @ w + bias
-        again = np.zeros(len(x), bool)
-        for bag in bags:
+        again = marked.copy()
+        for bag in bags:  # a document without any has a wrong label, or insults that are in no other
             again[bag[f[bag] > 0]] = True
-            again[bag[f[bag].argmax()]] = True
-        again[len(again) - always:] = True
         again &= ~clean
         if (again == as_toxic).all():
             break
@@ -306,8 +368,48 @@ def _instances(x: np.ndarray, marked: np.ndarray, clean: np.ndarray, amount: np.
     return w, bias, f
 
 
-def _marks_toxic(w: str, bad: Counter, good: Counter, n_bad: int, n_good: int) -> bool:
-    return len(w) >= P and bad[w] > 1 and bad[w] / n_bad > 3 * (good[w] + 0.5) / n_good
+def _marking(bad: Counter, good: Counter, n_bad: int, n_good: int, seen: dict, toxic: list) -> set[str]:
+    """Words that are in more toxic documents than chance explains: by the
+    strictest level of ``LEVELS`` at which they cover half of the toxic documents, or the last one."""
+    share = n_bad / (n_bad + n_good)
+    table: dict[tuple[int, int], float] = {}
+    for key in {(b, good[w]) for w, b in bad.items() if b > 1}:
+        table[key] = _tail(*key, share)
+    found: set[str] = set()
+    for level in LEVELS:
+        found = {w for w, b in bad.items() if b > 1 and len(w) >= P and table[b, good[w]] < level}
+        if sum(not found.isdisjoint(seen[d]) for d in toxic) >= len(toxic) / 2:
+            break
+    return found
+
+
+def _tail(b: int, g: int, share: float) -> float:
+    """Chance that of b + g documents b or more are toxic, if each is with probability ``share``."""
+    n = b + g
+    logs = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+            + k * math.log(share) + (n - k) * math.log1p(-share) for k in range(b, n + 1)]
+    return math.exp(max(logs)) * sum(math.exp(x - max(logs)) for x in logs)
+
+
+def _apart(seen: dict, label: dict) -> list:
+    """Documents without those that share half of their minimum hashes with an
+    earlier one of the same label: copies would make all of their words marks."""
+    met: dict = {}
+    out = []
+    for d in sorted(seen):
+        words_ = [w for w in seen[d] if w]
+        if not words_:
+            out.append(d)
+            continue
+        codes = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words_], np.uint64)
+        mins = [int(((codes * np.uint64(m)) & np.uint64(0xFFFFFFFF)).min()) for m in _ODD]
+        near = Counter(e for k, v in enumerate(mins) for e in met.get((label[d], k, v), ()))
+        if near and near.most_common(1)[0][1] >= len(_ODD) // 2:
+            continue
+        out.append(d)
+        for k, v in enumerate(mins):
+            met.setdefault((label[d], k, v), []).append(d)
+    return out
 
 
 def train(rows: list[tuple], sample: Sample | None = None, share: float | None = None) -> Model:
@@ -323,39 +425,47 @@ def train(rows: list[tuple], sample: Sample | None = None, share: float | None =
         label[d] = int(y)
     kinds = set(label.values())
     if len(kinds) < 2:
-        return Model(["none"], np.zeros(1), 0.0, 1.0, 5.0 if kinds == {1} else -5.0)
-    ids = sorted(seen)
+        return Model(["none"], np.zeros(1), 0.0, np.array([0] * (FEATURES - 1) + [5.0 if kinds == {1} else -5.0]))
+    ids = _apart(seen, label)
     toxic = [d for d in ids if label[d]]
     n_good = len(ids) - len(toxic)
     bad, good = Counter(), Counter()
     for d in ids:
         (bad if label[d] else good).update(seen[d])
-    marks = _covering(bad, good, seen, toxic, n_good, sample.landmarks * 2 // 3)
+    marking = _marking(bad, good, len(toxic), n_good, seen, toxic)
+    marks = _covering(marking, bad, seen, toxic, sample.landmarks * 2 // 3)
     altered = sorted({v for w in marks for v in _altered(w)} - bad.keys() - good.keys())
     vocabulary = sorted(bad.keys() | good.keys()) + altered
     place = {w: i for i, w in enumerate(vocabulary)}
     bags = {d: np.array([place[w] for w in sorted(seen[d])], np.int64) for d in ids}
-    marked = np.array([_marks_toxic(w, bad, good, len(toxic), n_good) for w in vocabulary])
+    marked = np.array([w in marking for w in vocabulary])
     marked[len(vocabulary) - len(altered):] = True
     clean = np.array([good[w] > 0 for w in vocabulary]) & ~marked
-    # a word counts by the documents that hold it, in logarithm
-    amount = np.log1p([max(bad[w], good[w]) for w in vocabulary])
-    amount[len(vocabulary) - len(altered):] = 0.1 * amount[marked].sum() / max(1, len(altered))
+    share = share if share else len(toxic) / len(ids)
+    in_bad = np.array([bad[w] for w in vocabulary]) * share / len(toxic)
+    in_good = np.array([good[w] for w in vocabulary]) * (1 - share) / max(1, n_good)
+    in_bad[len(vocabulary) - len(altered):] = 0.1 * in_bad[marked].sum() / max(1, len(altered))
     x = _features(vocabulary, marks)
     for turn in range(2):
         root = _root(marks)
-        w, bias, f = _instances(x @ root, marked, clean, amount, [bags[d] for d in toxic if len(bags[d])],
-                                len(altered))
+        w, bias, f = _instances(x @ root, marked, clean, in_bad, in_good, [bags[d] for d in toxic if len(bags[d])])
         if turn == 0:
-            hard = [vocabulary[i] for i in np.argsort(-np.where(clean, f, -np.inf), kind="stable")
-                    if clean[i] and P <= len(vocabulary[i]) <= LANDMARK_CHARS][:sample.landmarks - len(marks)]
+            order = np.argsort(-np.where(clean, f, -np.inf), kind="stable")[:400]
+            hard = _spread([vocabulary[i] for i in order if clean[i] and P <= len(vocabulary[i]) <= LANDMARK_CHARS],
+                           sample.landmarks - len(marks))
             x = np.hstack([x, _features(vocabulary, hard)])
             marks = marks + hard
-    top = np.array([f[bags[d]].max() if len(bags[d]) else bias for d in ids])
+    marked_docs = np.array([_summary(f[bags[d]], bias) for d in ids])
     y = np.array([label[d] for d in ids])
-    share = share if share else y.mean()
-    slope, level = _logistic(top, y, np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean())))
-    return Model(marks, root @ w, bias, slope, level)
+    weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
+    used = list(range(FEATURES))
+    while True:
+        fit_ = np.zeros(FEATURES)
+        fit_[used] = _logistic(marked_docs[:, used], y, weight)
+        against = [k for k in used[:-2] if fit_[k] < 0]
+        if not against:  # more toxic words never lower a score
+            return Model(marks, root @ w, bias, fit_)
+        used.remove(min(against, key=lambda k: fit_[k]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: Sample | None = None, label_col: str = "toxic") -> Model:
@@ -391,11 +501,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: Sample | None = None, label_
 _SCORERS: dict = {}
 
 
-def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns of every row (all by default; "text" must be there)
-    with ``tox_score``, 0 to 1.  Null and empty texts score by the bias alone."""
+def score(docs: DataFrame, model: Model, keep: list[str] | None = None, name: str = "tox_score") -> DataFrame:
+    """``keep`` columns of every row (all by default) with the column ``name``,
+    0 to 1.  Null and empty texts score by the bias alone."""
     keep = keep if keep is not None else docs.columns
-    rows = docs.select(*keep, F.col("text").alias("_tox_text"))
+    rows = docs.select(*keep, F.col("text").alias(unused("_tox_text", keep)))
     mark = uuid.uuid4().hex
 
     def run(batches):
@@ -408,6 +518,6 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
             for lo in range(0, len(texts), 512):
                 out.append(scorer.scores(texts.slice(lo, 512).to_pylist()))
             got = pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(keep))), got], [*keep, "tox_score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(keep))), got], [*keep, name])
 
-    return rows.mapInArrow(run, extended(rows.select(*keep).schema, "tox_score double"))
+    return rows.mapInArrow(run, extended(rows.select(*keep).schema, f"{name} double"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from circula.llm import forest, packing, secrets, substrings, toxicity
-from circula.llm.tables import Staging, importable, read_table
+from circula.llm.tables import Staging, importable, read_table, unused
 
 TOXIC = 0.5             # documents that score this or more go
 SHINGLE, SIMILAR = 5, 80  # words of a shingle, percent of a near copy
@@ -24,10 +24,11 @@ CAPACITY, END_ID = 1024, 2
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below TOXIC."""
+    """Documents whose toxicity score is below TOXIC, by a model of the labelled documents of ``sf_dir``."""
     importable(spark)
-    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where(F.col("tox_score") < TOXIC).select(*docs.columns)
+    model = toxicity.fit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    name = unused("tox_score", docs.columns)
+    return toxicity.score(docs, model, name=name).where(F.col(name) < TOXIC).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +36,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     documents without an id stay."""
     importable(spark)
     found = forest.near_duplicates(docs, SHINGLE, SIMILAR, Staging(spark, "pipeline-forest"))
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(first, F.col("doc_id").cast("long") == F.col("_first"), "left_semi").dropDuplicates(["doc_id"])
+    name = unused("_first", docs.columns)
+    first = found.where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    kept = docs.join(first, F.col("doc_id").cast("long") == F.col(name), "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
