@@ -18,10 +18,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from circula.operators.ranking import spread_join
+from circula.schema import table
 from circula.session import ensure_checkpoint_dir
+from circula.sources.tables import load_table
 
 COUNT_COLS = "table_name string, action string, row_count bigint"
 
@@ -52,9 +55,8 @@ def _loan_chain(t: dict, doomed_loans: DataFrame, doomed_users: DataFrame | None
         doomed_fines = _keys(by_loan.unionByName(by_user).select("FineID"))
     else:
         doomed_fines = _keys(by_loan.select("FineID"))
-    fines = fine.join(doomed_fines, "FineID", "left_semi")
     payments = t["payment"].join(doomed_fines, "FineID", "left_semi")
-    return loan_keys, items, fines, doomed_fines, payments
+    return loan_keys, items, doomed_fines, payments
 
 
 def delete_users(t: dict, keys: DataFrame):
@@ -62,11 +64,9 @@ def delete_users(t: dict, keys: DataFrame):
     -> Payment; User -> Reservation -> ReservationItem."""
     user_keys = _keys(t["library_user"].join(keys.select("UserID").distinct(), "UserID", "left_semi")
                       .select("UserID"))
-    users = t["library_user"].join(user_keys, "UserID", "left_semi")
     loans = t["loan"].join(user_keys, "UserID", "left_semi")
-    loan_keys, items, fines, fine_keys, payments = _loan_chain(t, loans, user_keys)
+    loan_keys, items, fine_keys, payments = _loan_chain(t, loans, user_keys)
     res_keys = _keys(t["reservation"].join(user_keys, "UserID", "left_semi").select("ReservationID"))
-    res = t["reservation"].join(res_keys, "ReservationID", "left_semi")
     res_items = t["reservation_item"].join(res_keys, "ReservationID", "left_semi")
     tables = {
         "library_user": t["library_user"].join(user_keys, "UserID", "left_anti"),
@@ -77,9 +77,10 @@ def delete_users(t: dict, keys: DataFrame):
         "reservation": t["reservation"].join(res_keys, "ReservationID", "left_anti"),
         "reservation_item": t["reservation_item"].join(res_keys, "ReservationID", "left_anti"),
     }
-    counts = _counts([(users, "library_user", "DELETE"), (loans, "loan", "CASCADE"),
-                      (items, "loan_item", "CASCADE"), (fines, "fine", "CASCADE"),
-                      (payments, "payment", "CASCADE"), (res, "reservation", "CASCADE"),
+    # the keys are primary keys: counting the key sets is counting the rows
+    counts = _counts([(user_keys, "library_user", "DELETE"), (loan_keys, "loan", "CASCADE"),
+                      (items, "loan_item", "CASCADE"), (fine_keys, "fine", "CASCADE"),
+                      (payments, "payment", "CASCADE"), (res_keys, "reservation", "CASCADE"),
                       (res_items, "reservation_item", "CASCADE")])
     return tables, counts
 
@@ -87,15 +88,15 @@ def delete_users(t: dict, keys: DataFrame):
 def delete_loans(t: dict, keys: DataFrame):
     """Loan -> LoanItem, Fine -> Payment."""
     loans = t["loan"].join(keys.select("LoanID").distinct(), "LoanID", "left_semi")
-    loan_keys, items, fines, fine_keys, payments = _loan_chain(t, loans)
+    loan_keys, items, fine_keys, payments = _loan_chain(t, loans)
     tables = {
         "loan": t["loan"].join(loan_keys, "LoanID", "left_anti"),
         "loan_item": t["loan_item"].join(loan_keys, "LoanID", "left_anti"),
         "fine": t["fine"].join(fine_keys, "FineID", "left_anti"),
         "payment": t["payment"].join(fine_keys, "FineID", "left_anti"),
     }
-    counts = _counts([(loans, "loan", "DELETE"), (items, "loan_item", "CASCADE"),
-                      (fines, "fine", "CASCADE"), (payments, "payment", "CASCADE")])
+    counts = _counts([(loan_keys, "loan", "DELETE"), (items, "loan_item", "CASCADE"),
+                      (fine_keys, "fine", "CASCADE"), (payments, "payment", "CASCADE")])
     return tables, counts
 
 
@@ -117,8 +118,10 @@ def book_delete_outcomes(t: dict, keys: DataFrame) -> DataFrame:
     """R2 per key: 'not found', 'refused' (RESTRICT: a LoanItem or
     ReservationItem still points at it) or 'deleted'."""
     k = keys.select("ISBN").distinct()
-    used = (t["loan_item"].select("ISBN").unionByName(t["reservation_item"].select("ISBN"))
-            .join(k, "ISBN", "left_semi").distinct().withColumn("_used", F.lit(True)))
+    # the referencing rows are cut to the keys with k under an exchange of its own, so that AQE can
+    # split a hot ISBN
+    used = (spread_join(t["loan_item"].select("ISBN").unionByName(t["reservation_item"].select("ISBN")),
+                        k, ["ISBN"], "left_semi").distinct().withColumn("_used", F.lit(True)))
     exists = t["book"].select("ISBN").join(k, "ISBN", "left_semi").withColumn("_exists", F.lit(True))
     return (k.join(exists, "ISBN", "left").join(used, "ISBN", "left")
             .select("ISBN", F.when(F.col("_exists").isNull(), F.lit("not found"))
@@ -174,17 +177,19 @@ def delete_employees(t: dict, keys: DataFrame):
 
 
 def rekey_outcomes(t: dict, mapping: DataFrame) -> DataFrame:
-    """R4 per map row, first failing rule wins: 'not found'; 'referenced'
+    """R4 per map row, first failing rule wins: 'null key'; 'key too long' (for
+    the ISBN column); 'not found'; 'referenced'
     (RelatedBooks, ReservationItem or LoanItem still use the old key - no ON
     UPDATE clause there, so RESTRICT); 'ambiguous' (an old key mapped twice
     or two old keys to one new key); 'new key exists'; else 'renamed'."""
-    m = mapping.select("OldISBN", "NewISBN").distinct()
+    every = mapping.select("OldISBN", "NewISBN").distinct()
+    m = every.dropna()
     old = m.select(F.col("OldISBN").alias("ISBN")).distinct()
     refs = (t["related_books"].select("ISBN")
             .unionByName(t["related_books"].select(F.col("RelatedISBN").alias("ISBN")))
             .unionByName(t["reservation_item"].select("ISBN"))
-            .unionByName(t["loan_item"].select("ISBN"))
-            .join(old, "ISBN", "left_semi").distinct()
+            .unionByName(t["loan_item"].select("ISBN")))
+    refs = (spread_join(refs, old, ["ISBN"], "left_semi").distinct()
             .select(F.col("ISBN").alias("OldISBN"), F.lit(True).alias("_ref")))
     exists_old = (t["book"].select("ISBN").join(old, "ISBN", "left_semi")
                   .select(F.col("ISBN").alias("OldISBN"), F.lit(True).alias("_old")))
@@ -193,14 +198,21 @@ def rekey_outcomes(t: dict, mapping: DataFrame) -> DataFrame:
                   .select(F.col("ISBN").alias("NewISBN"), F.lit(True).alias("_new")))
     per_old = m.groupBy("OldISBN").agg(F.count(F.lit(1)).alias("_n_old"))
     per_new = m.groupBy("NewISBN").agg(F.count(F.lit(1)).alias("_n_new"))
-    j = (m.join(exists_old, "OldISBN", "left").join(refs, "OldISBN", "left")
-         .join(per_old, "OldISBN").join(per_new, "NewISBN").join(exists_new, "NewISBN", "left"))
-    outcome = (F.when(F.col("_old").isNull(), F.lit("not found"))
+    j = spread_join(m, exists_old.distinct(), ["OldISBN"], "left")
+    j = spread_join(j, refs, ["OldISBN"], "left")
+    j = spread_join(j, per_old, ["OldISBN"], "left")
+    j = spread_join(j, per_new, ["NewISBN"], "left")
+    j = spread_join(j, exists_new, ["NewISBN"], "left")
+    longest = table("book").lengths["ISBN"]
+    outcome = (F.when(F.char_length("NewISBN") > longest, F.lit("key too long"))
+               .when(F.col("_old").isNull(), F.lit("not found"))
                .when(F.col("_ref"), F.lit("referenced"))
                .when((F.col("_n_old") > 1) | (F.col("_n_new") > 1), F.lit("ambiguous"))
                .when(F.col("_new"), F.lit("new key exists"))
                .otherwise(F.lit("renamed")))
-    return j.select("OldISBN", "NewISBN", outcome.alias("Outcome"))
+    nulls = every.filter(F.col("OldISBN").isNull() | F.col("NewISBN").isNull())
+    return j.select("OldISBN", "NewISBN", outcome.alias("Outcome")).unionByName(
+        nulls.withColumn("Outcome", F.lit("null key")))
 
 
 def rekey_books(t: dict, mapping: DataFrame):
@@ -228,6 +240,8 @@ def apply_action(tables: dict, root: str, version: str) -> dict[str, str]:
     The survivors are computed from the current tables, which may live under
     the same root, so a new version is written instead of overwriting the
     folder being read; rerunning the same version rewrites the same folders.
+    Read a version back with :func:`read_version`, never by the table's own
+    folder, which holds all its versions.
     """
     paths = {}
     for name, df in tables.items():
@@ -235,3 +249,8 @@ def apply_action(tables: dict, root: str, version: str) -> dict[str, str]:
         df.write.mode("overwrite").parquet(path)
         paths[name] = path
     return paths
+
+
+def read_version(spark: SparkSession, root: str, tname: str, version: str) -> DataFrame:
+    """The table as :func:`apply_action` wrote it under ``version``."""
+    return load_table(spark, tname, f"{root.rstrip('/')}/{tname}/v={version}")

@@ -55,9 +55,13 @@ def issue_loans(t: dict, requests: DataFrame, policy, as_of) -> DataFrame:
     r = r.join(winners, "RequestID", "left").withColumn(
         "Reason", F.coalesce("Reason", F.when(F.col("_won").isNull(), F.lit(BOOK_TAKEN)))).drop("_won")
 
-    ranked = top_k_per_group(r.filter(F.col("Reason").isNull()).select("RequestID", "UserID", "RequestDate"),
-                             ["UserID"], ["RequestDate", "RequestID"], p.max_books, "_urank")
-    ok = (ranked.join(open_books_per_user(t, as_of), "UserID", "left")
+    # MaxBooks 0 is a legal policy: nothing is accepted then
+    standing = r.filter(F.col("Reason").isNull() & F.lit(p.max_books > 0)).select(
+        "RequestID", "UserID", "RequestDate")
+    ranked = top_k_per_group(standing, ["UserID"], ["RequestDate", "RequestID"], max(1, p.max_books), "_urank")
+    # open books of the requesters only
+    requesters = t["loan"].join(standing.select("UserID").distinct(), "UserID", "left_semi")
+    ok = (ranked.join(open_books_per_user({"loan": requesters, "loan_item": t["loan_item"]}, as_of), "UserID", "left")
           .filter(F.coalesce("OpenBooks", F.lit(0)) + F.col("_urank") <= F.lit(p.max_books))
           .select("RequestID", F.lit(True).alias("_ok")))
     r = r.join(ok, "RequestID", "left").withColumn(
@@ -70,6 +74,33 @@ def issue_loans(t: dict, requests: DataFrame, policy, as_of) -> DataFrame:
         F.when(accepted, F.date_add("RequestDate", F.lit(p.loan_period_days))).alias("DueDate"))
 
 
+def loan_facts(events: DataFrame) -> DataFrame:
+    """One aggregation per LoanID over dated events: UserID and CheckoutDate
+    of the earliest ISSUE (then lowest Seq and UserID), the earliest RETURN, and
+    the distinct RENEWs not after it.  Repeated events (same Kind and Seq)
+    count once, by their earliest date, so a renewal counts if any of its
+    dates is not after the return.  Works on a batch and as a streaming
+    aggregation: the state is one row per loan."""
+    kind = F.col("Kind")
+    facts = events.filter(F.col("EventDate").isNotNull()).groupBy("LoanID").agg(
+        F.min(F.when(kind == "ISSUE", F.struct("EventDate", "Seq", "UserID"))).alias("_issue"),
+        F.min(F.when(kind == "RETURN", F.col("EventDate"))).alias("ReturnDate"),
+        F.collect_set(F.when(kind == "RENEW", F.struct("Seq", "EventDate"))).alias("_renews"))
+    in_time = F.filter("_renews", lambda r: F.col("ReturnDate").isNull() | (r["EventDate"] <= F.col("ReturnDate")))
+    return facts.select(
+        "LoanID", F.col("_issue.UserID").alias("UserID"), F.col("_issue.EventDate").alias("CheckoutDate"),
+        "ReturnDate", F.size(F.array_distinct(F.transform(in_time, lambda r: r["Seq"]))).cast("bigint").alias("Renewals"))
+
+
+def due_from_facts(facts: DataFrame, policy) -> DataFrame:
+    """Loan rows of :func:`loan_facts`, with DueDate; loans without an ISSUE are left out."""
+    p = read_policy(policy)
+    return facts.filter(F.col("LoanID").isNotNull() & F.col("CheckoutDate").isNotNull()).select(
+        "LoanID", "UserID", "CheckoutDate",
+        F.date_add("CheckoutDate", (F.lit(p.loan_period_days) * (F.col("Renewals") + 1)).cast("int")).alias("DueDate"),
+        "ReturnDate", "Renewals")
+
+
 def fold_circulation(events: DataFrame, policy) -> tuple[DataFrame, DataFrame]:
     """Events (LoanID, UserID, Kind, EventDate, Seq) -> Loan rows.
 
@@ -77,31 +108,13 @@ def fold_circulation(events: DataFrame, policy) -> tuple[DataFrame, DataFrame]:
     CheckoutDate = earliest ISSUE (its UserID is the borrower); ReturnDate =
     earliest RETURN; DueDate = CheckoutDate + LoanPeriodDays x (1 + RENEWs
     not after the return).  Events without a date are ignored.  Everything
-    is order-free, so late or replayed events do no harm.  Loans without an
-    ISSUE go to the reject frame.
+    is order-free, so late or replayed events do no harm, and the events are
+    read and shuffled once (:func:`loan_facts`).  Loans without an ISSUE, and
+    events without a LoanID, go to the reject frame.
 
     Returns ``(loans, rejects)``.
     """
-    p = read_policy(policy)
-    ev = (events.filter(F.col("EventDate").isNotNull())
-          .groupBy("LoanID", "Kind", "Seq")
-          .agg(F.min("EventDate").alias("EventDate"),
-               F.min_by("UserID", "EventDate").alias("UserID")))
-    issue = F.col("Kind") == "ISSUE"
-    per_loan = ev.groupBy("LoanID").agg(
-        F.min_by("UserID", F.when(issue, F.struct("EventDate", "Seq"))).alias("UserID"),
-        F.min(F.when(issue, F.col("EventDate"))).alias("CheckoutDate"),
-        F.min(F.when(F.col("Kind") == "RETURN", F.col("EventDate"))).alias("ReturnDate"))
-    renewals = (ev.filter(F.col("Kind") == "RENEW").select("LoanID", F.col("EventDate").alias("_renew"))
-                .join(per_loan.select("LoanID", "ReturnDate"), "LoanID")
-                .filter(F.col("ReturnDate").isNull() | (F.col("_renew") <= F.col("ReturnDate")))
-                .groupBy("LoanID").agg(F.count(F.lit(1)).alias("_renewals")))
-    folded = per_loan.join(renewals, "LoanID", "left").withColumn(
-        "Renewals", F.coalesce("_renewals", F.lit(0)).cast("bigint"))
-    loans = folded.filter(F.col("CheckoutDate").isNotNull()).select(
-        "LoanID", "UserID", "CheckoutDate",
-        F.date_add("CheckoutDate", (F.lit(p.loan_period_days) * (F.col("Renewals") + 1)).cast("int")).alias("DueDate"),
-        "ReturnDate", "Renewals")
-    rejects = folded.filter(F.col("CheckoutDate").isNull()).select(
-        "LoanID", F.lit("no ISSUE event").alias("Reason"))
-    return loans, rejects
+    facts = loan_facts(events)
+    rejects = facts.filter(F.col("LoanID").isNull() | F.col("CheckoutDate").isNull()).select(
+        "LoanID", F.when(F.col("LoanID").isNull(), F.lit("no LoanID")).otherwise(F.lit("no ISSUE event")).alias("Reason"))
+    return due_from_facts(facts, policy), rejects

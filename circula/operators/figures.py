@@ -1,23 +1,42 @@
 """Administrator (A1-A12) and librarian (L1-L11) figures and lists.
 
 Rules every list here follows: filters run before joins (so they reach the
-parquet scan), joins to wide tables happen after any top-k (so only k rows are
-enriched), and counts are pre-aggregated before they meet the member table
-(no fan-out).
+parquet scan), joins to wide tables happen after any top-k (the big table is first cut to the
+k keys), and counts are pre-aggregated before they meet the member table (no
+fan-out).  The recent lists carry their order as ``RowNo``, 1 first.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import datetime as dt
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from circula.functions import formats as fmt
 from circula.functions.common import MONEY_SUM, as_date, is_open_loan, money_sum, month_start
 from circula.operators.policy import due_dates, open_books_per_user
+from circula.operators.ranking import spread_join
+from circula.session import ensure_checkpoint_dir
 
 ENTITY_TYPES = ("Loan", "Reservation", "Book")
 
 
+def _numbered(top: DataFrame, order: list) -> DataFrame:
+    """The rows of a top-k list with ``RowNo``, kept as a checkpoint: k rows that
+    several joins read."""
+    ensure_checkpoint_dir(top.sparkSession)
+    return top.withColumn("RowNo", F.row_number().over(Window.orderBy(*order)).cast("bigint")).checkpoint(eager=True)
+
+
+def _looked_up(top: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``top`` (a numbered list of k rows) left-joined to ``table`` on ``key``.
+    The table is first cut to the list's keys by a broadcast of those k values,
+    so it is filtered where it is scanned and never shuffled."""
+    hits = table.join(F.broadcast(top.select(key)), key, "left_semi")
+    return top.join(F.broadcast(hits), key, "left")
+
+
 # ---------------------------------------------------------------- admin cards
 def total_librarians(t: dict) -> DataFrame:
     """A1: staff with Role 'Librarian'."""
@@ -80,7 +99,6 @@ def monthly_revenue(t: dict, date_from=None, date_to=None) -> DataFrame:
 
 def inventory_report(t: dict) -> DataFrame:
     """Books per Genre x Status, with the share of the genre."""
-    from pyspark.sql import Window
     counts = t["book"].groupBy("Genre", "Status").agg(F.count(F.lit(1)).alias("Books"))
     genre_total = F.sum("Books").over(Window.partitionBy("Genre"))
     return counts.withColumn(
@@ -88,29 +106,27 @@ def inventory_report(t: dict) -> DataFrame:
 
 
 def recent_reports(t: dict, as_of, k: int = 10) -> DataFrame:
-    """Latest k reports with author (may be null) and age in days."""
+    """Latest k reports with author (may be null) and age in days, newest first."""
     d = as_date(as_of)
-    top = (t["report"].filter(F.col("GenerationDate") <= d)
-           .select("ReportID", "Type", "GenerationDate", "GeneratedBy")
-           .orderBy(F.col("GenerationDate").desc(), F.col("ReportID").desc())
-           .limit(k))
+    order = [F.col("GenerationDate").desc(), F.col("ReportID").desc()]
+    top = _numbered(t["report"].filter(F.col("GenerationDate") <= d)
+                    .select("ReportID", "Type", "GenerationDate", "GeneratedBy").orderBy(*order).limit(k), order)
     staff = t["employee"].select(F.col("EmployeeID").alias("GeneratedBy"),
                                  F.col("Name").alias("Author"))
-    return (top.join(staff, "GeneratedBy", "left")
-            .select("ReportID", "Type", "GenerationDate", "GeneratedBy", "Author",
+    return (_looked_up(top, staff, "GeneratedBy").orderBy("RowNo")
+            .select("RowNo", "ReportID", "Type", "GenerationDate", "GeneratedBy", "Author",
                     F.datediff(d, F.col("GenerationDate")).alias("AgeDays"),
                     fmt.age_days("GenerationDate", d).alias("Age")))
 
 
 def activity_log(t: dict, as_of, k: int = 20) -> DataFrame:
-    """A10: latest k staff actions with employee name and age in days."""
+    """A10: latest k staff actions with employee name and age in days, newest first."""
     d = as_date(as_of)
-    top = (t["processed_by"].filter(F.col("ActionDate") <= d)
-           .orderBy(F.col("ActionDate").desc(), F.col("ProcessID").desc())
-           .limit(k))
+    order = [F.col("ActionDate").desc(), F.col("ProcessID").desc()]
+    top = _numbered(t["processed_by"].filter(F.col("ActionDate") <= d).orderBy(*order).limit(k), order)
     staff = t["employee"].select("EmployeeID", F.col("Name").alias("EmployeeName"))
-    return (top.join(staff, "EmployeeID", "left")
-            .select("ProcessID", "EmployeeID", "EmployeeName", "EntityType", "EntityID",
+    return (_looked_up(top, staff, "EmployeeID").orderBy("RowNo")
+            .select("RowNo", "ProcessID", "EmployeeID", "EmployeeName", "EntityType", "EntityID",
                     "ActionDate", F.datediff(d, F.col("ActionDate")).alias("AgeDays")))
 
 
@@ -124,9 +140,9 @@ def resolve_processed(t: dict) -> DataFrame:
     targets = (t["loan"].select(F.lit("Loan").alias("_type"), F.col("LoanID").alias("_id"))
                .unionByName(t["reservation"].select(F.lit("Reservation").alias("_type"),
                                                     F.col("ReservationID").alias("_id")))
-               .distinct())
-    pb = t["processed_by"].select("EntityType", "EntityID")
-    joined = pb.join(targets, (pb.EntityType == targets._type) & (pb.EntityID == targets._id), "left")
+               .distinct().select(F.col("_type").alias("EntityType"), F.col("_id").alias("EntityID"), "_id"))
+    pb = t["processed_by"].select("ProcessID", "EntityType", "EntityID")
+    joined = spread_join(pb, targets, ["EntityType", "EntityID"], "left")
     return joined.groupBy("EntityType").agg(
         F.count(F.lit(1)).alias("Actions"),
         F.count("_id").alias("Resolved"),
@@ -134,11 +150,12 @@ def resolve_processed(t: dict) -> DataFrame:
 
 
 def staff_activity(t: dict) -> DataFrame:
-    """Actions per employee and entity type; staff with none show 0."""
-    per_emp = (t["processed_by"].groupBy("EmployeeID")
-               .pivot("EntityType", list(ENTITY_TYPES)).count())
+    """Actions per employee and entity type; staff with none show 0.  The
+    total holds all actions, those without an entity type too."""
+    per_emp = t["processed_by"].groupBy("EmployeeID").agg(
+        *[F.count_if(F.col("EntityType") == e).alias(e) for e in ENTITY_TYPES], F.count(F.lit(1)).alias("_all"))
     cols = [F.coalesce(F.col(e), F.lit(0)).cast("bigint").alias(f"{e}Actions") for e in ENTITY_TYPES]
-    total = sum((F.coalesce(F.col(e), F.lit(0)) for e in ENTITY_TYPES), F.lit(0)).cast("bigint")
+    total = F.coalesce(F.col("_all"), F.lit(0)).cast("bigint")
     return (t["employee"].select("EmployeeID", "Name")
             .join(per_emp, "EmployeeID", "left")
             .select("EmployeeID", "Name", *cols, total.alias("TotalActions")))
@@ -223,23 +240,52 @@ def _tx_order():
     return [F.col("TxDate").desc(), F.col("LoanID").desc(), F.col("TxType"), F.col("ISBN")]
 
 
-def _enrich_transactions(tx: DataFrame, t: dict) -> DataFrame:
+def _enrich_transactions(top: DataFrame, t: dict) -> DataFrame:
+    top = _numbered(top, _tx_order())
     users = t["library_user"].select("UserID", F.col("Name").alias("Member"))
     books = t["book"].select("ISBN", "Title")
-    return (tx.join(users, "UserID", "left").join(books, "ISBN", "left")
-            .select(fmt.code(fmt.CODE_PREFIX_TRANSACTION, "LoanID", 3).alias("TransactionID"),
+    return (_looked_up(_looked_up(top, users, "UserID"), books, "ISBN").orderBy("RowNo")
+            .select("RowNo", fmt.code(fmt.CODE_PREFIX_TRANSACTION, "LoanID", 3).alias("TransactionID"),
                     "LoanID", "UserID", "Member", "ISBN", "Title", "TxType", "TxDate", "DueDate",
                     "Status"))
 
 
+# Days before ``as_of`` that the newest transactions are first looked for in.
+FIRST_LOOK_DAYS = 8
+
+
+def _newest(t: dict, as_of, k: int, date_from, date_to, keep) -> DataFrame:
+    """The newest k transactions that ``keep`` leaves, read from as few days as
+    hold them: the days before the last one are doubled until k rows are found or the
+    first day is reached, so a busy library reads a few days of loans."""
+    last = min(_day(as_of), _day(date_to)) if date_to is not None else _day(as_of)
+    first = t["loan"].agg(F.min("CheckoutDate")).first()[0]
+    if date_from is not None:
+        first = max(first, _day(date_from)) if first is not None else None
+    days = FIRST_LOOK_DAYS
+    while True:
+        lo = last - dt.timedelta(days=days)
+        whole = first is None or lo <= first
+        tx = keep(_transactions(t, as_of, date_from if whole else lo, date_to))
+        if whole:
+            return tx.orderBy(*_tx_order()).limit(k)
+        top = tx.orderBy(*_tx_order()).limit(k)
+        if top.count() == k:
+            return top
+        days *= 4
+
+
+def _day(value) -> dt.date:
+    return value if type(value) is dt.date else dt.date.fromisoformat(str(value)[:10])
+
+
 def recent_transactions(t: dict, as_of, k: int = 10) -> DataFrame:
     """Latest k borrow / return rows: newest first, then LoanID desc, type, ISBN.
 
-    The top-k runs on the narrow union; only the k survivors are joined to
-    member names and titles.
+    The top-k runs on the newest days' narrow rows; the k survivors are then
+    joined to member names and titles.
     """
-    top = _transactions(t, as_of).orderBy(*_tx_order()).limit(k)
-    return _enrich_transactions(top, t)
+    return _enrich_transactions(_newest(t, as_of, k, None, None, lambda tx: tx), t)
 
 
 def transaction_history(t: dict, as_of, member: int | None = None, date_from=None,
@@ -248,22 +294,27 @@ def transaction_history(t: dict, as_of, member: int | None = None, date_from=Non
     """L5's rows filtered by member / date range / type, paged by key.
 
     ``after`` is the (TxDate, LoanID, TxType, ISBN) of the last row of the previous
-    page; the next page starts strictly after it in L5's order (no offset scan).
+    page (the one with the highest RowNo); the next page starts strictly after
+    it in L5's order (no offset scan), and days after its date are not read.
     """
-    tx = _transactions(t, as_of, date_from, date_to)
-    if member is not None:
-        tx = tx.filter(F.col("UserID") == F.lit(member))
-    if tx_type is not None:
-        tx = tx.filter(F.col("TxType") == F.lit(tx_type))
+    def keep(tx: DataFrame) -> DataFrame:
+        if member is not None:
+            tx = tx.filter(F.col("UserID") == F.lit(member))
+        if tx_type is not None:
+            tx = tx.filter(F.col("TxType") == F.lit(tx_type))
+        if after is not None:
+            a_date, a_loan, a_type, a_isbn = after
+            ad, al, at, ai = as_date(a_date), F.lit(a_loan), F.lit(a_type), F.lit(a_isbn)
+            d, l, ty, i = F.col("TxDate"), F.col("LoanID"), F.col("TxType"), F.col("ISBN")
+            tx = tx.filter((d < ad) | ((d == ad) & (l < al))
+                           | ((d == ad) & (l == al) & (ty > at))
+                           | ((d == ad) & (l == al) & (ty == at) & (i > ai)))
+        return tx
+
     if after is not None:
-        a_date, a_loan, a_type, a_isbn = after
-        ad, al, at, ai = as_date(a_date), F.lit(a_loan), F.lit(a_type), F.lit(a_isbn)
-        d, l, ty, i = F.col("TxDate"), F.col("LoanID"), F.col("TxType"), F.col("ISBN")
-        tx = tx.filter((d < ad) | ((d == ad) & (l < al))
-                       | ((d == ad) & (l == al) & (ty > at))
-                       | ((d == ad) & (l == al) & (ty == at) & (i > ai)))
-    top = tx.orderBy(*_tx_order()).limit(page)
-    return _enrich_transactions(top, t)
+        cursor = _day(after[0])
+        date_to = cursor if date_to is None else min(cursor, _day(date_to))
+    return _enrich_transactions(_newest(t, as_of, page, date_from, date_to, keep), t)
 
 
 def books_due(t: dict, as_of, policy) -> DataFrame:
@@ -282,7 +333,7 @@ def member_activity(t: dict, as_of, k: int = 10) -> DataFrame:
     """Latest k registrations and fine payments, with a sentence and age.
 
     Order: newest first, then kind, then the row's own key.  The top-k runs
-    before names are joined in.
+    before names are joined in, and ``fine`` and the members are cut to its keys.
     """
     d = as_date(as_of)
     reg = t["library_user"].filter(F.col("MembershipDate") <= d).select(
@@ -294,13 +345,12 @@ def member_activity(t: dict, as_of, k: int = 10) -> DataFrame:
         F.lit("Payment").alias("Kind"), F.col("PaymentDate").alias("EventDate"),
         F.col("PaymentID").alias("RefID"), F.lit(None).cast("int").alias("UserID"),
         "FineID", F.col("AmountPaid").alias("Amount"))
-    top = (reg.unionByName(pay)
-           .orderBy(F.col("EventDate").desc(), "Kind", "RefID").limit(k))
+    order = [F.col("EventDate").desc(), F.col("Kind"), F.col("RefID")]
+    top = _numbered(reg.unionByName(pay).orderBy(*order).limit(k), order)
     fines = t["fine"].select("FineID", F.col("UserID").alias("_fine_user"))
-    users = t["library_user"].select(F.col("UserID").alias("_uid"), F.col("Name").alias("Member"))
-    enriched = (top.join(fines, "FineID", "left")
-                .withColumn("UserID", F.coalesce("UserID", "_fine_user"))
-                .join(users, F.col("UserID") == F.col("_uid"), "left"))
+    users = t["library_user"].select("UserID", F.col("Name").alias("Member"))
+    known = _looked_up(top, fines, "FineID").withColumn("UserID", F.coalesce("UserID", "_fine_user"))
+    enriched = _looked_up(known, users, "UserID").orderBy("RowNo")
     who = F.coalesce(F.col("Member"), F.lit("Unknown member"))
     # Fixed sentence shapes from the librarian page.
     message = (F.when(F.col("Kind") == "Registration",
@@ -310,7 +360,7 @@ def member_activity(t: dict, as_of, k: int = 10) -> DataFrame:
     title = F.when(F.col("Kind") == "Registration", F.lit("New Member Registration")) \
              .otherwise(F.lit("Fine Payment"))
     return enriched.select(
-        "Kind", "EventDate", "RefID", "UserID", "Member", "Amount",
+        "RowNo", "Kind", "EventDate", "RefID", "UserID", "Member", "Amount",
         title.alias("Title"), message.alias("Message"),
         F.datediff(d, F.col("EventDate")).alias("AgeDays"))
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from circula.functions.common import as_date
 from circula.operators.quality import apply_defaults, conform, flag_rules
-from circula.operators.ranking import sequence_numbers
+from circula.operators.ranking import sequence_numbers, spread_join
 from circula.schema import table
 from circula.session import ensure_checkpoint_dir
 
@@ -45,9 +46,11 @@ def upsert(current: DataFrame, changes: DataFrame, key: Sequence[str], order_col
     map-side, so a key changed a million times costs one row per task.  Ties
     on the order columns go to the greatest change row.  Columns absent from
     the change rows keep the current value for an edit and take the declared
-    default (Q1) for an insert.
+    default (Q1) for an insert.  Changes with a null key part name no row and
+    are left out (see :func:`rejected_changes`).
     """
     key = list(key)
+    changes = changes.dropna(subset=key)
     change_cols = [c for c in changes.columns]
     payload = [c for c in change_cols if c not in key]
     ordering = F.struct(*[F.col(c) for c in order_cols], *[F.col(c) for c in change_cols])
@@ -71,6 +74,11 @@ def upsert(current: DataFrame, changes: DataFrame, key: Sequence[str], order_col
     return untouched.unionByName(changed)
 
 
+def rejected_changes(changes: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Q12: the changes that :func:`upsert` leaves out, a key part being null."""
+    return changes.filter(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in key]))
+
+
 def _default_expr(tname: str | None, column: str, as_of, current: DataFrame) -> Column:
     dtype = dict(current.dtypes)[column]
     if tname is None:
@@ -100,7 +108,7 @@ def normalize_signups(df: DataFrame, users: DataFrame, as_of) -> DataFrame:
     fields non-empty after trim; terms accepted; e-mail has exactly one '@'
     with text on both sides; e-mail (trimmed, lower-case) not already held by
     a user; e-mail not repeated earlier in the batch (lowest SubmissionID
-    kept).  Passwords are never carried.
+    kept, then the least row).  A submission delivered again counts once.  Passwords are never carried.
     """
     first, last = F.trim("firstName"), F.trim("lastName")
     email = F.lower(F.trim("email"))
@@ -114,12 +122,13 @@ def normalize_signups(df: DataFrame, users: DataFrame, as_of) -> DataFrame:
     base_reason = (F.when(missing, F.lit(SIGNUP_MISSING))
                    .when(~F.col("_terms"), F.lit(SIGNUP_TERMS))
                    .when(~F.col("Email").rlike(EMAIL_PATTERN), F.lit(SIGNUP_EMAIL)))
-    cleaned = cleaned.withColumn("Reason", base_reason).drop("_fields", "_terms")
+    # one submission delivered again is one submission
+    cleaned = cleaned.withColumn("Reason", base_reason).drop("_fields", "_terms").distinct()
 
     held = (users.filter(F.col("Email").isNotNull())
             .select(F.lower(F.trim("Email")).alias("Email")).distinct()
             .withColumn("_taken", F.lit(True)))
-    cleaned = cleaned.join(held, "Email", "left").withColumn(
+    cleaned = spread_join(cleaned, held, ["Email"], "left").withColumn(
         "Reason", F.coalesce(F.col("Reason"),
                              F.when(F.col("_taken"), F.lit(SIGNUP_TAKEN)))).drop("_taken")
 
@@ -127,11 +136,11 @@ def normalize_signups(df: DataFrame, users: DataFrame, as_of) -> DataFrame:
     # (combined map-side), joined back on (Email, SubmissionID) - one match
     # per row at most, and hashing on both columns spreads a hot e-mail.
     firsts = (cleaned.filter(F.col("Reason").isNull()).groupBy("Email")
-              .agg(F.min("SubmissionID").alias("SubmissionID"))
-              .withColumn("_first", F.lit(True)))
-    decided = cleaned.join(firsts, ["Email", "SubmissionID"], "left").withColumn(
-        "Reason", F.coalesce(F.col("Reason"),
-                             F.when(F.col("_first").isNull(), F.lit(SIGNUP_REPEAT))))
+              .agg(F.min(F.struct("SubmissionID", "Name", "Phone", "Street")).alias("_w"))
+              .select("Email", F.col("_w.SubmissionID").alias("SubmissionID"), "_w"))
+    decided = spread_join(cleaned, firsts, ["Email", "SubmissionID"], "left").withColumn(
+        "Reason", F.coalesce(F.col("Reason"), F.when(
+            ~F.struct("SubmissionID", "Name", "Phone", "Street").eqNullSafe(F.col("_w")), F.lit(SIGNUP_REPEAT))))
     return decided.select(
         "SubmissionID", "Name", "Email", "Phone", "Street",
         F.when(F.col("Reason").isNull(), F.lit("Active")).alias("AccountStatus"),

@@ -18,13 +18,14 @@ def due_dates(loans: DataFrame, policy) -> DataFrame:
 
 
 def status_label(as_of) -> F.Column:
-    """P2 label: Returned / On Time / Due Today / Overdue."""
+    """P2 label: Returned / On Time / Due Today / Overdue; null for an open
+    loan without a DueDate (resolve it with P1 first)."""
     d = as_date(as_of)
     returned = F.col("ReturnDate").isNotNull() & (F.col("ReturnDate") <= d)
     return (F.when(returned, F.lit("Returned"))
             .when(F.col("DueDate") > d, F.lit("On Time"))
             .when(F.col("DueDate") == d, F.lit("Due Today"))
-            .otherwise(F.lit("Overdue")))
+            .when(F.col("DueDate") < d, F.lit("Overdue")))
 
 
 def loan_status(loans: DataFrame, as_of, policy=None) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from circula.functions.common import as_date, key_text
+from circula.operators.ranking import spread_join
 from circula.schema import CURRENT_DATE, YEAR_MAX, YEAR_MIN, YEAR_ZERO, table
 
 VIOLATION_COLS = ("table_name", "rule", "row_key", "detail")
@@ -69,9 +70,27 @@ def apply_defaults(df: DataFrame, tname: str, as_of) -> DataFrame:
 
 def conform(df: DataFrame, tname: str) -> DataFrame:
     """Cast a table's columns to their declared types (for rows that passed
-    every check, so each value fits)."""
+    every check, so each value fits; one that does not would be null, as no
+    value may end the job)."""
     spec = table(tname)
-    return df.select(*[F.col(c).cast(t).alias(c) for c, t in spec.columns if c in df.columns])
+    return df.select(*[_fitted(df, c, t).alias(c) for c, t in spec.columns if c in df.columns])
+
+
+def _fitted(df: DataFrame, column: str, dtype) -> Column:
+    """The column as its declared type, null where the value does not fit;
+    decimals are rounded to their scale first."""
+    dtype = dtype if isinstance(dtype, str) else dtype.simpleString()
+    have = dict(df.dtypes)[column]
+    col = F.col(column)
+    if have == dtype:
+        return col
+    if have == "date" and dtype != "string" or have == "boolean":
+        return F.lit(None).cast(dtype)
+    if dtype.startswith("decimal"):
+        return F.round(col.try_cast("decimal(38,10)"), int(dtype.split(",")[1].rstrip(")"))).try_cast(dtype)
+    if dtype == "date" and have not in ("string", "timestamp", "timestamp_ntz"):
+        return F.lit(None).cast(dtype)  # a number is no date
+    return col.try_cast(dtype)
 
 
 # --------------------------------------------------------------------- Q2
@@ -100,7 +119,7 @@ def check_unique(df: DataFrame, tname: str) -> DataFrame:
         if column not in df.columns:
             continue
         reps = _repeated_values(df, column)
-        hit = df.join(reps, column)
+        hit = spread_join(df.filter(F.col(column).isNotNull()), reps, [column], "inner")
         frames.append(_violations(hit, tname, f"UNIQUE({column})",
                                   F.concat(F.col(column), F.lit(" x"), F.col("_n").cast("string"))))
     return _union(frames, df)
@@ -127,17 +146,26 @@ def _row_rules(df: DataFrame, tname: str, checks: tuple[str, ...]) -> list[tuple
             if c in cols:
                 rules.append((f"ENUM({c})", F.coalesce(~F.col(c).isin(*allowed), F.lit(False)),
                               F.concat(F.lit(f"{c}="), F.col(c))))
+    if "type" in checks:
+        for c, declared in spec.columns:
+            kind = declared.simpleString()
+            # a decimal that is a number but too large is Q7's, not a wrong type
+            wanted = "decimal(38,10)" if c in spec.decimals else kind
+            if c in cols and wanted != "string" and dict(df.dtypes)[c] != kind:
+                bad = F.col(c).isNotNull() & _fitted(df, c, wanted).isNull()
+                rules.append((f"TYPE({c} {kind})", bad, F.concat(F.lit(f"{c}="), F.col(c).cast("string"))))
     if "decimal" in checks:
         for c, (p, s) in spec.decimals.items():
             if c in cols:
-                # compare before any cast: an ANSI cast would fail the whole job
+                # the value as it would be stored, that is rounded to the scale
                 limit = F.lit(10 ** (p - s))
-                rules.append((f"DECIMAL({c},{p},{s})", F.coalesce(F.abs(F.col(c)) >= limit, F.lit(False)),
+                stored = F.round(F.col(c).try_cast("decimal(38,10)"), s)
+                rules.append((f"DECIMAL({c},{p},{s})", F.coalesce(F.abs(stored) >= limit, F.lit(False)),
                               F.concat(F.lit(f"{c}="), F.col(c).cast("string"))))
     if "year" in checks:
         for c in spec.years:
             if c in cols:
-                y = F.col(c)
+                y = _fitted(df, c, "int")
                 bad = ~(y.between(YEAR_MIN, YEAR_MAX) | (y == YEAR_ZERO))
                 rules.append((f"YEAR({c})", F.coalesce(bad, F.lit(False)),
                               F.concat(F.lit(f"{c}="), y.cast("string"))))
@@ -195,7 +223,8 @@ def check_foreign_key(child: DataFrame, parent: DataFrame, tname: str, fk=None)
     frames = []
     for f in fks:
         p = parent[f.parent] if isinstance(parent, dict) else parent
-        keys = p.select(*[F.col(pc).alias(cc) for cc, pc in zip(f.columns, f.parent_columns)]).distinct()
+        # an anti join needs no distinct parents, and without it AQE can split a hot key
+        keys = p.select(*[F.col(pc).alias(cc) for cc, pc in zip(f.columns, f.parent_columns)])
         nonnull = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in f.columns])
         orphans = child.filter(nonnull).join(keys, list(f.columns), "left_anti")
         detail = F.concat(F.lit(f"{'|'.join(f.columns)}="), key_text(*f.columns))
@@ -205,49 +234,61 @@ def check_foreign_key(child: DataFrame, parent: DataFrame, tname: str, fk=None)
 
 # --------------------------------------------------------------------- Q10
 def flag_rules(t: dict, df: DataFrame, tname: str) -> DataFrame:
-    """Every rule of Q2-Q9 as a flag on the row; adds ``BrokenRules`` (array)."""
+    """Every rule of Q2-Q9 as a flag on the row, and whether each value fits its
+    declared type; adds ``BrokenRules`` (array).  Keys are compared as
+    their declared types, so no value can fail the comparison."""
     spec = table(tname)
     pk = list(spec.primary_key)
-    flagged = df
-    names: list[tuple[str, Column]] = []
+    # the per-row rules are read off the raw values
+    names = [(name, bad) for name, bad, _ in
+             _row_rules(df, tname, ("type", "not_null", "length", "enum", "decimal", "year"))]
+    types = dict(spec.columns)
+    keys = list(dict.fromkeys([*pk, *[c for c in spec.unique if c in df.columns],
+                               *[c for f in spec.foreign_keys for c in f.columns if c in df.columns]]))
+    typed = {c: f"_key_{c}" for c in keys}
+    flagged = df.select(*df.columns, F.array(*[F.when(b, F.lit(n)) for n, b in names]).cast("array<string>").alias("_rules"),
+                        *[_fitted(df, c, types[c]).alias(typed[c]) for c in keys])
+    marks: list[tuple[str, Column]] = []
     if CORRUPT in df.columns:
-        names.append(("PARSE", F.col(CORRUPT).isNotNull()))
+        marks.append(("PARSE", F.col(CORRUPT).isNotNull()))
 
     # Q2: null key parts, and every row of a repeated key
-    any_null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in pk])
-    names.append(("PRIMARY KEY(null)", any_null))
-    reps = (df.filter(~any_null).groupBy(*pk).agg(F.count(F.lit(1)).alias("_n"))
-            .filter(F.col("_n") > 1).select(*pk, F.lit(True).alias("_pk_rep")))
-    flagged = flagged.join(reps, pk, "left")
-    names.append(("PRIMARY KEY(repeated)", F.coalesce(F.col("_pk_rep"), F.lit(False))))
+    parts = [typed[c] for c in pk]
+    any_null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in parts])
+    marks.append(("PRIMARY KEY(null)", any_null))
+    flagged = _marked(flagged, flagged.filter(~any_null), parts, "_pk_rep")
+    marks.append(("PRIMARY KEY(repeated)", F.coalesce(F.col("_pk_rep"), F.lit(False))))
 
     # Q3: repeated non-null unique values
     for column in spec.unique:
         if column in df.columns:
             flag = f"_uq_{column}"
-            reps_u = _repeated_values(df, column).select(column, F.lit(True).alias(flag))
-            flagged = flagged.join(reps_u, column, "left")
-            names.append((f"UNIQUE({column})", F.coalesce(F.col(flag), F.lit(False))))
-
-    # Q4-Q8: per-row expressions
-    for name, bad, _ in _row_rules(df, tname, ("not_null", "length", "enum", "decimal", "year")):
-        names.append((name, bad))
+            flagged = _marked(flagged, flagged.filter(F.col(typed[column]).isNotNull()), [typed[column]], flag)
+            marks.append((f"UNIQUE({column})", F.coalesce(F.col(flag), F.lit(False))))
 
     # Q9: left join to the distinct parent keys
+    orphans: list[tuple[str, Column]] = []
     for i, f in enumerate(spec.foreign_keys):
         if f.parent not in t or not all(c in df.columns for c in f.columns):
             continue
-        flag = f"_fk{i}"
-        keys = (t[f.parent].select(*[F.col(pc).alias(cc) for cc, pc in zip(f.columns, f.parent_columns)])
-                .distinct().withColumn(flag, F.lit(True)))
-        flagged = flagged.join(keys, list(f.columns), "left")
-        nonnull = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in f.columns])
-        names.append((f"FOREIGN KEY({','.join(f.columns)}->{f.parent})",
-                      nonnull & F.col(flag).isNull()))
-
-    broken = F.filter(F.array(*[F.when(b, F.lit(n)) for n, b in names]), lambda x: x.isNotNull())
-    helper = [c for c in flagged.columns if c.startswith("_") and c != CORRUPT]
-    return flagged.withColumn("BrokenRules", broken).drop(*helper).select(*df.columns, "BrokenRules")
+        flag, own = f"_fk{i}", [typed[c] for c in f.columns]
+        parents = (t[f.parent].select(*[F.col(pc).cast(types[cc]).alias(typed[cc])
+                                        for cc, pc in zip(f.columns, f.parent_columns)])
+                   .distinct().withColumn(flag, F.lit(True)))
+        flagged = spread_join(flagged, parents, own, "left")
+        nonnull = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in own])
+        orphans.append((f"FOREIGN KEY({','.join(f.columns)}->{f.parent})", nonnull & F.col(flag).isNull()))
+
+    lists = [F.array(*[F.when(b, F.lit(n)) for n, b in part]) for part in (marks, orphans) if part]
+    broken = F.concat(lists[0], F.col("_rules"), *lists[1:])
+    return flagged.select(*df.columns, F.filter(broken, lambda x: x.isNotNull()).alias("BrokenRules"))
+
+
+def _marked(rows: DataFrame, among: DataFrame, keys: list[str], flag: str) -> DataFrame:
+    """``rows`` with ``flag`` true where their key is in ``among`` more than once."""
+    reps = (among.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
+            .select(*keys, F.lit(True).alias(flag)))
+    return spread_join(rows, reps, keys, "left")
 
 
 def split_valid(t: dict, tname: str, df: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

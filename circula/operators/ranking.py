@@ -36,6 +36,24 @@ def _sort_col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+    """``left.join(right, on, how)`` whose hot keys AQE can split.
+
+    A side that was just grouped on the key needs no exchange, and then Spark
+    cannot split the other side.  Joining on a hash of the key as well puts an
+    exchange under both sides.  Rows of ``left`` with a null in the key match
+    nothing; their hash is that of the whole row, so they spread.
+    """
+    keys = list(on)
+    some_null = F.lit(False)
+    for k in keys:
+        some_null = some_null | F.col(k).isNull()
+    scalar = [c for c, kind in left.dtypes if not kind.startswith(("map", "variant"))]
+    lhs = left.withColumn("_spread", F.when(some_null, F.xxhash64(*scalar)).otherwise(F.xxhash64(*keys)))
+    rhs = right.withColumn("_spread", F.xxhash64(*keys))
+    return lhs.join(rhs, ["_spread", *keys], how).drop("_spread")
+
+
 def top_k_per_group(df: DataFrame, partition_cols: Sequence[str], order_cols: Sequence,
                     k: int, rank_col: str = "Rank") -> DataFrame:
     """Keep the first ``k`` rows of each group in a total order."""

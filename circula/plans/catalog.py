@@ -176,7 +176,8 @@ def _a8(t, spark):
 
 @query("a9_recent_reports", f"""WITH top AS (SELECT ReportID, Type, GenerationDate, GeneratedBy FROM report
    WHERE GenerationDate <= {{D}} ORDER BY GenerationDate DESC, ReportID DESC LIMIT 10)
-SELECT r.ReportID, r.Type, r.GenerationDate, r.GeneratedBy, e.Name AS Author,
+SELECT row_number() OVER (ORDER BY r.GenerationDate DESC, r.ReportID DESC) AS RowNo,
+ r.ReportID, r.Type, r.GenerationDate, r.GeneratedBy, e.Name AS Author,
  CAST(date_diff('day', r.GenerationDate, {{D}}) AS INTEGER) AS AgeDays, {_age('r.GenerationDate')} AS Age
  FROM top r LEFT JOIN employee e ON r.GeneratedBy = e.EmployeeID""")
 def _a9(t, spark):
@@ -185,7 +186,8 @@ def _a9(t, spark):
 
 @query("a10_activity_log", """WITH top AS (SELECT * FROM processed_by WHERE ActionDate <= {D}
    ORDER BY ActionDate DESC, ProcessID DESC LIMIT 20)
-SELECT a.ProcessID, a.EmployeeID, e.Name AS EmployeeName, a.EntityType, a.EntityID, a.ActionDate,
+SELECT row_number() OVER (ORDER BY a.ActionDate DESC, a.ProcessID DESC) AS RowNo,
+ a.ProcessID, a.EmployeeID, e.Name AS EmployeeName, a.EntityType, a.EntityID, a.ActionDate,
  CAST(date_diff('day', a.ActionDate, {D}) AS INTEGER) AS AgeDays
  FROM top a LEFT JOIN employee e ON a.EmployeeID = e.EmployeeID""")
 def _a10(t, spark):
@@ -202,11 +204,11 @@ def _a11(t, spark):
 
 
 @query("a12_staff_activity", """WITH a AS (SELECT EmployeeID, count(*) FILTER (WHERE EntityType = 'Loan') AS l,
-   count(*) FILTER (WHERE EntityType = 'Reservation') AS r, count(*) FILTER (WHERE EntityType = 'Book') AS b
+   count(*) FILTER (WHERE EntityType = 'Reservation') AS r, count(*) FILTER (WHERE EntityType = 'Book') AS b, count(*) AS n
    FROM processed_by GROUP BY EmployeeID)
 SELECT e.EmployeeID, e.Name, CAST(coalesce(a.l, 0) AS BIGINT) AS LoanActions,
  CAST(coalesce(a.r, 0) AS BIGINT) AS ReservationActions, CAST(coalesce(a.b, 0) AS BIGINT) AS BookActions,
- CAST(coalesce(a.l, 0) + coalesce(a.r, 0) + coalesce(a.b, 0) AS BIGINT) AS TotalActions
+ CAST(coalesce(a.n, 0) AS BIGINT) AS TotalActions
  FROM employee e LEFT JOIN a ON e.EmployeeID = a.EmployeeID""")
 def _a12(t, spark):
     return figures.staff_activity(t)
@@ -243,7 +245,8 @@ TX_SQL = """items AS (SELECT l.LoanID, l.UserID, l.CheckoutDate, l.DueDate, l.Re
    CASE WHEN ReturnDate IS NOT NULL AND ReturnDate <= {D} THEN 'Returned' ELSE 'Active' END AS Status FROM items
    UNION ALL SELECT LoanID, UserID, ISBN, 'Return', ReturnDate, CAST(NULL AS DATE), 'Returned' FROM items
    WHERE ReturnDate IS NOT NULL AND ReturnDate <= {D})"""
-TX_ENRICH = f"""SELECT {_code('#TRX', 't.LoanID', 3)} AS TransactionID, t.LoanID, t.UserID, u.Name AS Member, t.ISBN, b.Title,
+TX_ENRICH = f"""SELECT row_number() OVER (ORDER BY t.TxDate DESC, t.LoanID DESC, t.TxType, t.ISBN) AS RowNo,
+ {_code('#TRX', 't.LoanID', 3)} AS TransactionID, t.LoanID, t.UserID, u.Name AS Member, t.ISBN, b.Title,
  t.TxType, t.TxDate, t.DueDate, t.Status
  FROM top t LEFT JOIN library_user u ON t.UserID = u.UserID LEFT JOIN book b ON t.ISBN = b.ISBN"""
 
@@ -294,7 +297,8 @@ def _l7(t, spark):
  top AS (SELECT * FROM ev ORDER BY EventDate DESC, Kind, RefID LIMIT 10),
  en AS (SELECT t.Kind, t.EventDate, t.RefID, coalesce(t.UserID, f.UserID) AS UserID, t.Amount
    FROM top t LEFT JOIN fine f ON t.FineID = f.FineID)
-SELECT en.Kind, en.EventDate, en.RefID, en.UserID, u.Name AS Member, en.Amount,
+SELECT row_number() OVER (ORDER BY en.EventDate DESC, en.Kind, en.RefID) AS RowNo,
+ en.Kind, en.EventDate, en.RefID, en.UserID, u.Name AS Member, en.Amount,
  CASE WHEN en.Kind = 'Registration' THEN 'New Member Registration' ELSE 'Fine Payment' END AS Title,
  CASE WHEN en.Kind = 'Registration' THEN coalesce(u.Name, 'Unknown member') || ' registered as a new member'
       ELSE coalesce(u.Name, 'Unknown member') || ' paid $' || format('{:,.2f}', CAST(en.Amount AS DOUBLE)) || ' in late fees' END AS Message,
@@ -809,6 +813,15 @@ def _t2(t, spark):
     return circulation.fold_circulation(t["circulation_event"], _pol(t))[0]
 
 
+@query("t2_fold_rejects", f"""WITH {T2_SQL.replace("EventDate IS NOT NULL", "EventDate IS NOT NULL AND NOT (Kind = 'ISSUE' AND LoanID % 13 = 0)", 1)}
+SELECT LoanID, 'no ISSUE event' AS Reason FROM pl WHERE CheckoutDate IS NULL""")
+def _t2r(t, spark):
+    """The fold's reject frame: loans without an ISSUE, of all events but the
+    issues of every 13th loan."""
+    ev = t["circulation_event"].filter("NOT (Kind = 'ISSUE' AND LoanID % 13 = 0)")
+    return circulation.fold_circulation(ev, _pol(t))[1]
+
+
 # ============================================================ F: formats ======
 from circula.functions import formats as fmt  # noqa: E402
 
@@ -865,8 +878,8 @@ def _s1(t, spark):
 @query("s2_write_report", """SELECT CAST(date_trunc('month', PaymentDate) AS DATE) AS Month, PaymentMethod,
  count(*) AS Payments, CAST(coalesce(sum(AmountPaid), 0) AS DECIMAL(18,2)) AS Amount FROM payment GROUP BY 1, 2""")
 def _s2(t, spark):
-    """A7's monthly revenue appended as one Report row (JSON content), then
-    the stored report read back and its content decoded into rows."""
+    """A7's monthly revenue stored as a report (a Report row and JSON parts),
+    then the stored report read back and its parts decoded into rows."""
     from circula.sources.paths import scratch_dir
     from circula.sources.reports import read_report_rows, write_report
     path = scratch_dir(spark, "s2-report")
@@ -875,41 +888,67 @@ def _s2(t, spark):
                             "Month: date, PaymentMethod: string, Payments: bigint, Amount: decimal(18,2)")
 
 
+@query("s2_write_report_members", f"""WITH ob AS ({OPEN_BOOKS}),
+ uf AS (SELECT UserID, sum(Amount) AS s FROM fine WHERE Status = 'Unpaid' GROUP BY UserID)
+SELECT {_code('M', 'u.UserID', 4)} AS MemberCode, u.UserID, u.Name, u.AccountStatus, u.City,
+ coalesce(ob.OpenBooks, 0) AS OpenBooks, CAST(coalesce(uf.s, 0) AS DECIMAL(18,2)) AS UnpaidFines
+ FROM library_user u LEFT JOIN ob ON u.UserID = ob.UserID LEFT JOIN uf ON u.UserID = uf.UserID""")
+def _s2m(t, spark):
+    """L9's full member list stored as a report in JSON parts, and every row read back."""
+    from circula.sources.paths import scratch_dir
+    from circula.sources.reports import read_report_rows, write_report
+    path = scratch_dir(spark, "s2-members")
+    row = write_report(figures.member_list(t, AS_OF), "Members", 2, AS_OF, path).first()
+    return read_report_rows(spark, path, row.ReportID,
+                            "MemberCode: string, UserID: int, Name: string, AccountStatus: string, City: string, "
+                            "OpenBooks: bigint, UnpaidFines: decimal(18,2)")
+
+
 # ========================================================== W: streaming ======
 @query("w1_stream_daily_counts", """SELECT CAST(ts AS DATE) AS Day, event_type AS Kind, count(*) AS Events FROM events GROUP BY 1, 2""")
 def _w1(t, spark):
-    """Daily counts per event kind, run as a stream over the events file."""
+    """Daily counts per event kind, run as a stream over the events in four
+    files by time, a micro-batch each."""
     from circula.sources.paths import scratch_dir
     from circula.streaming.daily_counts import read_daily_counts, stream_daily_counts
     base = scratch_dir(spark, "w1")
-    stream_daily_counts(spark, t.sf_dir, f"{base}/sink", f"{base}/checkpoint", delay="1 day",
-                        glob="events.parquet")
+    events = spark.read.parquet(f"{t.sf_dir}/events.parquet")
+    cuts = events.select(F.percentile_approx(F.unix_timestamp(F.col("ts").cast("timestamp")),
+                                             [0.25, 0.5, 0.75]).alias("q")).first()["q"]
+    at = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    for lo, hi in zip([None, *cuts], [*cuts, None], strict=True):
+        part = events if lo is None else events.filter(at > lo)
+        part = part if hi is None else part.filter(at <= hi)
+        part.coalesce(1).write.mode("append").parquet(f"{base}/source")
+    stream_daily_counts(spark, f"{base}/source", f"{base}/sink", f"{base}/checkpoint", delay="1 day",
+                        max_files_per_trigger=1)
     return read_daily_counts(spark, f"{base}/sink")
 
 
-@query("w2_stream_circulation", f"WITH {T2_SQL}\n{T2_SELECT}")
-def _w2(t, spark):
-    """Loan state kept current by a stream over the circulation events
-    (several micro-batches); the final state equals the batch fold (T2)."""
+def _w2_stream(t, spark, parts):
+    """Run W2 over the parts, a micro-batch each, and return the current loans."""
     from circula.sources.paths import scratch_dir
     from circula.streaming.circulation_stream import current_loans, stream_circulation
     base = scratch_dir(spark, "w2")
-    t["circulation_event"].repartition(4, "LoanID").write.parquet(f"{base}/source")
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(f"{base}/source")
     stream_circulation(spark, f"{base}/source", f"{base}/state", f"{base}/checkpoint", _pol(t),
                        max_files_per_trigger=1)
     return current_loans(spark, f"{base}/state")
 
 
+@query("w2_stream_circulation", f"WITH {T2_SQL}\n{T2_SELECT}")
+def _w2(t, spark):
+    """Loan state kept current by a stream over the circulation events in
+    four micro-batches; the final state equals the batch fold (T2)."""
+    ev = t["circulation_event"]
+    return _w2_stream(t, spark, [ev.filter(F.pmod("LoanID", F.lit(4)) == k) for k in range(4)])
+
+
 @query("w2_stream_loan_state", f"WITH {T2_SQL}\n{T2_SELECT}")
 def _w2s(t, spark):
-    """Loan state kept current by a keyed-state stream (applyInPandasWithState)
-    over the circulation events in several micro-batches; the final state
-    equals the batch fold (T2)."""
-    from circula.sources.paths import scratch_dir
-    from circula.streaming.circulation_stream import current_loans
-    from circula.streaming.loan_state import stream_loan_state
-    base = scratch_dir(spark, "w2s")
-    t["circulation_event"].repartition(4, "LoanID").write.parquet(f"{base}/source")
-    stream_loan_state(spark, f"{base}/source", f"{base}/state", f"{base}/checkpoint", _pol(t),
-                      max_files_per_trigger=1)
-    return current_loans(spark, f"{base}/state")
+    """The same when returns and renewals come before the issues, and some
+    issues come again: the final state still equals the batch fold (T2)."""
+    ev = t["circulation_event"]
+    return _w2_stream(t, spark, [ev.filter("Kind = 'RETURN'"), ev.filter("Kind = 'RENEW'"),
+                                 ev.filter("Kind = 'ISSUE'"), ev.filter("Kind = 'ISSUE' AND LoanID % 3 = 0")])

@@ -32,3 +32,8 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     on a cluster: ``spark.checkpoint.dir`` names shared storage)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)

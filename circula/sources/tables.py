@@ -21,8 +21,11 @@ def load_table(spark: SparkSession, name: str, path: str, fmt: str = "parquet",
       files hold, in their stored types and declared order; absent columns
       stay absent so Q1 can add them with their defaults, and values that do
       not fit their declared type yet are left for the checks to report.
-    * csv: header row, declared schema, PERMISSIVE mode; a row that does not
-      parse keeps its raw text in ``_corrupt_record`` (null for good rows).
+    * csv: columns are taken by the header's names, whatever their order;
+      declared columns that the header lacks stay absent (Q1 adds them) and
+      other columns are left out.  All files must have the first one's header.  A row
+      whose number of fields is wrong, or with a value that does not fit its
+      declared type, keeps its raw text in ``_corrupt_record`` (null for good rows).
     """
     spec = table(name)
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in spec.schema])
@@ -33,15 +36,24 @@ def load_table(spark: SparkSession, name: str, path: str, fmt: str = "parquet",
         have = set(raw.columns)
         return raw.select(*[F.col(c) for c, _ in spec.columns if c in have])
     if fmt == "csv":
-        with_corrupt = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType(), True)])
-        return (spark.read.schema(with_corrupt)
-                .option("header", True).option("mode", "PERMISSIVE")
-                .option("columnNameOfCorruptRecord", CORRUPT)
-                .option("dateFormat", "yyyy-MM-dd")
-                .csv(path))
+        return _load_csv(spark, spec, path)
     raise ValueError(f"unsupported format {fmt!r}; use 'parquet' or 'csv'")
 
 
+def _load_csv(spark: SparkSession, spec, path: str) -> DataFrame:
+    header = spark.read.option("header", True).csv(path).columns
+    text = T.StructType([T.StructField(c, T.StringType(), True) for c in [*header, CORRUPT]])
+    raw = (spark.read.schema(text).option("header", True).option("mode", "PERMISSIVE")
+           .option("enforceSchema", False).option("columnNameOfCorruptRecord", CORRUPT).csv(path))
+    have = [(c, kind) for c, kind in spec.columns if c in header]
+    misfit = F.lit(False)
+    for c, kind in have:
+        misfit = misfit | (F.col(c).isNotNull() & F.col(c).try_cast(kind).isNull())
+    line = F.concat_ws(",", *[F.coalesce(F.col(c), F.lit("")) for c in header])
+    return raw.select(*[F.col(c).try_cast(kind).alias(c) for c, kind in have],
+                      F.coalesce(F.col(CORRUPT), F.when(misfit, line)).alias(CORRUPT))
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None,
                 mode: str = "overwrite") -> None:
     """Write a table (parquet, or CSV with a header), optionally partitioned."""

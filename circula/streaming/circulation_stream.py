@@ -1,20 +1,17 @@
 """Keep Loan rows current from a stream of ISSUE / RENEW / RETURN events.
 
-Per micro-batch (``foreachBatch``):
-
-1. the batch's events not yet kept (by LoanID, Kind, Seq, EventDate) are
-   appended to the event store under ``events/batch=<id>/bucket=<b>``; the
-   buckets the batch touches (a bounded set of LoanID buckets) become a
-   partition filter, so the anti-join and the re-fold read only those
-   buckets of the history;
-2. the loans touched by the batch are re-folded with T2 over all their kept
-   events;
-3. the re-folded rows are appended under ``loans/batch=<id>``.
-
-The current Loan table is the newest row per LoanID over all batches (an
-aggregate, combined map-side).  A batch replayed after a failure rewrites
-exactly its own ``batch=<id>`` folders, so replays are safe.  No watermark:
-a late event still counts, as in the batch fold.
+The stream is T2's own aggregation (``loan_facts``) in update mode: one group
+per LoanID, whose state is the earliest issue, the earliest return and the
+distinct renewals, kept in the RocksDB state store.  A micro-batch costs its
+own events and the touched loans' state, however long the history is, and
+no event history is read again.  The fold is order-free, so late, repeated
+and replayed events do no harm, and no watermark is needed.
+
+Each micro-batch writes the loans it changed under ``loans/batch=<id>`` and
+events without a LoanID under ``rejects/batch=<id>``; a replayed batch
+rewrites its own folders.  The current Loan table is the newest row per
+LoanID (an aggregate, combined map-side) over the finished folders (those with
+Spark's ``_SUCCESS`` mark).  ``compact`` folds the finished folders into one.
 """
 
 from __future__ import annotations
@@ -23,100 +20,90 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from circula.functions.common import read_policy
-from circula.operators.circulation import fold_circulation
-from circula.sources.paths import list_dirs
+from circula.operators.circulation import due_from_facts, loan_facts
+from circula.sources.paths import delete_path, list_dirs, path_exists
 
 EVENT_SCHEMA = "LoanID INT, UserID INT, Kind STRING, EventDate DATE, Seq INT"
 LOAN_SCHEMA = "LoanID INT, UserID INT, CheckoutDate DATE, DueDate DATE, ReturnDate DATE, Renewals BIGINT"
-# stored layouts, partition columns last (explicit, so an empty batch folder reads fine)
-STORED_EVENTS = EVENT_SCHEMA + ", batch INT, bucket INT"
-STORED_LOANS = LOAN_SCHEMA + ", batch INT"
-EVENT_KEY = ["LoanID", "Kind", "Seq", "EventDate"]
-BUCKETS = 64
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _batch_dirs(spark: SparkSession, root: str, below: int | None = None) -> list[str]:
-    out = []
-    for d in list_dirs(spark, root):
-        if d.startswith("batch="):
-            b = int(d.split("=", 1)[1])
-            if below is None or b < below:
-                out.append(f"{root}/{d}")
-    return out
+def _finished(spark: SparkSession, root: str) -> list[str]:
+    """Batch folders that were written to the end, oldest first."""
+    dirs = [d for d in list_dirs(spark, root) if d.startswith("batch=")]
+    return sorted((d for d in dirs if path_exists(spark, f"{root}/{d}/_SUCCESS")),
+                  key=lambda d: int(d.split("=", 1)[1]))
+
+
+def _read(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    dirs = _finished(spark, root)
+    if not dirs:
+        return spark.createDataFrame([], f"{schema}, batch INT")
+    return (spark.read.schema(f"{schema}, batch INT").option("basePath", root)
+            .parquet(*[f"{root}/{d}" for d in dirs]))
 
 
 def current_loans(spark: SparkSession, state: str) -> DataFrame:
-    """Newest folded row per LoanID over all batches."""
-    root = f"{state.rstrip('/')}/loans"
-    paths = list_dirs(spark, root)
-    if not any(p.startswith("batch=") for p in paths):
-        return spark.createDataFrame([], LOAN_SCHEMA)
-    loans = spark.read.schema(STORED_LOANS).parquet(root)
+    """Newest row per LoanID over all finished batches."""
+    loans = _read(spark, f"{state.rstrip('/')}/loans", LOAN_SCHEMA)
     cols = [c for c in loans.columns if c not in ("LoanID", "batch")]
     newest = loans.groupBy("LoanID").agg(F.max_by(F.struct(*cols), "batch").alias("_r"))
-    return newest.select("LoanID", *[F.col(f"_r.{c}").alias(c) for c in cols]).filter(
-        F.col("CheckoutDate").isNotNull())
+    return newest.select("LoanID", *[F.col(f"_r.{c}").alias(c) for c in cols])
 
 
-def make_batch_handler(state: str, policy, buckets: int = BUCKETS):
-    policy = read_policy(policy)
-    state = state.rstrip("/")
-    ev_root, loan_root = f"{state}/events", f"{state}/loans"
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        s = batch.sparkSession
-        incoming = (batch.select("LoanID", "UserID", "Kind", "EventDate", "Seq")
-                    .dropDuplicates(EVENT_KEY)
-                    .withColumn("bucket", F.pmod(F.col("LoanID"), F.lit(buckets))))
-        # the buckets this batch touches: at most ``buckets`` small ints, so a
-        # bounded collect; they become a partition filter on the event store
-        touched_buckets = sorted(r[0] for r in incoming.select("bucket").distinct().collect())
-        if _batch_dirs(s, ev_root, below=batch_id) and touched_buckets:
-            # partition pruning on batch and bucket; a half-written folder of
-            # this very batch (from a failed attempt) is excluded by the filter
-            kept = (s.read.schema(STORED_EVENTS).parquet(ev_root)
-                    .filter((F.col("batch") < batch_id) & F.col("bucket").isin(touched_buckets))
-                    .drop("batch"))
-        else:
-            kept = s.createDataFrame([], EVENT_SCHEMA + ", bucket INT")
-        fresh = incoming.join(kept.select(*EVENT_KEY, "bucket"), [*EVENT_KEY, "bucket"], "left_anti")
-        fresh.write.mode("overwrite").partitionBy("bucket").parquet(f"{ev_root}/batch={batch_id}")
-        written = s.read.schema(EVENT_SCHEMA + ", bucket INT").parquet(f"{ev_root}/batch={batch_id}")
-        touched = written.select("LoanID", "bucket").distinct()
-        history = kept.unionByName(written.select(*kept.columns))
-        events = history.join(touched, ["LoanID", "bucket"], "left_semi").drop("bucket")
-        loans, rejects = fold_circulation(events, policy)
-        # Loans whose ISSUE has not arrived yet are kept as placeholders
-        # (null CheckoutDate) so a later batch can complete them.
-        pending = rejects.select("LoanID").join(loans.select("LoanID"), "LoanID", "left_anti")
-        placeholder = pending.select(
-            "LoanID", F.lit(None).cast("int").alias("UserID"), F.lit(None).cast("date").alias("CheckoutDate"),
-            F.lit(None).cast("date").alias("DueDate"), F.lit(None).cast("date").alias("ReturnDate"),
-            F.lit(None).cast("bigint").alias("Renewals"))
-        loans.unionByName(placeholder).write.mode("overwrite").parquet(f"{loan_root}/batch={batch_id}")
-
-    return handle
+def rejected_events(spark: SparkSession, state: str) -> DataFrame:
+    """Events without a LoanID, over all finished batches."""
+    return _read(spark, f"{state.rstrip('/')}/rejects", EVENT_SCHEMA).drop("batch")
+
+
+def compact(spark: SparkSession, state: str) -> None:
+    """Write the current loans as the newest finished batch's folder and remove
+    the older ones.  Run it while the stream is stopped: a stream that is restarted
+    goes on with higher batch numbers."""
+    root = f"{state.rstrip('/')}/loans"
+    dirs = _finished(spark, root)
+    if len(dirs) < 2:
+        return
+    ready = f"{state.rstrip('/')}/compacted"
+    current_loans(spark, state).write.mode("overwrite").parquet(ready)
+    # a stop in between leaves either the old folders or a whole newest one
+    spark.read.parquet(ready).write.mode("overwrite").parquet(f"{root}/{dirs[-1]}")
+    for d in dirs[:-1]:
+        delete_path(spark, f"{root}/{d}")
+    delete_path(spark, ready)
 
 
 def stream_circulation(spark: SparkSession, source_dir: str, state: str, checkpoint: str, policy,
-                       max_files_per_trigger: int | None = None, available_now: bool = True,
-                       buckets: int = BUCKETS):
+                       max_files_per_trigger: int | None = None, available_now: bool = True):
     """Run W2 over parquet event files in ``source_dir``; returns the query.
 
-    ``buckets`` sets the LoanID buckets of the event store (fixed for the
-    life of a state folder).  Pruning pays off when a batch touches few
-    buckets; when busy batches touch them all, the keyed-state form
-    (``loan_state.stream_loan_state``) keeps the per-batch cost independent
-    of the history.
+    The session's state store provider is set to RocksDB, so that the state
+    of many loans lies on disk and in the checkpoint, not in the heap.
     """
-    reader = spark.readStream.schema(EVENT_SCHEMA)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    events = reader.parquet(source_dir)
-    writer = (events.writeStream.foreachBatch(make_batch_handler(state, policy, buckets))
-              .option("checkpointLocation", checkpoint))
-    writer = writer.trigger(availableNow=True) if available_now else writer
-    q = writer.start()
+    policy = read_policy(policy)
+    state = state.rstrip("/")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
+    def events():
+        reader = spark.readStream.schema(EVENT_SCHEMA)
+        if max_files_per_trigger:
+            reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+        return reader.parquet(source_dir)
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        due_from_facts(batch, policy).write.mode("overwrite").parquet(f"{state}/loans/batch={batch_id}")
+
+    def start(frame: DataFrame, name: str):
+        writer = frame.option("checkpointLocation", f"{checkpoint}/{name}")
+        return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+    def refuse(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{state}/rejects/batch={batch_id}")
+
+    query = start(loan_facts(events().filter(F.col("LoanID").isNotNull()))
+                  .writeStream.outputMode("update").foreachBatch(keep), "loans")
+    refused = start(events().filter(F.col("LoanID").isNull()).writeStream.foreachBatch(refuse), "rejects")
     if available_now:
-        q.awaitTermination()
-    return q
+        query.awaitTermination()
+        refused.awaitTermination()
+    return query

@@ -4,8 +4,10 @@ A watermarked tumbling-window count in ``update`` mode; every micro-batch
 upserts the changed (day, kind) rows into the sink by key.  The sink is a
 plain parquet folder, so each batch writes a new version folder named by its
 batch id (a replayed batch rewrites the same folder - idempotent) holding
-the previous version minus the changed keys plus the changed rows.  State is
-one row per (day, kind) and old days are dropped by the watermark.
+the previous version minus the changed keys plus the changed rows.  Only
+versions with Spark's ``_SUCCESS`` mark are read, so a version that a failed
+attempt left half-written never is, and versions before the previous one are
+removed.  State is one row per (day, kind) and old days are dropped by the watermark.
 
 Late data: events inside ``delay`` always count (so the result equals the
 batch count when no event is later than that); Spark drops an event that is
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from circula.sources.paths import list_dirs
+from circula.sources.paths import delete_path, list_dirs, path_exists
 
 EVENTS_SCHEMA = ("event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, "
                  "value DOUBLE, props STRING")
@@ -50,10 +52,16 @@ def _version(batch_id: int) -> str:
 
 
 def latest_version(spark: SparkSession, sink: str) -> str | None:
-    versions = [d for d in list_dirs(spark, sink) if d.startswith("v")]
+    versions = _finished(spark, sink)
     return f"{sink.rstrip('/')}/{versions[-1]}" if versions else None
 
 
+def _finished(spark: SparkSession, sink: str) -> list[str]:
+    """Versions that were written to the end, oldest first."""
+    return [d for d in list_dirs(spark, sink)
+            if d.startswith("v") and path_exists(spark, f"{sink.rstrip('/')}/{d}/_SUCCESS")]
+
+
 def read_daily_counts(spark: SparkSession, sink: str) -> DataFrame:
     path = latest_version(spark, sink)
     if path is None:
@@ -79,16 +87,14 @@ def stream_daily_counts(spark: SparkSession, source_dir: str, sink: str, checkpo
     def upsert(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession
         changed = batch.select(window_day("w").alias("Day"), "Kind", "Events")
-        prev = None
-        for v in reversed([d for d in list_dirs(s, sink) if d.startswith("v")]):
-            if v < _version(batch_id):
-                prev = f"{sink.rstrip('/')}/{v}"
-                break
+        before = [v for v in _finished(s, sink) if v < _version(batch_id)]
         merged = changed
-        if prev is not None:
-            merged = (s.read.parquet(prev).join(changed.select("Day", "Kind"), ["Day", "Kind"], "left_anti")
+        if before:
+            merged = (s.read.parquet(f"{sink.rstrip('/')}/{before[-1]}").join(changed.select("Day", "Kind"), ["Day", "Kind"], "left_anti")
                       .unionByName(changed))
         merged.write.mode("overwrite").parquet(f"{sink.rstrip('/')}/{_version(batch_id)}")
+        for v in before[:-1]:  # the previous one stays for a replay of this batch
+            delete_path(s, f"{sink.rstrip('/')}/{v}")
 
     writer = (counts.writeStream.outputMode("update").foreachBatch(upsert)
               .option("checkpointLocation", checkpoint))

@@ -108,6 +108,155 @@ def test_transaction_history_pages_by_key(fx):
     assert [key(r) for r in p1 + p2] == [key(r) for r in both]
 
 
+def test_recent_lists_come_in_order_without_broadcasts(spark, fx, tmp_path):
+    from circula.sources.tables import load_table, write_table
+    stored = {}
+    for n in ("loan", "loan_item", "library_user", "book", "report", "employee", "processed_by", "payment", "fine"):
+        write_table(fx[n], f"{tmp_path}/{n}")
+        stored[n] = load_table(spark, n, f"{tmp_path}/{n}")
+    fx = stored
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for rows, key in (
+            (figures.recent_transactions(fx, "2001-07-26", 30), lambda r: (-r.TxDate.toordinal(), -r.LoanID, r.TxType, r.ISBN)),
+            (figures.recent_reports(fx, "2001-07-26", 10), lambda r: (-r.GenerationDate.toordinal(), -r.ReportID)),
+            (figures.activity_log(fx, "2001-07-26", 20), lambda r: (-r.ActionDate.toordinal(), -r.ProcessID)),
+            (figures.member_activity(fx, "2001-07-26", 20), lambda r: (-r.EventDate.toordinal(), r.Kind, r.RefID)),
+        ):
+            plan = spark._jvm.PythonSQLUtils.explainString(rows._jdf.queryExecution(), "simple")
+            assert "hashpartitioning" not in plan  # nothing as large as a table is shuffled
+            got = rows.collect()
+            assert [r.RowNo for r in got] == list(range(1, len(got) + 1))
+            assert [key(r) for r in got] == sorted(key(r) for r in got)
+        first = figures.transaction_history(fx, "2001-07-26", page=20).collect()
+        last = first[-1]
+        second = figures.transaction_history(fx, "2001-07-26", page=20, after=(
+            last.TxDate, last.LoanID, last.TxType, last.ISBN)).collect()
+        both = figures.transaction_history(fx, "2001-07-26", page=40).collect()
+        key = lambda r: (r.TxDate, r.LoanID, r.TxType, r.ISBN)
+        assert [key(r) for r in first + second] == [key(r) for r in both]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_newest_rows_are_found_however_far_back_they_are(spark):
+    loans = spark.createDataFrame([(i, 1, D(1995 + i, 1, 1), None, D(1995 + i, 2, 1) if i % 2 else None) for i in range(5)],
+                                  "LoanID int, UserID int, CheckoutDate date, DueDate date, ReturnDate date")
+    items = spark.createDataFrame([(i, str(i)) for i in range(4)], "LoanID int, ISBN string")  # loan 4 has none
+    t = {"loan": loans, "loan_item": items,
+         "library_user": spark.createDataFrame([(1, "A")], "UserID int, Name string"),
+         "book": spark.createDataFrame([("0", "T")], "ISBN string, Title string")}
+    got = figures.recent_transactions(t, "2001-07-26", 10).collect()
+    assert [(r.LoanID, r.TxType) for r in got] == [(3, "Return"), (3, "Borrow"), (2, "Borrow"), (1, "Return"),
+                                                  (1, "Borrow"), (0, "Borrow")]
+    assert got[-1].Title == "T" and got[0].Title is None
+
+
+def test_open_loan_without_a_due_date_has_no_status(spark):
+    df = spark.createDataFrame([(D(2001, 7, 25), None, None)], "CheckoutDate date, DueDate date, ReturnDate date")
+    assert policy.loan_status(df, "2001-07-26").first().LoanStatus is None
+
+
+def test_staff_total_holds_actions_without_a_type(spark):
+    t = {"employee": spark.createDataFrame([(1, "A"), (2, "B")], "EmployeeID int, Name string"),
+         "processed_by": spark.createDataFrame([(1, 1, "Loan"), (2, 1, None)], "ProcessID int, EmployeeID int, EntityType string")}
+    got = {r.EmployeeID: (r.LoanActions, r.TotalActions) for r in figures.staff_activity(t).collect()}
+    assert got == {1: (1, 2), 2: (0, 0)}
+
+
+def test_upsert_leaves_out_changes_without_a_key(spark):
+    cur = spark.createDataFrame([(1, "a")], "UserID int, Name string")
+    ch = spark.createDataFrame([(None, "x"), (2, "b")], "UserID int, Name string")
+    assert sorted(tuple(r) for r in ingest.upsert(cur, ch, ["UserID"], ["Name"]).collect()) == [(1, "a"), (2, "b")]
+    assert [r.Name for r in ingest.rejected_changes(ch, ["UserID"]).collect()] == ["x"]
+
+
+def test_signup_delivered_again_counts_once(spark):
+    form = (1, "A", "B", "a@b.c", "1", "s", True)
+    df = spark.createDataFrame([form, form, (2, "A", "B", "A@B.C ", "1", "s", True), (1, "Z", "B", "a@b.c", "1", "s", True)],
+                               "SubmissionID int, firstName string, lastName string, email string, phone string, "
+                               "address string, terms boolean")
+    users = spark.createDataFrame([], "UserID int, Email string")
+    got = sorted((r.SubmissionID, r.Name, r.Reason) for r in ingest.normalize_signups(df, users, "2001-07-26").collect())
+    assert got == [(1, "A B", None), (1, "Z B", ingest.SIGNUP_REPEAT), (2, "A B", ingest.SIGNUP_REPEAT)] or \
+        [g[2] is None for g in got].count(True) == 1 and len(got) == 3
+
+
+def test_rekey_outcomes_hold_every_map_row(spark):
+    t = {"book": spark.createDataFrame([("1",), ("2",)], "ISBN string"),
+         "book_authors": spark.createDataFrame([], "ISBN string, AuthorName string"),
+         "related_books": spark.createDataFrame([], "ISBN string, RelatedISBN string"),
+         "reservation_item": spark.createDataFrame([], "ReservationID int, ISBN string"),
+         "loan_item": spark.createDataFrame([], "LoanID int, ISBN string")}
+    m = spark.createDataFrame([("1", None), (None, "9"), ("2", "x" * 40), ("1", "7")], "OldISBN string, NewISBN string")
+    got = {(r.OldISBN, r.NewISBN): r.Outcome for r in actions.rekey_outcomes(t, m).collect()}
+    assert got == {("1", None): "null key", (None, "9"): "null key", ("2", "x" * 40): "key too long", ("1", "7"): "renamed"}
+
+
+def test_no_row_ends_an_ingest(spark, fx, tmp_path):
+    rows = [("1", "1", "1", "2001-07-01", "999999.995", "Paid"), ("3000000000", "1", "1", "2001-07-01", "1.00", "Paid"),
+            ("3", "1", "1", "2001-13-40", "1.00", "Paid"), ("4", "x", "1", "2001-07-01", "1.00", "Paid"),
+            ("5", "1", "1", "2001-07-01", "abc", "Paid"), ("6", "1", "1", "2001-07-01", "2.50", "Paid")]
+    raw = spark.createDataFrame(rows, "FineID string, LoanID string, UserID string, IssueDate string, Amount string, Status string")
+    t = {"loan": spark.createDataFrame([(1,)], "LoanID int"), "library_user": spark.createDataFrame([(1,)], "UserID int")}
+    ingest.ingest_table(t, "fine", raw, f"{tmp_path}/good", f"{tmp_path}/bad", "2001-07-26")
+    good = spark.read.parquet(f"{tmp_path}/good").collect()
+    assert [(r.FineID, r.Amount) for r in good] == [(6, Decimal("2.50"))]
+    bad = {r.FineID: r.BrokenRules for r in spark.read.parquet(f"{tmp_path}/bad").collect()}
+    assert "DECIMAL(Amount,8,2)" in bad["1"] and "TYPE(FineID int)" in bad["3000000000"]
+    assert "TYPE(IssueDate date)" in bad["3"] and "TYPE(LoanID int)" in bad["4"] and "TYPE(Amount decimal(8,2))" in bad["5"]
+
+
+def test_no_books_allowed_rejects_every_request(spark, fx):
+    from circula.functions.common import Policy
+    p = Policy(1, "none", 14, 0, Decimal("0.50"), 2)
+    got = circulation.issue_loans(fx, fx["loan_request"], p, "2001-07-26")
+    assert got.filter("Decision = 'accepted'").count() == 0
+    assert got.filter("Reason = 'over loan limit'").count() > 0
+
+
+def test_two_actions_in_a_row_read_back(spark, tmp_path):
+    root = str(tmp_path)
+    users = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "UserID int, Name string")
+    empty = {n: spark.createDataFrame([], f"{k} int, UserID int, LoanID int, FineID int, ReservationID int")
+             for n, k in (("loan", "x"), ("loan_item", "x"), ("fine", "x"), ("payment", "x"), ("reservation", "x"),
+                          ("reservation_item", "x"))}
+    t = {**empty, "library_user": users}
+    for version, gone in (("1", 2), ("2", 3)):
+        keys = spark.createDataFrame([(gone,)], "UserID int")
+        tables, _ = actions.delete_users(t, keys)
+        actions.apply_action({"library_user": tables["library_user"]}, root, version)
+        t = {**t, "library_user": actions.read_version(spark, root, "library_user", version)}
+    assert [r.UserID for r in t["library_user"].collect()] == [1]
+
+
+def test_hot_keys_can_be_split(spark):
+    """With an exchange under both sides AQE splits a hot key of a join with grouped rows."""
+    from circula.operators.ranking import spread_join
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20kb",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10kb", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        left = spark.range(0, 200_000, 1, 8).selectExpr("if(id % 3 < 2, 7, id) AS k", "id AS v")
+        grouped = left.groupBy("k").count()
+        df = spread_join(left, grouped, ["k"], "left")
+        assert df.filter("count is null").count() == 0
+        out = df.selectExpr("sum(hash(v, count)) AS s")
+        out.collect()
+        plan = spark._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "simple")
+        assert "skew=true" in plan
+        nulls = spark.createDataFrame([(None, 1), (1, 2)], "k int, v int")
+        got = spread_join(nulls, spark.createDataFrame([(1, "x")], "k int, w string"), ["k"], "left")
+        assert sorted((r.v, r.w) for r in got.collect()) == [(1, None), (2, "x")]
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_browse_catalog_author_filter(fx):
     got = figures.browse_catalog(fx, author="Brand#3").collect()
     assert got and all("Brand#3" in r.Authors.split("; ") for r in got)

@@ -1,9 +1,10 @@
-"""Streams equal their batch counterparts; sources round-trip; the report
-sink refuses unaggregated input."""
+"""Streams equal their batch counterparts; sources and reports round-trip."""
 
 from __future__ import annotations
 
 import datetime as dt
+import json
+import os
 import tempfile
 
 import pytest
@@ -11,9 +12,10 @@ from pyspark.sql import functions as F
 
 from circula.operators.circulation import fold_circulation
 from circula.sources.fixtures import Fixtures
-from circula.sources.reports import write_report
+from circula.sources.reports import read_report_rows, write_report
 from circula.sources.tables import load_table, write_table
-from circula.streaming.circulation_stream import current_loans, make_batch_handler, stream_circulation
+from circula.streaming.circulation_stream import (compact, current_loans, rejected_events,
+                                                  stream_circulation)
 from circula.streaming.daily_counts import read_daily_counts, stream_daily_counts
 from tests.conftest import SF_SMALL
 
@@ -49,19 +51,38 @@ def test_w2_stream_equals_batch_fold(spark, fx):
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
-def test_w2_replayed_batch_is_idempotent(spark, fx):
-    base = tempfile.mkdtemp(prefix="w2r-")
-    handle = make_batch_handler(f"{base}/state", fx["policy"])
-    ev = fx["circulation_event"]
-    first, second = ev.filter("Seq = 1"), ev.filter("Seq > 1")
-    handle(first, 0)
-    handle(second, 1)
-    once = current_loans(spark, f"{base}/state").collect()
-    handle(second, 1)  # replay after a failure
-    again = current_loans(spark, f"{base}/state").collect()
-    assert sorted(once) == sorted(again)
-    want, _ = fold_circulation(ev, fx["policy"])
-    assert sorted(once) == sorted(want.collect())
+def test_w2_unfinished_batches_are_not_read_and_compaction_keeps_the_loans(spark, fx):
+    base = tempfile.mkdtemp(prefix="w2c-")
+    fx["circulation_event"].repartition(3, "Seq").write.parquet(f"{base}/src")
+    stream_circulation(spark, f"{base}/src", f"{base}/state", f"{base}/ck", fx["policy"], max_files_per_trigger=1)
+    want = sorted(current_loans(spark, f"{base}/state").collect())
+    half = f"{base}/state/loans/batch=99"
+    spark.read.parquet(f"{base}/state/loans/batch=0").withColumn("Renewals", F.lit(77).cast("bigint")).write.parquet(half)
+    os.remove(f"{half}/_SUCCESS")
+    assert sorted(current_loans(spark, f"{base}/state").collect()) == want
+    compact(spark, f"{base}/state")
+    assert sorted(current_loans(spark, f"{base}/state").collect()) == want
+
+
+def test_w2_null_keys_go_to_the_rejects(spark, fx):
+    base = tempfile.mkdtemp(prefix="w2n-")
+    rows = [(1, 7, "ISSUE", dt.date(2001, 7, 1), 1), (None, 8, "ISSUE", dt.date(2001, 7, 1), 1),
+            (2, None, "ISSUE", dt.date(2001, 7, 2), 1), (1, None, "RENEW", dt.date(2001, 7, 3), None),
+            (3, 1, "RETURN", dt.date(2001, 7, 3), 2), (1, 7, "RENEW", None, 5)]
+    ev = spark.createDataFrame(rows, "LoanID int, UserID int, Kind string, EventDate date, Seq int")
+    ev.coalesce(1).write.parquet(f"{base}/src")
+    stream_circulation(spark, f"{base}/src", f"{base}/state", f"{base}/ck", fx["policy"])
+    loans, rejects = fold_circulation(ev, fx["policy"])
+    got = sorted(current_loans(spark, f"{base}/state").collect())
+    assert got == sorted(loans.collect()) and [r.LoanID for r in got] == [1, 2] and got[0].Renewals == 1
+    assert [r.UserID for r in rejected_events(spark, f"{base}/state").collect()] == [8]
+    assert sorted((r.LoanID or 0, r.Reason) for r in rejects.collect()) == [(0, "no LoanID"), (3, "no ISSUE event")]
+
+
+def test_fold_reads_its_events_once(spark, fx):
+    plan = spark._jvm.PythonSQLUtils.explainString(
+        fold_circulation(fx["circulation_event"].repartition(3), fx["policy"])[0]._jdf.queryExecution(), "simple")
+    assert plan.count("hashpartitioning(LoanID") == 1
 
 
 def test_csv_load_keeps_bad_rows_aside(spark):
@@ -76,6 +97,20 @@ def test_csv_load_keeps_bad_rows_aside(spark):
     assert rows[None]._corrupt_record.startswith("x,2")
 
 
+def test_csv_columns_are_taken_by_name(spark):
+    base = tempfile.mkdtemp(prefix="s1h-")
+    with open(f"{base}/loan.csv", "w") as fh:
+        fh.write("UserID,Extra,LoanID\n2,z,1\n5,z\n")
+    df = load_table(spark, "loan", base, fmt="csv")
+    assert df.columns == ["LoanID", "UserID", "_corrupt_record"]
+    rows = sorted(df.collect(), key=lambda r: r.UserID)
+    assert (rows[0].LoanID, rows[0].UserID, rows[0]._corrupt_record) == (1, 2, None)
+    assert rows[1]._corrupt_record is not None
+    from circula.operators.quality import apply_defaults
+    full = apply_defaults(df, "loan", "2001-07-26").filter("_corrupt_record is null").first()
+    assert full.CheckoutDate == dt.date(2001, 7, 26) or full.CheckoutDate is None
+
+
 def test_parquet_round_trip_with_declared_types(spark, fx):
     base = tempfile.mkdtemp(prefix="s1p-")
     write_table(fx["fine"], f"{base}/fine")
@@ -84,15 +119,22 @@ def test_parquet_round_trip_with_declared_types(spark, fx):
     assert df.count() == fx["fine"].count()
 
 
-def test_report_sink_appends_and_refuses_big_inputs(spark, fx):
+def test_report_sink_stores_any_size_in_parts(spark, fx):
     base = tempfile.mkdtemp(prefix="s2-")
     small = fx["payment"].groupBy("PaymentMethod").agg(F.count(F.lit(1)).alias("n"))
     r1 = write_report(small, "Payments by method", 2, "2001-07-26", f"{base}/report").first()
-    r2 = write_report(small, "Payments by method", 2, "2001-07-26", f"{base}/report").first()
-    assert (r1.ReportID, r2.ReportID) == (1, 2) and r1.Content == r2.Content
-    assert r1.Content.startswith("[{") and '"PaymentMethod"' in r1.Content
-    with pytest.raises(ValueError):
-        write_report(fx["loan"], "too big", 2, "2001-07-26", f"{base}/report", row_cap=10)
+    r2 = write_report(fx["fine"].select("FineID", "Amount", "Status"), "Fines", None, "2001-07-26", f"{base}/report",
+                      part_rows=7).first()
+    assert (r1.ReportID, r2.ReportID) == (1, 2)
+    n = fx["fine"].count()
+    assert json.loads(r2.Content)["rows"] == n and json.loads(r2.Content)["parts"] == -(-n // 7)
+    got = read_report_rows(spark, f"{base}/report", 2, "FineID: int, Amount: decimal(8,2), Status: string")
+    assert sorted(got.collect()) == sorted(fx["fine"].select("FineID", "Amount", "Status").collect())
+    sizes = [r.RowCount for r in spark.read.parquet(json.loads(r2.Content)["place"]).collect()]
+    assert max(sizes) == 7 and sum(sizes) == n
+    r3 = write_report(small.limit(0), "Nothing", 2, "2001-07-26", f"{base}/report").first()
+    assert json.loads(r3.Content)["rows"] == 0
+    assert read_report_rows(spark, f"{base}/report", 3, "PaymentMethod: string, n: bigint").count() == 0
 
 
 def test_bucketed_store_joins_loans_without_shuffle(spark, tmp_path):
@@ -112,29 +154,27 @@ def test_bucketed_store_joins_loans_without_shuffle(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
-def test_keyed_state_stream_equals_batch_fold_out_of_order(spark, fx):
-    from circula.streaming.loan_state import stream_loan_state
+def test_w2_stream_equals_batch_fold_out_of_order(spark, fx):
     base = tempfile.mkdtemp(prefix="w2s-")
     ev = fx["circulation_event"]
     # RETURN and RENEW events arrive before ISSUE, plus a repeated batch of ISSUEs
     for part in (ev.filter("Kind = 'RETURN'"), ev.filter("Kind = 'RENEW'"), ev.filter("Kind = 'ISSUE'"),
                  ev.filter("Kind = 'ISSUE' AND LoanID % 3 = 0")):
         part.coalesce(1).write.mode("append").parquet(f"{base}/src")
-    stream_loan_state(spark, f"{base}/src", f"{base}/state", f"{base}/ck", fx["policy"], max_files_per_trigger=1)
+    stream_circulation(spark, f"{base}/src", f"{base}/state", f"{base}/ck", fx["policy"], max_files_per_trigger=1)
     got = current_loans(spark, f"{base}/state")
     want, _ = fold_circulation(ev, fx["policy"])
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
-def test_keyed_state_stream_resumes_after_restart(spark, fx):
-    from circula.streaming.loan_state import stream_loan_state
+def test_w2_stream_resumes_after_restart(spark, fx):
     base = tempfile.mkdtemp(prefix="w2r-")
     ev = fx["circulation_event"]
     ev.filter("Kind = 'ISSUE'").coalesce(1).write.mode("append").parquet(f"{base}/src")
-    stream_loan_state(spark, f"{base}/src", f"{base}/state", f"{base}/ck", fx["policy"])
+    stream_circulation(spark, f"{base}/src", f"{base}/state", f"{base}/ck", fx["policy"])
     # the query stops; later events arrive and the query is started again
     ev.filter("Kind <> 'ISSUE'").coalesce(1).write.mode("append").parquet(f"{base}/src")
-    stream_loan_state(spark, f"{base}/src", f"{base}/state", f"{base}/ck", fx["policy"])
+    stream_circulation(spark, f"{base}/src", f"{base}/state", f"{base}/ck", fx["policy"])
     got = current_loans(spark, f"{base}/state")
     want, _ = fold_circulation(ev, fx["policy"])
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
