@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from circula.llm.tables import extended
 
 SHIFT = 0x100  # a byte's character; none of these is white space or changes under identity normalisation
-CACHE = 300_000  # pieces of text whose ids a Python worker remembers, and twice as many words
+CACHE = 400_000  # pieces of text whose ids a Python worker remembers, and twice as many words
 _NORMAL, _UNKNOWN, _BPE = 1, 2, 2  # of sentencepiece's model format
 
 
@@ -227,6 +227,7 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 #: printable and no space, else the next one from 256 on.
 _PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _STANDS = dict(zip((b for b in range(256) if b not in _PLAIN), itertools.count(256)))
+_SPACE = chr(_STANDS[32])
 
 
 def _standing(piece: str) -> str:
@@ -250,7 +251,7 @@ class Tokens:
         self.words: dict = {}
         self.pieces: dict[str, bytes] = {}
 
-    def fresh(self, word) -> bytes:
+    def learn(self, words: list) -> None:
         raise NotImplementedError
 
     def joined(self, words: list) -> bytes:
@@ -261,21 +262,17 @@ class Tokens:
             met = set(words)
             if len(known) + len(met) > 2 * CACHE:
                 known.clear()
-            fresh = self.fresh
-            for w in met:
-                if w not in known:
-                    known[w] = fresh(w)
+            if len(self.pieces) > CACHE:
+                self.pieces.clear()
+            self.learn([w for w in met if w not in known])
             return b"".join(map(known.__getitem__, words))
 
     def piece(self, piece: str) -> bytes:
         """Ids of one piece that the pre-tokenizer cuts no further."""
         ids = self.pieces.get(piece)
         if ids is None:
-            if len(self.pieces) >= CACHE:
-                self.pieces.clear()
-            said = piece if piece.isalpha() and piece.isascii() else _standing(piece)
             packed = self.packed
-            ids = self.pieces[piece] = b"".join([packed[t.id] for t in self.merge(said)])
+            ids = self.pieces[piece] = b"".join([packed[t.id] for t in self.merge(_standing(piece))])
         return ids
 
 
@@ -294,10 +291,18 @@ class ByteTokens(Tokens):
         words = text.split(" ")
         return b"".join(map(self.piece, self.split(words[0]))) + self.joined(words[1:])
 
-    def fresh(self, word: str) -> bytes:
-        if word.isalpha():
-            return self.piece(" " + word)
-        return b"".join(map(self.piece, self.split(" " + word)))
+    def learn(self, words: list[str]) -> None:
+        known, pieces, packed, merge, split = self.words, self.pieces, self.packed, self.merge, self.split
+        for w in words:
+            if w.isalpha():
+                own = " " + w
+                ids = pieces.get(own)
+                if ids is None:
+                    said = _SPACE + w if w.isascii() else _standing(own)
+                    ids = pieces[own] = b"".join([packed[t.id] for t in merge(said)])
+                known[w] = ids
+            else:
+                known[w] = b"".join(map(self.piece, split(" " + w)))
 
 
 class WordTokens(Tokens):
@@ -313,13 +318,17 @@ class WordTokens(Tokens):
         """The ids as little-endian unsigned 32-bit integers."""
         return self.joined((text or "").encode().split())
 
-    def fresh(self, word: bytes) -> bytes:
-        low = word.decode().lower()
-        if low.isalpha() and word.isascii():
-            return self.piece(low)
-        text = word.decode()
-        if not self._LATIN(text):
-            return b"".join([self.packed[i] for i in self.model.encode(text, add_special_tokens=False).ids])
-        if low.isalpha():
-            return self.piece(low)
-        return b"".join(map(self.piece, self._PIECES(low)))
+    def learn(self, words: list[bytes]) -> None:
+        known, pieces, packed, merge = self.words, self.pieces, self.packed, self.merge
+        for w in words:
+            text = w.decode()
+            low = text.lower()
+            if low.isalpha() and w.isascii():
+                ids = pieces.get(low)
+                if ids is None:
+                    ids = pieces[low] = b"".join([packed[t.id] for t in merge(low)])
+                known[w] = ids
+            elif not self._LATIN(text):
+                known[w] = b"".join([packed[i] for i in self.model.encode(text, add_special_tokens=False).ids])
+            else:
+                known[w] = b"".join(map(self.piece, self._PIECES(low)))

@@ -51,7 +51,7 @@ FEATURES = 5    # of a document
 COST = 1.0      # of the SVM's squared hinge loss
 LANDMARK_CHARS = 10  # longest landmark
 SENTENCE_CHARS = 2000  # of a training sentence; scoring reads whole texts
-CACHE_WORDS = 400_000  # words a Python worker remembers
+CACHE_WORDS = 800_000  # words a Python worker remembers
 
 START = "\x02"    # stands before every word, as a letter
 LEVELS = (1e-7, 1e-5, 1e-3, 1e-2)  # of chance for words that mark toxic documents
