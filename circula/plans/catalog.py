@@ -10,11 +10,13 @@ names and types are aliased identically on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from circula.operators import actions, circulation, figures, ingest, member, policy, quality, reconcile
+from circula.plans import constraints
 from circula.plans.oracle_views import with_views
 from circula.session import AS_OF, ensure_checkpoint_dir
 from circula.sources.fixtures import fixtures
@@ -688,7 +690,134 @@ def _q13(t, spark):
     return ingest.normalize_signups(t["raw_signup"], t["library_user"], AS_OF)
 
 
+# ------------------------------------------- every constraint, all tables
+@query("q1_apply_defaults_all", constraints.sql_defaults(AS_OF))
+def _q1_all(t, spark):
+    """All 18 declared defaults: the columns are left out of their tables and filled in."""
+    return constraints.default_values(t, AS_OF)
+
+
+@query("q2_check_primary_key_all", constraints.sql_primary_keys())
+def _q2_all(t, spark):
+    """All 14 primary keys, on tables with repeated rows and lost key parts."""
+    return constraints.check_primary_keys(t)
+
+
+@query("q4_check_not_null_all", constraints.sql_rows("not_null"))
+def _q4_all(t, spark):
+    """All NOT NULL columns, on tables with faults."""
+    return constraints.check_rows(t, "not_null")
+
+
+@query("q5_check_length_all", constraints.sql_rows("length"))
+def _q5_all(t, spark):
+    """All declared text lengths, on tables with faults."""
+    return constraints.check_rows(t, "length")
+
+
+@query("q6_check_enum_all", constraints.sql_rows("enum"))
+def _q6_all(t, spark):
+    """All enumerations, on tables with faults."""
+    return constraints.check_rows(t, "enum")
+
+
+@query("q7_check_decimal_all", constraints.sql_rows("decimal"))
+def _q7_all(t, spark):
+    """All decimal columns, on tables with faults."""
+    return constraints.check_rows(t, "decimal")
+
+
+@query("q9_check_foreign_key_all", constraints.sql_foreign_keys())
+def _q9_all(t, spark):
+    """All 14 foreign keys, on tables with faults."""
+    return constraints.check_foreign_keys(t)
+
+
 # ============================================ R: referential actions ======
+def _survivors(tables: dict) -> DataFrame:
+    """(table_name, row_key) of every row that an action leaves."""
+    from circula.functions.common import key_text
+    from circula.schema import TABLES
+    return reduce(DataFrame.unionByName, [
+        df.select(F.lit(n).alias("table_name"), key_text(*TABLES[n].primary_key).alias("row_key"))
+        for n, df in tables.items()])
+
+
+def _sql_survivors(parts: dict[str, str]) -> str:
+    """The same in SQL: per table the condition of the rows that stay."""
+    from circula.schema import TABLES
+    return "\nUNION ALL ".join(
+        f"SELECT '{n}' AS table_name, concat_ws('|', "
+        + ", ".join(f"coalesce(CAST({c} AS VARCHAR), 'NULL')" for c in TABLES[n].primary_key)
+        + f") AS row_key FROM {n} WHERE {cond}" for n, cond in parts.items())
+
+
+_DL = "SELECT LoanID FROM loan WHERE UserID IN (SELECT UserID FROM delete_user)"
+_DF = f"SELECT FineID FROM fine WHERE LoanID IN ({_DL}) OR UserID IN (SELECT UserID FROM delete_user)"
+_DR = "SELECT ReservationID FROM reservation WHERE UserID IN (SELECT UserID FROM delete_user)"
+
+
+@query("r4_rekey_books_survivors", """WITH m AS (SELECT DISTINCT OldISBN, NewISBN FROM rekey_book),
+ ok AS (SELECT OldISBN, NewISBN FROM m WHERE OldISBN IN (SELECT ISBN FROM book) AND length(NewISBN) <= 20
+   AND OldISBN NOT IN (SELECT ISBN FROM related_books) AND OldISBN NOT IN (SELECT RelatedISBN FROM related_books)
+   AND OldISBN NOT IN (SELECT ISBN FROM reservation_item) AND OldISBN NOT IN (SELECT ISBN FROM loan_item)
+   AND NewISBN NOT IN (SELECT ISBN FROM book)
+   AND (SELECT count(*) FROM m x WHERE x.OldISBN = m.OldISBN) = 1 AND (SELECT count(*) FROM m x WHERE x.NewISBN = m.NewISBN) = 1)
+SELECT 'book' AS table_name, coalesce(NewISBN, ISBN) AS row_key FROM book LEFT JOIN ok ON ISBN = OldISBN
+UNION ALL SELECT 'book_authors', coalesce(NewISBN, ISBN) || '|' || AuthorName FROM book_authors LEFT JOIN ok ON ISBN = OldISBN""")
+def _r4s(t, spark):
+    """Every book and author row after R4, by its new key."""
+    return _survivors(actions.rekey_books(t, t["rekey_book"])[0])
+
+
+@query("r1_delete_users_survivors", _sql_survivors({
+    "library_user": "UserID NOT IN (SELECT UserID FROM delete_user)", "loan": f"LoanID NOT IN ({_DL})",
+    "loan_item": f"LoanID NOT IN ({_DL})", "fine": f"FineID NOT IN ({_DF})", "payment": f"FineID NOT IN ({_DF})",
+    "reservation": f"ReservationID NOT IN ({_DR})", "reservation_item": f"ReservationID NOT IN ({_DR})"}))
+def _r1s(t, spark):
+    """Every row that R1 leaves, by table and key."""
+    return _survivors(actions.delete_users(t, t["delete_user"])[0])
+
+
+_GONE = """SELECT b.ISBN FROM book b WHERE b.ISBN IN (SELECT ISBN FROM delete_book)
+   AND b.ISBN NOT IN (SELECT ISBN FROM loan_item) AND b.ISBN NOT IN (SELECT ISBN FROM reservation_item)"""
+
+
+@query("r2_delete_books_survivors", _sql_survivors({
+    "book": f"ISBN NOT IN ({_GONE})", "book_authors": f"ISBN NOT IN ({_GONE})",
+    "related_books": f"ISBN NOT IN ({_GONE}) AND RelatedISBN NOT IN ({_GONE})"}))
+def _r2s(t, spark):
+    """Every row that R2 leaves, by table and key."""
+    return _survivors(actions.delete_books(t, t["delete_book"])[0])
+
+
+@query("r3_delete_employees_survivors", _sql_survivors({
+    "employee": "EmployeeID NOT IN (SELECT EmployeeID FROM delete_employee)",
+    "processed_by": "EmployeeID IS NULL OR EmployeeID NOT IN (SELECT EmployeeID FROM delete_employee)"}) + """
+UNION ALL SELECT 'report', concat_ws('|', CAST(ReportID AS VARCHAR), coalesce(CAST(CASE WHEN GeneratedBy IN
+ (SELECT EmployeeID FROM delete_employee) THEN NULL ELSE GeneratedBy END AS VARCHAR), 'NULL')) FROM report""")
+def _r3s(t, spark):
+    """Every row that R3 leaves, by table and key; reports with their author, null if deleted."""
+    from circula.functions.common import key_text
+    tables = dict(actions.delete_employees(t, t["delete_employee"])[0])
+    report = tables.pop("report").select(F.lit("report").alias("table_name"),
+                                         key_text("ReportID", "GeneratedBy").alias("row_key"))
+    return _survivors(tables).unionByName(report)
+
+
+_DL5 = "SELECT LoanID FROM loan WHERE LoanID % 37 = 0"
+_DF5 = f"SELECT FineID FROM fine WHERE LoanID IN ({_DL5})"
+
+
+@query("r5_delete_loans_survivors", _sql_survivors({
+    "loan": f"LoanID NOT IN ({_DL5})", "loan_item": f"LoanID NOT IN ({_DL5})", "fine": f"FineID NOT IN ({_DF5})",
+    "payment": f"FineID NOT IN ({_DF5})"}))
+def _r5s(t, spark):
+    """Every row that R5 leaves when each 37th loan goes, by table and key."""
+    keys = t["loan"].filter(F.col("LoanID") % 37 == 0).select("LoanID")
+    return _survivors(actions.delete_loans(t, keys)[0])
+
+
 @query("r1_delete_users", """WITH du AS (SELECT UserID FROM library_user WHERE UserID IN (SELECT UserID FROM delete_user)),
  dl AS (SELECT LoanID FROM loan WHERE UserID IN (SELECT UserID FROM du)),
  dfi AS (SELECT FineID FROM fine WHERE LoanID IN (SELECT LoanID FROM dl) OR UserID IN (SELECT UserID FROM du)),
