@@ -19,9 +19,17 @@ from circula.sources.paths import _fs, scratch_dir
 _LEFT: dict[str, SparkSession] = {}
 
 
+#: Rows that Python workers get at once: texts can be long, and some operators return them too.
+BATCH_ROWS = 2000
+
+
 def importable(spark: SparkSession) -> None:
-    """Let the Python workers of a local session import this package, whatever
-    the folder it was started in; on a cluster it is sent with --py-files."""
+    """Prepare the session for Python workers: batches of BATCH_ROWS rows at
+    most, and in a local session the path of this package, whatever folder it was
+    started in (on a cluster it is sent with --py-files)."""
+    at_most = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if at_most <= 0 or at_most > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     sc = spark.sparkContext
     if sc.master.startswith("local["):
         sc.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))

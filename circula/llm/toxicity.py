@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from circula.llm.tables import extended, unused
+from circula.llm.tables import extended
 
 P = 3           # letters of a counted subsequence
 GAP = 0.7       # weight of each letter that a subsequence spans
@@ -51,7 +51,7 @@ FEATURES = 5    # of a document
 COST = 1.0      # of the SVM's squared hinge loss
 LANDMARK_CHARS = 10  # longest landmark
 SENTENCE_CHARS = 2000  # of a training sentence; scoring reads whole texts
-CACHE_WORDS = 800_000  # words a Python worker remembers
+CACHE_WORDS = 500_000  # words a Python worker remembers
 
 START = "\x02"    # stands before every word, as a letter
 LEVELS = (1e-7, 1e-5, 1e-3, 1e-2)  # of chance for words that mark toxic documents
@@ -505,7 +505,8 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, name: st
     """``keep`` columns of every row (all by default) with the column ``name``,
     0 to 1.  Null and empty texts score by the bias alone."""
     keep = keep if keep is not None else docs.columns
-    rows = docs.select(*keep, F.col("text").alias(unused("_tox_text", keep)))
+    rows = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
+    at = rows.columns.index("text")
     mark = uuid.uuid4().hex
 
     def run(batches):
@@ -514,9 +515,9 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, name: st
             _SCORERS[mark] = Scorer(model)  # the model is a few kB and goes with the task
         scorer = _SCORERS[mark]
         for b in batches:
-            texts, out = b.column(len(keep)), []
-            for lo in range(0, len(texts), 512):
-                out.append(scorer.scores(texts.slice(lo, 512).to_pylist()))
+            texts, out = b.column(at), []
+            for lo in range(0, len(texts), 256):
+                out.append(scorer.scores(texts.slice(lo, 256).to_pylist()))
             got = pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(keep))), got], [*keep, name])
 
