@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from circula.functions.common import MONEY_SUM, as_date, is_active_reservation, is_open_loan
 from circula.operators.policy import allowance, due_dates, status_label
-from circula.operators.ranking import sequence_numbers, top_k_per_group
+from circula.operators.ranking import sequence_numbers, spread_join, top_k_per_group
 from circula.operators.reconcile import symmetric_related
 from circula.session import ensure_checkpoint_dir
 
@@ -34,8 +34,7 @@ def waiting_list(t: dict, as_of, num_partitions: int | None = None) -> DataFrame
     """Queue position of every active reservation item, per ISBN, by
     ReservationDate then ReservationID.
 
-    An ISBN whose queue is larger than one task should sort is split over
-    many tasks (see ``sequence_numbers``) instead of being sorted in one.
+    A long queue is split over many tasks (see ``sequence_numbers``).
     """
     active = t["reservation"].filter(is_active_reservation(as_of)).select(
         "ReservationID", "UserID", "ReservationDate")
@@ -134,7 +133,8 @@ def recommend_books(t: dict, k: int = 5, as_of=None, num_partitions: int | None
     per_author = (history.join(books.filter(F.col("Author").isNotNull()).select("ISBN", "Author", "Status"), "ISBN")
                   .groupBy("UserID", "Author")
                   .agg(F.count(F.lit(1)).alias("_n"),
-                       F.count(F.when(F.col("Status") == "Available", F.lit(1))).alias("_b")))
+                       F.count(F.when(F.col("Status") == "Available", F.lit(1))).alias("_b"))
+                  .checkpoint(eager=True))  # read by three branches below
 
     # -- related path; (member, src, cand) triples are unique, so a plain
     # count is the distinct-source count
@@ -143,7 +143,7 @@ def recommend_books(t: dict, k: int = 5, as_of=None, num_partitions: int | None
                  .join(books.select("ISBN", F.col("Author").alias("_src_author")), "ISBN", "left")
                  .select("ISBN", "RelatedISBN", "Author",
                          (~F.coalesce(F.col("_src_author") == F.col("Author"), F.lit(False))).alias("_other")))
-    scored_rel = (history.join(edge_info, "ISBN")
+    scored_rel = (spread_join(history, edge_info, ["ISBN"], "inner")
                   .groupBy("UserID", F.col("RelatedISBN").alias("ISBN"), "Author")
                   .agg(F.count(F.when(F.col("_other"), F.lit(1))).alias("_rel"))
                   .join(per_author.select("UserID", "Author", "_n"), ["UserID", "Author"], "left")
@@ -155,7 +155,7 @@ def recommend_books(t: dict, k: int = 5, as_of=None, num_partitions: int | None
                               num_partitions=num_partitions)
     per_author_avail = (available.filter(F.col("Author").isNotNull())
                         .groupBy("Author").agg(F.count(F.lit(1)).alias("_avail")))
-    cand = (per_author.join(per_author_avail, "Author")
+    cand = (spread_join(per_author, per_author_avail, ["Author"], "inner")
             .withColumn("_free", F.col("_avail") - F.col("_b")))
     floor = cand.groupBy("UserID").agg(
         F.max(F.when(F.col("_free") >= k, F.col("_n"))).alias("_floor"))

@@ -4,17 +4,15 @@
   ``k`` Spark plans a partial ``WindowGroupLimit`` before the shuffle, so a
   group holding a third of all rows ships at most ``k`` rows per map task.
 * :func:`sequence_numbers` - a full, gap-free ``row_number`` (global or per
-  group) that never puts a hot group into one task.  For groups, the
-  largest one is measured first (one aggregate, combined map-side); up to
-  ``HOT_GROUP_ROWS`` rows a plain window is used - no task sorts more than
-  that.  A global numbering, or a group beyond the bound, is
-  range-partitioned on (group, order) so the hot
+  group) that never puts a hot group into one task: the rows are
+  range-partitioned on (group, order) so a hot
   group is split across many tasks, each task numbers its rows locally, and
   per-partition offsets (a summary with at most one row per partition and
   group) turn local numbers into final ones.  The ranged input is
   checkpointed into ``spark.checkpoint.dir`` first, so the counting pass and
   the numbering pass see the very same partitions even if executors are lost
-  and work is recomputed.
+  and work is recomputed.  Inputs of every size take this one path.
+* :func:`spread_join` - an equi-join whose hot keys AQE can split.
 """
 
 from __future__ import annotations
@@ -28,8 +26,6 @@ from circula.session import ensure_checkpoint_dir
 
 # Largest (partition, group) summary that is broadcast (about 50 bytes a row).
 SUMMARY_BROADCAST_ROWS = 500_000
-# Largest group one task may number with a plain window (a task-sized sort).
-HOT_GROUP_ROWS = 2_000_000
 
 
 def _sort_col(c) -> Column:
@@ -72,20 +68,6 @@ def sequence_numbers(df: DataFrame, order_cols: Sequence, partition_cols: Sequen
     a key column; otherwise numbering among ties is arbitrary.
     """
     keys = [F.col(c) for c in partition_cols] + [_sort_col(c) for c in order_cols]
-    if not partition_cols:
-        # a global numbering never runs in one sort partition
-        return _split_sequence_numbers(df, keys, [], out_col, num_partitions)
-    largest = (df.groupBy(*partition_cols).agg(F.count(F.lit(1)).alias("_n"))
-               .agg(F.max("_n")).first()[0])
-    if (largest or 0) <= HOT_GROUP_ROWS:
-        w = Window.partitionBy(*partition_cols).orderBy(*[_sort_col(c) for c in order_cols])
-        return df.withColumn(out_col, F.row_number().over(w).cast("bigint"))
-    return _split_sequence_numbers(df, keys, list(partition_cols), out_col, num_partitions)
-
-
-def _split_sequence_numbers(df: DataFrame, keys: list[Column], partition_cols: list[str],
-                            out_col: str, num_partitions: int | None) -> DataFrame:
-    """Range-partitioned numbering for groups too large for one task."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -63,10 +63,3 @@ def digest(rows, cols) -> str:
 
 def rows_of(df):
     return [tuple(r) for r in df.collect()]
-
-
-@pytest.fixture
-def split_path(monkeypatch):
-    """Force the range-partitioned (hot group) numbering path."""
-    from circula.operators import ranking
-    monkeypatch.setattr(ranking, "HOT_GROUP_ROWS", 10)

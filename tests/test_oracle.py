@@ -8,9 +8,7 @@ import pytest
 from tests.conftest import SF_ORACLE, digest, rows_of
 
 import __spark_entry__ as entry_mod
-
-ORACLE = entry_mod.oracle_sql()
-QUERIES = entry_mod.queries()
+from circula.plans.catalog import ORACLE, QUERIES
 
 
 def test_every_query_has_an_oracle():
@@ -33,4 +31,4 @@ def test_entry_smoke(spark):
     df = entry_mod.entry(spark)
     rows = df.collect()
     assert 0 < len(rows) <= 10
-    assert df.columns[:2] == ["TransactionID", "LoanID"]
+    assert df.columns[:3] == ["RowNo", "TransactionID", "LoanID"]

@@ -1,5 +1,5 @@
 """Property tests: the skew-safe numbering equals a plain row_number for any
-grouping, on both of its paths."""
+grouping."""
 
 from __future__ import annotations
 
@@ -8,16 +8,14 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from circula.operators import ranking
 from circula.operators.ranking import sequence_numbers
 
 rows = st.lists(st.tuples(st.sampled_from(["hot", "a", "b", None]), st.integers(0, 30)), min_size=1, max_size=120)
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(data=rows, parts=st.integers(1, 7), split=st.booleans())
-def test_sequence_numbers_equal_row_number(spark, monkeypatch, data, parts, split):
-    monkeypatch.setattr(ranking, "HOT_GROUP_ROWS", 0 if split else 10**9)
+@given(data=rows, parts=st.integers(1, 7))
+def test_sequence_numbers_equal_row_number(spark, data, parts):
     df = spark.createDataFrame([(g, v, i) for i, (g, v) in enumerate(data)], "g string, v int, id int")
     got = sequence_numbers(df, ["v", "id"], ["g"], "n", num_partitions=parts)
     want = df.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("v", "id")).cast("bigint"))

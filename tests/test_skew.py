@@ -58,7 +58,7 @@ def test_upsert_with_a_hot_key(spark):
     assert len(got) == 1 and got[0].Name == "N19999"
 
 
-def test_waiting_list_with_a_hot_title(spark, split_path):
+def test_waiting_list_with_a_hot_title(spark):
     res = [(i, 1 + i % 300, D(2001, 1, 1) + dt.timedelta(days=i % 90), D(2002, 1, 1), "Active") for i in range(1, 4001)]
     items = [(i, "hot") for i in range(1, 3001)] + [(i, f"c{i % 40}") for i in range(3001, 4001)]
     t = {"reservation": spark.createDataFrame(res, TABLES["reservation"].schema),
@@ -70,10 +70,9 @@ def test_waiting_list_with_a_hot_title(spark, split_path):
     assert got.filter("ISBN = 'hot'").agg(F.max("QueuePosition")).first()[0] == 3000
 
 
-def test_recommendations_with_hot_author_and_hot_member_match_brute_force(spark, monkeypatch):
+def test_recommendations_with_hot_author_and_hot_member_match_brute_force(spark):
     import random
 
-    from circula.operators import ranking
     from tests.test_operators import _brute_recommend
 
     rnd = random.Random(7)
@@ -93,9 +92,7 @@ def test_recommendations_with_hot_author_and_hot_member_match_brute_force(spark,
                                       TABLES["loan"].schema),
         "loan_item": spark.createDataFrame([(i, b) for i, (_, b) in enumerate(history)], "LoanID int, ISBN string"),
     }
-    for bound in (ranking.HOT_GROUP_ROWS, 20):   # plain window, then the split path
-        monkeypatch.setattr(ranking, "HOT_GROUP_ROWS", bound)
-        for k in (1, 4, 9):
-            got = {(r.UserID, r.RankNo): (r.ISBN, r.Score)
-                   for r in member.recommend_books(t, k, "2001-07-26", num_partitions=6).collect()}
-            assert got == _brute_recommend(history, books, edges, k), (bound, k)
+    for k in (1, 4, 9):
+        got = {(r.UserID, r.RankNo): (r.ISBN, r.Score)
+               for r in member.recommend_books(t, k, "2001-07-26", num_partitions=6).collect()}
+        assert got == _brute_recommend(history, books, edges, k), k
