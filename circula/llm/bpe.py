@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from circula.llm.tables import extended
+from circula.llm.workers import held
 
 SHIFT = 0x100  # a byte's character; none of these is white space or changes under identity normalisation
 CACHE = 400_000  # pieces of text whose ids a Python worker remembers, and twice as many words
@@ -156,24 +157,13 @@ def plain(text: str) -> bool:
                 or (any(x in text for x in "\t\x0b\x0c\r") if text.isascii() else _ODD(text)))
 
 
-_HELD: dict = {}
-
-
-def _held(mark: str, make):
-    """One object per worker and query, kept between tasks for its cache."""
-    if mark not in _HELD:
-        _HELD.clear()
-        _HELD[mark] = make()
-    return _HELD[mark]
-
-
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Adds ``token_ids`` (array of int) to every row; empty for null and empty texts."""
     model = docs.sparkSession.sparkContext.broadcast(sentencepiece_model(read_ranks(ranks_path)))  # ~1 MB
     mark, at = uuid.uuid4().hex, len(docs.columns)
 
     def run(batches):
-        coder = _held(mark, lambda: Coder(model.value, pattern))
+        coder = held(mark, lambda: Coder(model.value, pattern))
         for b in batches:
             ids = pa.array([coder.encode(t) for t in b.column(at).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns[:at], ids], [*b.schema.names[:at], "token_ids"])
@@ -188,7 +178,7 @@ def decode(tokens: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     mark, at = uuid.uuid4().hex, len(tokens.columns)
 
     def run(batches):
-        coder = _held(mark, lambda: Coder(model.value, pattern))
+        coder = held(mark, lambda: Coder(model.value, pattern))
         for b in batches:
             out = [None if x is None else coder.decode(x) for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(out, pa.binary())],
@@ -205,7 +195,7 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     mark = uuid.uuid4().hex
 
     def run(batches):
-        coder = _held(mark, lambda: Coder(model.value, pattern))
+        coder = held(mark, lambda: Coder(model.value, pattern))
         decimal = coder.decimal.__getitem__
         for b in batches:
             n, said, back = [], [], []

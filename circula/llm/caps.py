@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from circula.llm.components import components
 from circula.llm.tables import Staging
+from circula.llm.workers import free
 
 LISTED, AT_LEAST = 24, 12
 HELD = 48
@@ -106,6 +107,7 @@ def _filtered(classes: DataFrame, directions: int) -> DataFrame:
     names = ["label", "dim", "filter", "node", "copies", "unit", "listed"]
 
     def run(batches):
+        free()
         codes: dict[int, Code] = {}
         for b in batches:
             if not b.num_rows:
@@ -203,6 +205,7 @@ def _linked(parts: DataFrame, least: float) -> DataFrame:
         return [(node[has], node[has], links[has]), (node[moved], node[root], np.full(len(moved), -1))]
 
     def run(batches) -> Iterator[pa.RecordBatch]:
+        free()
         key, rows, found, size = None, [], [], 0
         for b in batches:
             columns = [b.column(k).to_pylist() for k in range(b.num_columns)]

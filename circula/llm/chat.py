@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from circula.llm.tables import extended
+from circula.llm.workers import free
 
 MARKS = {"user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>"), "system": ("<<SYS>>", "<</SYS>>")}
 OTHER = ("[ROLE]", "[TEXT]", "[/ROLE]")
@@ -153,6 +154,7 @@ def canonical(records: DataFrame, keep: list[str], column: str = "record") -> Da
     names = [*keep, "fingerprint", "turn", "role", "text"]
 
     def run(batches):
+        free()
         for b in batches:
             row, mark, turn, role, text = [], [], [], [], []
             for i, said in enumerate(b.column(0).to_pylist()):
@@ -209,6 +211,7 @@ def read_back(parts: DataFrame) -> DataFrame:
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def run(batches):
+        free()
         rows: list[tuple] = []
         held, n, chars, loss, turns, masked = None, 0, 0, 0, None, None
 

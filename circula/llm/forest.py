@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from circula.llm.components import components
 from circula.llm.tables import Staging
 from circula.llm.words import LOWER, Words, mix, runs, shingles
+from circula.llm.workers import free
 
 TREES, BASE, LEVELS = 16, 3, 6
 GROUP_ITEMS = 1_500_000  # shingles that a task searches at once
@@ -84,6 +85,7 @@ def sets_of(docs: DataFrame, words: int) -> DataFrame:
     depth = LEVELS - BASE + 1
 
     def run(batches):
+        free()
         for b in batches:
             for at, data, bounds in runs(b.column(1)):
                 value, first = shingle_sets(data, bounds, words)
@@ -154,6 +156,7 @@ def _searched(members: DataFrame, docs: DataFrame, words: int, percent: int) ->
     ordered = texts.repartition("part").sortWithinPartitions("part", "doc_id")
 
     def run(batches):
+        free()
         held, ids, sets, met = None, [], [], set()
 
         def close() -> pa.RecordBatch:

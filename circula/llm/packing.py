@@ -27,8 +27,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from circula.llm.bpe import ByteTokens, _held
+from circula.llm.bpe import ByteTokens
 from circula.llm.tables import Staging, extended
+from circula.llm.workers import free, held
 
 FREQUENT = 40   # lengths from which patterns of three and four are made
 WASTE = 2       # tokens that a pattern may leave free
@@ -151,6 +152,7 @@ def pack(pieces: DataFrame, capacity: int, stage: Staging, length: str = "length
     pieces = pieces.toDF(*names)
 
     def number(batches):
+        free()
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for b in batches:
             size = b.column(at).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -179,6 +181,7 @@ def pack(pieces: DataFrame, capacity: int, stage: Staging, length: str = "length
     key = table[:, 0] * widest + table[:, 1]
 
     def place(batches):
+        free()
         for b in batches:
             size = b.column(at).to_numpy(zero_copy_only=False).astype(np.int64)
             rank = b.column(len(names)).to_numpy(zero_copy_only=False)
@@ -201,7 +204,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, pattern: str, capacity: int, e
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
     def run(batches):
-        coder = _held(mark, lambda: ByteTokens(tokenizer, pattern))
+        coder = held(mark, lambda: ByteTokens(tokenizer, pattern))
         for b in batches:
             out: list[list] = [[] for _ in names]
             row = []

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from circula.llm.tables import extended
 from circula.llm.words import WHITE, Words, runs, shingles
+from circula.llm.workers import free
 
 #: Character classes by byte; a UTF-8 continuation byte belongs to the byte that it follows.
 CLASSES = ("lower", "upper", "digit", "space", "stop", "mark", "beyond", "control")
@@ -70,6 +71,7 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def _counted(batches):
+    free()
     held: dict[str, list] = {}
     classes: dict[str, np.ndarray] = {}
     waiting = 0
@@ -200,6 +202,7 @@ def measure(docs: DataFrame, refs: References, rules: Rules | None = None, keep:
              "class_distance", "word_distance", "kept"]
 
     def run(batches):
+        free()
         for b in batches:
             langs = b.column(1).fill_null("").to_pylist()
             for at, data, bounds in runs(b.column(0)):

@@ -34,7 +34,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from circula.llm.bpe import WordTokens, _held
+from circula.llm.bpe import WordTokens
+from circula.llm.workers import free, held
 from circula.sources.paths import path_exists
 
 HEADER = struct.Struct("<8sI")
@@ -157,7 +158,7 @@ def write(docs: DataFrame, dest: str, tokenizer: str, end_id: int, vocabulary: i
     last = end_id.to_bytes(4, "little")
 
     def encode(batches):
-        coder = _held(mark, lambda: WordTokens(tokenizer))
+        coder = held(mark, lambda: WordTokens(tokenizer))
         for b in batches:
             ids = b.column(0).to_pylist()
             at = np.searchsorted(cuts, [i or 0 for i in ids], "right")
@@ -167,6 +168,7 @@ def write(docs: DataFrame, dest: str, tokenizer: str, end_id: int, vocabulary: i
                                              ["range", "doc_id", "payload"])
 
     def store(batches):
+        free()
         fs, folder = pafs.FileSystem.from_uri(dest)
         fs.create_dir(folder, recursive=True)
         file, names, held, number = None, [], None, 0
@@ -201,6 +203,7 @@ def read(spark: SparkSession, dest: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
     def run(batches):
+        free()
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 rows, start = [], 0

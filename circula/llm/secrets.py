@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from circula.llm.tables import extended
 from circula.llm.words import runs
+from circula.llm.workers import free
 
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(
@@ -140,6 +141,7 @@ def scan(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     names = [*keep, "n_assign", "n_access", "n_hex", "n_novel", "base_spans", "spans"]
 
     def run(batches):
+        free()
         for b in batches:
             found = _spans(b.column(0))
             counts = [pa.array([sum(k == kind for _, k, _ in x) for x in found], pa.int64()) for kind in range(4)]
@@ -159,6 +161,7 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
+        free()
         for b in batches:
             texts = b.column(at)
             found = _spans(texts)

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from circula.llm.tables import Staging, extended, unused
 from circula.llm.words import Words, mix, runs, shingles
+from circula.llm.workers import free
 
 SHINGLE = 8
 MOST = 28               # windows of a piece, one bit each
@@ -102,6 +103,7 @@ def _longs(a: np.ndarray) -> pa.Array:
 def _anchors(docs: DataFrame, window: int) -> DataFrame:
     """Anchors that are there twice."""
     def run(batches):
+        free()
         for b in batches:
             for _, data, bounds in runs(b.column(0)):
                 p = _Pieces(data, bounds, window)
@@ -118,6 +120,7 @@ def _places(docs: DataFrame, window: int) -> DataFrame:
     names = ["anchor", "key", "doc_id", "text_hash", "place", "size"]
 
     def run(batches):
+        free()
         for b in batches:
             for at, data, bounds in runs(b.column(2)):
                 p = _Pieces(data, bounds, window)
@@ -141,6 +144,7 @@ def _texts_of(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     names = ["anchor", "key", "n", "size", "words"]
 
     def run(batches):
+        free()
         for b in batches:
             pieces = b.column(1)
             for at, data, bounds in runs(b.column(0)):
@@ -246,6 +250,7 @@ def _automata(pieces: DataFrame, window: int) -> DataFrame:
         return tuple(list(x) for x in zip(*(r for r in out if r[2]), strict=True)) or ([], [], [])
 
     def run(batches):
+        free()
         shard, words = [], 0
         for b in batches:
             rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(),
@@ -267,6 +272,7 @@ def _automata(pieces: DataFrame, window: int) -> DataFrame:
 def _window_counts(pieces: DataFrame, window: int, stage: Staging) -> DataFrame:
     """As ``_automata``, for hot anchors: their windows are counted by hash."""
     def run(batches):
+        free()
         for b in batches:
             for anchor, key, n, said in zip(*(b.column(k).to_pylist() for k in (0, 1, 2, 4)), strict=True):
                 h = np.frombuffer(said, np.uint64)
@@ -356,6 +362,7 @@ def remove(docs: DataFrame, window: int, stage: Staging) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
+        free()
         for b in batches:
             spans, texts = b.column(b.num_columns - 1), b.column(at)
             hit = [i for i in range(len(texts)) if spans[i].is_valid]
@@ -377,6 +384,7 @@ def digests(docs: DataFrame, window: int, stage: Staging) -> DataFrame:
     from hashlib import sha256
 
     def run(batches):
+        free()
         for b in batches:
             texts, spans = b.column(1), b.column(2)
             n, removed, said = [], [], []

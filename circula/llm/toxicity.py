@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from circula.llm.tables import extended
+from circula.llm.workers import held
 
 P = 3           # letters of a counted subsequence
 GAP = 0.7       # weight of each letter that a subsequence spans
@@ -67,8 +68,8 @@ class Sample:
     """Bounds of the training sample, chosen by hash of the id: documents of
     each label, and sentences in all."""
 
-    documents: int = 1500
-    sentences: int = 150_000
+    documents: int = 1000
+    sentences: int = 100_000
     landmarks: int = 32
 
 
@@ -498,9 +499,6 @@ def fit(docs: DataFrame, labels: DataFrame, sample: Sample | None = None, label_
     return train([tuple(r) for r in rows], sample, share)
 
 
-_SCORERS: dict = {}
-
-
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None, name: str = "tox_score") -> DataFrame:
     """``keep`` columns of every row (all by default) with the column ``name``,
     0 to 1.  Null and empty texts score by the bias alone."""
@@ -510,10 +508,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, name: st
     mark = uuid.uuid4().hex
 
     def run(batches):
-        if mark not in _SCORERS:  # a worker keeps its word cache between tasks
-            _SCORERS.clear()
-            _SCORERS[mark] = Scorer(model)  # the model is a few kB and goes with the task
-        scorer = _SCORERS[mark]
+        scorer = held(mark, lambda: Scorer(model))  # the model is a few kB and goes with the task
         for b in batches:
             texts, out = b.column(at), []
             for lo in range(0, len(texts), 256):
