@@ -26,6 +26,8 @@ def build_session(cpus: int | None = None, shuffle_partitions: int | None = None
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # checkpoints that no DataFrame reads any more are removed
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("CIRCULA_DRIVER_MEMORY", _default_heap()))
         .getOrCreate()
     )
@@ -65,6 +67,9 @@ def cluster_settings(input_bytes: int, executor_cores_total: int,
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
         "spark.sql.optimizer.windowGroupLimitThreshold": "1000",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.sql.session.timeZone": "UTC",
     }
 

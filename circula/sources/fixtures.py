@@ -348,12 +348,12 @@ class Fixtures:
             (uid % 15 != 0).alias("terms"))
 
 
-_REGISTRY: dict[tuple[int, str], Fixtures] = {}
+_REGISTRY: dict[tuple[str, str], Fixtures] = {}
 
 
 def fixtures(spark: SparkSession, sf_dir: str) -> Fixtures:
     """One lazily built fixture set per (session, folder)."""
-    key = (id(spark), sf_dir.rstrip("/"))
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     if key not in _REGISTRY:
         _REGISTRY[key] = Fixtures(spark, sf_dir)
     return _REGISTRY[key]
