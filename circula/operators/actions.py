@@ -6,7 +6,8 @@ lazy DataFrames to be written by the caller) and a count frame
 ``(table_name, action, row_count)`` - and R2 / R4 add a per-key outcome
 frame as a third item.  Doomed keys flow down the foreign-key chain
 with ``left_semi`` joins; survivors are ``left_anti`` joins against them.
-Key lists can be large, so no side is forced to broadcast; AQE picks.
+Key lists can be large, so no side is forced to broadcast; AQE picks, and can
+split a hot key (``spread_join``).
 
 Every doomed key set is materialized once (``checkpoint`` into
 ``spark.checkpoint.dir``): the survivor tables and the counts all read it, so
@@ -47,15 +48,15 @@ def _counts(parts: list[tuple[DataFrame, str, str]]) -> DataFrame:
 def _loan_chain(t: dict, doomed_loans: DataFrame, doomed_users: DataFrame | None = None):
     """Loans -> LoanItem, Fine (by loan or by user) -> Payment."""
     loan_keys = _keys(doomed_loans.select("LoanID"))
-    items = t["loan_item"].join(loan_keys, "LoanID", "left_semi")
+    items = spread_join(t["loan_item"], loan_keys, ["LoanID"], "left_semi")
     fine = t["fine"]
-    by_loan = fine.join(loan_keys, "LoanID", "left_semi")
+    by_loan = spread_join(fine, loan_keys, ["LoanID"], "left_semi")
     if doomed_users is not None:
-        by_user = fine.join(doomed_users, "UserID", "left_semi")
+        by_user = spread_join(fine, doomed_users, ["UserID"], "left_semi")
         doomed_fines = _keys(by_loan.unionByName(by_user).select("FineID"))
     else:
         doomed_fines = _keys(by_loan.select("FineID"))
-    payments = t["payment"].join(doomed_fines, "FineID", "left_semi")
+    payments = spread_join(t["payment"], doomed_fines, ["FineID"], "left_semi")
     return loan_keys, items, doomed_fines, payments
 
 
@@ -64,18 +65,18 @@ def delete_users(t: dict, keys: DataFrame):
     -> Payment; User -> Reservation -> ReservationItem."""
     user_keys = _keys(t["library_user"].join(keys.select("UserID").distinct(), "UserID", "left_semi")
                       .select("UserID"))
-    loans = t["loan"].join(user_keys, "UserID", "left_semi")
+    loans = spread_join(t["loan"], user_keys, ["UserID"], "left_semi")
     loan_keys, items, fine_keys, payments = _loan_chain(t, loans, user_keys)
-    res_keys = _keys(t["reservation"].join(user_keys, "UserID", "left_semi").select("ReservationID"))
-    res_items = t["reservation_item"].join(res_keys, "ReservationID", "left_semi")
+    res_keys = _keys(spread_join(t["reservation"], user_keys, ["UserID"], "left_semi").select("ReservationID"))
+    res_items = spread_join(t["reservation_item"], res_keys, ["ReservationID"], "left_semi")
     tables = {
-        "library_user": t["library_user"].join(user_keys, "UserID", "left_anti"),
-        "loan": t["loan"].join(loan_keys, "LoanID", "left_anti"),
-        "loan_item": t["loan_item"].join(loan_keys, "LoanID", "left_anti"),
-        "fine": t["fine"].join(fine_keys, "FineID", "left_anti"),
-        "payment": t["payment"].join(fine_keys, "FineID", "left_anti"),
-        "reservation": t["reservation"].join(res_keys, "ReservationID", "left_anti"),
-        "reservation_item": t["reservation_item"].join(res_keys, "ReservationID", "left_anti"),
+        "library_user": spread_join(t["library_user"], user_keys, ["UserID"], "left_anti"),
+        "loan": spread_join(t["loan"], loan_keys, ["LoanID"], "left_anti"),
+        "loan_item": spread_join(t["loan_item"], loan_keys, ["LoanID"], "left_anti"),
+        "fine": spread_join(t["fine"], fine_keys, ["FineID"], "left_anti"),
+        "payment": spread_join(t["payment"], fine_keys, ["FineID"], "left_anti"),
+        "reservation": spread_join(t["reservation"], res_keys, ["ReservationID"], "left_anti"),
+        "reservation_item": spread_join(t["reservation_item"], res_keys, ["ReservationID"], "left_anti"),
     }
     # the keys are primary keys: counting the key sets is counting the rows
     counts = _counts([(user_keys, "library_user", "DELETE"), (loan_keys, "loan", "CASCADE"),
@@ -90,10 +91,10 @@ def delete_loans(t: dict, keys: DataFrame):
     loans = t["loan"].join(keys.select("LoanID").distinct(), "LoanID", "left_semi")
     loan_keys, items, fine_keys, payments = _loan_chain(t, loans)
     tables = {
-        "loan": t["loan"].join(loan_keys, "LoanID", "left_anti"),
-        "loan_item": t["loan_item"].join(loan_keys, "LoanID", "left_anti"),
-        "fine": t["fine"].join(fine_keys, "FineID", "left_anti"),
-        "payment": t["payment"].join(fine_keys, "FineID", "left_anti"),
+        "loan": spread_join(t["loan"], loan_keys, ["LoanID"], "left_anti"),
+        "loan_item": spread_join(t["loan_item"], loan_keys, ["LoanID"], "left_anti"),
+        "fine": spread_join(t["fine"], fine_keys, ["FineID"], "left_anti"),
+        "payment": spread_join(t["payment"], fine_keys, ["FineID"], "left_anti"),
     }
     counts = _counts([(loan_keys, "loan", "DELETE"), (items, "loan_item", "CASCADE"),
                       (fine_keys, "fine", "CASCADE"), (payments, "payment", "CASCADE")])
@@ -104,11 +105,11 @@ def delete_reservations(t: dict, keys: DataFrame):
     """Reservation -> ReservationItem."""
     res_keys = _keys(t["reservation"].join(keys.select("ReservationID").distinct(), "ReservationID", "left_semi")
                      .select("ReservationID"))
-    res = t["reservation"].join(res_keys, "ReservationID", "left_semi")
-    items = t["reservation_item"].join(res_keys, "ReservationID", "left_semi")
+    res = spread_join(t["reservation"], res_keys, ["ReservationID"], "left_semi")
+    items = spread_join(t["reservation_item"], res_keys, ["ReservationID"], "left_semi")
     tables = {
-        "reservation": t["reservation"].join(res_keys, "ReservationID", "left_anti"),
-        "reservation_item": t["reservation_item"].join(res_keys, "ReservationID", "left_anti"),
+        "reservation": spread_join(t["reservation"], res_keys, ["ReservationID"], "left_anti"),
+        "reservation_item": spread_join(t["reservation_item"], res_keys, ["ReservationID"], "left_anti"),
     }
     counts = _counts([(res, "reservation", "DELETE"), (items, "reservation_item", "CASCADE")])
     return tables, counts
@@ -136,17 +137,16 @@ def delete_books(t: dict, keys: DataFrame):
     outcomes = _keys(book_delete_outcomes(t, keys))
     gone = outcomes.filter(F.col("Outcome") == "deleted").select("ISBN")
     refused = outcomes.filter(F.col("Outcome") == "refused")
-    books = t["book"].join(gone, "ISBN", "left_semi")
-    authors = t["book_authors"].join(gone, "ISBN", "left_semi")
+    books = spread_join(t["book"], gone, ["ISBN"], "left_semi")
+    authors = spread_join(t["book_authors"], gone, ["ISBN"], "left_semi")
     rel = t["related_books"]
-    rel_doomed = (rel.join(gone, "ISBN", "left_semi")
-                  .unionByName(rel.join(gone.withColumnRenamed("ISBN", "RelatedISBN"),
-                                        "RelatedISBN", "left_semi"))
+    rel_doomed = (spread_join(rel, gone, ["ISBN"], "left_semi")
+                  .unionByName(spread_join(rel, gone.withColumnRenamed("ISBN", "RelatedISBN"), ["RelatedISBN"], "left_semi"))
                   .distinct())
     tables = {
-        "book": t["book"].join(gone, "ISBN", "left_anti"),
-        "book_authors": t["book_authors"].join(gone, "ISBN", "left_anti"),
-        "related_books": (rel.join(gone, "ISBN", "left_anti")
+        "book": spread_join(t["book"], gone, ["ISBN"], "left_anti"),
+        "book_authors": spread_join(t["book_authors"], gone, ["ISBN"], "left_anti"),
+        "related_books": (spread_join(rel, gone, ["ISBN"], "left_anti")
                           .join(gone.withColumnRenamed("ISBN", "RelatedISBN"), "RelatedISBN", "left_anti")
                           .select("ISBN", "RelatedISBN")),
     }
@@ -159,16 +159,16 @@ def delete_employees(t: dict, keys: DataFrame):
     """ProcessedBy rows cascade; Report.GeneratedBy is set to null."""
     ek = _keys(t["employee"].join(keys.select("EmployeeID").distinct(), "EmployeeID", "left_semi")
                .select("EmployeeID"))
-    emp = t["employee"].join(ek, "EmployeeID", "left_semi")
-    pb = t["processed_by"].join(ek, "EmployeeID", "left_semi")
-    rep_hit = t["report"].join(ek.withColumnRenamed("EmployeeID", "GeneratedBy"), "GeneratedBy", "left_semi")
-    flagged = t["report"].join(ek.select(F.col("EmployeeID").alias("GeneratedBy"),
-                                         F.lit(True).alias("_gone")), "GeneratedBy", "left")
+    emp = spread_join(t["employee"], ek, ["EmployeeID"], "left_semi")
+    pb = spread_join(t["processed_by"], ek, ["EmployeeID"], "left_semi")
+    rep_hit = spread_join(t["report"], ek.withColumnRenamed("EmployeeID", "GeneratedBy"), ["GeneratedBy"], "left_semi")
+    flagged = spread_join(t["report"], ek.select(F.col("EmployeeID").alias("GeneratedBy"),
+                                                 F.lit(True).alias("_gone")), ["GeneratedBy"], "left")
     report = flagged.select(*[F.when(F.col("_gone"), F.lit(None).cast("int")).otherwise(F.col(c)).alias(c)
                               if c == "GeneratedBy" else F.col(c) for c in t["report"].columns])
     tables = {
-        "employee": t["employee"].join(ek, "EmployeeID", "left_anti"),
-        "processed_by": t["processed_by"].join(ek, "EmployeeID", "left_anti"),
+        "employee": spread_join(t["employee"], ek, ["EmployeeID"], "left_anti"),
+        "processed_by": spread_join(t["processed_by"], ek, ["EmployeeID"], "left_anti"),
         "report": report,
     }
     counts = _counts([(emp, "employee", "DELETE"), (pb, "processed_by", "CASCADE"),
