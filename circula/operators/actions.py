@@ -135,18 +135,19 @@ def delete_books(t: dict, keys: DataFrame):
     key; the rest of the batch proceeds); for the others drop BookAuthors and
     both sides of RelatedBooks."""
     outcomes = _keys(book_delete_outcomes(t, keys))
+    # the outcomes are distributed by ISBN and Outcome, so a join on ISBN gets exchanges on both sides
     gone = outcomes.filter(F.col("Outcome") == "deleted").select("ISBN")
     refused = outcomes.filter(F.col("Outcome") == "refused")
-    books = spread_join(t["book"], gone, ["ISBN"], "left_semi")
-    authors = spread_join(t["book_authors"], gone, ["ISBN"], "left_semi")
+    books = t["book"].join(gone, "ISBN", "left_semi")
+    authors = t["book_authors"].join(gone, "ISBN", "left_semi")
     rel = t["related_books"]
-    rel_doomed = (spread_join(rel, gone, ["ISBN"], "left_semi")
-                  .unionByName(spread_join(rel, gone.withColumnRenamed("ISBN", "RelatedISBN"), ["RelatedISBN"], "left_semi"))
+    rel_doomed = (rel.join(gone, "ISBN", "left_semi")
+                  .unionByName(rel.join(gone.withColumnRenamed("ISBN", "RelatedISBN"), "RelatedISBN", "left_semi"))
                   .distinct())
     tables = {
-        "book": spread_join(t["book"], gone, ["ISBN"], "left_anti"),
-        "book_authors": spread_join(t["book_authors"], gone, ["ISBN"], "left_anti"),
-        "related_books": (spread_join(rel, gone, ["ISBN"], "left_anti")
+        "book": t["book"].join(gone, "ISBN", "left_anti"),
+        "book_authors": t["book_authors"].join(gone, "ISBN", "left_anti"),
+        "related_books": (rel.join(gone, "ISBN", "left_anti")
                           .join(gone.withColumnRenamed("ISBN", "RelatedISBN"), "RelatedISBN", "left_anti")
                           .select("ISBN", "RelatedISBN")),
     }
