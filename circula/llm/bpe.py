@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import itertools
+import json
 import os
 import struct
 import uuid
@@ -217,7 +218,6 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 #: printable and no space, else the next one from 256 on.
 _PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _STANDS = dict(zip((b for b in range(256) if b not in _PLAIN), itertools.count(256)))
-_SPACE = chr(_STANDS[32])
 
 
 def _standing(piece: str) -> str:
@@ -266,33 +266,27 @@ class Tokens:
         return ids
 
 
-class ByteTokens(Tokens):
-    """Of a byte-level tokenizer without normalisation, which cuts by a pattern."""
+class ByteTokens:
+    """Ids of whole texts by a tokenizers file of a byte-level BPE without
+    normalisation.  Its vocabulary and merges are handed to tiktoken's BPE core, which
+    gives the same ids: both merge the pair of the lowest rank first, and here a
+    token's id is the rank of the merge that makes it."""
 
     def __init__(self, path: str, pattern: str):
-        super().__init__(path)
-        self.split = regex.compile(pattern).findall
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        plain = {chr(c): bytes([b]) for b, c in _STANDS.items()} | {chr(b): bytes([b]) for b in _PLAIN}
+        ranks = {b"".join(map(plain.__getitem__, token)): i for token, i in model["vocab"].items()}
+        made = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        if made != sorted(made) or len(set(made)) != len(made):
+            raise ValueError("the ids of the merged tokens must be in the order of the merges")
+        self.coder = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        text = text or ""
-        if not plain(text):
-            return b"".join(map(self.piece, self.split(text)))
-        words = text.split(" ")
-        return b"".join(map(self.piece, self.split(words[0]))) + self.joined(words[1:])
-
-    def learn(self, words: list[str]) -> None:
-        known, pieces, packed, merge, split = self.words, self.pieces, self.packed, self.merge, self.split
-        for w in words:
-            if w.isalpha():
-                own = " " + w
-                ids = pieces.get(own)
-                if ids is None:
-                    said = _SPACE + w if w.isascii() else _standing(own)
-                    ids = pieces[own] = b"".join([packed[t.id] for t in merge(said)])
-                known[w] = ids
-            else:
-                known[w] = b"".join(map(self.piece, split(" " + w)))
+        return self.coder.encode_to_numpy(text or "", disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
 class WordTokens(Tokens):
