@@ -52,7 +52,7 @@ FEATURES = 5    # of a document
 COST = 1.0      # of the SVM's squared hinge loss
 LANDMARK_CHARS = 10  # longest landmark
 SENTENCE_CHARS = 2000  # of a training sentence; scoring reads whole texts
-CACHE_WORDS = 500_000  # words a Python worker remembers
+CACHE_WORDS = 400_000  # words a Python worker remembers, as they stand and without marks
 
 START = "\x02"    # stands before every word, as a letter
 LEVELS = (1e-7, 1e-5, 1e-3, 1e-2)  # of chance for words that mark toxic documents
@@ -68,9 +68,9 @@ class Sample:
     """Bounds of the training sample, chosen by hash of the id: documents of
     each label, and sentences in all."""
 
-    documents: int = 1000
-    sentences: int = 100_000
-    landmarks: int = 32
+    documents: int = 1500
+    sentences: int = 150_000
+    landmarks: int = 28
 
 
 def _bare(word: str) -> str:
@@ -207,16 +207,19 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model, self.kernel = model, Kernel(model.landmarks)
-        self.known: dict[str, float] = {}
+        self.known: dict[str, float] = {}  # by word as it stands
+        self.bare: dict[str, float] = {}   # by word without marks
 
     def learn(self, words: set[str]) -> None:
         if len(self.known) + len(words) > CACHE_WORDS:
             self.known.clear()
-        new = [w for w in words if w not in self.known]
-        bare: dict[str, int] = {}
-        where = [bare.setdefault(_bare(w), len(bare)) for w in new]
-        margins = self.kernel.values(list(bare)) @ self.model.weights + self.model.bias
-        self.known.update(zip(new, margins[where].tolist(), strict=True))
+        if len(self.bare) > CACHE_WORDS:
+            self.bare.clear()
+        plain = {w: _bare(w) for w in words if w not in self.known}
+        new = list({b for b in plain.values() if b not in self.bare})
+        self.bare.update(zip(new, (self.kernel.values(new) @ self.model.weights + self.model.bias).tolist(),
+                             strict=True))
+        self.known.update((w, self.bare[b]) for w, b in plain.items())
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         bags = [words(t) for t in texts]
@@ -233,7 +236,7 @@ class Scorer:
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = COST) -> tuple[np.ndarray, float]:
     """Linear SVM with squared hinge loss by damped Newton steps."""
-    a = np.hstack([x, np.ones((len(x), 1))]).astype(np.float64)
+    a = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     reg = np.eye(a.shape[1])
     reg[-1, -1] = 1e-6
 
@@ -449,7 +452,7 @@ def train(rows: list[tuple], sample: Sample | None = None, share: float | None =
     x = _features(vocabulary, marks)
     for turn in range(2):
         root = _root(marks)
-        w, bias, f = _instances(x @ root, marked, clean, in_bad, in_good, [bags[d] for d in toxic if len(bags[d])])
+        w, bias, f = _instances((x @ root).astype(np.float32), marked, clean, in_bad, in_good, [bags[d] for d in toxic if len(bags[d])])
         if turn == 0:
             order = np.argsort(-np.where(clean, f, -np.inf), kind="stable")[:400]
             hard = _spread([vocabulary[i] for i in order if clean[i] and P <= len(vocabulary[i]) <= LANDMARK_CHARS],
@@ -496,7 +499,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: Sample | None = None, label_
     parts = (docs.select(key.cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
              .select("doc_id", "_toxic", "text").mapInArrow(split, "_d long, _y int, _s string"))
     rows = parts.orderBy(F.xxhash64(F.lit(11), "_d", "_s"), "_d", "_s").limit(sample.sentences).collect()
-    return train([tuple(r) for r in rows], sample, share)
+    rows = [tuple(r) for r in rows]  # not the Row objects, which are larger
+    return train(rows, sample, share)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None, name: str = "tox_score") -> DataFrame:
