@@ -246,16 +246,15 @@ class Tokens:
 
     def joined(self, words: list) -> bytes:
         known = self.words
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            met = set(words)
-            if len(known) + len(met) > 2 * CACHE:
+        new = [w for w in set(words) if w not in known]  # nearly every text has some
+        if new:
+            if len(known) + len(new) > 2 * CACHE:
                 known.clear()
+                new = list(set(words))
             if len(self.pieces) > CACHE:
                 self.pieces.clear()
-            self.learn([w for w in met if w not in known])
-            return b"".join(map(known.__getitem__, words))
+            self.learn(new)
+        return b"".join(map(known.__getitem__, words))
 
     def piece(self, piece: str) -> bytes:
         """Ids of one piece that the pre-tokenizer cuts no further."""
