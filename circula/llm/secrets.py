@@ -2,10 +2,9 @@
 
 Spans count code points, the end excluded.  The patterns find assignments,
 access keys and hex strings, each kind leftmost and without overlap.  Beyond
-them a *candidate* is a run of at least ``MIN_RUN`` characters of
-``[A-Za-z0-9+/_.=-]`` with letters and digits in it that change between digits,
-capitals and small letters at one place in ``CHANGE`` at least, near behind a word of a
-sensitive context.  It is compressed on its own by zstandard with a dictionary
+them a *candidate* is any run of at least ``MIN_RUN`` characters of
+``[A-Za-z0-9+/_.=-]`` near behind a word of a sensitive context, whatever its
+letters and digits.  It is compressed on its own by zstandard with a dictionary
 that holds common identifiers of code and the text around the candidate.  The
 *marginal bytes* are the size above that of an empty input: an identifier, a
 path or a word that the text says again costs few bytes, a random key about
@@ -34,7 +33,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 
-MIN_RUN, MIN_SHARE, CHANGE = 16, 0.6, 4
+MIN_RUN, MIN_SHARE = 16, 0.6
 CONTEXT = 64   # code points before a candidate that may hold the sensitive word
 AROUND = 512   # code points on either side that prime the compressor
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
@@ -50,18 +49,25 @@ IDENTIFIERS = ("0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ
                "secret password api_key access_key private_key public_key getenv environ process.env os.environ "
                "YOUR_API_KEY YOUR_TOKEN_HERE changeme placeholder xxxxxxxxxxxxxxxx 0000000000000000 "
                "application/json Content-Type Authorization Bearer Basic utf-8 version 1.0.0 2.0 master main "
-               "src/ lib/ test/ build/ .json .yaml .py .js .html .txt created_at updated_at timestamp")
+               "src/ lib/ test/ build/ .json .yaml .py .js .html .txt created_at updated_at timestamp "
+               "authentication authorization authenticate authorize Authentication Authorization permission "
+               "certificate Certificate credential Credentials signature Signature passphrase fingerprint encryption "
+               "Manager Factory Service Provider Handler Controller Builder Repository Interface Exception Listener "
+               "Connection Configuration Context Session Request Response Message Account Application Component "
+               "configuration connection application environment development production international translation "
+               "initialize ization ational ically ations ability ential ements ingly ness information administration "
+               "organization implementation responsibility documentation registration notification verification "
+               "getUser getValue getName setValue setName isValid createUser updateUser deleteUser findBy toString "
+               "database_connection connection_string file_name file_path path/to/file /path/to/ path/to/config "
+               "file_location user-account user_id client_id client_secret session_id account_id project_id "
+               "node_modules/ packages/ public/ static/ assets/ docs/ api/ v1/ reference .com/ .org/ .net/ .example. "
+               "com.example. org.apache. java.util. project. service. config.json settings.py index.html package.json "
+               "README.md docker-compose.yml ===== ----- _____ ..... +++++ 2020-01-01T00:00:00 January February Monday")
 _HEXES = np.zeros(256, bool)
 _HEXES[[ord(c) for c in "0123456789abcdef"]] = True
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
 
-def _mixed(run: str) -> bool:
-    kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" for c in run if c.isalnum()]
-    return "d" in kinds and ("u" in kinds or "l" in kinds) and CHANGE * sum(
-        a != b for a, b in zip(kinds, kinds[1:], strict=False)) >= len(run)
-
-
 def marginal_bytes(candidate: str, around: str) -> int:
     """Bytes that the candidate adds to what a compressor primed with the
     identifiers and the text around it has."""
@@ -90,7 +96,7 @@ def _novel(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int,
         lo, hi = m.span()
         run = m.group()
         k = np.searchsorted(at, lo) - 1  # the last sensitive word that begins before the run
-        if k < 0 or lo - at[k] > CONTEXT or not _mixed(run):
+        if k < 0 or lo - at[k] > CONTEXT:
             continue
         if any(s < hi and lo < e for s, _, e in base):
             continue

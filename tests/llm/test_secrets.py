@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import string
 
 from circula.llm import secrets as S
 from tests.llm.helpers import ODD, documents, prose
@@ -47,6 +48,24 @@ def test_new_strings_in_sensitive_context():
     assert S.find(None) == [] and S.find("") == []
 
 
+def test_new_strings_of_any_alphabet():
+    rng = random.Random(8)
+    for letters in (string.ascii_letters, string.ascii_lowercase, string.ascii_uppercase + "234567",
+                    string.digits + string.ascii_lowercase, string.digits):
+        for n in (16, 20, 40):
+            for _ in range(40):
+                new = "".join(rng.choice(letters) for _ in range(n))
+                text = f"the bearer credential is {new} and the rest of the text"
+                assert [text[s:e] for s, _, e in S.find(text)] == [new]
+
+
+def test_identifiers_in_sensitive_context_are_known():
+    for name in ("database_connection_string", "private_key_file_location", "================", "node_modules/packages/"):
+        assert not S.find(f"the session key of {name} is read"), name
+    word = "uncharacteristically"
+    assert not S.find(f"the key is {word} long, and {word} so")  # the text says it again
+
+
 def test_redaction(spark):
     text = "x password=abcdef1234567890abcdef1234 y AKIA" + "Q1" * 9 + " z"
     docs = documents(spark, [text, None, "", "clean"], extra=True)
