@@ -51,7 +51,7 @@ DOUBT = -0.5    # margin from which a word may be toxic
 FEATURES = 5    # of a document
 COST = 1.0      # of the SVM's squared hinge loss
 LANDMARK_CHARS = 10  # longest landmark
-SENTENCE_CHARS = 2000  # of a training sentence; scoring reads whole texts
+SENTENCE_CHARS = 2000  # of a part of a training sentence; scoring reads whole texts
 CACHE_WORDS = 400_000  # words a Python worker remembers, as they stand and without marks
 
 START = "\x02"    # stands before every word, as a letter
@@ -66,11 +66,12 @@ _SPACED = re.compile(r"(?:(?<=\s)|^)\w(?:\s\w){2,}(?=\s|$)")
 @dataclass(frozen=True)
 class Sample:
     """Bounds of the training sample, chosen by hash of the id: documents of
-    each label, and sentences in all."""
+    each label, and sentences in all.  ``landmarks`` are chosen at first, two
+    of three toxic; more follow until every marked toxic document is covered."""
 
     documents: int = 1500
     sentences: int = 150_000
-    landmarks: int = 28
+    landmarks: int = 32
 
 
 def _bare(word: str) -> str:
@@ -93,6 +94,16 @@ def sentences(text: str | None) -> list[str]:
     return [p for p in _END.split(text) if p.strip()] if text else []
 
 
+def _parts(sentence: str) -> list[str]:
+    """The sentence in parts of at most SENTENCE_CHARS, cut at white space where there is some."""
+    out = []
+    while len(sentence) > SENTENCE_CHARS:
+        cut = next((i for i in range(SENTENCE_CHARS, 0, -1) if sentence[i].isspace()), SENTENCE_CHARS)
+        out.append(sentence[:cut])
+        sentence = sentence[cut:]
+    return [*out, sentence]
+
+
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     size = np.fromiter(map(len, words), np.int64, len(words))
     out = np.zeros((len(words), max(1, int(size.max(initial=0)))), np.uint32)
@@ -109,11 +120,13 @@ class Kernel:
         landmarks = [START + w for w in landmarks]
         codes, size = _codes(landmarks)
         letters = np.unique(codes[codes > 0])
-        # match[k + 1][j, m]: weight of letter k at place j of landmark m; match[0] is for other letters
+        # match[j][k + 1, m]: weight of letter k at place j of landmark m; match[j][0] is for other letters
         self.letters = letters
         self.match = np.zeros((len(letters) + 1, codes.shape[1], len(landmarks)), np.float32)
         for k, c in enumerate(letters):
             self.match[k + 1] = (codes == c).T * np.float32(GAP * GAP)
+        self.holds = self.match.any(axis=2)  # whether a landmark has the letter at the place
+        self.match = np.ascontiguousarray(self.match.transpose(1, 0, 2))
         self.scale = np.sqrt(np.maximum([_self(w) for w in landmarks], 1e-12)).astype(np.float32)
 
     def values(self, words: list[str]) -> np.ndarray:
@@ -152,19 +165,20 @@ class Kernel:
         total = np.zeros((len(words), len(self.landmarks)), np.float32)
         # tails[i]: weighted common subsequences of i letters that end before the place at hand, by
         # place in the landmark, the gaps after them counted on both sides
-        places, gap = self.match.shape[1], np.float32(GAP)
+        places, gap = len(self.match), np.float32(GAP)
         tails = [np.zeros((places, len(words), len(self.landmarks)), np.float32) for _ in range(P - 1)]
         for s in range(codes.shape[1]):
-            step = self.match[index[:, s]]  # word, place, landmark
-            live = np.flatnonzero(step.any(axis=(0, 2)))
-            for j in live:
-                total += step[:, j] * tails[P - 2][j]
+            at = index[:, s]
+            live = np.flatnonzero(self.holds[np.unique(at)].any(axis=0))
+            step = {j: self.match[j][at] for j in live.tolist()}  # by place: word, landmark
+            for j in step:
+                total += step[j] * tails[P - 2][j]
             fresh = [np.zeros_like(t) for t in tails]
             for i in range(P - 1):
                 for j in range(live[0] if len(live) else places, places - 1):
                     np.multiply(fresh[i][j], gap, out=fresh[i][j + 1])
-                    if j in live:
-                        fresh[i][j + 1] += step[:, j] * tails[i - 1][j] if i else step[:, j]
+                    if j in step:
+                        fresh[i][j + 1] += step[j] * tails[i - 1][j] if i else step[j]
             for t, f in zip(tails, fresh, strict=True):
                 t *= gap
                 t += f
@@ -292,25 +306,36 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 
 def _covering(marking: set, bad: Counter, seen: dict, toxic: list, many: int) -> list[str]:
-    """Words unlike one another that together cover the toxic documents, twice if they can, and then the most frequent others."""
-    pure = sorted((w for w in marking if len(w) <= LANDMARK_CHARS), key=lambda w: (-bad[w], w))[:400]
+    """Words unlike one another that together cover the toxic documents, twice if they can, and then the most
+    frequent others.  The first ``many`` are of LANDMARK_CHARS letters at most and among the 400 most frequent;
+    words of any kind follow while a toxic document has marking words and none of them is like a chosen one."""
+    every = sorted(marking, key=lambda w: (-bad[w], w))
+    short = [w for w in every if len(w) <= LANDMARK_CHARS][:400]
     chosen: list[str] = []
     left = {d: 2 for d in toxic}  # documents to cover, each so many times
-    near = Kernel(pure).values(pure) if pure else None
-    holds = {w: [d for d in toxic if w in seen[d]] for w in pure}
-    covers = dict(holds)
-    while len(chosen) < many:
-        gain = {w: (sum(left[d] > 0 for d in holds[w]), len(holds[w]), w) for w in pure if holds[w]}
-        best = max(gain, key=gain.get, default=None)
-        if best is None:
-            break
-        chosen.append(best)
-        alike = near[pure.index(best)] >= FAMILY
-        for i, w in enumerate(pure):
-            if alike[i]:
-                holds[w] = []  # of a family of words one is enough
+    covers = {w: [] for w in every}
+    for d in toxic:
+        for w in seen[d] & marking:
+            covers[w].append(d)
+    bare = {d for ds in covers.values() for d in ds}  # documents without a word like a chosen one
+
+    def take(best: str, free: list[str]) -> list[str]:
+        chosen.append(best[:WORD_CHARS - 1])
         for d in covers[best]:
             left[d] -= 1
+        bare.difference_update(covers[best])
+        near = Kernel(chosen[-1:]).values(free)[:, 0] >= FAMILY
+        for w, alike in zip(free, near, strict=True):
+            if alike:
+                bare.difference_update(covers[w])
+        # of a family of words one is enough
+        return [w for w, alike in zip(free, near, strict=True) if not alike and w != best]
+
+    free = [w for w in every if covers[w]]
+    while len(chosen) < many and (pure := [w for w in short if w in set(free)]):
+        free = take(max(pure, key=lambda w: (sum(left[d] > 0 for d in covers[w]), len(covers[w]), w)), free)
+    while bare and free:
+        free = take(max(free, key=lambda w: (sum(d in bare for d in covers[w]), len(covers[w]), w)), free)
     return chosen or ["none"]
 
 
@@ -456,7 +481,7 @@ def train(rows: list[tuple], sample: Sample | None = None, share: float | None =
         if turn == 0:
             order = np.argsort(-np.where(clean, f, -np.inf), kind="stable")[:400]
             hard = _spread([vocabulary[i] for i in order if clean[i] and P <= len(vocabulary[i]) <= LANDMARK_CHARS],
-                           sample.landmarks - len(marks))
+                           max(sample.landmarks - len(marks), len(marks) // 2))
             x = np.hstack([x, _features(vocabulary, hard)])
             marks = marks + hard
     marked_docs = np.array([_summary(f[bags[d]], bias) for d in ids])
@@ -490,8 +515,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: Sample | None = None, label_
     def split(batches):
         for b in batches:
             d, y, text = (b.column(k).to_pylist() for k in range(3))
-            cut = [(i, label, s[:SENTENCE_CHARS]) for i, label, t in zip(d, y, text, strict=True)
-                   for s in sentences(t)]
+            cut = [(i, label, p) for i, label, t in zip(d, y, text, strict=True)
+                   for s in sentences(t) for p in _parts(s)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[k] for r in cut], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.string()))],
                 ["_d", "_y", "_s"])

@@ -57,6 +57,27 @@ def test_learns_words_and_their_altered_forms():
     assert (s.scores(["you grob-nak", "a g r o b n a k here", "grobbnak"]) > 0.5).all()
 
 
+def test_every_family_of_insults_is_learned():
+    rng = random.Random(9)
+    insults = ["".join(rng.choice("bcdfghjklmnprstvz") + rng.choice("aeiouy") for _ in range(4)) for _ in range(60)]
+    insults += ["quaxibombolotrupendifex", "wyzzerdrackenfluffigan"]  # longer than the first landmarks may be
+
+    def text(y, k):
+        said = ["".join(prose(rng, 2).split()) for _ in range(30)]  # words enough that no two texts are near copies
+        return " ".join([*said[:9], insults[k], *said[9:]] if y else said)
+
+    s = T.Scorer(T.train([(d, d % 2, text(d % 2, d // 2 % len(insults))) for d in range(30 * len(insults))]))
+    assert (s.scores([text(1, k) for k in range(len(insults))]) > 0.5).all()
+    assert (s.scores([text(0, 0) for _ in range(60)]) < 0.5).all()
+
+
+def test_long_sentences_are_split_and_not_cut():
+    words_ = prose(random.Random(10), 2000)
+    parts = T._parts(words_ + " grobnak")
+    assert "".join(parts) == words_ + " grobnak" and max(map(len, parts)) <= T.SENTENCE_CHARS
+    assert set(" ".join(parts).split()) == {*words_.split(), "grobnak"}
+
+
 def test_one_label_or_none():
     assert T.Scorer(T.train([])).scores(["x", None])[0] < 0.5
     assert (T.Scorer(T.train([(1, 1, "bad")])).scores(["x", ""]) > 0.5).all()
