@@ -224,18 +224,30 @@ def _standing(piece: str) -> str:
     return piece.encode().decode("latin-1").translate(_STANDS)
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The ids of the strings that a tokenizers file's library takes out of a text before anything else."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)["added_tokens"]
+    if any(t[k] for t in found for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens must match as they stand")
+    return {t["content"]: t["id"] for t in found}
+
+
 class Tokens:
     """Ids of whole texts by a tokenizers file.  Texts are cut into words that
     the tokenizer never joins, a new word into the pieces that its pre-tokenizer
     makes, and a new piece is encoded by the file's BPE model.  Words and
-    pieces are remembered."""
+    pieces are remembered.  With ``added``, the file's added tokens in a text
+    are their ids, as the library has it by default, else ordinary text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel work
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model.encode_special_tokens = True  # added tokens are cut out before
+        self.added = added_tokens(path) if added else {}
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")").split
         self.merge = self.model.model.tokenize
         self.packed = [struct.pack("<I", i) for i in range(self.model.get_vocab_size())]
         self.words: dict = {}
@@ -269,9 +281,10 @@ class ByteTokens:
     """Ids of whole texts by a tokenizers file of a byte-level BPE without
     normalisation.  Its vocabulary and merges are handed to tiktoken's BPE core, which
     gives the same ids: both merge the pair of the lowest rank first, and here a
-    token's id is the rank of the merge that makes it."""
+    token's id is the rank of the merge that makes it.  With ``added``, the
+    file's added tokens in a text are their ids, else ordinary text."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, added: bool = False):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
@@ -281,11 +294,14 @@ class ByteTokens:
         made = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
         if made != sorted(made) or len(set(made)) != len(made):
             raise ValueError("the ids of the merged tokens must be in the order of the merges")
-        self.coder = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.added = added_tokens(path) if added else {}
+        ranks = {t: i for t, i in ranks.items() if i not in self.added.values()}
+        self.coder = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=self.added)
 
     def ids(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        return self.coder.encode_to_numpy(text or "", disallowed_special=()).astype("<u4", copy=False).tobytes()
+        return self.coder.encode_to_numpy(text or "", allowed_special=self.coder.special_tokens_set,
+                                          disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
 class WordTokens(Tokens):
@@ -299,7 +315,11 @@ class WordTokens(Tokens):
 
     def ids(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        return self.joined((text or "").encode().split())
+        text = text or ""
+        if not any(t in text for t in self.added):
+            return self.joined(text.encode().split())
+        return b"".join([self.packed[self.added[part]] if part in self.added else self.joined(part.encode().split())
+                         for part in self.cut(text)])
 
     def learn(self, words: list[bytes]) -> None:
         known, pieces, packed, merge = self.words, self.pieces, self.packed, self.merge

@@ -204,7 +204,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, pattern: str, capacity: int, e
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
     def run(batches):
-        coder = held(mark, lambda: ByteTokens(tokenizer, pattern))
+        coder = held(mark, lambda: ByteTokens(tokenizer, pattern, added=True))
         for b in batches:
             out: list[list] = [[] for _ in names]
             row = []

@@ -158,7 +158,7 @@ def write(docs: DataFrame, dest: str, tokenizer: str, end_id: int, vocabulary: i
     last = end_id.to_bytes(4, "little")
 
     def encode(batches):
-        coder = held(mark, lambda: WordTokens(tokenizer))
+        coder = held(mark, lambda: WordTokens(tokenizer, added=True))
         for b in batches:
             ids = b.column(0).to_pylist()
             at = np.searchsorted(cuts, [i or 0 for i in ids], "right")

@@ -9,7 +9,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from circula.llm import bpe, records
+from circula.llm import bpe, packing, records
 from circula.llm.tables import Staging
 from tests.llm.helpers import ODD, documents, prose
 
@@ -73,6 +73,26 @@ def test_cached_ids_equal_the_whole_tokenizer(name):
         assert np.frombuffer(own.ids(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, t
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_have_the_ids_of_the_library(spark, tmp_path, name):
+    whole = Tokenizer.from_file(P.path(name))
+    rng = random.Random(12)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "endoftext", " ", "\n", "a", "B9", "é", "\u0301"]
+    said = ["a <|endoftext|> b", "<|endoftext|>", *("".join(rng.choice(parts) for _ in range(12)) for _ in range(300)), *texts()]
+    want = [whole.encode(t, add_special_tokens=False).ids for t in said]
+    docs = documents(spark, said)
+    if "byte" in name:
+        rows = packing.token_pieces(docs, P.path(name), P.PATTERN, 1 << 20, 2, with_ids=True)
+        got = {r["doc_id"]: r["ids"] for r in rows.collect()}
+    else:
+        dest = f"file://{tmp_path}/out"
+        names = records.write(docs, dest, P.path(name), 2, 49_408)
+        got = {d: ids.tolist() for n in names
+               for d, ids in records.read_file(open(f"{tmp_path}/out/{n}.rec", "rb").read())}
+    for i, t in enumerate(said):
+        assert got[i] == [*want[i], 2], t
+
+
 @pytest.fixture
 def written(spark, tmp_path):
     rng = random.Random(4)
