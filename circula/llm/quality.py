@@ -3,16 +3,16 @@
 Two histograms describe a document: the classes of its characters, and its
 common words.  The *references* are the same histograms over all documents of
 its language (null languages count as one), with the most frequent words of
-that language as its common words; a language with fewer than
-``Rules.reference_words`` words in all has the reference of the whole corpus.
-A document is compared by the Jensen-Shannon distance (root of the divergence
+that language as its common words.  A document is compared by the Jensen-Shannon distance (root of the divergence
 in bits, 0 to 1).  Guards: a document under ``min_chars`` characters has no
-class distance, one under ``min_words`` words no word distance; they are null
-and reject nothing.
+class distance, one under ``min_words`` words no word distance, and one of a
+language with fewer than ``reference_words`` words in all has neither; they are
+null and reject nothing.
 
 References are pre-aggregated in each task (distinct words of each language),
-summed by Spark, and have at most ``Rules.common_words`` words for each of the
-``Rules.languages`` languages with the most words.
+summed by Spark, and have at most ``Rules.common_words`` words for each
+language.  Up to ``HELD`` languages' references are sent to the tasks; if there are
+more, all of them stay a table that is joined to the documents.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from circula.llm.tables import extended
+from circula.llm.tables import Staging, extended
 from circula.llm.words import WHITE, Words, runs, shingles
 from circula.llm.workers import free
 
@@ -40,6 +40,7 @@ CLASS[128:192], CLASS[192:] = _NONE, _BEYOND
 SYMBOL = np.zeros(256, bool)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 REPEAT = 8  # words of a window whose repetition counts
+HELD = 10_000  # languages whose references a task holds, about 1 KB each
 
 
 @dataclass(frozen=True)
@@ -51,7 +52,6 @@ class Rules:
     max_class_distance: float = 0.3
     max_word_distance: float = 0.75
     common_words: int = 64
-    languages: int = 64
     reference_words: int = 5000
 
 
@@ -70,6 +70,16 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys, np.bincount(where, np.concatenate([n for _, n in parts])).astype(np.int64)
 
 
+def _by_language(langs: np.ndarray, owner: np.ndarray):
+    """Each language with the places of its documents and those of their words (``owner`` has a word's document)."""
+    names, code = np.unique(langs.astype(object), return_inverse=True)
+    code = code.astype(np.uint16 if len(names) < 1 << 16 else np.uint32)
+    docs, words = np.argsort(code, kind="stable"), np.argsort(code[owner], kind="stable")
+    ends, word_ends = (np.cumsum(np.bincount(c, minlength=len(names))) for c in (code, code[owner]))
+    for k, name in enumerate(names):
+        yield (name, docs[ends[k - 1] if k else 0:ends[k]], words[word_ends[k - 1] if k else 0:word_ends[k]])
+
+
 def _counted(batches):
     free()
     held: dict[str, list] = {}
@@ -82,11 +92,11 @@ def _counted(batches):
             h = w.hashes()
             own = langs[at:at + len(bounds) - 1]
             kinds = CLASS[data]
-            for lang in sorted(set(own)):
-                mine = own == lang
-                part = kinds if mine.all() else kinds[np.repeat(mine, np.diff(bounds))]
+            for lang, mine, its in _by_language(own, w.doc):
+                part = kinds if len(mine) == len(own) else np.concatenate(
+                    [kinds[bounds[i]:bounds[i + 1]] for i in mine])
                 classes[lang] = classes.get(lang, 0) + np.bincount(part, minlength=9)
-                held.setdefault(lang, []).append(np.unique(h[mine[w.doc]], return_counts=True))
+                held.setdefault(lang, []).append(np.unique(h[its], return_counts=True))
                 waiting += len(held[lang][-1][0])
             if waiting > 1_000_000:  # words in memory are bounded; the rest is summed by Spark
                 held = {lang: [_merged(parts)] for lang, parts in held.items()}
@@ -99,59 +109,53 @@ def _counted(batches):
         yield _flush(lang, *_merged(parts), classes[lang])
 
 
+#: Hashes of a language's common words, their counts with the count of all
+#: other words last, and counts of the character classes.
+Reference = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
 @dataclass
 class References:
-    """By language: hashes of its common words, their counts with the count of
-    all other words last, and counts of the character classes."""
+    """By language; languages without enough words are in none.  With a
+    ``table`` (lang and ref), ``known`` is empty."""
+
+    known: dict[str, Reference]
+    table: DataFrame | None = None
 
-    words: dict[str, np.ndarray]
-    counts: dict[str, np.ndarray]
-    classes: dict[str, np.ndarray]
-    pooled: str = "*"
 
-    def key(self, lang: str | None) -> str:
-        return (lang or "") if (lang or "") in self.words else self.pooled
+def _reference(size: int, words: list, classes: list) -> Reference:
+    keys = np.array([k for k, _ in words], np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    n = np.array([n for _, n in words], np.float64)[order]
+    by_class = np.zeros(len(CLASSES))
+    for k, m in classes:
+        by_class[k] = m
+    return keys[order], np.append(n, size - n.sum()), by_class
 
 
 def references(docs: DataFrame, rules: Rules | None = None) -> References:
     """Language references from all of ``docs`` (columns text and lang)."""
     rules = rules or Rules()
-    parts = docs.select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(
+    parts = docs.select("text", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang")).mapInArrow(
         _counted, "lang string, is_word boolean, item long, n long")
     total = parts.groupBy("lang", "is_word", "item").agg(F.sum("n").alias("n"))
-    # the sums are read four times below; distinct words only, far fewer than the words
+    # the sums are read twice below; distinct words only, far fewer than the words
     total = total.persist()
     try:
-        langs = (total.where("is_word").groupBy("lang").agg(F.sum("n").alias("n"))
-                 .where(F.col("n") >= rules.reference_words)
-                 .orderBy(F.desc("n"), "lang").limit(rules.languages).collect())
-        size = {r["lang"]: r["n"] for r in langs}
-        known = F.when(F.col("lang").isin(list(size)), F.col("lang")) if size else F.lit(None).cast("string")
-        best = Window.partitionBy("key").orderBy(F.desc("n"), "item")
-        rows = []
-        for key, frame in (("own", total.withColumn("key", known).where(F.col("key").isNotNull())),
-                           ("pooled", total.groupBy("is_word", "item").agg(F.sum("n").alias("n"))
-                            .withColumn("key", F.lit("*")))):
-            rows += (frame.where("is_word").withColumn("at", F.row_number().over(best))
-                     .where(F.col("at") <= rules.common_words).select("key", "is_word", "item", "n").collect())
-            rows += frame.where("not is_word").select("key", "is_word", "item", "n").collect()
-        size["*"] = total.where("is_word").agg(F.sum("n")).first()[0] or 0
+        item = F.struct("item", "n")
+        best = Window.partitionBy("lang").orderBy(F.desc("n"), "item")
+        common = (total.where("is_word").withColumn("at", F.row_number().over(best))
+                  .where(F.col("at") <= rules.common_words).groupBy("lang").agg(F.collect_list(item).alias("words")))
+        whole = (total.groupBy("lang").agg(F.sum(F.when(F.col("is_word"), F.col("n"))).alias("size"),
+                                           F.collect_list(F.when(~F.col("is_word"), item)).alias("classes"))
+                 .where(F.col("size") >= rules.reference_words))
+        table = whole.join(common, "lang").select("lang", F.struct("size", "words", "classes").alias("ref"))
+        rows = table.limit(HELD + 1).collect()
+        if len(rows) > HELD:
+            return References({}, Staging(docs.sparkSession, "quality").keep(table, "references"))
     finally:
         total.unpersist()
-    out = References({}, {}, {})
-    for key in size:
-        common = sorted((r["item"], r["n"]) for r in rows if r["key"] == key and r["is_word"])
-        keys = np.array([k for k, _ in common], np.int64).view(np.uint64)
-        order = np.argsort(keys)
-        n = np.array([n for _, n in common], np.float64)[order] if common else np.zeros(0)
-        out.words[key] = keys[order]
-        out.counts[key] = np.append(n, size[key] - n.sum())
-        classes = np.zeros(len(CLASSES))
-        for r in rows:
-            if r["key"] == key and not r["is_word"]:
-                classes[r["item"]] = r["n"]
-        out.classes[key] = classes
-    return out
+    return References({r["lang"]: _reference(*r["ref"]) for r in rows})
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -196,6 +200,7 @@ def measure(docs: DataFrame, refs: References, rules: Rules | None = None, keep:
     word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     class_distance, word_distance and kept.  Null texts have no words (and
     so fail the base rules); repeated rows give repeated rows."""
+    known, joined = refs.known, refs.table is not None
     rules = rules or Rules()
     keep = keep if keep is not None else ["doc_id"]
     names = [*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
@@ -204,7 +209,13 @@ def measure(docs: DataFrame, refs: References, rules: Rules | None = None, keep:
     def run(batches):
         free()
         for b in batches:
-            langs = b.column(1).fill_null("").to_pylist()
+            langs = b.column(1).to_numpy(zero_copy_only=False)
+            have = known
+            if joined:
+                found = {lang: b.column(2 + len(keep))[i].as_py() for i, lang in reversed(list(enumerate(langs)))}
+                have = {lang: _reference(r["size"], [(x["item"], x["n"]) for x in r["words"]],
+                                         [(x["item"], x["n"]) for x in r["classes"]])
+                        for lang, r in found.items() if r is not None}
             for at, data, bounds in runs(b.column(0)):
                 w = Words(data, bounds)
                 h, n_docs = w.hashes(), len(bounds) - 1
@@ -219,23 +230,25 @@ def measure(docs: DataFrame, refs: References, rules: Rules | None = None, keep:
                 lines = np.array([_repeated_lines(raw[bounds[i]:bounds[i + 1]]) for i in range(n_docs)], np.int64)
                 repeats = _repeated_words(w, h)
                 base = (w.counts < 20) | (100 * repeats > 30 * w.counts)
-                keys = np.array([refs.key(x) for x in langs[at:at + n_docs]], object)
                 far_class, far_word = np.zeros(n_docs), np.zeros(n_docs)
-                for key in set(keys):
-                    mine = np.flatnonzero(keys == key)
-                    far_class[mine] = js_distance(by_class[mine].astype(float), refs.classes[key])
-                    common, k = refs.words[key], len(refs.words[key])
-                    new = np.full(n_docs, -1)
+                unlike = np.zeros(n_docs, bool)  # documents with nothing to be compared with
+                for lang, mine, its in _by_language(langs[at:at + n_docs], w.doc):
+                    if lang not in have:
+                        unlike[mine] = True
+                        continue
+                    common, of_words, of_classes = have[lang]
+                    k = len(common)
+                    far_class[mine] = js_distance(by_class[mine].astype(float), of_classes)
+                    new = np.zeros(n_docs, np.int64)
                     new[mine] = np.arange(len(mine))
-                    sel = new[w.doc] >= 0
-                    hs = h[sel]
+                    hs = h[its]
                     slot = np.searchsorted(common, hs)
                     hit = slot < k
                     hit[hit] = common[slot[hit]] == hs[hit]
                     slot = np.where(hit, slot, k)
-                    counts = np.bincount(new[w.doc[sel]] * (k + 1) + slot, minlength=len(mine) * (k + 1))
-                    far_word[mine] = js_distance(counts.reshape(len(mine), k + 1).astype(float), refs.counts[key])
-                no_class, no_word = chars < rules.min_chars, w.counts < rules.min_words
+                    counts = np.bincount(new[w.doc[its]] * (k + 1) + slot, minlength=len(mine) * (k + 1))
+                    far_word[mine] = js_distance(counts.reshape(len(mine), k + 1).astype(float), of_words)
+                no_class, no_word = unlike | (chars < rules.min_chars), unlike | (w.counts < rules.min_words)
                 kept = (~base & (no_class | (far_class <= rules.max_class_distance))
                         & (no_word | (far_word <= rules.max_word_distance)))
                 yield pa.RecordBatch.from_arrays(
@@ -245,7 +258,11 @@ def measure(docs: DataFrame, refs: References, rules: Rules | None = None, keep:
                      pa.array(far_class, pa.float64(), mask=no_class), pa.array(far_word, pa.float64(), mask=no_word),
                      pa.array(kept, pa.bool_())], names)
 
-    rows = docs.select(F.col("text").alias("_q_text"), F.col("lang").cast("string").alias("_q_lang"), *keep)
+    rows = docs.select(F.col("text").alias("_q_text"),
+                       F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("_q_lang"), *keep)
+    if joined:
+        its = refs.table.select(F.col("lang").alias("_q_key"), F.col("ref").alias("_q_ref"))
+        rows = rows.join(its, F.col("_q_lang") == F.col("_q_key"), "left").drop("_q_key")
     return rows.mapInArrow(run, extended(docs.select(*keep).schema, (
         "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
         "base_failed boolean, class_distance double, word_distance double, kept boolean")))

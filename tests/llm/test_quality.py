@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from circula.llm import quality as Q
 from tests.llm.helpers import ODD, documents, prose
@@ -67,6 +68,26 @@ def test_unlike_documents_go_and_short_ones_are_guarded(spark):
     assert got[61]["kept"] and got[61]["word_distance"] is None
 
 
+@pytest.mark.parametrize("held", [None, 3])  # with 3, the references are joined
+def test_every_language_has_its_own_reference(spark, monkeypatch, held):
+    if held:
+        monkeypatch.setattr(Q, "HELD", held, raising=False)
+    rng = random.Random(7)
+    rules = Q.Rules(reference_words=1500)
+    names = [f"l{k}" for k in range(80)]
+    own = {n: ["".join(chr(0x3b1 + rng.randrange(24)) for _ in range(6)) for _ in range(30)] for n in names}
+    rows = [(n, " ".join(rng.choice(own[n]) for _ in range(100))) for n in names for _ in range(20)]
+    rows += [("en", prose(rng, 100)) for _ in range(2000)] + [(None, prose(rng, 100)) for _ in range(20)]
+    rows += [("small", " ".join(rng.choice(own["l0"]) for _ in range(100)))]
+    docs = spark.createDataFrame([(i, t, n) for i, (n, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    refs = Q.references(docs, rules)
+    got = {r["doc_id"]: r for r in Q.measure(docs, refs, rules).collect()}
+    assert len(got) == len(rows) and all(r["kept"] for r in got.values())
+    for i, (n, _) in enumerate(rows):  # a reference too small is none, so it rejects nothing
+        assert (got[i]["class_distance"] is None) == (got[i]["word_distance"] is None) == (n == "small")
+    assert (refs.table is None) == (held is None)
+
+
 def test_no_rows(spark):
     docs = documents(spark, [])
     assert Q.measure(docs, Q.references(docs)).count() == 0
