@@ -13,7 +13,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from circula.llm import bpe, caps, chat, forest, packing, quality, records, secrets, substrings, toxicity
+from circula.llm import (
+    bpe,
+    caps,
+    chat,
+    forest,
+    packing,
+    quality,
+    records,
+    resampling,
+    secrets,
+    substrings,
+    toxicity,
+)
 from circula.llm.tables import Staging, importable, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +140,12 @@ def op6_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op6_cap_filters"] = caps.oracle(0.93)
+
+@query
+def op13_bit_sliced_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weights of every document towards the benchmark texts, by bit-sliced sums, and the draw of a tenth."""
+    return resampling.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"),
+                               Staging(spark, "resampling"))
+
+
+ORACLE["op13_bit_sliced_resampling"] = resampling.oracle(10_000, 10, 20, "2024")
