@@ -18,6 +18,7 @@ from circula.llm import (
     caps,
     chat,
     forest,
+    line_crf,
     packing,
     quality,
     records,
@@ -149,3 +150,16 @@ def op13_bit_sliced_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op13_bit_sliced_resampling"] = resampling.oracle(10_000, 10, 20, "2024")
+
+
+@query
+def op12_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by a conditional random field over its
+    lines, trained on labelled rows whose crc32(doc_id) is not a multiple of 5."""
+    docs = read_table(spark, sf_dir, "documents")
+    model = line_crf.fit(docs, read_table(spark, sf_dir, "labels"))
+    return line_crf.score(docs, model, ["doc_id"]).select(
+        "doc_id",
+        (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).alias("held_out"),
+        F.col("line_quality").alias("score"),
+        (F.col("line_quality") >= 0.3).cast("int").alias("predicted"))

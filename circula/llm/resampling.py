@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from circula.llm.tables import Staging, extended
+from circula.llm.tables import Staging, extended, unused
 from circula.llm.words import LOWER, WHITE, Words, runs
 from circula.llm.workers import free
 from circula.operators.ranking import sequence_numbers
@@ -184,7 +184,7 @@ def weights(docs: DataFrame, gain: np.ndarray, rule: Features, keep: list[str] |
                     [*(b.column(1 + k).slice(at, n_docs) for k in range(len(keep))), pa.array(words, pa.int64()),
                      pa.array(n, pa.int64()), pa.array(sums // np.maximum(n, 1), pa.int64())], names)
 
-    rows = docs.select(F.col("text").alias("_r_text"), *keep)
+    rows = docs.select(F.col("text").alias(unused("_r_text", keep)), *keep)
     return rows.mapInArrow(run, extended(docs.select(*keep).schema, "n_words long, n_features long, weight long"))
 
 
