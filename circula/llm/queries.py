@@ -17,6 +17,7 @@ from circula.llm import (
     bpe,
     caps,
     chat,
+    codes,
     forest,
     line_crf,
     packing,
@@ -163,3 +164,13 @@ def op12_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).alias("held_out"),
         F.col("line_quality").alias("score"),
         (F.col("line_quality") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op11_drake_hamerly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all embeddings by integer k-means of their parts with adaptive bounds."""
+    coded, books = codes.compress(read_table(spark, sf_dir, "embeddings"), Staging(spark, "codes"))
+    return codes.with_label_error(coded, books)
+
+
+ORACLE["op11_drake_hamerly"] = codes.oracle(8, 16, 6, 4096)
