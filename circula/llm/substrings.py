@@ -19,8 +19,15 @@ maximal runs of such words are removed.  An automaton only meets the documents'
 that can match it, so the work grows with the text and not with its square.
 
 *Hot anchors*, with more than ``HOT_WORDS`` words in distinct pieces, would
-make one large automaton.  Their windows are counted one by one by hash
-instead, which Spark combines before the shuffle.
+make one large automaton: a passage that many documents share gives each of them
+pieces that cross its edge.  Such an anchor's windows are dealt a second time, by the
+smallest shingle that is not common among the anchor's pieces, so that a window goes
+with the words around the passage.  Windows in a row that stay together are a
+piece again, equal ones are counted together, and the new, smaller groups go to automata.
+Groups that are still hot are dealt again; the ``LEVELS``-th time deals each window by all of its
+words, after which a group holds equal windows only.  Common shingles are those of a
+``1 / COMMON`` share of an anchor's pieces or more, found by counting those that are common in one
+task (one that is common in all is so in some task).
 
 Rows with equal texts and ids are documents of their own.  Null and empty texts have no
 words; texts shorter than a window stay whole.  Hashes of words have 64 bits,
@@ -42,6 +49,9 @@ SHINGLE = 8
 MOST = 28               # windows of a piece, one bit each
 SHARD_WORDS = 20_000    # words of one automaton, unless a single anchor has more
 HOT_WORDS = 40_000
+COMMON = 16             # a shingle of one in so many pieces of a hot anchor deals no windows
+LEVELS = 4
+SALTS = 16              # parts of a hot anchor's pieces when its common shingles are joined
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,6 +64,41 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def _smallest(values: np.ndarray, span: int) -> np.ndarray:
+    """Smallest of ``span`` values from each place on."""
+    n, width = len(values) - span + 1, 1
+    while 2 * width <= span:  # smallest of ``width`` values from each place, doubled
+        values = np.minimum(values[:len(values) - width], values[width:])
+        width *= 2
+    rest = span - width
+    return np.minimum(values[:n], values[rest:rest + n])
+
+
+def _cut(h: np.ndarray, doc: np.ndarray, anchor: np.ndarray,
+         window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces of windows with the anchors ``anchor`` over word hashes ``h`` of the documents ``doc``: first word,
+    number of windows, hash of the words, and whether a window is in the piece twice."""
+    n = len(anchor)
+    whole = doc[:n] == doc[window - 1:]
+    first = whole.copy()
+    first[1:] &= ~whole[:-1] | (anchor[1:] != anchor[:-1])
+    run = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+    first |= whole & ((np.arange(n) - run) % MOST == 0)
+    start = np.flatnonzero(first)
+    piece = np.cumsum(first) - 1
+    size = np.bincount(piece[whole], minlength=len(start)) if len(start) else start
+    powers, inverse = _powers(len(h) + 1)
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * powers[:len(h)], out=sums[1:])
+    key = mix((sums[start + size + window - 1] - sums[start]) * inverse[start] + size.astype(np.uint64))
+    one = (sums[window:] - sums[:-window]) * inverse[:n]  # every window alone
+    twice = np.zeros(n, bool)
+    for p in range(1, min(MOST, n)):
+        twice[:-p] |= (one[p:] == one[:-p]) & (piece[p:] == piece[:-p]) & whole[p:] & whole[:-p]
+    inner = np.bincount(piece[twice], minlength=len(start)) > 0 if len(start) else first[:0]
+    return start, size, key, inner
+
+
 class _Pieces:
     """Pieces of the documents in a run of text: word index ``start``, number
     of windows ``size``, ``anchor``, hash ``key`` of the words, and whether a
@@ -62,38 +107,14 @@ class _Pieces:
     def __init__(self, data: np.ndarray, bounds: np.ndarray, window: int):
         self.words = w = Words(data, bounds)
         self.hashes = h = w.hashes()
-        n = len(h) - window + 1
-        if n <= 0:
+        if len(h) < window:
             self.start = self.size = np.zeros(0, np.int64)
             self.anchor = self.key = np.zeros(0, np.uint64)
             self.inner = np.zeros(0, bool)
             return
-        small = shingles(h, SHINGLE)
-        span, width = window - SHINGLE + 1, 1
-        while 2 * width <= span:  # smallest of ``width`` shingles from each place, doubled
-            small = np.minimum(small[:len(small) - width], small[width:])
-            width *= 2
-        rest = span - width
-        anchor = np.minimum(small[:n], small[rest:rest + n])
-        whole = w.doc[:n] == w.doc[window - 1:]
-        first = whole.copy()
-        first[1:] &= ~whole[:-1] | (anchor[1:] != anchor[:-1])
-        run = np.maximum.accumulate(np.where(first, np.arange(n), 0))
-        first |= whole & ((np.arange(n) - run) % MOST == 0)
-        self.start = np.flatnonzero(first)
-        piece = np.cumsum(first) - 1
-        self.size = np.bincount(piece[whole], minlength=len(self.start)) if len(self.start) else self.start
+        anchor = _smallest(shingles(h, SHINGLE), window - SHINGLE + 1)
+        self.start, self.size, self.key, self.inner = _cut(h, w.doc, anchor, window)
         self.anchor = anchor[self.start]
-        powers, inverse = _powers(len(h) + 1)
-        sums = np.zeros(len(h) + 1, np.uint64)
-        np.cumsum(h * powers[:len(h)], out=sums[1:])
-        end = self.start + self.size + window - 1
-        self.key = mix((sums[end] - sums[self.start]) * inverse[self.start] + self.size.astype(np.uint64))
-        one = (sums[window:] - sums[:-window]) * inverse[:n]  # every window alone
-        twice = np.zeros(n, bool)
-        for p in range(1, min(MOST, n)):
-            twice[:-p] |= (one[p:] == one[:-p]) & (piece[p:] == piece[:-p]) & whole[p:] & whole[:-p]
-        self.inner = np.bincount(piece[twice], minlength=len(self.start)) > 0 if len(self.start) else first[:0]
 
 
 def _longs(a: np.ndarray) -> pa.Array:
@@ -269,25 +290,101 @@ def _automata(pieces: DataFrame, window: int) -> DataFrame:
     return ordered.mapInArrow(run, "anchor long, key long, bits long")
 
 
-def _window_counts(pieces: DataFrame, window: int, stage: Staging) -> DataFrame:
-    """As ``_automata``, for hot anchors: their windows are counted by hash."""
+class _Beside:
+    """Words of a batch's pieces (columns anchor, key, n, size, words) side by side."""
+
+    def __init__(self, b: pa.RecordBatch):
+        said = [np.frombuffer(x.as_py(), np.uint64) for x in b.column(4)]
+        self.hashes = np.concatenate([np.zeros(0, np.uint64), *said])
+        sizes = np.array([len(x) for x in said], np.int64)
+        self.first = np.cumsum(sizes) - sizes
+        self.piece = np.repeat(np.arange(len(said)), sizes)
+        self.anchor = b.column(0).to_numpy().view(np.uint64)
+
+    def shingles(self) -> tuple[np.ndarray, np.ndarray]:
+        """Shingles of all places, apart by anchor, and which of them are in one piece."""
+        s = shingles(self.hashes, SHINGLE)
+        return s, self.piece[:len(s)] == self.piece[SHINGLE - 1:SHINGLE - 1 + len(s)]
+
+
+def _common(pieces: DataFrame) -> DataFrame:
+    """anchor and its common shingles (a list of at most some thousands)."""
     def run(batches):
         free()
         for b in batches:
-            for anchor, key, n, said in zip(*(b.column(k).to_pylist() for k in (0, 1, 2, 4)), strict=True):
-                h = np.frombuffer(said, np.uint64)
-                one = shingles(h, window)
-                k = len(one)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([anchor] * k, pa.int64()), _longs(one), pa.array([key] * k, pa.int64()),
-                     pa.array(np.arange(k), pa.int32()), pa.array([n] * k, pa.int64())],
-                    ["anchor", "one", "key", "at", "n"])
+            x = _Beside(b)
+            s, whole = x.shingles()
+            at = np.flatnonzero(whole)
+            both = np.unique(np.column_stack([x.anchor[x.piece[at]], s[at], x.piece[at].astype(np.uint64)]), axis=0)
+            pairs, n = np.unique(both[:, :2], axis=0, return_counts=True)
+            anchors, many = np.unique(x.anchor, return_counts=True)
+            often = n * 2 * COMMON >= many[np.searchsorted(anchors, pairs[:, 0])]
+            yield pa.RecordBatch.from_arrays(
+                [pa.concat_arrays([_longs(pairs[often, 0]), _longs(anchors)]),
+                 pa.concat_arrays([_longs(pairs[often, 1]), pa.nulls(len(anchors), pa.int64())]),
+                 pa.array(np.concatenate([n[often], many]), pa.int64())], ["anchor", "shingle", "n"])
+
+    counts = pieces.mapInArrow(run, "anchor long, shingle long, n long").groupBy("anchor", "shingle").agg(
+        F.sum("n").alias("n"))
+    many = counts.where("shingle is null").select("anchor", F.col("n").alias("many"))
+    return (counts.where("shingle is not null").join(many, "anchor").where(F.col("n") * (2 * COMMON) >= F.col("many"))
+            .groupBy("anchor").agg(F.collect_list("shingle").alias("common")))
 
-    rows = stage.keep(pieces.mapInArrow(run, "anchor long, one long, key long, at int, n long"), "hot_windows")
-    twice = stage.keep(rows.groupBy("anchor", "one").agg(F.sum("n").alias("_n")).where("_n > 1")
-                       .select("anchor", "one"), "hot_repeated")
-    return (rows.where("n = 1").join(twice, ["anchor", "one"])
-            .groupBy("anchor", "key").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("bits")))
+
+def _dealt_again(pieces: DataFrame, window: int, level: int, stage: Staging) -> DataFrame:
+    """Pieces of the windows of hot anchors' pieces: anchor (a new one), key, n, size, words, and where they are: piece_anchor, piece_key and at."""
+    names = ["anchor", "key", "n", "size", "words", "piece_anchor", "piece_key", "at"]
+
+    def run(batches):
+        free()
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = _Beside(b)
+            if level + 1 < LEVELS:
+                s, _ = x.shingles()
+                mark = mix(x.anchor)  # shingles are told apart by anchor
+                _, rows = np.unique(x.anchor, return_index=True)
+                common = [np.array(b.column(5)[i].as_py() or [], np.int64).view(np.uint64) ^ mark[i] for i in rows]
+                s[np.isin(s ^ mark[x.piece][:len(s)], np.concatenate(common))] = np.uint64(0xFFFFFFFFFFFFFFFF)
+                again = _smallest(s, window - SHINGLE + 1)
+            else:
+                again = shingles(x.hashes, window)
+            start, size, key, _ = _cut(x.hashes, x.piece, again, window)
+            own = x.piece[start]
+            rows = pa.array(own, pa.int64())
+            words = pa.array([x.hashes[lo:lo + n + window - 1].tobytes() for lo, n in zip(start, size, strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [_longs(mix(again[start] + x.anchor[own] * np.uint64(0x9E3779B97F4A7C15))), _longs(key),
+                 b.column(2).take(rows), pa.array(size, pa.int32()), words, b.column(0).take(rows),
+                 b.column(1).take(rows), pa.array(start - x.first[own], pa.int32())], names)
+
+    if level + 1 < LEVELS:
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+        common = stage.keep(_common(pieces), f"common{level}").select("anchor", "common", salts)
+        pieces = pieces.withColumn("_salt", F.pmod("key", F.lit(SALTS)).cast("int")).join(
+            common, ["anchor", "_salt"], "left").select("anchor", "key", "n", "size", "words", "common")
+    return pieces.mapInArrow(run, "anchor long, key long, n long, size int, words binary, "
+                                  "piece_anchor long, piece_key long, at int")
+
+
+def _judged(pieces: DataFrame, window: int, stage: Staging, level: int = 0) -> DataFrame:
+    """anchor, key and bits of the windows that repeat, of the pieces (anchor, key, n, size, words) that are there once."""
+    sizes = pieces.groupBy("anchor").agg(F.sum(F.col("size") + (window - 1)).alias("_words"))
+    hot = stage.keep(sizes.where(F.col("_words") > HOT_WORDS).select("anchor"), f"hot{level}")
+    if level == LEVELS or hot.isEmpty():  # equal windows only, whose number is that of the groups
+        return _automata(pieces, window)
+    # at most one anchor for each HOT_WORDS words of the text; the joins are shuffle joins unless that is little
+    cool = _automata(pieces.join(hot, "anchor", "left_anti"), window)
+    dealt = stage.keep(_dealt_again(pieces.join(hot, "anchor", "left_semi"), window, level, stage), f"dealt{level}")
+    distinct = stage.keep(dealt.groupBy("anchor", "key").agg(
+        F.sum("n").alias("n"), F.first("size").alias("size"), F.first("words").alias("words")), f"distinct{level}")
+    open_ = distinct.where("n = 1").select("anchor").distinct()
+    found = _judged(distinct.join(open_, "anchor", "left_semi"), window, stage, level + 1)
+    whole = distinct.where("n > 1").select("anchor", "key", F.expr("shiftleft(1L, size) - 1").alias("bits"))
+    again = dealt.where("n = 1").drop("words").join(found.unionByName(whole), ["anchor", "key"])
+    again = again.groupBy("piece_anchor", "piece_key").agg(F.bit_or(F.expr("shiftleft(bits, at)")).alias("bits"))
+    return cool.unionByName(again.select(F.col("piece_anchor").alias("anchor"), F.col("piece_key").alias("key"), "bits"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -308,22 +405,15 @@ def repeated(docs: DataFrame, window: int, stage: Staging) -> DataFrame:
     first = F.min(F.struct("doc_id", "text_hash", "place")).alias("first")
     distinct = stage.keep(places.groupBy("anchor", "key").agg(
         F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), first), "distinct")
-    groups = (distinct.groupBy("anchor").agg(
-        F.min("n").alias("_least"), F.sum(F.col("size") + (window - 1)).alias("_words"))
-        .where("_least = 1"))
-    groups = stage.keep(groups, "groups")
+    groups = stage.keep(distinct.where("n = 1").select("anchor").distinct(), "groups")
     asked = distinct.join(groups, "anchor").select(
         "anchor", "key", "n", "size", "first.doc_id", "first.text_hash", "first.place")
     texts = stage.keep(_texts_of(keyed, asked, window), "pieces")
-    hot = groups.where(F.col("_words") > HOT_WORDS).select("anchor")
-    # at most one anchor for each HOT_WORDS words of the text; the join is a shuffle join unless that is little
-    cool = texts.join(hot, "anchor", "left_anti")
     whole = distinct.where("n > 1").select(
         "anchor", "key", F.expr("shiftleft(1L, size) - 1").alias("bits"))
-    masks = whole.unionByName(_automata(cool, window)).unionByName(
-        _window_counts(texts.join(hot, "anchor", "left_semi"), window, stage))
-    masks = stage.keep(masks, "masks")
-    stage.drop("pieces", "groups", "distinct", "hot_windows", "hot_repeated")
+    masks = stage.keep(whole.unionByName(_judged(texts, window, stage)), "masks")
+    stage.drop("pieces", "groups", "distinct")
+    stage.drop(*(f"{name}{k}" for k in range(LEVELS + 1) for name in ("hot", "common", "dealt", "distinct")))
     found = (places.join(masks, ["anchor", "key"]).groupBy("doc_id", "text_hash")
              .agg(F.collect_list(F.struct("place", "bits")).alias("spans")))
     found = stage.keep(found, "spans")

@@ -118,7 +118,7 @@ def test_bounds_save_searches_and_stay_exact():
         assert depths.sum() == len(x)
         settled.append(depths[0])
         b, entry = C.adapted(b, depths, 16), new
-    assert min(settled[8:]) > 0.9 * len(x)
+    assert min(settled[8:]) > 0.75 * len(x)
 
 
 def test_places_come_and_go():

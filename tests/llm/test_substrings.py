@@ -48,6 +48,39 @@ def test_equals_brute_force(spark, stage, monkeypatch, window, hot):
     assert [got[i] for i in range(len(said))] == brute(said, window)
 
 
+@pytest.mark.parametrize("levels", [1, 2, 4])
+def test_a_passage_of_many_documents(spark, stage, monkeypatch, levels):
+    monkeypatch.setattr(S, "HOT_WORDS", 300)
+    monkeypatch.setattr(S, "LEVELS", levels)
+    rng = random.Random(levels)
+    p = prose(rng, 45)
+    ends = [prose(rng, 3) for _ in range(3)]  # common neighbours, so that windows over the edge repeat too
+    said = [" ".join([prose(rng, rng.randrange(30)), rng.choice(ends), p, rng.choice(ends), prose(rng, rng.randrange(30))])
+            for _ in range(150)] + [p + " " + p, p, " ".join(p.split()[:34])]
+    got = {r["doc_id"]: tuple(r)[1:] for r in S.digests(documents(spark, said), 35, stage).collect()}
+    assert [got[i] for i in range(len(said))] == brute(said, 35)
+
+
+def test_hot_anchors_make_few_pieces(spark, stage, monkeypatch):
+    """A passage's windows go in pieces of several windows, each a group of few."""
+    monkeypatch.setattr(S, "HOT_WORDS", 2000)
+    rng = random.Random(2)
+    p = prose(rng, 60)
+    docs = documents(spark, [f"{prose(rng, 50)} {p} {prose(rng, 50)}" for _ in range(300)])
+    keyed = S._keyed(docs)
+    anchors = S._anchors(keyed, 35)
+    distinct = S._places(keyed, 35).join(anchors, "anchor").groupBy("anchor", "key").agg(
+        S.F.count("key").alias("n"), S.F.first("size").alias("size"), S.F.first("doc_id").alias("doc_id"),
+        S.F.first("text_hash").alias("text_hash"), S.F.first("place").alias("place"))
+    pieces = stage.keep(S._texts_of(keyed, distinct, 35), "pieces")
+    hot = pieces.groupBy("anchor").agg(S.F.sum(S.F.col("size") + 34).alias("w")).where("w > 2000").select("anchor")
+    again = stage.keep(S._dealt_again(stage.keep(pieces.join(hot, "anchor"), "hot"), 35, 0, stage), "again")
+    windows = again.agg(S.F.sum("size")).first()[0]
+    assert again.count() < windows / 2
+    largest = again.dropDuplicates(["anchor", "key"]).groupBy("anchor").count().agg(S.F.max("count")).first()[0]
+    assert largest < 60
+
+
 def test_remove_keeps_rows_and_columns(spark, stage):
     rng = random.Random(9)
     p = prose(rng, 40)
