@@ -1034,50 +1034,114 @@ def _s2m(t, spark):
 
 
 # ========================================================== W: streaming ======
+def _time_parts(events):
+    """The events in four parts by time; those without a time are in the last one."""
+    at = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    cuts = events.select(F.percentile_approx(at, [0.25, 0.5, 0.75]).alias("q")).first()["q"] or []
+    bounds = [None, *cuts, None]
+    for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+        part = events if lo is None else events.filter((at > lo) | at.isNull() if hi is None else at > lo)
+        yield part if hi is None else part.filter(at <= hi)
+
+
+def _w1_stream(spark, parts):
+    """Run W1 over the parts, a trigger each; returns the sink."""
+    from circula.sources.paths import scratch_dir
+    from circula.streaming.daily_counts import stream_daily_counts
+    base = scratch_dir(spark, "w1")
+    for part in parts:
+        part.write.mode("append").parquet(f"{base}/source")
+        stream_daily_counts(spark, f"{base}/source", f"{base}/sink", f"{base}/checkpoint", delay="1 day")
+    return f"{base}/sink"
+
+
 @query("w1_stream_daily_counts", """SELECT CAST(ts AS DATE) AS Day, event_type AS Kind, count(*) AS Events FROM events GROUP BY 1, 2""")
 def _w1(t, spark):
     """Daily counts per event kind, run as a stream over the events in four
-    files by time, a micro-batch each."""
-    from circula.sources.paths import scratch_dir
-    from circula.streaming.daily_counts import read_daily_counts, stream_daily_counts
-    base = scratch_dir(spark, "w1")
-    events = spark.read.parquet(f"{t.sf_dir}/events.parquet")
-    cuts = events.select(F.percentile_approx(F.unix_timestamp(F.col("ts").cast("timestamp")),
-                                             [0.25, 0.5, 0.75]).alias("q")).first()["q"]
-    at = F.unix_timestamp(F.col("ts").cast("timestamp"))
-    for lo, hi in zip([None, *cuts], [*cuts, None], strict=True):
-        part = events if lo is None else events.filter(at > lo)
-        part = part if hi is None else part.filter(at <= hi)
-        part.coalesce(1).write.mode("append").parquet(f"{base}/source")
-    stream_daily_counts(spark, f"{base}/source", f"{base}/sink", f"{base}/checkpoint", delay="1 day",
-                        max_files_per_trigger=1)
-    return read_daily_counts(spark, f"{base}/sink")
+    parts by time, a micro-batch each."""
+    from circula.streaming.daily_counts import read_daily_counts
+    return read_daily_counts(spark, _w1_stream(spark, _time_parts(spark.read.parquet(f"{t.sf_dir}/events.parquet"))))
+
+
+FAULTY_EVENTS = """e AS (SELECT event_id, CASE WHEN event_id % 13 = 4 THEN NULL ELSE ts END AS ts,
+ CASE WHEN event_id % 11 = 3 THEN NULL ELSE event_type END AS event_type FROM events)"""
 
 
-def _w2_stream(t, spark, parts):
-    """Run W2 over the parts, a micro-batch each, and return the current loans."""
+def _faulty_events(t, spark):
+    """All events; every 11th has no kind, every 13th no time, and every part is delivered again with the next one."""
+    ev = spark.read.parquet(f"{t.sf_dir}/events.parquet")
+    ev = (ev.withColumn("ts", F.when(F.col("event_id") % 13 != 4, F.col("ts")))
+          .withColumn("event_type", F.when(F.col("event_id") % 11 != 3, F.col("event_type"))))
+    parts = list(_time_parts(ev))
+    return [parts[0], *(later.unionByName(part.filter("ts IS NOT NULL")) for part, later in zip(parts, parts[1:], strict=False))]
+
+
+@query("w1_stream_faulty_events", f"""WITH {FAULTY_EVENTS} SELECT CAST(ts AS DATE) AS Day, event_type AS Kind, count(*) AS Events
+ FROM e WHERE ts IS NOT NULL GROUP BY 1, 2""")
+def _w1f(t, spark):
+    """The same with null kinds in several batches, events without a time, and redelivered events, which count once."""
+    from circula.streaming.daily_counts import read_daily_counts
+    return read_daily_counts(spark, _w1_stream(spark, _faulty_events(t, spark)))
+
+
+@query("w1_stream_rejects", f"""WITH {FAULTY_EVENTS} SELECT event_id, event_type FROM e WHERE ts IS NULL""")
+def _w1r(t, spark):
+    """The events without a time that the same stream leaves out."""
+    from circula.streaming.daily_counts import read_rejects
+    return read_rejects(spark, _w1_stream(spark, _faulty_events(t, spark))).select("event_id", "event_type")
+
+
+def _w2_stream(t, spark, parts, between=None):
+    """Run W2 over the parts, a trigger each (calling ``between`` after each), and return the state folder."""
     from circula.sources.paths import scratch_dir
-    from circula.streaming.circulation_stream import current_loans, stream_circulation
+    from circula.streaming.circulation_stream import stream_circulation
     base = scratch_dir(spark, "w2")
     for part in parts:
-        part.coalesce(1).write.mode("append").parquet(f"{base}/source")
-    stream_circulation(spark, f"{base}/source", f"{base}/state", f"{base}/checkpoint", _pol(t),
-                       max_files_per_trigger=1)
-    return current_loans(spark, f"{base}/state")
+        part.write.mode("append").parquet(f"{base}/source")
+        stream_circulation(spark, f"{base}/source", f"{base}/state", f"{base}/checkpoint", _pol(t))
+        if between:
+            between(spark, f"{base}/state")
+    return f"{base}/state"
+
+
+def _loan_parts(ev):
+    """Events in four parts by loan; those without a LoanID are in the last one."""
+    own = F.coalesce(F.pmod("LoanID", F.lit(4)), F.lit(3))
+    return [ev.filter(own == k) for k in range(4)]
 
 
 @query("w2_stream_circulation", f"WITH {T2_SQL}\n{T2_SELECT}")
 def _w2(t, spark):
     """Loan state kept current by a stream over the circulation events in
     four micro-batches; the final state equals the batch fold (T2)."""
+    from circula.streaming.circulation_stream import current_loans
+    return current_loans(spark, _w2_stream(t, spark, _loan_parts(t["circulation_event"])))
+
+
+@query("w2_stream_compacted", f"WITH {T2_SQL}\n{T2_SELECT}")
+def _w2c(t, spark):
+    """The same by kind of event (returns first), so that every batch changes the same loans, with a compaction after each micro-batch."""
+    from circula.streaming.circulation_stream import compact, current_loans
     ev = t["circulation_event"]
-    return _w2_stream(t, spark, [ev.filter(F.pmod("LoanID", F.lit(4)) == k) for k in range(4)])
+    parts = [ev.filter("Kind = 'RETURN'"), ev.filter("Kind = 'ISSUE'"), ev.filter("Kind IS NULL OR Kind NOT IN ('ISSUE', 'RETURN')")]
+    return current_loans(spark, _w2_stream(t, spark, parts, compact))
+
+
+@query("w2_stream_rejects", """SELECT CASE WHEN LoanID % 7 = 2 THEN NULL ELSE LoanID END AS LoanID, UserID, Kind, EventDate, Seq
+ FROM circulation_event WHERE LoanID % 7 = 2 OR LoanID IS NULL""")
+def _w2r(t, spark):
+    """The reject frame of the stream when the events of every 7th loan have lost their LoanID."""
+    from circula.streaming.circulation_stream import rejected_events
+    ev = t["circulation_event"].withColumn("LoanID", F.when(F.col("LoanID") % 7 != 2, F.col("LoanID")))
+    return rejected_events(spark, _w2_stream(t, spark, _loan_parts(ev)))
 
 
 @query("w2_stream_loan_state", f"WITH {T2_SQL}\n{T2_SELECT}")
 def _w2s(t, spark):
     """The same when returns and renewals come before the issues, and some
     issues come again: the final state still equals the batch fold (T2)."""
+    from circula.streaming.circulation_stream import current_loans
     ev = t["circulation_event"]
-    return _w2_stream(t, spark, [ev.filter("Kind = 'RETURN'"), ev.filter("Kind = 'RENEW'"),
-                                 ev.filter("Kind = 'ISSUE'"), ev.filter("Kind = 'ISSUE' AND LoanID % 3 = 0")])
+    return current_loans(spark, _w2_stream(t, spark, [
+        ev.filter("Kind = 'RETURN'"), ev.filter("Kind = 'RENEW'"),
+        ev.filter("Kind = 'ISSUE'"), ev.filter("Kind = 'ISSUE' AND LoanID % 3 = 0")]))

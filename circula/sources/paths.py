@@ -37,3 +37,10 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
 def delete_path(spark: SparkSession, path: str) -> None:
     fs, p = _fs(spark, path)
     fs.delete(p, True)
+
+
+def rename_path(spark: SparkSession, path: str, to: str) -> None:
+    """Rename a folder in one step; ``to`` must not be there."""
+    fs, p = _fs(spark, path)
+    if not fs.rename(p, _fs(spark, to)[1]):
+        raise OSError(f"could not rename {path} to {to}")

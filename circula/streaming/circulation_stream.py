@@ -9,9 +9,13 @@ and replayed events do no harm, and no watermark is needed.
 
 Each micro-batch writes the loans it changed under ``loans/batch=<id>`` and
 events without a LoanID under ``rejects/batch=<id>``; a replayed batch
-rewrites its own folders.  The current Loan table is the newest row per
-LoanID (an aggregate, combined map-side) over the finished folders (those with
-Spark's ``_SUCCESS`` mark).  ``compact`` folds the finished folders into one.
+rewrites its own folders.  ``compact`` folds all finished batches but the newest
+(the only one that Spark can replay) into a snapshot beside them,
+``snapshots/upto=<id>``, which is written under another name and published by one
+rename.  The current Loan table is the newest row per LoanID (an aggregate, combined
+map-side) over the newest snapshot and the finished batches after it; finished
+are folders with Spark's ``_SUCCESS`` mark.  Batches up to a snapshot's id are not read any more, so it
+does not matter whether they are still there.
 """
 
 from __future__ import annotations
@@ -21,61 +25,95 @@ from pyspark.sql import functions as F
 
 from circula.functions.common import read_policy
 from circula.operators.circulation import due_from_facts, loan_facts
-from circula.sources.paths import delete_path, list_dirs, path_exists
+from circula.sources.paths import delete_path, list_dirs, path_exists, rename_path
+from circula.streaming.running import Running
 
 EVENT_SCHEMA = "LoanID INT, UserID INT, Kind STRING, EventDate DATE, Seq INT"
 LOAN_SCHEMA = "LoanID INT, UserID INT, CheckoutDate DATE, DueDate DATE, ReturnDate DATE, Renewals BIGINT"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _finished(spark: SparkSession, root: str) -> list[str]:
-    """Batch folders that were written to the end, oldest first."""
-    dirs = [d for d in list_dirs(spark, root) if d.startswith("batch=")]
-    return sorted((d for d in dirs if path_exists(spark, f"{root}/{d}/_SUCCESS")),
-                  key=lambda d: int(d.split("=", 1)[1]))
+def _number(folder: str) -> int:
+    return int(folder.split("=", 1)[1])
 
 
-def _read(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    dirs = _finished(spark, root)
+def _finished(spark: SparkSession, root: str, prefix: str = "batch=") -> list[str]:
+    """Folders that were written to the end, oldest first."""
+    dirs = [d for d in list_dirs(spark, root) if d.startswith(prefix)]
+    return sorted((d for d in dirs if path_exists(spark, f"{root}/{d}/_SUCCESS")), key=_number)
+
+
+def _read(spark: SparkSession, root: str, dirs: list[str], schema: str) -> DataFrame:
     if not dirs:
         return spark.createDataFrame([], f"{schema}, batch INT")
     return (spark.read.schema(f"{schema}, batch INT").option("basePath", root)
             .parquet(*[f"{root}/{d}" for d in dirs]))
 
 
+def _newest(rows: DataFrame) -> DataFrame:
+    """The row of the newest batch for each LoanID."""
+    cols = [c for c in rows.columns if c not in ("LoanID", "batch")]
+    newest = rows.groupBy("LoanID").agg(F.max_by(F.struct(*cols), "batch").alias("_r"))
+    return newest.select("LoanID", *[F.col(f"_r.{c}").alias(c) for c in cols])
+
+
+def _loans(spark: SparkSession, state: str, upto: int | None = None) -> DataFrame:
+    """Newest row per LoanID over the newest snapshot and the finished batches
+    after it (those up to ``upto``, if given)."""
+    made = _finished(spark, f"{state}/snapshots", "upto=")
+    covered = _number(made[-1]) if made else -1
+    dirs = [d for d in _finished(spark, f"{state}/loans") if covered < _number(d) and (upto is None or _number(d) <= upto)]
+    rows = _read(spark, f"{state}/loans", dirs, LOAN_SCHEMA)
+    if made:
+        base = spark.read.schema(LOAN_SCHEMA).parquet(f"{state}/snapshots/{made[-1]}")
+        rows = rows.unionByName(base.withColumn("batch", F.lit(covered)))
+    return _newest(rows)
+
+
 def current_loans(spark: SparkSession, state: str) -> DataFrame:
     """Newest row per LoanID over all finished batches."""
-    loans = _read(spark, f"{state.rstrip('/')}/loans", LOAN_SCHEMA)
-    cols = [c for c in loans.columns if c not in ("LoanID", "batch")]
-    newest = loans.groupBy("LoanID").agg(F.max_by(F.struct(*cols), "batch").alias("_r"))
-    return newest.select("LoanID", *[F.col(f"_r.{c}").alias(c) for c in cols])
+    return _loans(spark, state.rstrip("/"))
 
 
 def rejected_events(spark: SparkSession, state: str) -> DataFrame:
     """Events without a LoanID, over all finished batches."""
-    return _read(spark, f"{state.rstrip('/')}/rejects", EVENT_SCHEMA).drop("batch")
+    root = f"{state.rstrip('/')}/rejects"
+    return _read(spark, root, _finished(spark, root), EVENT_SCHEMA).drop("batch")
 
 
 def compact(spark: SparkSession, state: str) -> None:
-    """Write the current loans as the newest finished batch's folder and remove
-    the older ones.  Run it while the stream is stopped: a stream that is restarted
-    goes on with higher batch numbers."""
-    root = f"{state.rstrip('/')}/loans"
-    dirs = _finished(spark, root)
-    if len(dirs) < 2:
-        return
-    ready = f"{state.rstrip('/')}/compacted"
-    current_loans(spark, state).write.mode("overwrite").parquet(ready)
-    # a stop in between leaves either the old folders or a whole newest one
-    spark.read.parquet(ready).write.mode("overwrite").parquet(f"{root}/{dirs[-1]}")
-    for d in dirs[:-1]:
-        delete_path(spark, f"{root}/{d}")
-    delete_path(spark, ready)
+    """Fold all finished batches but the newest into a snapshot, and remove what the snapshot covers.
+
+    May run beside the stream (it only reads batches that are never rewritten),
+    one compaction at a time, while no reader holds an older listing.  A stop at any point loses nothing: before the
+    rename, the half-made folder is not read, and the next call deletes it;
+    after it, covered folders that are left are not read, and the next call deletes them.
+    """
+    state = state.rstrip("/")
+    snapshots = f"{state}/snapshots"
+    for d in list_dirs(spark, snapshots):
+        if d.startswith("making="):
+            delete_path(spark, f"{snapshots}/{d}")
+    batches = _finished(spark, f"{state}/loans")
+    made = _finished(spark, snapshots, "upto=")
+    covered = _number(made[-1]) if made else -1
+    upto = _number(batches[-2]) if len(batches) > 1 else -1
+    if upto > covered:
+        making = f"{snapshots}/making={upto}"
+        _loans(spark, state, upto).write.mode("overwrite").parquet(making)
+        rename_path(spark, making, f"{snapshots}/upto={upto}")
+        covered, made = upto, [*made, f"upto={upto}"]
+    for d in batches:
+        if _number(d) <= covered:
+            delete_path(spark, f"{state}/loans/{d}")
+    for d in made[:-1]:
+        delete_path(spark, f"{snapshots}/{d}")
 
 
 def stream_circulation(spark: SparkSession, source_dir: str, state: str, checkpoint: str, policy,
-                       max_files_per_trigger: int | None = None, available_now: bool = True):
-    """Run W2 over parquet event files in ``source_dir``; returns the query.
+                       max_files_per_trigger: int | None = None, available_now: bool = True) -> Running:
+    """Run W2 over parquet event files in ``source_dir``; returns the handles of
+    the loans' query and the rejects' query (both finished if ``available_now``).
 
     The session's state store provider is set to RocksDB, so that the state
     of many loans lies on disk and in the checkpoint, not in the heap.
@@ -103,7 +141,7 @@ def stream_circulation(spark: SparkSession, source_dir: str, state: str, checkpo
     query = start(loan_facts(events().filter(F.col("LoanID").isNotNull()))
                   .writeStream.outputMode("update").foreachBatch(keep), "loans")
     refused = start(events().filter(F.col("LoanID").isNull()).writeStream.foreachBatch(refuse), "rejects")
+    running = Running(query, refused)
     if available_now:
-        query.awaitTermination()
-        refused.awaitTermination()
-    return query
+        running.awaitTermination()
+    return running

@@ -229,3 +229,112 @@ def test_bench_prints_one_json_line(tmp_path):
     rec = json.loads(lines[0])
     assert rec["unit"] == "sec" and set(rec["queries"]) == {"a7_monthly_revenue", "l4_pending_fines"}
     assert rec["value"] == pytest.approx(sum(rec["queries"].values()), abs=1e-2) and rec["sf"] == 0.001
+
+
+LOANS = "LoanID int, UserID int, Kind string, EventDate date, Seq int"
+
+
+def three_batches(spark, fx, base):
+    for k in (1, 2, 3):
+        spark.createDataFrame([(k, k, "ISSUE", dt.date(2001, 7, k), 1), (1, 1, "RENEW", dt.date(2001, 7, k), k)],
+                              LOANS).coalesce(1).write.mode("append").parquet(f"{base}/src")
+        stream_circulation(spark, f"{base}/src", f"{base}/state", f"{base}/ck", fx["policy"])
+
+
+def loan_rows(spark, base):
+    return sorted((r.LoanID, r.Renewals) for r in current_loans(spark, f"{base}/state").collect())
+
+
+def replay(spark, fx, base):
+    """As after a stop between the sink's write and Spark's commit of the newest batch."""
+    commits = f"{base}/ck/loans/commits"
+    newest = max((n for n in os.listdir(commits) if n.isdigit()), key=int)
+    for name in (newest, f".{newest}.crc"):
+        if os.path.exists(f"{commits}/{name}"):
+            os.remove(f"{commits}/{name}")
+    stream_circulation(spark, f"{base}/src", f"{base}/state", f"{base}/ck", fx["policy"])
+
+
+def test_w2_replay_after_compaction_keeps_the_loans(spark, fx):
+    base = tempfile.mkdtemp(prefix="w2k-")
+    three_batches(spark, fx, base)
+    want = [(1, 3), (2, 0), (3, 0)]
+    assert loan_rows(spark, base) == want
+    compact(spark, f"{base}/state")
+    assert loan_rows(spark, base) == want
+    assert os.listdir(f"{base}/state/snapshots") == ["upto=1"]
+    assert [d for d in os.listdir(f"{base}/state/loans") if d.startswith("batch=")] == ["batch=2"]
+    replay(spark, fx, base)
+    assert loan_rows(spark, base) == want
+    compact(spark, f"{base}/state")
+    replay(spark, fx, base)
+    assert loan_rows(spark, base) == want
+    # and the stream goes on
+    spark.createDataFrame([(2, 2, "RETURN", dt.date(2001, 7, 9), 1)], LOANS).write.mode("append").parquet(f"{base}/src")
+    stream_circulation(spark, f"{base}/src", f"{base}/state", f"{base}/ck", fx["policy"])
+    compact(spark, f"{base}/state")
+    assert loan_rows(spark, base) == want
+    assert os.listdir(f"{base}/state/snapshots") == ["upto=2"]
+
+
+@pytest.mark.parametrize("step", range(5))
+def test_w2_compaction_may_stop_anywhere(spark, fx, monkeypatch, step):
+    """A stop before any of its writes, renames and deletes, and a next call that ends the work."""
+    from circula.streaming import circulation_stream as C
+    base = tempfile.mkdtemp(prefix="w2x-")
+    three_batches(spark, fx, base)
+    want = loan_rows(spark, base)
+    left = [step]
+
+    def counted(fn):
+        def run(*args):
+            if left[0] == 0:
+                raise KeyboardInterrupt
+            left[0] -= 1
+            return fn(*args)
+        return run
+
+    with monkeypatch.context() as m:
+        m.setattr(C, "rename_path", counted(C.rename_path))
+        m.setattr(C, "delete_path", counted(C.delete_path))
+        if step < 3:  # a rename and two deletes
+            with pytest.raises(KeyboardInterrupt):
+                compact(spark, f"{base}/state")
+        else:
+            compact(spark, f"{base}/state")
+    assert loan_rows(spark, base) == want
+    if step == 4:  # a snapshot that was being written
+        os.makedirs(f"{base}/state/snapshots/making=9")
+    compact(spark, f"{base}/state")
+    assert loan_rows(spark, base) == want
+    assert os.listdir(f"{base}/state/snapshots") == ["upto=1"]
+
+
+def test_w2_returns_both_handles(spark, fx):
+    base = tempfile.mkdtemp(prefix="w2h-")
+    spark.createDataFrame([(1, 1, "ISSUE", dt.date(2001, 7, 1), 1), (None, 5, "ISSUE", None, 1)], LOANS).write.parquet(f"{base}/src")
+    running = stream_circulation(spark, f"{base}/src", f"{base}/state", f"{base}/ck", fx["policy"], available_now=False)
+    assert running.isActive
+    running.processAllAvailable()
+    running.stop()
+    assert not running.isActive and not any(q.isActive for q in running.queries)
+    assert loan_rows(spark, base) == [(1, 0)] and rejected_events(spark, f"{base}/state").count() == 1
+
+
+def test_w1_null_kinds_redelivered_events_and_null_times(spark):
+    from circula.streaming.daily_counts import read_rejects
+    base = tempfile.mkdtemp(prefix="w1n-")
+    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    at = lambda h, d=20: dt.datetime(2024, 1, d, h)
+    batches = [[(1, at(1), 1, None, 1.0, "{}"), (2, at(2), 1, "view", 1.0, "{}"), (2, at(2), 1, "view", 1.0, "{}"),
+                (None, at(3), 1, "view", 1.0, "a"), (None, at(3), 1, "view", 1.0, "b")],
+               [(1, at(1), 1, None, 1.0, "{}"), (3, at(4), 1, None, 1.0, "{}"), (4, None, 1, "view", 1.0, "{}"),
+                (None, at(3), 1, "view", 1.0, "b")],
+               [(3, at(4), 1, None, 1.0, "{}"), (5, at(5, 21), 1, None, 1.0, "{}"), (6, None, 2, None, None, None)]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{base}/src")
+        stream_daily_counts(spark, f"{base}/src", f"{base}/sink", f"{base}/ck", delay="1 day")
+    got = sorted((str(r.Day), r.Kind or "", r.Events) for r in read_daily_counts(spark, f"{base}/sink").collect())
+    assert got == [("2024-01-20", "", 2), ("2024-01-20", "view", 3), ("2024-01-21", "", 1)]
+    assert sorted(r.event_id for r in read_rejects(spark, f"{base}/sink").collect()) == [4, 6]
+    assert read_rejects(spark, f"{base}/nothing").count() == 0
