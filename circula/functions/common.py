@@ -49,6 +49,40 @@ def key_text(*cols: str) -> Column:
     return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c in cols])
 
 
+INTEGERS = ("tinyint", "smallint", "int", "bigint")
+DAY_TEXT = r"^\s*\d{4}-\d{1,2}-\d{1,2}([ T]00:00(:00(\.0+)?)?)?\s*$"
+
+
+def fitted(df: DataFrame, column: str, dtype) -> Column:
+    """The column as the type ``dtype``, null where the value does not fit.
+
+    A value fits if nothing of it is lost: a number with a fraction is no
+    integer, and a time of day is no date.  Decimals alone are rounded, to
+    their scale, as a declared amount is stored.  No value ends the job.
+    """
+    dtype = dtype if isinstance(dtype, str) else dtype.simpleString()
+    have = dict(df.dtypes)[column]
+    col = F.col(column)
+    if have == dtype:
+        return col
+    if have == "date" and dtype != "string" or have == "boolean":
+        return F.lit(None).cast(dtype)
+    if dtype.startswith("decimal"):
+        return F.round(col.try_cast("decimal(38,10)"), int(dtype.split(",")[1].rstrip(")"))).try_cast(dtype)
+    if dtype in INTEGERS and have.startswith("timestamp"):
+        return F.lit(None).cast(dtype)  # a time is no number
+    if dtype in INTEGERS and have in ("float", "double") or dtype in INTEGERS and have.startswith("decimal"):
+        whole = col.try_cast(dtype)
+        return F.when(whole.try_cast(have) == col, whole)
+    if dtype == "date":
+        if have == "string":
+            return F.when(col.rlike(DAY_TEXT), col.try_cast(dtype))
+        if have not in ("timestamp", "timestamp_ntz"):
+            return F.lit(None).cast(dtype)  # a number is no date
+        return F.when(col.cast(dtype).cast(have) == col, col.cast(dtype))
+    return col.try_cast(dtype)
+
+
 @dataclass(frozen=True)
 class Policy:
     policy_id: int

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from circula.functions.common import as_date
-from circula.operators.quality import apply_defaults, conform, flag_rules
+from circula.functions.common import as_date, fitted
+from circula.operators.quality import apply_defaults, conform, flag_rules, row_rules
 from circula.operators.ranking import sequence_numbers, spread_join
 from circula.schema import table
 from circula.session import ensure_checkpoint_dir
@@ -36,8 +35,29 @@ def next_id(current: DataFrame, id_col: str) -> int:
     return 1 if m is None else int(m) + 1
 
 
+#: The per-row rules (Q4-Q8) that a batch of changes may be held to, beside its keys and types.
+CHANGE_RULES = ("not_null", "length", "enum", "decimal", "year")
+
+
+def _judged_changes(current: DataFrame | None, changes: DataFrame, key: Sequence[str], tname: str | None,
+                    rules: Sequence[str]) -> DataFrame:
+    """The changes with ``_faults``, the list of what is wrong with each: a null key part, values that do
+    not fit the current table's types, and the broken ones of ``rules``."""
+    faults = [F.when(F.col(c).isNull(), F.lit(f"NULL KEY({c})")) for c in key]
+    have = dict(current.dtypes) if current is not None else {}
+    for c in changes.columns:
+        if c in have and have[c] != dict(changes.dtypes)[c]:
+            lost = F.col(c).isNotNull() & fitted(changes, c, have[c]).isNull()
+            faults.append(F.when(lost, F.lit(f"TYPE({c} {have[c]})")))
+    if tname is not None:
+        faults += [F.when(bad, F.lit(name)) for name, bad, _ in row_rules(changes, tname, tuple(rules))]
+    elif rules:
+        raise ValueError("rules are those of a declared table: give its name")
+    return changes.withColumn("_faults", F.filter(F.array(*faults).cast("array<string>"), lambda x: x.isNotNull()))
+
+
 def upsert(current: DataFrame, changes: DataFrame, key: Sequence[str], order_cols: Sequence[str],
-           tname: str | None = None, as_of=None) -> DataFrame:
+           tname: str | None = None, as_of=None, rules: Sequence[str] = ()) -> DataFrame:
     """Q12: apply a batch of changes; the last change per key wins, new keys
     are inserted.
 
@@ -46,12 +66,16 @@ def upsert(current: DataFrame, changes: DataFrame, key: Sequence[str], order_col
     map-side, so a key changed a million times costs one row per task.  Ties
     on the order columns go to the greatest change row.  Columns absent from
     the change rows keep the current value for an edit and take the declared
-    default (Q1) for an insert.  Changes with a null key part name no row and
-    are left out (see :func:`rejected_changes`).
+    default (Q1) for an insert.  A change with a null key part or with a value that does not fit its column
+    (see :func:`~circula.functions.common.fitted`), and one that breaks a rule of ``rules`` (of
+    ``CHANGE_RULES``, for the declared table ``tname``), is left out alone, and the
+    last of the others wins; :func:`rejected_changes` has those left out.
     """
     key = list(key)
-    changes = changes.dropna(subset=key)
+    have = dict(current.dtypes)
+    judged = _judged_changes(current, changes, key, tname, rules).filter(F.size("_faults") == 0)
     change_cols = [c for c in changes.columns]
+    changes = judged.select(*[(fitted(judged, c, have[c]) if c in have else F.col(c)).alias(c) for c in change_cols])
     payload = [c for c in change_cols if c not in key]
     ordering = F.struct(*[F.col(c) for c in order_cols], *[F.col(c) for c in change_cols])
     latest = (changes.groupBy(*key)
@@ -65,7 +89,7 @@ def upsert(current: DataFrame, changes: DataFrame, key: Sequence[str], order_col
     proj = []
     for c in out_cols:
         if c in change_cols:
-            proj.append(F.col(c).cast(dict(current.dtypes)[c]).alias(c))
+            proj.append(F.col(c))
         else:
             default = _default_expr(tname, c, as_of, current)
             proj.append(F.when(F.col("_exists"), F.col(f"_cur_{c}")).otherwise(default).alias(c))
@@ -74,9 +98,13 @@ def upsert(current: DataFrame, changes: DataFrame, key: Sequence[str], order_col
     return untouched.unionByName(changed)
 
 
-def rejected_changes(changes: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Q12: the changes that :func:`upsert` leaves out, a key part being null."""
-    return changes.filter(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in key]))
+def rejected_changes(changes: DataFrame, key: Sequence[str], current: DataFrame | None = None,
+                     tname: str | None = None, rules: Sequence[str] = ()) -> DataFrame:
+    """Q12: the changes that :func:`upsert` into ``current`` leaves out (with the same
+    ``tname`` and ``rules``), with their comma-joined ``Reason``; without a
+    ``current`` table, those with a null key part."""
+    judged = _judged_changes(current, changes, list(key), tname, rules).filter(F.size("_faults") > 0)
+    return judged.select(*changes.columns, F.array_join("_faults", ",").alias("Reason"))
 
 
 def _default_expr(tname: str | None, column: str, as_of, current: DataFrame) -> Column:

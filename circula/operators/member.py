@@ -103,21 +103,23 @@ def recommend_books(t: dict, k: int = 5, as_of=None, num_partitions: int | None
     author (Book.Author) of a borrowed book.  Score = number of distinct
     borrowed ISBNs that lead to the candidate; ties by ISBN.
 
-    Exact without emitting every (member, book-by-author) pair:
-      * related path: the symmetric edge list is first reduced to available
-        candidates and tagged with both authors (edge level, no member yet),
-        then joined to the history; a source that shares the candidate's
-        author is left to the author path, so no borrowed book counts twice;
+    Exact without emitting every (member, book-by-author) or (member,
+    related title) pair:
       * author path: history aggregated to (member, author, n, b) with b the
         borrowed titles that are Available now.  Per (member, author) only
         the author's first ``k + b`` available titles in ISBN order are
         looked up, by an equi-join on (Author, rank): at most ``b`` of them
         are borrowed, so any later title has at least k unborrowed titles
         with the same or a higher score and a smaller ISBN ahead of it;
-      * authors are pruned per member: if an author with n = T alone offers
-        at least k unborrowed available titles, every top-k score is >= T, so
-        author-only candidates of authors with n < T cannot qualify (T is a
-        per-member ``max`` aggregate, combined map-side);
+      * floor: if an author with n = T alone offers at least k unborrowed
+        available titles, every top-k score is >= T (T is a per-member
+        ``max`` aggregate, combined map-side).  Authors with n < T are left out;
+      * related path: a source by the candidate's own author adds nothing to
+        n, so only edges between authors (to available titles) remain, and a
+        candidate's score is at most n plus the number of edges that lead to it,
+        its ``_in``.  A source's edges to one author have a bound too, n plus the largest
+        ``_in``: (member, source, author) rows under the floor go before any
+        related title is listed, and then titles under it;
       * both paths are unioned and merged per (member, ISBN) with ``max``
         (the related score already includes the author part), borrowed books
         are removed once, and the per-member top-k is a WindowGroupLimit.
@@ -128,45 +130,28 @@ def recommend_books(t: dict, k: int = 5, as_of=None, num_partitions: int | None
     history = borrow_history(t, as_of).checkpoint(eager=True)
     books = t["book"].select("ISBN", "Title", "Author", "Status")
     available = books.filter(F.col("Status") == "Available").select("ISBN", "Author")
+    written = available.filter(F.col("Author").isNotNull())
 
-    # -- (member, author): n borrowed titles, b of them Available now
+    # -- (member, author): n borrowed titles, b of them Available now, and the floor T
+    per_author_avail = written.groupBy("Author").agg(F.count(F.lit(1)).alias("_avail"))
     per_author = (history.join(books.filter(F.col("Author").isNotNull()).select("ISBN", "Author", "Status"), "ISBN")
                   .groupBy("UserID", "Author")
                   .agg(F.count(F.lit(1)).alias("_n"),
-                       F.count(F.when(F.col("Status") == "Available", F.lit(1))).alias("_b"))
-                  .checkpoint(eager=True))  # read by three branches below
-
-    # -- related path; (member, src, cand) triples are unique, so a plain
-    # count is the distinct-source count
-    edge_info = (symmetric_related(t)
-                 .join(available.select(F.col("ISBN").alias("RelatedISBN"), "Author"), "RelatedISBN")
-                 .join(books.select("ISBN", F.col("Author").alias("_src_author")), "ISBN", "left")
-                 .select("ISBN", "RelatedISBN", "Author",
-                         (~F.coalesce(F.col("_src_author") == F.col("Author"), F.lit(False))).alias("_other")))
-    scored_rel = (spread_join(history, edge_info, ["ISBN"], "inner")
-                  .groupBy("UserID", F.col("RelatedISBN").alias("ISBN"), "Author")
-                  .agg(F.count(F.when(F.col("_other"), F.lit(1))).alias("_rel"))
-                  .join(per_author.select("UserID", "Author", "_n"), ["UserID", "Author"], "left")
-                  .select("UserID", "ISBN", (F.coalesce("_n", F.lit(0)) + F.col("_rel")).alias("Score")))
-
-    # -- author path: ranks of available titles per author (skew-safe)
-    ranked = sequence_numbers(available.filter(F.col("Author").isNotNull()),
-                              order_cols=["ISBN"], partition_cols=["Author"], out_col="_arank",
-                              num_partitions=num_partitions)
-    per_author_avail = (available.filter(F.col("Author").isNotNull())
-                        .groupBy("Author").agg(F.count(F.lit(1)).alias("_avail")))
-    cand = (spread_join(per_author, per_author_avail, ["Author"], "inner")
-            .withColumn("_free", F.col("_avail") - F.col("_b")))
+                       F.count(F.when(F.col("Status") == "Available", F.lit(1))).alias("_b")))
+    cand = spread_join(per_author, per_author_avail, ["Author"], "left").checkpoint(eager=True)  # read by three branches
     floor = cand.groupBy("UserID").agg(
-        F.max(F.when(F.col("_free") >= k, F.col("_n"))).alias("_floor"))
-    kept = (cand.join(floor, "UserID")
+        F.max(F.when(F.col("_avail") - F.col("_b") >= k, F.col("_n"))).alias("_floor"))
+
+    # -- author path
+    kept = (cand.filter(F.col("_avail").isNotNull()).join(floor, "UserID")
             .filter(F.col("_floor").isNull() | (F.col("_n") >= F.col("_floor"))))
     window = kept.select(
         "UserID", "Author", "_n",
         F.explode(F.sequence(F.lit(1).cast("bigint"),
                              F.least(F.lit(k) + F.col("_b"), F.col("_avail")))).alias("_arank"))
-    scored_author = (window.join(ranked, ["Author", "_arank"])
+    scored_author = (window.join(_author_ranks(written, cand, k, num_partitions), ["Author", "_arank"])
                      .select("UserID", "ISBN", F.col("_n").alias("Score")))
+    scored_rel = _related_scores(history, _author_edges(t, books, available), cand.select("UserID", "Author", "_n"), floor)
 
     merged = (scored_rel.unionByName(scored_author)
               .groupBy("UserID", "ISBN").agg(F.max("Score").alias("Score"))
@@ -175,3 +160,42 @@ def recommend_books(t: dict, k: int = 5, as_of=None, num_partitions: int | None
     return (top.join(books.select("ISBN", "Title", "Author"), "ISBN", "left")
             .select("UserID", F.col("RankNo").cast("bigint").alias("RankNo"), "ISBN", "Title", "Author",
                     F.col("Score").cast("bigint").alias("Score")))
+
+
+def _author_ranks(written: DataFrame, cand: DataFrame, k: int, num_partitions: int | None) -> DataFrame:
+    """ISBN, Author and ``_arank``, the place of the title among its author's in
+    ISBN order, as far as any member's window of k + b titles reaches."""
+    limit = int(written.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+    reach = k + (cand.agg(F.max("_b")).first()[0] or 0)
+    if reach <= limit:  # each task ships an author's first titles only
+        return top_k_per_group(written, ["Author"], ["ISBN"], reach, "_arank").withColumn(
+            "_arank", F.col("_arank").cast("bigint"))
+    return sequence_numbers(written, order_cols=["ISBN"], partition_cols=["Author"], out_col="_arank",
+                            num_partitions=num_partitions)
+
+
+def _author_edges(t: dict, books: DataFrame, available: DataFrame) -> DataFrame:
+    """Edges (C7) to available titles of another author than the source's: ISBN, RelatedISBN, Author (of
+    the title) and ``_in``, the number of such edges that lead to the title."""
+    edges = (symmetric_related(t)
+             .join(available.select(F.col("ISBN").alias("RelatedISBN"), "Author"), "RelatedISBN")
+             .join(books.select("ISBN", F.col("Author").alias("_src_author")), "ISBN", "left")
+             .filter(~F.coalesce(F.col("_src_author") == F.col("Author"), F.lit(False)))
+             .select("ISBN", "RelatedISBN", "Author"))
+    return spread_join(edges, edges.groupBy("RelatedISBN").agg(F.count(F.lit(1)).alias("_in")), ["RelatedISBN"], "inner")
+
+
+def _related_scores(history: DataFrame, edges: DataFrame, per_author: DataFrame, floor: DataFrame) -> DataFrame:
+    """UserID, ISBN and Score of the related titles that can reach the member's
+    floor; (member, source, title) triples are unique, so a count is the distinct-source count."""
+    edges = edges.withColumn("_by", F.xxhash64("Author")).checkpoint(eager=True)  # a null author is one, too
+    heads = edges.groupBy("ISBN", "_by").agg(F.first("Author").alias("Author"), F.max("_in").alias("_most"))
+    reach = F.coalesce(F.col("_n"), F.lit(0))
+    able = (spread_join(history, heads, ["ISBN"], "inner")
+            .join(floor, "UserID", "left").join(per_author, ["UserID", "Author"], "left")
+            .filter(reach + F.col("_most") >= F.coalesce("_floor", F.lit(0)))
+            .select("UserID", "ISBN", "_by", reach.alias("_n"), F.coalesce("_floor", F.lit(0)).alias("_floor")))
+    pairs = spread_join(able, edges.select("ISBN", "_by", "RelatedISBN", "_in"), ["ISBN", "_by"], "inner").filter(
+        F.col("_n") + F.col("_in") >= F.col("_floor"))
+    return (pairs.groupBy("UserID", F.col("RelatedISBN").alias("ISBN"))
+            .agg((F.max("_n") + F.count(F.lit(1))).alias("Score")))

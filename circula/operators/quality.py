@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from circula.functions.common import as_date, key_text
+from circula.functions.common import as_date, fitted, key_text
 from circula.operators.ranking import spread_join
 from circula.schema import CURRENT_DATE, YEAR_MAX, YEAR_MIN, YEAR_ZERO, table
 
@@ -71,26 +71,9 @@ def apply_defaults(df: DataFrame, tname: str, as_of) -> DataFrame:
 def conform(df: DataFrame, tname: str) -> DataFrame:
     """Cast a table's columns to their declared types (for rows that passed
     every check, so each value fits; one that does not would be null, as no
-    value may end the job)."""
+    value may end the job; see :func:`~circula.functions.common.fitted`)."""
     spec = table(tname)
-    return df.select(*[_fitted(df, c, t).alias(c) for c, t in spec.columns if c in df.columns])
-
-
-def _fitted(df: DataFrame, column: str, dtype) -> Column:
-    """The column as its declared type, null where the value does not fit;
-    decimals are rounded to their scale first."""
-    dtype = dtype if isinstance(dtype, str) else dtype.simpleString()
-    have = dict(df.dtypes)[column]
-    col = F.col(column)
-    if have == dtype:
-        return col
-    if have == "date" and dtype != "string" or have == "boolean":
-        return F.lit(None).cast(dtype)
-    if dtype.startswith("decimal"):
-        return F.round(col.try_cast("decimal(38,10)"), int(dtype.split(",")[1].rstrip(")"))).try_cast(dtype)
-    if dtype == "date" and have not in ("string", "timestamp", "timestamp_ntz"):
-        return F.lit(None).cast(dtype)  # a number is no date
-    return col.try_cast(dtype)
+    return df.select(*[fitted(df, c, t).alias(c) for c, t in spec.columns if c in df.columns])
 
 
 # --------------------------------------------------------------------- Q2
@@ -126,7 +109,7 @@ def check_unique(df: DataFrame, tname: str) -> DataFrame:
 
 
 # --------------------------------------------------------------------- Q4-Q8
-def _row_rules(df: DataFrame, tname: str, checks: tuple[str, ...]) -> list[tuple[str, Column, Column]]:
+def row_rules(df: DataFrame, tname: str, checks: tuple[str, ...]) -> list[tuple[str, Column, Column]]:
     """(rule name, broken?, detail) for every per-row rule of the table."""
     spec = table(tname)
     cols = set(df.columns)
@@ -152,7 +135,7 @@ def _row_rules(df: DataFrame, tname: str, checks: tuple[str, ...]) -> list[tuple
             # a decimal that is a number but too large is Q7's, not a wrong type
             wanted = "decimal(38,10)" if c in spec.decimals else kind
             if c in cols and wanted != "string" and dict(df.dtypes)[c] != kind:
-                bad = F.col(c).isNotNull() & _fitted(df, c, wanted).isNull()
+                bad = F.col(c).isNotNull() & fitted(df, c, wanted).isNull()
                 rules.append((f"TYPE({c} {kind})", bad, F.concat(F.lit(f"{c}="), F.col(c).cast("string"))))
     if "decimal" in checks:
         for c, (p, s) in spec.decimals.items():
@@ -165,7 +148,7 @@ def _row_rules(df: DataFrame, tname: str, checks: tuple[str, ...]) -> list[tuple
     if "year" in checks:
         for c in spec.years:
             if c in cols:
-                y = _fitted(df, c, "int")
+                y = fitted(df, c, "int")
                 bad = ~(y.between(YEAR_MIN, YEAR_MAX) | (y == YEAR_ZERO))
                 rules.append((f"YEAR({c})", F.coalesce(bad, F.lit(False)),
                               F.concat(F.lit(f"{c}="), y.cast("string"))))
@@ -174,7 +157,7 @@ def _row_rules(df: DataFrame, tname: str, checks: tuple[str, ...]) -> list[tuple
 
 def _check_rows(df: DataFrame, tname: str, kind: str) -> DataFrame:
     """One pass over the rows: broken rules collected per row, then exploded."""
-    rules = _row_rules(df, tname, (kind,))
+    rules = row_rules(df, tname, (kind,))
     if not rules:
         return _empty(df)
     hits = F.filter(F.array(*[F.when(bad, F.struct(F.lit(name).alias("r"), detail.alias("d")))
@@ -241,13 +224,13 @@ def flag_rules(t: dict, df: DataFrame, tname: str) -> DataFrame:
     pk = list(spec.primary_key)
     # the per-row rules are read off the raw values
     names = [(name, bad) for name, bad, _ in
-             _row_rules(df, tname, ("type", "not_null", "length", "enum", "decimal", "year"))]
+             row_rules(df, tname, ("type", "not_null", "length", "enum", "decimal", "year"))]
     types = dict(spec.columns)
     keys = list(dict.fromkeys([*pk, *[c for c in spec.unique if c in df.columns],
                                *[c for f in spec.foreign_keys for c in f.columns if c in df.columns]]))
     typed = {c: f"_key_{c}" for c in keys}
     flagged = df.select(*df.columns, F.array(*[F.when(b, F.lit(n)) for n, b in names]).cast("array<string>").alias("_rules"),
-                        *[_fitted(df, c, types[c]).alias(typed[c]) for c in keys])
+                        *[fitted(df, c, types[c]).alias(typed[c]) for c in keys])
     marks: list[tuple[str, Column]] = []
     if CORRUPT in df.columns:
         marks.append(("PARSE", F.col(CORRUPT).isNotNull()))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from circula.operators import actions, circulation, figures, ingest, member, policy, quality, reconcile
 from circula.plans import constraints
 from circula.plans.oracle_views import with_views
+from circula.schema import TABLES
 from circula.session import AS_OF, ensure_checkpoint_dir
 from circula.sources.fixtures import fixtures
 
@@ -574,6 +575,67 @@ def _q10g(t, spark):
     return quality.split_valid(t, "fine", t["raw_fine"])[0]
 
 
+#: The raw fines with values that do not fit their declared types: ids that are too large or have a fraction,
+#: days that are none, and times of day.
+MISFIT_FINES = """SELECT CASE WHEN FineID % 50 = 3 THEN FineID + 3000000000 ELSE FineID END AS FineID,
+   CASE WHEN FineID % 50 = 7 THEN LoanID + CAST(0.9 AS DOUBLE) ELSE CAST(LoanID AS DOUBLE) END AS LoanID,
+   CASE WHEN FineID % 50 = 9 THEN '3.9' ELSE CAST(UserID AS VARCHAR) END AS UserID,
+   CASE WHEN FineID % 50 = 11 THEN '2001-13-40' WHEN FineID % 50 = 13 THEN CAST(IssueDate AS VARCHAR) || ' 10:30'
+    ELSE CAST(IssueDate AS VARCHAR) END AS IssueDate,
+   CAST(Amount AS DOUBLE) AS Amount, Status, Description, FineID AS Row FROM raw_fine"""
+MISFIT_FLAGS = f"""WITH m AS ({MISFIT_FINES}),
+ f AS (SELECT *, CASE WHEN FineID <= 2147483647 THEN FineID END AS fid, CASE WHEN LoanID = floor(LoanID) THEN LoanID END AS lid,
+   TRY_CAST(CASE WHEN UserID <> '3.9' THEN UserID END AS INTEGER) AS uid FROM m),
+ rep AS (SELECT fid FROM f WHERE fid IS NOT NULL GROUP BY fid HAVING count(*) > 1),
+ x AS (SELECT f.*, concat_ws(',',
+   CASE WHEN f.fid IS NULL THEN 'PRIMARY KEY(null)' END,
+   CASE WHEN f.fid IN (SELECT fid FROM rep) THEN 'PRIMARY KEY(repeated)' END,
+   CASE WHEN f.LoanID IS NULL THEN 'NOT NULL(LoanID)' END,
+   CASE WHEN f.UserID IS NULL THEN 'NOT NULL(UserID)' END,
+   CASE WHEN f.Amount IS NULL THEN 'NOT NULL(Amount)' END,
+   CASE WHEN length(f.Description) > 255 THEN 'LENGTH(Description<=255)' END,
+   CASE WHEN f.Status NOT IN ('Unpaid', 'Paid') THEN 'ENUM(Status)' END,
+   CASE WHEN f.FineID IS NOT NULL AND f.fid IS NULL THEN 'TYPE(FineID int)' END,
+   CASE WHEN f.LoanID IS NOT NULL AND f.lid IS NULL THEN 'TYPE(LoanID int)' END,
+   CASE WHEN f.UserID IS NOT NULL AND f.uid IS NULL THEN 'TYPE(UserID int)' END,
+   CASE WHEN f.Row % 50 IN (11, 13) AND f.IssueDate IS NOT NULL THEN 'TYPE(IssueDate date)' END,
+   CASE WHEN abs(f.Amount) >= 1000000 THEN 'DECIMAL(Amount,8,2)' END,
+   CASE WHEN f.lid IS NOT NULL AND NOT EXISTS (SELECT 1 FROM loan l WHERE l.LoanID = f.lid) THEN 'FOREIGN KEY(LoanID->loan)' END,
+   CASE WHEN f.uid IS NOT NULL AND NOT EXISTS (SELECT 1 FROM library_user u WHERE u.UserID = f.uid)
+        THEN 'FOREIGN KEY(UserID->library_user)' END) AS BrokenRules FROM f)"""
+
+
+def _misfit_fines(t):
+    f = t["raw_fine"]
+    at = F.col("FineID") % 50
+    day = F.col("IssueDate").cast("string")
+    return f.select(
+        F.when(at == 3, F.col("FineID") + 3_000_000_000).otherwise(F.col("FineID").cast("bigint")).alias("FineID"),
+        F.when(at == 7, F.col("LoanID") + F.lit(0.9)).otherwise(F.col("LoanID").cast("double")).alias("LoanID"),
+        F.when(at == 9, F.lit("3.9")).otherwise(F.col("UserID").cast("string")).alias("UserID"),
+        F.when(at == 11, F.lit("2001-13-40")).when(at == 13, F.concat(day, F.lit(" 10:30"))).otherwise(day).alias("IssueDate"),
+        F.col("Amount").cast("double").alias("Amount"), "Status", "Description")
+
+
+@query("q10_split_valid_types", MISFIT_FLAGS + """
+SELECT FineID, LoanID, UserID, IssueDate, Amount, Status, Description, BrokenRules FROM x WHERE BrokenRules <> ''""")
+def _q10t(t, spark):
+    """Quarantined raw fines of a feed with other types than declared: fractions, too large ids, days that are none and times of day do not fit."""
+    return quality.split_valid(t, "fine", _misfit_fines(t))[1]
+
+
+@query("q10_ingest_types", MISFIT_FLAGS + """
+SELECT CAST(fid AS INTEGER) AS FineID, CAST(lid AS INTEGER) AS LoanID, uid AS UserID, CAST(IssueDate AS DATE) AS IssueDate,
+ CAST(Amount AS DECIMAL(8,2)) AS Amount, Status, Description FROM x WHERE BrokenRules = ''""")
+def _q10it(t, spark):
+    """The good rows of that feed after the whole ingest flow, cast to the declared types."""
+    from circula.sources.paths import scratch_dir
+    base = scratch_dir(spark, "q10-types")
+    ingest.ingest_table({"loan": t["loan"], "library_user": t["library_user"]}, "fine", _misfit_fines(t),
+                        f"{base}/good", f"{base}/quarantine", AS_OF)
+    return spark.read.parquet(f"{base}/good")
+
+
 @query("q2_check_primary_key_user", f"""SELECT 'library_user' AS table_name, 'PRIMARY KEY' AS rule, {_key('UserID')} AS row_key,
  'null key' AS detail FROM raw_user WHERE UserID IS NULL
 UNION ALL SELECT 'library_user', 'PRIMARY KEY', {_key('UserID')}, 'repeated ' || CAST(n AS VARCHAR) || ' times'
@@ -683,6 +745,48 @@ def _q12(t, spark):
                          tname="library_user", as_of=AS_OF)
 
 
+#: Member edits as a form would send them: days and ids as text or numbers, some of which do not fit.
+MISFIT_CHANGES = """SELECT CASE WHEN UserID % 40 = 5 THEN UserID + CAST(0.9 AS DOUBLE) WHEN UserID % 40 = 6 THEN CAST(99999999999 AS DOUBLE)
+   ELSE CAST(UserID AS DOUBLE) END AS UserID, Name, Zip,
+   CASE WHEN UserID % 40 = 8 THEN '2001-13-40' ELSE CAST(MembershipDate AS VARCHAR) END AS MembershipDate, UserID AS Row FROM raw_user"""
+MISFIT_REASONS = f"""WITH m AS ({MISFIT_CHANGES}),
+ x AS (SELECT *, concat_ws(',', CASE WHEN UserID IS NULL THEN 'NULL KEY(UserID)' END,
+   CASE WHEN Row % 40 IN (5, 6) THEN 'TYPE(UserID int)' END,
+   CASE WHEN Row % 40 = 8 THEN 'TYPE(MembershipDate date)' END,
+   CASE WHEN Name IS NULL THEN 'NOT NULL(Name)' END,
+   CASE WHEN length(Name) > 100 THEN 'LENGTH(Name<=100)' END,
+   CASE WHEN length(Zip) > 10 THEN 'LENGTH(Zip<=10)' END) AS Reason FROM m)"""
+
+
+def _misfit_changes(t):
+    at = F.col("UserID") % 40
+    return t["raw_user"].select(
+        F.when(at == 5, F.col("UserID") + F.lit(0.9)).when(at == 6, F.lit(99999999999.0))
+        .otherwise(F.col("UserID").cast("double")).alias("UserID"), "Name", "Zip",
+        F.when(at == 8, F.lit("2001-13-40")).otherwise(F.col("MembershipDate").cast("string")).alias("MembershipDate"))
+
+
+@query("q12_upsert_checked", MISFIT_REASONS + """,
+ latest AS (SELECT CAST(UserID AS INTEGER) AS UserID, Name, Zip, CAST(MembershipDate AS DATE) AS MembershipDate FROM (
+   SELECT *, row_number() OVER (PARTITION BY UserID ORDER BY CAST(MembershipDate AS DATE) DESC NULLS LAST, Name DESC NULLS LAST,
+     Zip DESC NULLS LAST) AS rn FROM x WHERE Reason = '') WHERE rn = 1)
+SELECT u.* FROM library_user u WHERE NOT EXISTS (SELECT 1 FROM latest l WHERE l.UserID = u.UserID)
+UNION ALL SELECT l.UserID, l.Name, c.Email, c.Phone, c.Street, c.City, l.Zip,
+ CASE WHEN c.UserID IS NOT NULL THEN c.AccountStatus ELSE 'Active' END AS AccountStatus, l.MembershipDate
+ FROM latest l LEFT JOIN library_user c ON l.UserID = c.UserID""")
+def _q12c(t, spark):
+    """Member edits some of whose values do not fit (3.9 for an id, 2001-13-40 for a day) or break a rule: those alone are left out."""
+    return ingest.upsert(t["library_user"], _misfit_changes(t), ["UserID"], ["MembershipDate"],
+                         tname="library_user", as_of=AS_OF, rules=ingest.CHANGE_RULES)
+
+
+@query("q12_rejected_changes", MISFIT_REASONS + """
+SELECT UserID, Name, Zip, MembershipDate, Reason FROM x WHERE Reason <> ''""")
+def _q12r(t, spark):
+    """The edits left out, with what is wrong with each."""
+    return ingest.rejected_changes(_misfit_changes(t), ["UserID"], t["library_user"], "library_user", ingest.CHANGE_RULES)
+
+
 @query("q13_normalize_signups", f"""WITH {Q13_SQL}
 SELECT SubmissionID, Name, Email, Phone, Street, CASE WHEN Reason IS NULL THEN 'Active' END AS AccountStatus,
  CASE WHEN Reason IS NULL THEN {{D}} END AS MembershipDate, Reason FROM decided""")
@@ -1004,6 +1108,58 @@ def _s1(t, spark):
     return df.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
 
 
+ODD_TEXTS = """SELECT ReportID, GeneratedBy, GenerationDate, CASE WHEN ReportID % 6 = 0 THEN '' ELSE Type END AS Type,
+ CASE ReportID % 6 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN Content || chr(10) || 'a second line, with "quotes"' || chr(13) || chr(10) || chr(10)
+  WHEN 3 THEN '  ' || Content || ' \\ "' WHEN 4 THEN '"' ELSE Content END AS Content FROM report"""
+
+
+def _odd_reports(t):
+    """The reports with line ends, quotes, commas, backslashes and spaces at the ends in their texts, and empty and null texts."""
+    at, text = F.col("ReportID") % 6, F.col("Content")
+    return t["report"].select(
+        "ReportID", "GeneratedBy", "GenerationDate", F.when(at == 0, F.lit("")).otherwise(F.col("Type")).alias("Type"),
+        F.when(at == 0, F.lit(None).cast("string")).when(at == 1, F.lit(""))
+        .when(at == 2, F.concat(text, F.lit('\na second line, with "quotes"\r\n\n')))
+        .when(at == 3, F.concat(F.lit("  "), text, F.lit(' \\ "'))).when(at == 4, F.lit('"')).otherwise(text).alias("Content"))
+
+
+def _through_csv(spark, name: str, rows):
+    """A table's rows written as CSV and read back, ``_corrupt_record`` included."""
+    from circula.sources.paths import scratch_dir
+    from circula.sources.tables import load_table, write_table
+    path = scratch_dir(spark, f"s1-{name}-csv")
+    write_table(rows, path, fmt="csv")
+    return load_table(spark, name, path, fmt="csv")
+
+
+@query("s1_load_table_texts", ODD_TEXTS.replace("FROM report", ", CAST(NULL AS VARCHAR) AS _corrupt_record FROM report"))
+def _s1t(t, spark):
+    """Round trip of the report table through CSV, with texts that hold line ends and quotes."""
+    return _through_csv(spark, "report", _odd_reports(t))
+
+
+@query("s1_load_table_all", "\nUNION ALL ".join(
+    f"SELECT '{n}' AS table_name, count(*) AS RowsRead, CAST(0 AS BIGINT) AS Corrupt, CAST(0 AS BIGINT) AS Lost, CAST(0 AS BIGINT) AS Added FROM {n}" for n in TABLES))
+def _s1a(t, spark):
+    """Round trips of all 14 tables through CSV: rows read, corrupt ones, and rows in which the two sides differ."""
+    out = []
+    for n, spec in TABLES.items():
+        rows = t[n].select(*spec.column_names)
+        back = _through_csv(spark, n, rows).withColumn("_read", F.lit(1))
+        both = rows.withColumns({"_corrupt_record": F.lit(None).cast("string"), "_read": F.lit(0)}).unionByName(back)
+        count = lambda cond: F.sum(F.when(cond, F.lit(1)).otherwise(F.lit(0))).cast("bigint")
+        corrupt = F.col("_corrupt_record").isNotNull()
+        each = both.groupBy(*spec.column_names, corrupt.alias("_bad")).agg(
+            F.sum("_read").alias("_in"), count(F.col("_read") == 0).alias("_out"))
+        total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+        out.append(each.agg(
+            total(F.col("_in")).alias("RowsRead"), total(F.when(F.col("_bad"), F.col("_in"))).alias("Corrupt"),
+            total(F.greatest(F.col("_out") - F.col("_in"), F.lit(0))).alias("Lost"),
+            total(F.when(~F.col("_bad"), F.greatest(F.col("_in") - F.col("_out"), F.lit(0)))).alias("Added"))
+            .select(F.lit(n).alias("table_name"), "*"))
+    return reduce(DataFrame.unionByName, out)
+
+
 @query("s2_write_report", """SELECT CAST(date_trunc('month', PaymentDate) AS DATE) AS Month, PaymentMethod,
  count(*) AS Payments, CAST(coalesce(sum(AmountPaid), 0) AS DECIMAL(18,2)) AS Amount FROM payment GROUP BY 1, 2""")
 def _s2(t, spark):

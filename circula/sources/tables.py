@@ -6,9 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from circula.functions.common import fitted
 from circula.schema import table
 
 CORRUPT = "_corrupt_record"
+#: Both directions: quotes are doubled, line ends within quotes belong to the text, no space is cut off.
+CSV = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true",
+       "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+NO_TEXT = "\0"  # how the reader marks a field of nothing, so that ``""`` stays an empty text
 
 
 def load_table(spark: SparkSession, name: str, path: str, fmt: str = "parquet",
@@ -23,7 +28,11 @@ def load_table(spark: SparkSession, name: str, path: str, fmt: str = "parquet",
       not fit their declared type yet are left for the checks to report.
     * csv: columns are taken by the header's names, whatever their order;
       declared columns that the header lacks stay absent (Q1 adds them) and
-      other columns are left out.  All files must have the first one's header.  A row
+      other columns are left out.  All files must have the first one's header.
+      Records are quoted as RFC 4180 says (a quote in a text is doubled), so
+      texts may hold line ends, quotes and commas; an empty text is ``""`` and null is
+      nothing.  A file is therefore read by one task, row by row: give large
+      feeds as many files, as :func:`write_table` does.  A row
       whose number of fields is wrong, or with a value that does not fit its
       declared type, keeps its raw text in ``_corrupt_record`` (null for good rows).
     """
@@ -41,16 +50,17 @@ def load_table(spark: SparkSession, name: str, path: str, fmt: str = "parquet",
 
 
 def _load_csv(spark: SparkSession, spec, path: str) -> DataFrame:
-    header = spark.read.option("header", True).csv(path).columns
+    header = spark.read.options(**CSV).csv(path).columns
     text = T.StructType([T.StructField(c, T.StringType(), True) for c in [*header, CORRUPT]])
-    raw = (spark.read.schema(text).option("header", True).option("mode", "PERMISSIVE")
+    raw = (spark.read.schema(text).options(**CSV).option("nullValue", NO_TEXT).option("mode", "PERMISSIVE")
            .option("enforceSchema", False).option("columnNameOfCorruptRecord", CORRUPT).csv(path))
     have = [(c, kind) for c, kind in spec.columns if c in header]
     misfit = F.lit(False)
     for c, kind in have:
-        misfit = misfit | (F.col(c).isNotNull() & F.col(c).try_cast(kind).isNull())
+        there = F.col(c).isNotNull() if kind.typeName() == "string" else F.coalesce(F.trim(c), F.lit("")) != ""
+        misfit = misfit | (there & fitted(raw, c, kind).isNull())
     line = F.concat_ws(",", *[F.coalesce(F.col(c), F.lit("")) for c in header])
-    return raw.select(*[F.col(c).try_cast(kind).alias(c) for c, kind in have],
+    return raw.select(*[fitted(raw, c, kind).alias(c) for c, kind in have],
                       F.coalesce(F.col(CORRUPT), F.when(misfit, line)).alias(CORRUPT))
 
 
@@ -63,6 +73,6 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
     if fmt == "parquet":
         w.parquet(path)
     elif fmt == "csv":
-        w.option("header", True).option("dateFormat", "yyyy-MM-dd").csv(path)
+        w.options(**CSV).option("dateFormat", "yyyy-MM-dd").csv(path)
     else:
         raise ValueError(f"unsupported format {fmt!r}")

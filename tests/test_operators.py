@@ -562,3 +562,51 @@ def test_fold_ignores_events_without_a_date(spark):
     loans, rejects = circulation.fold_circulation(ev, POL)
     assert [(r.LoanID, r.Renewals, r.DueDate) for r in loans.collect()] == [(1, 0, D(2001, 7, 15))]
     assert [r.LoanID for r in rejects.collect()] == []
+
+
+# ------------------------------------------------------------- lossless casts
+def test_a_value_fits_if_nothing_of_it_is_lost(spark):
+    from circula.functions.common import fitted
+
+    def fits(values, kind, dtype):
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, v {kind}")
+        return [r.f for r in df.select("i", fitted(df, "v", dtype).alias("f")).orderBy("i").collect()]
+
+    assert fits([3.0, 3.9, -0.5, 1e12, float("nan"), float("inf"), None], "double", "int") == [3, None, None, None, None, None, None]
+    assert fits([Decimal("4.00"), Decimal("4.01")], "decimal(12,2)", "int") == [4, None]
+    assert fits([2**31, 7], "bigint", "int") == [None, 7]
+    assert fits(["7", " 8 ", "3.9", "x", "99999999999", ""], "string", "int") == [7, 8, None, None, None, None]
+    assert fits(["2001-07-26", "2001-13-40", "2001-7-6", "2001-07-26 10:30", "2001-07-26 00:00:00", "2001", "2001-07-26 x"],
+                "string", "date") == [D(2001, 7, 26), None, D(2001, 7, 6), None, D(2001, 7, 26), None, None]
+    assert fits([dt.datetime(2001, 7, 26), dt.datetime(2001, 7, 26, 1)], "timestamp_ntz", "date") == [D(2001, 7, 26), None]
+    assert fits([20010726], "int", "date") == [None] and fits([True], "boolean", "int") == [None]
+    assert fits(["1.005", "1e9", "x"], "string", "decimal(5,2)") == [Decimal("1.01"), None, None]
+    assert fits([12345], "int", "string") == ["12345"] and fits([D(2001, 1, 2)], "date", "int") == [None]
+
+
+def test_a_bad_change_is_rejected_alone(spark):
+    cur = spark.createDataFrame([(1, "a", D(2001, 1, 1)), (2, "b", D(2001, 1, 1))], "UserID int, Name string, MembershipDate date")
+    ch = spark.createDataFrame([(1.0, "A", "2001-13-40"), (1.0, "A2", "2001-02-02"), (2.9, "lost", "2001-02-02"),
+                                (3.0, None, "2001-03-03"), (None, "x", "2001-03-03"), (4e10, "far", None)],
+                               "UserID double, Name string, MembershipDate string")
+    got = sorted(tuple(r) for r in ingest.upsert(cur, ch, ["UserID"], ["MembershipDate"]).collect())
+    assert got == [(1, "A2", D(2001, 2, 2)), (2, "b", D(2001, 1, 1)), (3, None, D(2001, 3, 3))]
+    bad = {r.Name: r.Reason for r in ingest.rejected_changes(ch, ["UserID"], cur).collect()}
+    assert bad == {"A": "TYPE(MembershipDate date)", "lost": "TYPE(UserID int)", "x": "NULL KEY(UserID)", "far": "TYPE(UserID int)"}
+    held = ingest.rejected_changes(ch, ["UserID"], cur, "library_user", ["not_null"])
+    assert {r.Reason for r in held.filter("Name is null").collect()} == {"NOT NULL(Name)"}
+    some = ingest.upsert(cur, ch, ["UserID"], ["MembershipDate"], "library_user", rules=["not_null"])
+    assert sorted(r.UserID for r in some.collect()) == [1, 2]
+    with pytest.raises(ValueError):
+        ingest.upsert(cur, ch, ["UserID"], ["MembershipDate"], rules=["not_null"])
+
+
+def test_csv_texts_with_line_ends_and_quotes(spark, tmp_path):
+    from circula.sources.tables import load_table, write_table
+    texts = ["a\nb", 'say "x", then\r\n"y"', "", None, '"', "\\", ' \\" ', "a,b", "\n", "  lead", "trail  ", "#c", '""', "é z"]
+    rows = [(i, None, D(1, 1, 1), t, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "ReportID int, GeneratedBy int, GenerationDate date, Type string, Content string")
+    write_table(df.repartition(3), str(tmp_path / "r"), fmt="csv")
+    got = load_table(spark, "report", str(tmp_path / "r"), fmt="csv").collect()
+    assert all(r._corrupt_record is None for r in got)
+    assert sorted((tuple(r)[:5] for r in got), key=lambda r: r[0]) == rows

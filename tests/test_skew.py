@@ -7,6 +7,7 @@ from __future__ import annotations
 import datetime as dt
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from circula.functions.common import Policy
@@ -70,7 +71,8 @@ def test_waiting_list_with_a_hot_title(spark):
     assert got.filter("ISBN = 'hot'").agg(F.max("QueuePosition")).first()[0] == 3000
 
 
-def test_recommendations_with_hot_author_and_hot_member_match_brute_force(spark):
+@pytest.mark.parametrize("limit", [1000, 3])  # with 3, the titles of an author are numbered by ranges
+def test_recommendations_with_hot_author_and_hot_member_match_brute_force(spark, limit):
     import random
 
     from tests.test_operators import _brute_recommend
@@ -92,7 +94,38 @@ def test_recommendations_with_hot_author_and_hot_member_match_brute_force(spark)
                                       TABLES["loan"].schema),
         "loan_item": spark.createDataFrame([(i, b) for i, (_, b) in enumerate(history)], "LoanID int, ISBN string"),
     }
-    for k in (1, 4, 9):
-        got = {(r.UserID, r.RankNo): (r.ISBN, r.Score)
-               for r in member.recommend_books(t, k, "2001-07-26", num_partitions=6).collect()}
-        assert got == _brute_recommend(history, books, edges, k), k
+    name = "spark.sql.optimizer.windowGroupLimitThreshold"
+    old = spark.conf.get(name)
+    spark.conf.set(name, limit)
+    try:
+        for k in (1, 4, 9):
+            got = {(r.UserID, r.RankNo): (r.ISBN, r.Score)
+                   for r in member.recommend_books(t, k, "2001-07-26", num_partitions=6).collect()}
+            assert got == _brute_recommend(history, books, edges, k), k
+    finally:
+        spark.conf.set(name, old)
+
+
+def test_related_titles_under_the_floor_are_not_listed(spark):
+    """Members with a strong author list no related title that cannot reach their k-th score."""
+    books = [(f"a{i}", "A", "Available") for i in range(12)] + [(f"b{i}", "B", "Available") for i in range(40)]
+    edges = [(f"a{i % 6}", f"b{i}") for i in range(36)] + [("a0", "b39"), ("a1", "b39"), ("a2", "b39"), ("a3", "b39")]
+    history = [(1, f"a{i}") for i in range(4)] + [(2, "a0"), (3, "b0"), (3, "a5")]
+    t = {
+        "book": spark.createDataFrame([(b, f"T {b}", 2000, "G", a, s, "S1") for b, a, s in books], TABLES["book"].schema),
+        "related_books": spark.createDataFrame(edges, "ISBN string, RelatedISBN string"),
+        "loan": spark.createDataFrame([(i, u, D(2001, 1, 1), None, None, Decimal("0")) for i, (u, _) in enumerate(history)],
+                                      TABLES["loan"].schema),
+        "loan_item": spark.createDataFrame([(i, b) for i, (_, b) in enumerate(history)], "LoanID int, ISBN string"),
+    }
+    edge_rows = member._author_edges(t, t["book"].select("ISBN", "Author"), t["book"].select("ISBN", "Author"))
+    assert {r._in for r in edge_rows.filter("RelatedISBN = 'b39'").collect()} == {4} and edge_rows.count() == 80
+    hist = spark.createDataFrame(history, "UserID int, ISBN string")
+    per = spark.createDataFrame([(1, "A", 4), (2, "A", 1), (3, "A", 1), (3, "B", 1)], "UserID int, Author string, _n bigint")
+    floor = spark.createDataFrame([(1, 4), (2, 1), (3, 1)], "UserID int, _floor bigint")
+    got = {(r.UserID, r.ISBN): r.Score for r in member._related_scores(hist, edge_rows, per, floor).collect()}
+    assert {b for u, b in got if u == 1} == {"b39"} and got[1, "b39"] == 4
+    assert ("b1" not in {b for u, b in got if u == 1}) and {b for u, b in got if u == 2} > {"b39"}
+    from tests.test_operators import _brute_recommend
+    rows = {(r.UserID, r.RankNo): (r.ISBN, r.Score) for r in member.recommend_books(t, 3, "2001-07-26").collect()}
+    assert rows == _brute_recommend(history, books, edges, 3)
