@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from circula.operators.ranking import spread_join
 from circula.schema import table
 from circula.session import ensure_checkpoint_dir
+from circula.sources.paths import delete_path, list_dirs, path_exists
 from circula.sources.tables import load_table
 
 COUNT_COLS = "table_name string, action string, row_count bigint"
@@ -236,22 +237,50 @@ def rekey_books(t: dict, mapping: DataFrame):
 
 def apply_action(tables: dict, root: str, version: str) -> dict[str, str]:
     """Write the changed tables of an action as new version folders
-    ``<root>/<table>/v=<version>`` and return their paths.
+    ``<root>/<table>/v=<version>``, then one completion mark for all of them, and return their paths.
 
     The survivors are computed from the current tables, which may live under
     the same root, so a new version is written instead of overwriting the
-    folder being read; rerunning the same version rewrites the same folders.
-    Read a version back with :func:`read_version`, never by the table's own
-    folder, which holds all its versions.
+    folder being read; rerunning the same version takes its mark away first and rewrites the same folders.
+    The mark, ``<root>/_versions/v=<version>``, is written last and names the tables, so a
+    stop between two tables leaves no version.  Read a version back with :func:`read_version`,
+    never by the table's own folder, which holds all its versions.
     """
+    if not tables:
+        raise ValueError("an action without tables makes no version")
+    root = root.rstrip("/")
+    spark = next(iter(tables.values())).sparkSession
+    delete_path(spark, _mark(root, version))
     paths = {}
     for name, df in tables.items():
-        path = f"{root.rstrip('/')}/{name}/v={version}"
+        path = f"{root}/{name}/v={version}"
         df.write.mode("overwrite").parquet(path)
         paths[name] = path
+    names = spark.createDataFrame([(name,) for name in tables], "table_name string")
+    names.coalesce(1).write.parquet(_mark(root, version))  # a handful of names
     return paths
 
 
+def _mark(root: str, version: str) -> str:
+    return f"{root.rstrip('/')}/_versions/v={version}"
+
+
+def versions(spark: SparkSession, root: str) -> list[str]:
+    """The versions that were written to the end, in order of their names."""
+    base = f"{root.rstrip('/')}/_versions"
+    return [d[2:] for d in list_dirs(spark, base) if d.startswith("v=") and path_exists(spark, f"{base}/{d}/_SUCCESS")]
+
+
+def version_tables(spark: SparkSession, root: str, version: str) -> list[str]:
+    """The tables that an action wrote under ``version``; FileNotFoundError if it was not written to the end."""
+    if not path_exists(spark, f"{_mark(root, version)}/_SUCCESS"):
+        raise FileNotFoundError(f"no finished version {version!r} under {root}")
+    return sorted(r.table_name for r in spark.read.parquet(_mark(root, version)).collect())  # a handful of names
+
+
 def read_version(spark: SparkSession, root: str, tname: str, version: str) -> DataFrame:
-    """The table as :func:`apply_action` wrote it under ``version``."""
+    """The table as :func:`apply_action` wrote it under ``version``: FileNotFoundError if
+    the version was not written to the end, KeyError if the action left the table alone."""
+    if tname not in version_tables(spark, root, version):
+        raise KeyError(f"version {version!r} has no table {tname}")
     return load_table(spark, tname, f"{root.rstrip('/')}/{tname}/v={version}")

@@ -109,12 +109,12 @@ def fold_circulation(events: DataFrame, policy) -> tuple[DataFrame, DataFrame]:
     earliest RETURN; DueDate = CheckoutDate + LoanPeriodDays x (1 + RENEWs
     not after the return).  Events without a date are ignored.  Everything
     is order-free, so late or replayed events do no harm, and the events are
-    read and shuffled once (:func:`loan_facts`).  Loans without an ISSUE, and
-    events without a LoanID, go to the reject frame.
+    read and shuffled once (:func:`loan_facts`).  Loans without an ISSUE go to the reject frame, and so does
+    every event without a LoanID, row by row (it never meets the aggregate, where all of them would be one group).
 
     Returns ``(loans, rejects)``.
     """
-    facts = loan_facts(events)
-    rejects = facts.filter(F.col("LoanID").isNull() | F.col("CheckoutDate").isNull()).select(
-        "LoanID", F.when(F.col("LoanID").isNull(), F.lit("no LoanID")).otherwise(F.lit("no ISSUE event")).alias("Reason"))
-    return due_from_facts(facts, policy), rejects
+    facts = loan_facts(events.filter(F.col("LoanID").isNotNull()))
+    unissued = facts.filter(F.col("CheckoutDate").isNull()).select("LoanID", F.lit("no ISSUE event").alias("Reason"))
+    lost = events.filter(F.col("LoanID").isNull()).select("LoanID", F.lit("no LoanID").alias("Reason"))
+    return due_from_facts(facts, policy), unissued.unionByName(lost)

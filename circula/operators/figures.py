@@ -196,13 +196,12 @@ def pending_fines(t: dict) -> DataFrame:
                       F.count_distinct("UserID").alias("MembersOwing"))
 
 
-def _transactions(t: dict, as_of, date_from=None, date_to=None) -> DataFrame:
-    """Borrow rows (one per loan item) and Return rows (one per returned item).
+def _loan_events(t: dict, as_of, date_from=None, date_to=None) -> DataFrame:
+    """The Borrow and the Return of each loan (LoanID, UserID, TxType, TxDate, DueDate, Status); a transaction
+    is one of these for one of the loan's items.
 
-    One pass over loan x loan_item: each item explodes into its Borrow row
-    and, when returned, its Return row.  A date range is applied first as
-    ``CheckoutDate in range OR ReturnDate in range`` (pushed to the scan)
-    and then exactly on the transaction date.
+    A date range is applied first as ``CheckoutDate in range OR ReturnDate in
+    range`` (pushed to the scan) and then exactly on the transaction date.
     """
     d = as_date(as_of)
     loans = t["loan"].filter(F.col("CheckoutDate") <= d).select(
@@ -220,7 +219,6 @@ def _transactions(t: dict, as_of, date_from=None, date_to=None) -> DataFrame:
 
     if lo is not None or hi is not None:
         loans = loans.filter(in_range("CheckoutDate") | in_range("ReturnDate"))
-    items = loans.join(t["loan_item"].select("LoanID", "ISBN"), "LoanID")
     returned = F.col("ReturnDate").isNotNull() & (F.col("ReturnDate") <= d)
     borrow = F.struct(F.lit("Borrow").alias("TxType"), F.col("CheckoutDate").alias("TxDate"),
                       F.col("DueDate").alias("DueDate"),
@@ -228,20 +226,19 @@ def _transactions(t: dict, as_of, date_from=None, date_to=None) -> DataFrame:
     ret = F.when(returned, F.struct(F.lit("Return").alias("TxType"), F.col("ReturnDate").alias("TxDate"),
                                     F.lit(None).cast("date").alias("DueDate"),
                                     F.lit("Returned").alias("Status")))
-    tx = (items.select("LoanID", "UserID", "ISBN",
+    tx = (loans.select("LoanID", "UserID",
                        F.explode(F.filter(F.array(borrow, ret), lambda x: x.isNotNull())).alias("_tx"))
-          .select("LoanID", "UserID", "ISBN", "_tx.*"))
+          .select("LoanID", "UserID", "_tx.*"))
     if lo is not None or hi is not None:
         tx = tx.filter(in_range("TxDate"))
     return tx
 
 
-def _tx_order():
-    return [F.col("TxDate").desc(), F.col("LoanID").desc(), F.col("TxType"), F.col("ISBN")]
+def _tx_order(last: str = "ISBN"):
+    return [F.col("TxDate").desc(), F.col("LoanID").desc(), F.col("TxType"), *([F.col(last)] if last else [])]
 
 
 def _enrich_transactions(top: DataFrame, t: dict) -> DataFrame:
-    top = _numbered(top, _tx_order())
     users = t["library_user"].select("UserID", F.col("Name").alias("Member"))
     books = t["book"].select("ISBN", "Title")
     return (_looked_up(_looked_up(top, users, "UserID"), books, "ISBN").orderBy("RowNo")
@@ -250,42 +247,38 @@ def _enrich_transactions(top: DataFrame, t: dict) -> DataFrame:
                     "Status"))
 
 
-# Days before ``as_of`` that the newest transactions are first looked for in.
-FIRST_LOOK_DAYS = 8
-
-
-def _newest(t: dict, as_of, k: int, date_from, date_to, keep) -> DataFrame:
-    """The newest k transactions that ``keep`` leaves, read from as few days as
-    hold them: the days before the last one are doubled until k rows are found or the
-    first day is reached, so a busy library reads a few days of loans."""
-    last = min(_day(as_of), _day(date_to)) if date_to is not None else _day(as_of)
-    first = t["loan"].agg(F.min("CheckoutDate")).first()[0]
-    if date_from is not None:
-        first = max(first, _day(date_from)) if first is not None else None
-    days = FIRST_LOOK_DAYS
-    while True:
-        lo = last - dt.timedelta(days=days)
-        whole = first is None or lo <= first
-        tx = keep(_transactions(t, as_of, date_from if whole else lo, date_to))
-        if whole:
-            return tx.orderBy(*_tx_order()).limit(k)
-        top = tx.orderBy(*_tx_order()).limit(k)
-        if top.count() == k:
-            return top
-        days *= 4
+def _newest(t: dict, events: DataFrame, k: int, after: tuple | None = None) -> DataFrame:
+    """The newest k transactions (numbered) of the loan events, strictly after the key ``after``.
 
+    A loan event comes before another with all of its items, so the first k
+    events hold the first k transactions if each has an item: only those k (one more with a
+    cursor, whose own event may be used up) are joined to the items.  Where loans without items leave
+    fewer than k rows, a second pass takes the events of loans that have some.
+    """
+    def rows(some: DataFrame, items: DataFrame) -> DataFrame:
+        found = items.select("LoanID", "ISBN").join(some, "LoanID")
+        if after is not None:
+            d, loan, kind, isbn = as_date(after[0]), *(F.lit(x) for x in after[1:])
+            same = (F.col("TxDate") == d) & (F.col("LoanID") == loan) & (F.col("TxType") == kind)
+            found = found.filter(~same | (F.col("ISBN") > isbn))
+        return _numbered(found.orderBy(*_tx_order()).limit(k), _tx_order())
 
-def _day(value) -> dt.date:
-    return value if type(value) is dt.date else dt.date.fromisoformat(str(value)[:10])
+    ensure_checkpoint_dir(events.sparkSession)
+    wanted = k if after is None else k + 1
+    first = events.orderBy(*_tx_order(last="")).limit(wanted).checkpoint(eager=True)
+    top = rows(F.broadcast(first), t["loan_item"])  # k + 1 rows at most
+    if top.count() == k or first.count() < wanted:
+        return top
+    return rows(events, t["loan_item"])
 
 
 def recent_transactions(t: dict, as_of, k: int = 10) -> DataFrame:
     """Latest k borrow / return rows: newest first, then LoanID desc, type, ISBN.
 
-    The top-k runs on the newest days' narrow rows; the k survivors are then
-    joined to member names and titles.
+    The top-k runs on the loans' narrow rows; the k survivors are then
+    joined to items, member names and titles.
     """
-    return _enrich_transactions(_newest(t, as_of, k, None, None, lambda tx: tx), t)
+    return _enrich_transactions(_newest(t, _loan_events(t, as_of), k), t)
 
 
 def transaction_history(t: dict, as_of, member: int | None = None, date_from=None,
@@ -297,24 +290,23 @@ def transaction_history(t: dict, as_of, member: int | None = None, date_from=Non
     page (the one with the highest RowNo); the next page starts strictly after
     it in L5's order (no offset scan), and days after its date are not read.
     """
-    def keep(tx: DataFrame) -> DataFrame:
-        if member is not None:
-            tx = tx.filter(F.col("UserID") == F.lit(member))
-        if tx_type is not None:
-            tx = tx.filter(F.col("TxType") == F.lit(tx_type))
-        if after is not None:
-            a_date, a_loan, a_type, a_isbn = after
-            ad, al, at, ai = as_date(a_date), F.lit(a_loan), F.lit(a_type), F.lit(a_isbn)
-            d, l, ty, i = F.col("TxDate"), F.col("LoanID"), F.col("TxType"), F.col("ISBN")
-            tx = tx.filter((d < ad) | ((d == ad) & (l < al))
-                           | ((d == ad) & (l == al) & (ty > at))
-                           | ((d == ad) & (l == al) & (ty == at) & (i > ai)))
-        return tx
-
     if after is not None:
         cursor = _day(after[0])
         date_to = cursor if date_to is None else min(cursor, _day(date_to))
-    return _enrich_transactions(_newest(t, as_of, page, date_from, date_to, keep), t)
+    tx = _loan_events(t, as_of, date_from, date_to)
+    if member is not None:
+        tx = tx.filter(F.col("UserID") == F.lit(member))
+    if tx_type is not None:
+        tx = tx.filter(F.col("TxType") == F.lit(tx_type))
+    if after is not None:
+        ad, al, at = as_date(after[0]), F.lit(after[1]), F.lit(after[2])
+        d, loan = F.col("TxDate"), F.col("LoanID")
+        tx = tx.filter((d < ad) | ((d == ad) & (loan < al)) | ((d == ad) & (loan == al) & (F.col("TxType") >= at)))
+    return _enrich_transactions(_newest(t, tx, page, after), t)
+
+
+def _day(value) -> dt.date:
+    return value if type(value) is dt.date else dt.date.fromisoformat(str(value)[:10])
 
 
 def books_due(t: dict, as_of, policy) -> DataFrame:

@@ -922,6 +922,26 @@ def _r5s(t, spark):
     return _survivors(actions.delete_loans(t, keys)[0])
 
 
+_DR5 = "SELECT ReservationID FROM reservation WHERE Status IN ('Cancelled', 'Expired')"
+
+
+@query("r5_delete_reservations_survivors", _sql_survivors({
+    "reservation": f"ReservationID NOT IN ({_DR5})", "reservation_item": f"ReservationID NOT IN ({_DR5})"}))
+def _r5rs(t, spark):
+    """Every row that the purge of cancelled and expired reservations leaves, by table and key."""
+    keys = t["reservation"].filter(F.col("Status").isin("Cancelled", "Expired")).select("ReservationID")
+    return _survivors(actions.delete_reservations(t, keys)[0])
+
+
+@query("r1_published_version", _sql_survivors({"library_user": "UserID NOT IN (SELECT UserID FROM delete_user)"}))
+def _r1v(t, spark):
+    """The members that R1 leaves, published as a version with its other tables and read back."""
+    from circula.sources.paths import scratch_dir
+    root = scratch_dir(spark, "r1-version")
+    actions.apply_action(actions.delete_users(t, t["delete_user"])[0], root, "1")
+    return _survivors({"library_user": actions.read_version(spark, root, "library_user", "1")})
+
+
 @query("r1_delete_users", """WITH du AS (SELECT UserID FROM library_user WHERE UserID IN (SELECT UserID FROM delete_user)),
  dl AS (SELECT LoanID FROM loan WHERE UserID IN (SELECT UserID FROM du)),
  dfi AS (SELECT FineID FROM fine WHERE LoanID IN (SELECT LoanID FROM dl) OR UserID IN (SELECT UserID FROM du)),
@@ -1055,6 +1075,28 @@ def _t2r(t, spark):
     return circulation.fold_circulation(ev, _pol(t))[1]
 
 
+@query("t2_fold_rejects_null_keys", f"""WITH circulation_event_ AS (SELECT * EXCLUDE (LoanID),
+ CASE WHEN LoanID % 7 <> 2 THEN LoanID END AS LoanID FROM circulation_event),
+ {T2_SQL.replace("FROM circulation_event WHERE EventDate IS NOT NULL",
+                 "FROM circulation_event_ WHERE LoanID IS NOT NULL AND EventDate IS NOT NULL AND NOT (Kind = 'ISSUE' AND LoanID % 13 = 0)", 1)}
+SELECT LoanID, 'no ISSUE event' AS Reason FROM pl WHERE CheckoutDate IS NULL
+UNION ALL SELECT NULL, 'no LoanID' FROM circulation_event_ WHERE LoanID IS NULL""")
+def _t2n(t, spark):
+    """The reject frame when the events of every 7th loan have lost their LoanID: each of them, and loans without an ISSUE."""
+    ev = t["circulation_event"].filter("NOT (Kind = 'ISSUE' AND LoanID % 13 = 0 AND LoanID % 7 <> 2)")
+    return circulation.fold_circulation(ev.withColumn("LoanID", F.when(F.col("LoanID") % 7 != 2, F.col("LoanID"))), _pol(t))[1]
+
+
+@query("l6_member_history", f"""WITH {TX_SQL},
+ top AS (SELECT * FROM tx WHERE UserID = (SELECT min(UserID) FROM loan) AND TxDate >= DATE '1995-01-01'
+   ORDER BY TxDate DESC, LoanID DESC, TxType, ISBN LIMIT 40)
+{TX_ENRICH}""")
+def _l6m(t, spark):
+    """The newest 40 transactions of the first member who has a loan."""
+    first = t["loan"].agg(F.min("UserID")).first()[0]
+    return figures.transaction_history(t, AS_OF, member=first, date_from="1995-01-01", page=40)
+
+
 # ============================================================ F: formats ======
 from circula.functions import formats as fmt  # noqa: E402
 

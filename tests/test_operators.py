@@ -610,3 +610,97 @@ def test_csv_texts_with_line_ends_and_quotes(spark, tmp_path):
     got = load_table(spark, "report", str(tmp_path / "r"), fmt="csv").collect()
     assert all(r._corrupt_record is None for r in got)
     assert sorted((tuple(r)[:5] for r in got), key=lambda r: r[0]) == rows
+
+
+# ------------------------------------------------------- newest transactions
+@pytest.mark.parametrize("member_id,tx_type,lo,hi", [(None, None, None, None), (2, None, None, None), (None, "Return", None, None),
+                                                    (1, "Borrow", "0500-01-01", "2001-05-01"), (7, None, None, None)])
+def test_transaction_pages_equal_brute_force(spark, member_id, tx_type, lo, hi):
+    import random
+    rnd = random.Random(3)
+    loans, items = [], []
+    for i in range(60):
+        out = rnd.choice([D(1, 1, 1), D(1000, 5, 5), D(2001, 5, 1), D(2001, 7, 20), D(9999, 12, 31)])
+        back = None if rnd.random() < 0.4 else min(out + dt.timedelta(days=rnd.randrange(3)), D(2001, 7, 21)) if out.year < 9999 else D(9999, 12, 31)
+        loans.append((i, rnd.randrange(1, 4), out, None, back))
+        items += [(i, f"b{j}") for j in range(rnd.choice([0, 0, 1, 3]))]  # many loans without items
+    t = {"loan": spark.createDataFrame(loans, "LoanID int, UserID int, CheckoutDate date, DueDate date, ReturnDate date"),
+         "loan_item": spark.createDataFrame(items, "LoanID int, ISBN string"),
+         "library_user": spark.createDataFrame([(1, "A")], "UserID int, Name string"),
+         "book": spark.createDataFrame([("b0", "T")], "ISBN string, Title string")}
+    as_of = "2001-07-26"
+    want = []
+    for i, u, out, _, back in loans:
+        for isbn in [b for j, b in items if j == i]:
+            if out <= D(2001, 7, 26):
+                want.append((out, i, "Borrow", isbn, u))
+                if back and back <= D(2001, 7, 26):
+                    want.append((back, i, "Return", isbn, u))
+    want = [w for w in want if (member_id is None or w[4] == member_id) and (tx_type is None or w[2] == tx_type)
+            and (lo is None or D.fromisoformat(lo) <= w[0] <= D.fromisoformat(hi))]
+    want = sorted(want, key=lambda w: (-w[0].toordinal(), -w[1], w[2], w[3]))
+    got, after = [], None
+    while True:
+        page = figures.transaction_history(t, as_of, member_id, lo, hi, tx_type, after, page=17).collect()
+        got += [(r.TxDate, r.LoanID, r.TxType, r.ISBN, r.UserID) for r in page]
+        if len(page) < 17:
+            break
+        after = got[-1][:4]
+    assert got == want
+
+
+def test_newest_transactions_read_the_loans_once(spark, fx, tmp_path):
+    """The jobs of a member's history scan loan and loan_item once each."""
+    from circula.sources.tables import load_table, write_table
+    from circula.operators import figures as fig
+    t = {}
+    for n in ("loan", "loan_item", "library_user", "book"):
+        write_table(fx[n], f"{tmp_path}/{n}")
+        t[n] = load_table(spark, n, f"{tmp_path}/{n}")
+    user = fx["loan"].agg(F.min("UserID")).first()[0]
+    events = fig._loan_events(t, "2001-07-26").filter(F.col("UserID") == user)
+    plan = spark._jvm.PythonSQLUtils.explainString(events.orderBy(*fig._tx_order(last="")).limit(5)._jdf.queryExecution(), "simple")
+    assert plan.count("FileScan") == 1 and "TakeOrderedAndProject" in plan and "Exchange" not in plan
+    seen = []
+    old = fig._numbered
+    try:
+        fig._numbered = lambda top, order: seen.append(1) or old(top, order)
+        assert fig.transaction_history(t, "2001-07-26", member=user, page=5).count() == 5
+    finally:
+        fig._numbered = old
+    assert seen == [1]  # no second pass
+
+
+def test_a_stop_between_two_tables_is_no_version(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    users = spark.createDataFrame([(1, "a")], "UserID int, Name string")
+    loans = spark.createDataFrame([(1, 1)], "LoanID int, UserID int")
+    assert actions.versions(spark, root) == []
+    actions.apply_action({"library_user": users, "loan": loans}, root, "1")
+    assert actions.versions(spark, root) == ["1"] and actions.version_tables(spark, root, "1") == ["library_user", "loan"]
+    assert actions.read_version(spark, root, "loan", "1").count() == 1
+    with pytest.raises(KeyError):
+        actions.read_version(spark, root, "fine", "1")
+
+    broken = loans.select(F.expr("assert_true(LoanID > 1)").alias("x"), "LoanID")
+    for version in ("2", "1"):  # a new version, and one that is written again
+        with pytest.raises(Exception):  # noqa: B017, PT011
+            actions.apply_action({"library_user": users, "loan": broken}, root, version)
+        with pytest.raises(FileNotFoundError):
+            actions.read_version(spark, root, "library_user", version)
+    assert actions.versions(spark, root) == []
+    actions.apply_action({"library_user": users}, root, "2")
+    assert actions.versions(spark, root) == ["2"]
+    with pytest.raises(ValueError):
+        actions.apply_action({}, root, "3")
+
+
+def test_fold_keeps_null_keys_out_of_the_aggregate(spark):
+    ev = spark.createDataFrame([(None, 5, "RENEW", D(2001, 7, 1), i) for i in range(50)]
+                               + [(None, 5, "ISSUE", None, 1), (1, 5, "ISSUE", D(2001, 7, 1), 1), (2, 5, "RETURN", D(2001, 7, 1), 1)],
+                               "LoanID int, UserID int, Kind string, EventDate date, Seq int")
+    loans, rejects = circulation.fold_circulation(ev, POL)
+    assert [r.LoanID for r in loans.collect()] == [1]
+    assert sorted((r.LoanID or 0, r.Reason) for r in rejects.collect()) == [(0, "no LoanID")] * 51 + [(2, "no ISSUE event")]
+    facts = spark._jvm.PythonSQLUtils.explainString(loans._jdf.queryExecution(), "simple")
+    assert "isnotnull(LoanID" in facts
