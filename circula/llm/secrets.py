@@ -3,18 +3,32 @@
 Spans count code points, the end excluded.  The patterns find assignments,
 access keys and hex strings, each kind leftmost and without overlap.  Beyond
 them a *candidate* is any run of at least ``MIN_RUN`` characters of
-``[A-Za-z0-9+/_.=-]`` near behind a word of a sensitive context, whatever its
-letters and digits.  It is compressed on its own by zstandard with a dictionary
-that holds common identifiers of code and the text around the candidate.  The
-*marginal bytes* are the size above that of an empty input: an identifier, a
-path or a word that the text says again costs few bytes, a random key about
-as many as its information.  Candidates with ``MIN_SHARE`` of their length or
-more are spans of kind "novel", unless they overlap a span of a pattern.
+``[A-Za-z0-9+/_.=-]`` near a word of a sensitive context (before or behind it), without the part up to its
+last ``=`` (a name that is assigned to).
+
+Zstandard's dictionary is trained on identifiers: the names in Python's own library, and the
+commonest words of the corpus, counted over all of it.  A trained dictionary also holds the code of the literals,
+so letters that identifiers rarely have cost more bits, and strings of known parts cost few.  The *marginal bits* of a
+candidate are what it adds to a stream that begins with a pad, the dictionary holding the text before its
+first place too; the mean over several pads takes away the rounding to bytes.  Letters are folded to
+lower case with a mark at each change of case, so that constants cost what names cost.
+
+A candidate is reported, as kind "novel", if its bits a character reach the threshold of its character set.
+The thresholds are measured, when the dictionary is trained, on random keys of each set (``MISSED`` of
+them fall under it), and where names have several parts also on names that the dictionary has not seen.  If a candidate does not, its part behind the last
+``/ . _ -`` is tried alone.  A reported string is reported at all of its places in the text, but for places that
+overlap a pattern's span.
 """
 
 from __future__ import annotations
 
+import functools
+import importlib
+import itertools
+import random
 import re
+import struct
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from circula.llm.tables import extended
+from circula.llm.tables import extended, unused
 from circula.llm.words import runs
 from circula.llm.workers import free
 
@@ -33,49 +47,165 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 
-MIN_RUN, MIN_SHARE = 16, 0.6
-CONTEXT = 64   # code points before a candidate that may hold the sensitive word
-AROUND = 512   # code points on either side that prime the compressor
+MIN_RUN = 16
+CONTEXT = 64   # code points between a candidate and the sensitive word
+BEFORE = 512   # code points before a candidate that prime the compressor
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 SENSITIVE = ("auth", "bearer", "credential", "private", "passphrase", "pwd", "signature", "session", "cookie",
              "api", "key", "secret", "token", "passw", "access")
 _NEAR = re.compile("|".join(SENSITIVE), re.I | re.A)
-#: Identifiers that code often has; strings made of them are no secrets.
-IDENTIFIERS = ("0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ example.com http:// https:// www. "
-               "localhost 127.0.0.1 self this return import from include function class public static private "
-               "const string String int float double boolean true false null None undefined value values key keys "
-               "name names index length size count data input output file path config settings options default "
-               "request response client server user users username email address session cookie token tokens "
-               "secret password api_key access_key private_key public_key getenv environ process.env os.environ "
-               "YOUR_API_KEY YOUR_TOKEN_HERE changeme placeholder xxxxxxxxxxxxxxxx 0000000000000000 "
-               "application/json Content-Type Authorization Bearer Basic utf-8 version 1.0.0 2.0 master main "
-               "src/ lib/ test/ build/ .json .yaml .py .js .html .txt created_at updated_at timestamp "
-               "authentication authorization authenticate authorize Authentication Authorization permission "
-               "certificate Certificate credential Credentials signature Signature passphrase fingerprint encryption "
-               "Manager Factory Service Provider Handler Controller Builder Repository Interface Exception Listener "
-               "Connection Configuration Context Session Request Response Message Account Application Component "
-               "configuration connection application environment development production international translation "
-               "initialize ization ational ically ations ability ential ements ingly ness information administration "
-               "organization implementation responsibility documentation registration notification verification "
-               "getUser getValue getName setValue setName isValid createUser updateUser deleteUser findBy toString "
-               "database_connection connection_string file_name file_path path/to/file /path/to/ path/to/config "
-               "file_location user-account user_id client_id client_secret session_id account_id project_id "
-               "node_modules/ packages/ public/ static/ assets/ docs/ api/ v1/ reference .com/ .org/ .net/ .example. "
-               "com.example. org.apache. java.util. project. service. config.json settings.py index.html package.json "
-               "README.md docker-compose.yml ===== ----- _____ ..... +++++ 2020-01-01T00:00:00 January February Monday")
+
+#: Modules of Python's library whose names are taken as identifiers that code has.
+MODULES = ("argparse ast asyncio base64 bisect calendar cmd codecs collections configparser contextlib copy csv ctypes "
+           "dataclasses datetime decimal difflib dis email enum fileinput fractions ftplib functools glob gzip hashlib heapq "
+           "html http imaplib importlib inspect io ipaddress itertools json keyword linecache locale logging mailbox "
+           "mimetypes multiprocessing operator optparse os pathlib pdb pickle platform plistlib poplib pprint profile "
+           "queue random re sched secrets select selectors shelve shlex shutil signal smtplib socket socketserver "
+           "sqlite3 ssl statistics string struct subprocess symtable sys sysconfig tarfile tempfile textwrap threading "
+           "time timeit tokenize trace traceback types typing unittest urllib uuid warnings wave weakref webbrowser "
+           "xml zipfile zoneinfo").split()
+#: Parts of addresses and paths that any text has.
+PLACES = ("http:// https:// www. mail. ftp. example.com example.org .com .org .net .edu .io @example.com localhost:8080 "
+          "127.0.0.1 /usr/local/bin /usr/share /home/user /etc/ /var/log /tmp/ src/main/ lib/ test/ docs/ build/ "
+          ".json .yaml .xml .html .txt .csv .md .py .js .java .png .zip index.html README.md v1.0 2.0 _1 _2").split()
+WORDS = 20_000         # of the corpus that the dictionary is trained on, the commonest ones
+MIN_WORD = 6
+DICTIONARY = 32_768    # bytes
+SAMPLES = 3000
+PADS = 4
+KEYS = 400             # of each alphabet and length that a threshold is measured on
+LENGTHS = (16, 40)
+MISSED = 0.0025        # share of them that a threshold may miss
+KNOWN = 0.97           # share of unseen names that the threshold of a set with parts leaves out,
+MOST_MISSED = 0.04     # but for keys of the set: no more than this share may be missed for it
+ALPHABETS = {"letters": ("abcdefghijklmnopqrstuvwxyz",),
+             "cases": ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ",),
+             "digits": ("abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+                        "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"),
+             "parted digits": ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789-_",),
+             "numbers": ("0123456789",)}
+#: A zstandard dictionary's tables end with its three first offsets, which the trainer sets to 1, 4 and 8.
+_OFFSETS = struct.pack("<3I", 1, 4, 8)
 _HEXES = np.zeros(256, bool)
 _HEXES[[ord(c) for c in "0123456789abcdef"]] = True
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
 
-def marginal_bytes(candidate: str, around: str) -> int:
-    """Bytes that the candidate adds to what a compressor primed with the
-    identifiers and the text around it has."""
-    primer = zstandard.ZstdCompressionDict((IDENTIFIERS + "\n" + around).encode("utf-8", "replace"),
-                                           dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    squeeze = zstandard.ZstdCompressor(level=19, dict_data=primer, write_checksum=False, write_content_size=False,
-                                       write_dict_id=False)
-    return len(squeeze.compress(candidate.encode())) - len(squeeze.compress(b""))
+def folded(text: str) -> str:
+    """Lower case, with a mark before a capital and another before several."""
+    text = re.sub(r"[A-Z]{2,}", lambda m: "|" + m.group().lower(), text)
+    return re.sub(r"[A-Z]", lambda m: "^" + m.group().lower(), text)
+
+
+def character_set(text: str) -> str:
+    """The set whose threshold a candidate has."""
+    if not re.search("[A-Za-z]", text):
+        return "numbers"
+    if re.search("[0-9]", text):
+        return "parted digits" if re.search("[_.-]", text) else "digits"
+    if re.search("[_.=/+-]", text):
+        return "parts"
+    return "letters" if text.islower() or text.isupper() else "cases"
+
+
+class Novelty:
+    """A trained dictionary, and the threshold of each character set in bits a character."""
+
+    def __init__(self, names: list[str], words: list[str]):
+        rng = random.Random(41)
+        names, words = sorted(names), sorted(words) or [""]
+        letters = Counter(folded("".join(names)))
+        kinds, weights = zip(*sorted(letters.items()), strict=True)
+        self.pads = ["".join(rng.choices(kinds, weights, k=90 + 3 * i)) + " " for i in range(PADS)]
+        # thresholds of names are measured on the half of them that a dictionary has not seen
+        self._train(rng, names[::2], words)
+        z = self._squeeze("")
+        unseen: dict[str, list[float]] = {}
+        for n in names[1::2]:
+            if len(n) >= MIN_RUN and character_set(n).startswith("part"):
+                unseen.setdefault(character_set(n), []).append(self.bits(n, squeeze=z))
+        self._train(rng, names, words)
+        self.thresholds = self._measured(rng, unseen)
+
+    def _train(self, rng: random.Random, names: list[str], words: list[str]) -> None:
+        samples = [folded(" ".join([*rng.choices(names, k=6), *rng.choices(words, k=6),
+                                    *(rng.choices(PLACES, k=2) if i % 8 == 0 else [])])).encode() for i in range(SAMPLES)]
+        body = zstandard.train_dictionary(DICTIONARY, samples, level=19).as_bytes()
+        # the text before a candidate goes behind the tables and the content
+        at = body.index(_OFFSETS) + len(_OFFSETS)
+        self.tables, self.content = body[:at], body[at:]
+
+    def __reduce__(self):
+        return _restored, (self.tables, self.content, self.pads, self.thresholds)
+
+    def _squeeze(self, before: str):
+        data = zstandard.ZstdCompressionDict(self.tables + self.content + folded(before).encode("utf-8", "replace"),
+                                             dict_type=zstandard.DICT_TYPE_FULLDICT)
+        return zstandard.ZstdCompressor(level=19, dict_data=data, write_checksum=False, write_content_size=False,
+                                        write_dict_id=False)
+
+    def bits(self, candidate: str, before: str = "", squeeze=None) -> float:
+        """Marginal bits a character of the candidate behind the text ``before``."""
+        z = squeeze or self._squeeze(before)
+        said = (folded(candidate) + " ").encode()
+        added = [len(z.compress(p.encode() + said)) - len(z.compress(p.encode()))
+                 for p in (self.pads if len(candidate) <= 256 else self.pads[:1])]
+        return 8 * sum(added) / len(added) / len(candidate)
+
+    def _measured(self, rng: random.Random, unseen: dict[str, list[float]]) -> dict[str, float]:
+        z = self._squeeze("")
+        out = {}
+        for kind, alphabets in ALPHABETS.items():
+            least, most = [], []
+            for letters, size in itertools.product(alphabets, LENGTHS):
+                keys = ["".join(rng.choices(letters, k=size)) for _ in range(KEYS)]
+                costs = sorted(self.bits(k, squeeze=z) for k in keys if character_set(k) == kind)
+                least.append(costs[int(MISSED * len(costs))])
+                most.append(costs[int(MOST_MISSED * len(costs))])
+            out[kind] = min(least)
+            if kind in unseen:
+                out[kind] = max(out[kind], min(*most, _share(unseen[kind], KNOWN)))
+        out["numbers"] *= 0.75  # no name is a number, so only repetition must stay under it
+        out["parts"] = max(out["cases"], _share(unseen.get("parts", [0.0]), KNOWN))  # no alphabet has such keys
+        return out
+
+    def new(self, candidate: str, before: str = "") -> bool:
+        return self.bits(candidate, before) >= self.thresholds[character_set(candidate)]
+
+
+def _share(costs: list[float], share: float) -> float:
+    """The cost that so large a share does not exceed."""
+    return sorted(costs)[int(share * (len(costs) - 1))]
+
+
+def _restored(tables: bytes, content: bytes, pads: list[str], thresholds: dict[str, float]) -> Novelty:
+    made = Novelty.__new__(Novelty)
+    made.tables, made.content, made.pads, made.thresholds = tables, content, pads, thresholds
+    return made
+
+
+@functools.cache
+def library_names(modules: tuple[str, ...] = tuple(MODULES)) -> list[str]:
+    """Names in modules of Python's library and in their classes."""
+    out: set[str] = set()
+    for name in modules:
+        module = importlib.import_module(name)
+        for place in (module, *(v for v in vars(module).values() if isinstance(v, type))):
+            out.update(n for n in dir(place) if not n.startswith("__"))
+    return sorted(out)
+
+
+@functools.cache
+def plain() -> Novelty:
+    """The model without a corpus."""
+    return Novelty(library_names(), [])
+
+
+def fit(docs: DataFrame) -> Novelty:
+    """The model of a corpus: its commonest words, of all of its texts, beside the library's names."""
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"[a-z_]{{{MIN_WORD},}}"), F.lit(0))).alias("word")
+    top = docs.select(words).groupBy("word").count().orderBy(F.desc("count"), "word").limit(WORDS)
+    return Novelty(library_names(), [r["word"] for r in top.collect()])
 
 
 def _base(text: str, may: tuple[bool, bool, bool]) -> list[tuple[int, int, int]]:
@@ -89,32 +219,53 @@ def _base(text: str, may: tuple[bool, bool, bool]) -> list[tuple[int, int, int]]
     return sorted(found)
 
 
-def _novel(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    found = []
+def _novel(text: str, base: list[tuple[int, int, int]], model: Novelty) -> list[tuple[int, int, int]]:
     at = [m.start() for m in _NEAR.finditer(text)]
+    told: dict[str, bool] = {}
+
+    def new(part: str) -> bool:
+        if part not in told:
+            first = text.find(part)
+            told[part] = model.new(part, text[max(0, first - BEFORE):first])
+        return told[part]
+
+    def free_of_base(lo: int, hi: int) -> bool:
+        return not any(s < hi and lo < e for s, _, e in base)
+
+    secret: list[str] = []
     for m in RUN.finditer(text) if at else ():
-        lo, hi = m.span()
-        run = m.group()
-        k = np.searchsorted(at, lo) - 1  # the last sensitive word that begins before the run
-        if k < 0 or lo - at[k] > CONTEXT:
-            continue
-        if any(s < hi and lo < e for s, _, e in base):
+        body = m.group().rstrip("=")
+        lo = m.start() + body.rfind("=") + 1
+        hi = m.end()
+        k = np.searchsorted(at, [lo, hi])
+        near = (k[0] > 0 and lo - at[k[0] - 1] <= CONTEXT) or (k[1] < len(at) and at[k[1]] - hi <= CONTEXT)
+        if not near or hi - lo < MIN_RUN or not free_of_base(lo, hi):
             continue
-        around = text[max(0, lo - AROUND):lo] + "\n" + text[hi:hi + AROUND]
-        if marginal_bytes(run, around) >= MIN_SHARE * len(run):
-            found.append((lo, 3, hi))
-    return found
+        part = text[lo:hi]
+        end = re.search(r"[^/._-]*$", part).group()
+        for some in (part, end) if len(end) >= MIN_RUN else (part,):
+            if new(some):
+                secret.append(some)
+                break
+    found: set[tuple[int, int, int]] = set()
+    for part in dict.fromkeys(secret):
+        lo = text.find(part)
+        while lo >= 0:
+            if free_of_base(lo, lo + len(part)):
+                found.add((lo, 3, lo + len(part)))
+            lo = text.find(part, lo + len(part))
+    return sorted(found)
 
 
-def find(text: str | None) -> list[tuple[int, int, int]]:
+def find(text: str | None, model: Novelty | None = None) -> list[tuple[int, int, int]]:
     """(start, number of the kind, end) of every span of the text, in order; none in a null text."""
     if not text:
         return []
     base = _base(text, (True, True, True))
-    return sorted(base + _novel(text, base))
+    return sorted(base + _novel(text, base, model or plain()))
 
 
-def _spans(column: pa.Array) -> list[list[tuple[int, int, int]]]:
+def _spans(column: pa.Array, model: Novelty) -> list[list[tuple[int, int, int]]]:
     """``find`` of each text of an Arrow column; texts without a trace of any pattern aren't searched."""
     out: list[list] = [[] for _ in range(len(column))]
     for at, data, bounds in runs(column):
@@ -131,7 +282,7 @@ def _spans(column: pa.Array) -> list[list[tuple[int, int, int]]]:
             if any(may) or near:
                 text = raw[lo:hi].decode("utf-8", "surrogatepass")
                 base = _base(text, may)
-                out[at + i] = sorted(base + (_novel(text, base) if near else []))
+                out[at + i] = sorted(base + (_novel(text, base, model) if near else []))
     return out
 
 
@@ -139,38 +290,41 @@ def _said(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def scan(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def scan(docs: DataFrame, keep: list[str] | None = None, model: Novelty | None = None) -> DataFrame:
     """``keep`` columns (doc_id by default) of every row with n_assign,
     n_access, n_hex, n_novel, base_spans and spans ("kind:start:end", joined
-    by commas, by start and then kind).  Null and empty texts have none."""
+    by commas, by start and then kind).  Null and empty texts have none.  The
+    ``model`` is that of ``docs`` by default."""
+    model = model or fit(docs)
     keep = keep if keep is not None else ["doc_id"]
     names = [*keep, "n_assign", "n_access", "n_hex", "n_novel", "base_spans", "spans"]
 
     def run(batches):
         free()
         for b in batches:
-            found = _spans(b.column(0))
+            found = _spans(b.column(0), model)
             counts = [pa.array([sum(k == kind for _, k, _ in x) for x in found], pa.int64()) for kind in range(4)]
             base = [_said([s for s in x if s[1] < 3]) for x in found]
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(1 + i) for i in range(len(keep))), *counts, pa.array(base, pa.string()),
                  pa.array([_said(x) for x in found], pa.string())], names)
 
-    return docs.select(F.col("text").alias("_s_text"), *keep).mapInArrow(run, extended(
+    return docs.select(F.col("text").alias(unused("_s_text", keep)), *keep).mapInArrow(run, extended(
         docs.select(*keep).schema,
         "n_assign long, n_access long, n_hex long, n_novel long, base_spans string, spans string"))
 
 
-def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[secret]", model: Novelty | None = None) -> DataFrame:
     """All rows and columns of ``docs``, with each span of the text replaced by
-    ``mark``; overlapping spans are replaced as one."""
+    ``mark``; overlapping spans are replaced as one.  The ``model`` is that of ``docs`` by default."""
+    model = model or fit(docs)
     at = docs.columns.index("text")
 
     def run(batches):
         free()
         for b in batches:
             texts = b.column(at)
-            found = _spans(texts)
+            found = _spans(texts, model)
             if any(found):
                 new = texts.to_pylist()
                 for i, spans in enumerate(found):
