@@ -1,11 +1,12 @@
 """Chat formatting: schema fingerprints select mappings to canonical turns.
 
 A record's *fingerprint* is a hash of its sorted nested field paths
-(``messages[].role``), of those paths only that some mapping names, so that
+(``messages[].role``, ``data.prompt``), of those paths only whose ends some mapping names, so that
 other fields do no harm.  Each ``Mapping`` says in a few fields how a layout
-becomes turns of (role, text).  Records are JSON texts of any mixture of
-layouts (``canonical``) or a table with a row per turn (``turn_rows``), whose
-columns are fingerprinted the same way.
+becomes turns of (role, text), and which paths it needs; a fingerprint selects the most
+specific mapping (the one with most paths) whose paths it contains, at the top or inside an
+object, the outermost first.  Fields of ``OPTIONAL`` may be there or not, and a null text is empty.  Records are
+JSON texts of any mixture of layouts (``canonical``); the rows of a table of turns become such records (``turn_records``).
 
 Template: ``[INST]user[/INST]``, ``<s>assistant</s>``,
 ``<<SYS>>system<</SYS>>``, and ``[ROLE]name[TEXT]text[/ROLE]`` for any other
@@ -37,10 +38,14 @@ _ESCAPED = re.compile(r"\\(.)", re.S)
 _ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
+OPTIONAL = frozenset({"system", "input"})
+
+
 @dataclass(frozen=True)
 class Mapping:
     """A layout: turns from a list field (``items`` with ``role`` and
-    ``text`` in each), or from ``fields``: (role, names joined by an empty line)."""
+    ``text`` in each), or from ``fields``: (role, names joined by an empty line).
+    A ``system`` field beside the items is the first turn."""
 
     name: str
     items: str = ""
@@ -50,61 +55,132 @@ class Mapping:
     roles: dict = field(default_factory=lambda: _ROLES, hash=False)
 
     def paths(self) -> frozenset[str]:
+        """The paths that a record must have."""
         if self.fields:
-            return frozenset(p for _, names in self.fields for p in names)
+            return frozenset(p for _, names in self.fields for p in names) - OPTIONAL
         head = f"{self.items}[]." if self.items else ""
         return frozenset((head + self.role, head + self.text))
 
 
+def _asked(*user: str, answer: str) -> tuple[tuple[str, tuple[str, ...]], ...]:
+    return ("system", ("system",)), ("user", user), ("assistant", (answer,))
+
+
 MAPPINGS = (
     Mapping("turn rows", "", "role", "text", roles={}),
     Mapping("messages", "messages", "role", "content"),
     Mapping("from and value", "conversations", "from", "value"),
     Mapping("turn list", "turns", "role", "text"),
-    Mapping("prompt and completion", fields=(("user", ("prompt",)), ("assistant", ("completion",)))),
-    Mapping("prompt and response", fields=(("user", ("prompt",)), ("assistant", ("response",)))),
-    Mapping("question and answer", fields=(("user", ("question",)), ("assistant", ("answer",)))),
-    Mapping("instruction", fields=(("user", ("instruction",)), ("assistant", ("output",)))),
-    Mapping("instruction and input", fields=(("user", ("instruction", "input")), ("assistant", ("output",)))),
-    Mapping("system, instruction and input",
-            fields=(("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",)))),
-    Mapping("system, prompt and response",
-            fields=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
+    Mapping("prompt and completion", fields=_asked("prompt", answer="completion")),
+    Mapping("prompt and response", fields=_asked("prompt", answer="response")),
+    Mapping("question and answer", fields=_asked("question", answer="answer")),
+    Mapping("instruction and output", fields=_asked("instruction", "input", answer="output")),
+    Mapping("instruction and response", fields=_asked("instruction", "input", answer="response")),
 )
-_NAMED = frozenset().union(*(m.paths() for m in MAPPINGS))
+_NAMED = frozenset().union(*(m.paths() for m in MAPPINGS)) | OPTIONAL
+
+
+def _named(path: str) -> bool:
+    """Whether the path, or its end behind some objects, is or is within one that a mapping names."""
+    parts = path.split(".")
+    ends = [".".join(parts[k:]) for k in range(len(parts)) if "[]" not in "".join(parts[:k])]
+    return any(e == n or e.startswith((n + "[]", n + ".")) for e in ends for n in _NAMED)
 
 
 def fingerprint(paths: Iterable[str]) -> str:
     """Hash of those paths that some mapping names."""
-    return hashlib.sha256("\n".join(sorted(set(paths) & _NAMED)).encode()).hexdigest()[:16]
+    return hashlib.sha256("\n".join(sorted(p for p in set(paths) if _named(p))).encode()).hexdigest()[:16]
 
 
 BY_FINGERPRINT = {fingerprint(m.paths()): m for m in MAPPINGS}
 
 
 def field_paths(value, head: str = "") -> Iterator[str]:
-    """Paths of the leaves of a decoded JSON value; null fields count as absent."""
+    """Paths of the leaves of a decoded JSON value; a null field is a leaf."""
     if isinstance(value, dict):
         for k, v in value.items():
             yield from field_paths(v, f"{head}.{k}" if head else k)
     elif isinstance(value, list):
         for v in value:
             yield from field_paths(v, head + "[]")
-    elif value is not None:
+    else:
         yield head
 
 
-def turns_of(record) -> list[tuple[str, str]] | None:
-    """Canonical turns of a decoded record; None if no mapping has its fingerprint."""
-    m = BY_FINGERPRINT.get(fingerprint(field_paths(record)))
-    if m is None or not isinstance(record, dict):
+def selected(paths: Iterable[str]) -> tuple[Mapping, tuple[str, ...]] | None:
+    """The most specific mapping whose paths are among these, and the keys of the object that they are in."""
+    paths = set(paths)
+    places = {()}
+    for p in paths:
+        keys = p.split("[]")[0].split(".")[:-1]
+        places.update(tuple(keys[:k]) for k in range(1, len(keys) + 1))
+
+    def has(wanted: str) -> bool:
+        return any(p == wanted or p.startswith((wanted + "[]", wanted + ".")) for p in paths)
+
+    fits = [(-len(m.paths()), len(at), k, at) for at in places for k, m in enumerate(MAPPINGS)
+            if all(has(".".join([*at, p])) for p in m.paths())]
+    if not fits:
         return None
+    _, _, k, at = min(fits)
+    return MAPPINGS[k], at
+
+
+#: Mappings of the fingerprints that a worker has met (layouts are few; the memory is emptied beyond SEEN).
+_CHOSEN: dict[str, tuple[Mapping, tuple[str, ...]] | None] = {}
+SEEN = 10_000
+
+
+def mapping_of(paths: Iterable[str]) -> tuple[str, tuple[Mapping, tuple[str, ...]] | None]:
+    """Fingerprint of the paths, and what it selects."""
+    paths = set(paths)
+    mark = fingerprint(paths)
+    if mark not in _CHOSEN:
+        if len(_CHOSEN) >= SEEN:
+            _CHOSEN.clear()
+        _CHOSEN[mark] = selected(p for p in paths if _named(p))
+    return mark, _CHOSEN[mark]
+
+
+def _text(value) -> str:
+    """A text field: null is empty, a list is its parts (of objects their ``text``), joined by an empty line."""
+    if value is None:
+        return ""
+    if isinstance(value, list):
+        return "\n\n".join(t for t in (_text(v.get("text") if isinstance(v, dict) else v) for v in value) if t)
+    if isinstance(value, (dict, bool)):
+        return json.dumps(value, ensure_ascii=False)
+    return str(value)
+
+
+def mapped(record) -> tuple[str | None, list[tuple[str, str]] | None]:
+    """Fingerprint and canonical turns of a decoded record; no turns if no mapping fits.  A list is that of its messages."""
+    if isinstance(record, list):
+        record = {"messages": record}
+    if not isinstance(record, dict):
+        return None, None
+    mark, found = mapping_of(field_paths(record))
+    if found is None:
+        return mark, None
+    m, keys = found
+    for key in keys:
+        record = record[key]
     if m.fields:
-        return [(role, "\n\n".join(str(record[n]) for n in names if str(record.get(n) or "")))
-                for role, names in m.fields]
-    items = record[m.items] if m.items else [record]
-    return [(m.roles.get(str(x.get(m.role) or ""), str(x.get(m.role) or "")),
-             "" if x.get(m.text) is None else str(x[m.text])) for x in items]
+        said = [(role, names, "\n\n".join(t for t in (_text(record.get(n)) for n in names) if t)) for role, names in m.fields]
+        return mark, [(role, text) for role, names, text in said if text or not set(names) <= OPTIONAL]
+    turns = []
+    if m.items and _text(record.get("system")):
+        turns.append(("system", _text(record["system"])))
+    for x in record[m.items] if m.items else [record]:
+        if isinstance(x, dict):
+            role = _text(x.get(m.role))
+            turns.append((m.roles.get(role, role), _text(x.get(m.text))))
+    return mark, turns
+
+
+def turns_of(record) -> list[tuple[str, str]] | None:
+    """Canonical turns of a decoded record; None if no mapping fits."""
+    return mapped(record)[1]
 
 
 def escaped(text: str) -> str:
@@ -149,7 +225,7 @@ def loss_mask(output: str) -> list[tuple[int, int]]:
 
 def canonical(records: DataFrame, keep: list[str], column: str = "record") -> DataFrame:
     """One row per turn (``keep`` columns, fingerprint, turn, role, text) of the
-    JSON records in ``column``.  A null record, one that is no JSON object or
+    JSON records in ``column``.  A null record, one that is no JSON object or list or
     has a fingerprint without a mapping gives one row with null turn, role and text."""
     names = [*keep, "fingerprint", "turn", "role", "text"]
 
@@ -162,8 +238,8 @@ def canonical(records: DataFrame, keep: list[str], column: str = "record") -> Da
                     record = json.loads(said or "")
                 except ValueError:
                     record = None
-                print_ = fingerprint(field_paths(record)) if isinstance(record, dict) else None
-                for k, (r, t) in enumerate(turns_of(record) or [(None, None)]):
+                print_, turns = mapped(record)
+                for k, (r, t) in enumerate(turns or [(None, None)]):
                     row.append(i)
                     mark.append(print_)
                     turn.append(k if r is not None else None)
@@ -179,14 +255,21 @@ def canonical(records: DataFrame, keep: list[str], column: str = "record") -> Da
 
 
 def turn_rows(table: DataFrame, conversation: str, turn: str) -> DataFrame:
-    """conv_id, turn, role and text of a table with one row per turn; its
-    column names select the mapping.  Null roles and texts are empty."""
-    m = BY_FINGERPRINT.get(fingerprint(c for c in table.columns if c not in (conversation, turn)))
-    if m is None or m.items or m.fields:
-        raise ValueError(f"no mapping of rows by turn has the columns {table.columns}")
-    return table.select(F.col(conversation).alias("conv_id"), F.col(turn).alias("turn"),
-                        F.coalesce(F.col(m.role), F.lit("")).alias("role"),
-                        F.coalesce(F.col(m.text), F.lit("")).alias("text"))
+    """conv_id, turn, role and text of a table with one row per turn, each row mapped as a
+    record of its own; other columns do no harm.  Null roles and texts are empty."""
+    records = turn_records(table, conversation, turn)
+    rows = canonical(records, ["conv_id", "at"])
+    return rows.select("conv_id", F.col("at").alias("turn"), F.coalesce("role", F.lit("")).alias("role"),
+                       F.coalesce("text", F.lit("")).alias("text"))
+
+
+def turn_records(table: DataFrame, conversation: str, turn: str) -> DataFrame:
+    """conv_id, at and ``record`` (a JSON object of the columns that name a turn) of a table with one row per turn."""
+    rows = [m for m in MAPPINGS if not m.items and not m.fields and m.paths() <= set(table.columns)]
+    if not rows:
+        raise ValueError(f"no mapping of rows by turn has its columns among {table.columns}")
+    record = F.to_json(F.struct(*sorted(rows[0].paths())), {"ignoreNullFields": "false"})
+    return table.select(F.col(conversation).alias("conv_id"), F.col(turn).alias("at"), record.alias("record"))
 
 
 def format_turns(turns: DataFrame) -> DataFrame:

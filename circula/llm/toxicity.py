@@ -94,6 +94,13 @@ def sentences(text: str | None) -> list[str]:
     return [p for p in _END.split(text) if p.strip()] if text else []
 
 
+def _pieces(word: str) -> list[str]:
+    """The word, or windows of WORD_CHARS letters of a longer one, half overlapping, as in scoring."""
+    if len(word) <= WORD_CHARS:
+        return [word]
+    return [word[at:at + WORD_CHARS] for at in range(0, len(word) - WORD_CHARS // 2, WORD_CHARS // 2)]
+
+
 def _parts(sentence: str) -> list[str]:
     """The sentence in parts of at most SENTENCE_CHARS, cut at white space where there is some."""
     out = []
@@ -450,7 +457,7 @@ def train(rows: list[tuple], sample: Sample | None = None, share: float | None =
     seen: dict = {}
     label: dict = {}
     for d, y, text in rows:
-        seen.setdefault(d, set()).update(_bare(w)[:WORD_CHARS] for w in words(text))
+        seen.setdefault(d, set()).update(p for w in words(text) for p in _pieces(_bare(w)))
         label[d] = int(y)
     kinds = set(label.values())
     if len(kinds) < 2:

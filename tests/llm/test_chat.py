@@ -43,6 +43,39 @@ LAYOUTS = [
 ]
 
 
+MIXED = [
+    ({"prompt": "p", "messages": [{"role": "user", "content": "q"}]}, [("user", "q")]),
+    ({"system": "s", "messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": None}]},
+     [("system", "s"), ("user", "q"), ("assistant", "")]),
+    ({"system": "s", "instruction": "do", "output": "done"}, [("system", "s"), ("user", "do"), ("assistant", "done")]),
+    ({"instruction": "do", "input": None, "output": "done"}, [("user", "do"), ("assistant", "done")]),
+    ({"data": {"prompt": "q", "response": "a"}, "id": 1}, [("user", "q"), ("assistant", "a")]),
+    ({"row": {"chat": {"messages": [{"role": "user", "content": "q"}]}}}, [("user", "q")]),
+    ({"prompt": "q", "response": "a", "old": {"messages": [{"role": "user", "content": "z"}]}}, [("user", "q"), ("assistant", "a")]),
+    ([{"role": "user", "content": "q"}, "odd", {"role": "bot", "content": "a"}], [("user", "q"), ("assistant", "a")]),
+    ({"messages": [{"role": "user", "content": [{"type": "text", "text": "x"}, {"type": "text", "text": "y"}]}]}, [("user", "x\n\ny")]),
+    ({"prompt": 3, "completion": {"k": 1}}, [("user", "3"), ("assistant", '{"k": 1}')]),
+    ({"prompt": None, "completion": "a"}, [("user", ""), ("assistant", "a")]),
+    ({"prompt": "q"}, None), ({"input": "q", "system": "s"}, None), ("text", None), (None, None),
+]
+
+
+@pytest.mark.parametrize("record,turns", MIXED)
+def test_mixed_layouts(record, turns):
+    assert chat.turns_of(record) == turns
+
+
+def test_other_columns_do_no_harm(spark):
+    rows = [(1, 0, "user", "q", "p", "s"), (1, 1, "assistant", None, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, prompt string, at string")
+    for c in ("system", "output", "question", "messages", "record", "fingerprint", "_c_record"):
+        df = df.withColumn(c, df["prompt"])
+    got = sorted((r["turn"], r["role"], r["text"]) for r in chat.turn_rows(df, "conv_id", "turn").collect())
+    assert got == [(0, "user", "q"), (1, "assistant", "")]
+    assert {r["fingerprint"] for r in chat.canonical(chat.turn_records(df, "conv_id", "turn"), ["conv_id"]).collect()} == {
+        chat.fingerprint(["role", "text"])}
+
+
 @pytest.mark.parametrize("record,turns", LAYOUTS)
 def test_layouts(record, turns):
     assert chat.turns_of(record) == turns

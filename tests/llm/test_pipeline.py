@@ -31,6 +31,20 @@ def test_stages_in_turn(spark):
     assert {r["doc_id"] - 10_000_000 for r in docs.collect()} == {0, 3, 4, 5, 6, 7}
 
 
+def test_rows_that_share_an_id(spark):
+    rng = random.Random(11)
+    a, b, c = (prose(rng, 80) for _ in range(3))
+    rows = [(1, a), (1, a), (1, b), (2, b + " end"), (3, c), (3, c + " end"), (4, None), (4, ""), (None, a), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "x") for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long, _own string")
+    for _ in range(2):
+        got = sorted(((r["doc_id"], r["text"]) for r in C.drop_near_copies(spark, docs, SF).collect()), key=str)
+        assert got[:2] == sorted([(1, a), (1, b)]) and [g for g in got if g[0] == 4] == [(4, ""), (4, None)]
+        assert len([g for g in got if g[0] == 3]) == 1 and not [g for g in got if g[0] == 2]
+        assert [g for g in got if g[0] is None] == [(None, a)] * 2
+        docs = docs.orderBy(docs["text"].desc())
+
+
 def test_empty_table(spark):
     docs = documents(spark, [])
     for _, step in C.STAGES:
@@ -53,5 +67,5 @@ def test_queries_with_sql(spark):
         assert digest(rows_of(got), got.columns) == digest(rel.fetchall(), cols), name
 
 
-def test_ten_queries_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+def test_thirteen_queries_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
