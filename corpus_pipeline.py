@@ -32,14 +32,27 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id;
-    documents without an id stay."""
+    """One document of each group of near copies, the one with the smallest id; documents
+    without an id stay.  Rows that share an id are documents of their own: equal texts are one, unlike
+    texts all stay, and of near copies with the smallest id the one with the smallest hash stays."""
     importable(spark)
-    found = forest.near_duplicates(docs, SHINGLE, SIMILAR, Staging(spark, "pipeline-forest"))
-    name = unused("_first", docs.columns)
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
-    kept = docs.join(first, F.col("doc_id").cast("long") == F.col(name), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    stage = Staging(spark, "pipeline-forest")
+    own, first = unused("_own", docs.columns), unused("_first", docs.columns)
+    named = docs.where("doc_id is not null").withColumn(own, F.col("doc_id").cast("long"))
+    texts = named.select(own, F.xxhash64("text").alias("h")).distinct()
+    repeated = stage.keep(texts.groupBy(own).count().where("count > 1").select(F.col(own).alias(first)), "repeated")
+    if not repeated.isEmpty():  # a hash of the row is the id of each of those
+        named = named.join(repeated, F.col(own) == F.col(first), "left").withColumn(
+            own, F.when(F.col(first).isNull(), F.col(own)).otherwise(F.xxhash64(own, "text"))).drop(first)
+    found = forest.near_duplicates(named.select(F.col(own).alias("doc_id"), "text"), SHINGLE, SIMILAR, stage)
+    if repeated.isEmpty():
+        chosen = found.where("doc_id = component_id").select(F.col("doc_id").alias(first)).distinct()
+    else:
+        ids = named.select(F.col(own).alias("row"), F.col("doc_id").cast("long").alias("id")).distinct()
+        chosen = found.join(ids, F.col("doc_id") == F.col("row")).groupBy("component_id").agg(
+            F.min(F.struct("id", "row"))["row"].alias(first)).select(first)
+    kept = named.join(chosen, F.col(own) == F.col(first), "left_semi").dropDuplicates([own])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
