@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from circula.llm.tables import extended, unused
+from circula.llm.tables import Staging, extended, unused
 from circula.llm.words import runs
 from circula.llm.workers import free
 
@@ -68,7 +68,7 @@ MODULES = ("argparse ast asyncio base64 bisect calendar cmd codecs collections c
 PLACES = ("http:// https:// www. mail. ftp. example.com example.org .com .org .net .edu .io @example.com localhost:8080 "
           "127.0.0.1 /usr/local/bin /usr/share /home/user /etc/ /var/log /tmp/ src/main/ lib/ test/ docs/ build/ "
           ".json .yaml .xml .html .txt .csv .md .py .js .java .png .zip index.html README.md v1.0 2.0 _1 _2").split()
-WORDS = 20_000         # of the corpus that the dictionary is trained on, the commonest ones
+WORDS = 20_000         # of the corpus that the dictionary is trained on, the commonest ones (or somewhat fewer)
 MIN_WORD = 6
 DICTIONARY = 32_768    # bytes
 SAMPLES = 3000
@@ -202,10 +202,23 @@ def plain() -> Novelty:
 
 
 def fit(docs: DataFrame) -> Novelty:
-    """The model of a corpus: its commonest words, of all of its texts, beside the library's names."""
+    """The model of a corpus: its commonest words, of all of its texts, beside the library's names.
+
+    Words are counted by Spark and classed by their counts (16 classes to a doubling); as many
+    classes, from the commonest, are taken whole as hold ``WORDS`` words together."""
     words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"[a-z_]{{{MIN_WORD},}}"), F.lit(0))).alias("word")
-    top = docs.select(words).groupBy("word").count().orderBy(F.desc("count"), "word").limit(WORDS)
-    return Novelty(library_names(), [r["word"] for r in top.collect()])
+    stage = Staging(docs.sparkSession, "secrets")
+    counts = stage.keep(docs.select(words).groupBy("word").agg(F.floor(16 * F.log2(F.count(F.lit(1)))).alias("class")),
+                        "words")
+    least, held = None, 0
+    for kind, n in counts.groupBy("class").count().orderBy(F.desc("class")).collect():  # 1024 classes at most
+        held += n
+        if held > WORDS:
+            break
+        least = kind
+    top = counts.where(F.col("class") >= least).collect() if least is not None else []
+    stage.drop("words")
+    return Novelty(library_names(), [r["word"] for r in top])
 
 
 def _base(text: str, may: tuple[bool, bool, bool]) -> list[tuple[int, int, int]]:
