@@ -17,6 +17,7 @@ from circula.functions import formats as fmt
 from circula.functions.common import MONEY_SUM, as_date, is_open_loan, money_sum, month_start
 from circula.operators.policy import due_dates, open_books_per_user
 from circula.operators.ranking import spread_join
+from circula.operators.title_index import BROADCAST_ROWS, TitleIndex
 from circula.session import ensure_checkpoint_dir
 
 ENTITY_TYPES = ("Loan", "Reservation", "Book")
@@ -395,13 +396,22 @@ def book_authors_list(t: dict, isbns: DataFrame | None = None) -> DataFrame:
 
 def browse_catalog(t: dict, genre: str | None = None, author: str | None = None,
                    status: str | None = None, title_like: str | None = None,
-                   year_range: tuple[int, int] | None = None) -> DataFrame:
+                   year_range: tuple[int, int] | None = None, title_index: TitleIndex | None = None) -> DataFrame:
     """Filtered catalogue with all authors.
 
     Filters on Book columns are applied to the scan (they show up as parquet
-    PushedFilters); the author filter matches any of a book's authors.
+    PushedFilters); the author filter matches any of a book's authors.  With a
+    ``title_index`` the scan is cut to the candidates of ``title_like`` (by a broadcast
+    of at most ``title_index.BROADCAST_ROWS`` ISBNs, else a shuffle join) before the pattern is tried; a
+    pattern without three literal characters in a row reads every title.
     """
     books = t["book"]
+    candidates = title_index.candidates(title_like) if title_index is not None and title_like is not None else None
+    if candidates is not None:
+        ensure_checkpoint_dir(books.sparkSession)
+        candidates = candidates.checkpoint(eager=True)
+        few = candidates.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        books = books.join(F.broadcast(candidates) if few else candidates, "ISBN", "left_semi")
     if genre is not None:
         books = books.filter(F.col("Genre") == F.lit(genre))
     if status is not None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from circula.functions.common import MONEY_SUM, as_date, is_active_reservation, is_open_loan
@@ -36,15 +36,68 @@ def waiting_list(t: dict, as_of, num_partitions: int | None = None) -> DataFrame
 
     A long queue is split over many tasks (see ``sequence_numbers``).
     """
-    active = t["reservation"].filter(is_active_reservation(as_of)).select(
-        "ReservationID", "UserID", "ReservationDate")
-    items = t["reservation_item"].select("ReservationID", "ISBN").join(active, "ReservationID")
     return sequence_numbers(
-        items, order_cols=[F.col("ReservationDate").asc_nulls_last(), F.col("ReservationID")],
+        queue_items(t, as_of), order_cols=[F.col("ReservationDate").asc_nulls_last(), F.col("ReservationID")],
         partition_cols=["ISBN"], out_col="QueuePosition", num_partitions=num_partitions,
     ).select("ISBN", "ReservationID", "UserID", "ReservationDate", "QueuePosition")
 
 
+def queue_items(t: dict, as_of) -> DataFrame:
+    """The active reservation items that stand in queues: ISBN, ReservationID, UserID, ReservationDate."""
+    active = t["reservation"].filter(is_active_reservation(as_of)).select("ReservationID", "UserID", "ReservationDate")
+    return t["reservation_item"].select("ReservationID", "ISBN").join(active, "ReservationID").select(
+        "ISBN", "ReservationID", "UserID", "ReservationDate")
+
+
+#: The day of items without a date, which come last.
+LAST_DAY = "9999-12-31"
+
+
+def _queue_day() -> Column:
+    return F.coalesce("ReservationDate", F.lit(LAST_DAY).cast("date"))
+
+
+def queue_counts(items: DataFrame) -> DataFrame:
+    """Items of each ISBN and day (ISBN, Day, n): what new places are counted from."""
+    return items.groupBy("ISBN", _queue_day().alias("Day")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def change_queue(queue: DataFrame, counts: DataFrame, new: DataFrame, gone: DataFrame | None = None,
+                 num_partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """U3 after some days: (queue, counts) with the items ``new`` (rows of :func:`queue_items`) and
+    without those ``gone`` (ISBN, ReservationID).
+
+    An item's place depends on the items of its title before it only.  So in each queue that changes, items of days before the
+    first change stay as they are, their number is the sum of that title's day counts, and only
+    the items from that day on are numbered (a day's reservations, usually), from that number on.  Rows of other
+    queues are not sorted or numbered.  Equal to :func:`waiting_list` over all items.
+    """
+    queue = queue.select("ISBN", "ReservationID", "UserID", "ReservationDate", "QueuePosition")
+    items = queue.drop("QueuePosition")
+    left = items.limit(0)
+    if gone is not None:
+        left = spread_join(items, gone.select("ISBN", "ReservationID").distinct(), ["ISBN", "ReservationID"], "left_semi")
+    ensure_checkpoint_dir(queue.sparkSession)
+    first = (new.select("ISBN", _queue_day().alias("_day")).unionByName(left.select("ISBN", _queue_day().alias("_day")))
+             .groupBy("ISBN").agg(F.min("_day").alias("_first")).checkpoint(eager=True))
+    before = (spread_join(counts, first, ["ISBN"], "inner").filter(F.col("Day") < F.col("_first"))
+              .groupBy("ISBN").agg(F.sum("n").alias("_before")))
+    changed = spread_join(queue, first, ["ISBN"], "left").withColumn("_behind", F.coalesce(_queue_day() >= F.col("_first"), F.lit(False)))
+    behind = changed.filter("_behind").select(*items.columns)
+    if gone is not None:
+        behind = spread_join(behind, gone.select("ISBN", "ReservationID").distinct(), ["ISBN", "ReservationID"], "left_anti")
+    numbered = sequence_numbers(
+        behind.unionByName(new.select(*items.columns)),
+        order_cols=[F.col("ReservationDate").asc_nulls_last(), F.col("ReservationID")],
+        partition_cols=["ISBN"], out_col="_place", num_partitions=num_partitions)
+    placed = spread_join(numbered, before, ["ISBN"], "left").select(
+        *items.columns, (F.col("_place") + F.coalesce("_before", F.lit(0))).alias("QueuePosition"))
+    kept = changed.filter(~F.col("_behind")).select(*queue.columns)
+    signed = (counts.unionByName(queue_counts(new))
+              .unionByName(queue_counts(left).withColumn("n", -F.col("n"))))
+    return kept.unionByName(placed), signed.groupBy("ISBN", "Day").agg(F.sum("n").alias("n")).filter("n > 0")
+
+
 def reservations_per_member(t: dict, as_of, num_partitions: int | None = None) -> DataFrame:
     """U3 per member: active reserved items and the best (lowest) queue place."""
     return (waiting_list(t, as_of, num_partitions).groupBy("UserID")

@@ -333,6 +333,20 @@ def _l10(t, spark):
     return figures.browse_catalog(t, genre="MEDIUM", title_like="%widget%", year_range=(1960, 1990))
 
 
+@query("l10_browse_catalog_index", f"""WITH {AUTHORS_SQL}
+SELECT b.ISBN, b.Title, b.PublicationYear, b.Genre, b.Status, a.Authors FROM book b LEFT JOIN authors a ON b.ISBN = a.ISBN
+ WHERE b.Title ILIKE '%wid_et%'""")
+def _l10x(t, spark):
+    """Catalogue search for '%wid_et%' by a gram index that was built from two batches of titles."""
+    from circula.operators.title_index import add_titles
+    from circula.sources.paths import scratch_dir
+    path = scratch_dir(spark, "l10-index")
+    titles = t["book"].select("ISBN", "Title")
+    half = F.pmod(F.xxhash64("ISBN"), F.lit(2)) == 0
+    add_titles(titles.filter(half), path)
+    return figures.browse_catalog(t, title_like="%wid_et%", title_index=add_titles(titles.filter(~half), path))
+
+
 @query("l11_book_authors_list", f"""WITH {AUTHORS_SQL} SELECT ISBN, Authors, AuthorCount FROM authors""")
 def _l11(t, spark):
     return figures.book_authors_list(t)
@@ -355,10 +369,13 @@ def _u2(t, spark):
     return member.due_soon(t, AS_OF, _pol(t), 3)
 
 
-@query("u3_waiting_list", """SELECT i.ISBN, r.ReservationID, r.UserID, r.ReservationDate,
+U3_SQL = """SELECT i.ISBN, r.ReservationID, r.UserID, r.ReservationDate,
  row_number() OVER (PARTITION BY i.ISBN ORDER BY r.ReservationDate ASC NULLS LAST, r.ReservationID) AS QueuePosition
  FROM reservation_item i JOIN reservation r ON i.ReservationID = r.ReservationID
- WHERE r.Status = 'Active' AND (r.ExpiryDate IS NULL OR r.ExpiryDate >= {D})""")
+ WHERE r.Status = 'Active' AND (r.ExpiryDate IS NULL OR r.ExpiryDate >= {D})"""
+
+
+@query("u3_waiting_list", U3_SQL)
 def _u3(t, spark):
     return member.waiting_list(t, AS_OF)
 
@@ -414,7 +431,44 @@ def _u7(t, spark):
     return member.recommend_books(t, 5, AS_OF)
 
 
+@query("u3_waiting_list_changed", U3_SQL)
+def _u3c(t, spark):
+    """The queues kept by days: numbered once up to 2001-06, then changed by the reservations of three later periods, the
+    last of which brings back some that had been left out."""
+    items = member.queue_items(t, AS_OF)
+    day, late = F.col("ReservationDate"), F.col("ReservationID") % 17 == 5
+    cuts = ["2001-06-01", "2001-07-01", "2001-07-20"]
+    start = items.filter((day < F.lit(cuts[0])) & ~late)
+    queue = member.sequence_numbers(start, [day.asc_nulls_last(), F.col("ReservationID")], ["ISBN"], "QueuePosition")
+    counts = member.queue_counts(start)
+    for lo, hi in ((cuts[0], cuts[1]), (cuts[1], cuts[2])):
+        queue, counts = member.change_queue(queue, counts, items.filter((day >= F.lit(lo)) & (day < F.lit(hi)) & ~late))
+    rest = items.filter(late | day.isNull() | (day >= F.lit(cuts[2])))
+    return member.change_queue(queue, counts, rest)[0].select("ISBN", "ReservationID", "UserID", "ReservationDate", "QueuePosition")
+
+
 # ==================================================== C: reconcile ======
+@query("c1_fine_amount_drift_ranges", """WITH f AS (SELECT LoanID, sum(Amount) AS total FROM fine GROUP BY LoanID)
+SELECT * FROM (SELECT coalesce(l.LoanID, f.LoanID) AS LoanID, CAST(coalesce(l.FineAmount, 0) AS DECIMAL(18,2)) AS LoanFineAmount,
+ CAST(coalesce(f.total, 0) AS DECIMAL(18,2)) AS FineTotal, l.LoanID IS NOT NULL AS LoanExists
+ FROM loan l FULL OUTER JOIN f ON l.LoanID = f.LoanID) WHERE LoanFineAmount <> FineTotal""")
+def _c1r(t, spark):
+    """C1 by checksums of 16 LoanIDs: rows are joined only where the sides disagree."""
+    return reconcile.fine_amount_drift(t, range_size=16)
+
+
+@query("c2_fine_settlement_drift_ranges", """WITH p AS (SELECT FineID, sum(AmountPaid) AS paid FROM payment GROUP BY FineID),
+ x AS (SELECT f.FineID, f.LoanID, f.UserID, f.Status, CAST(f.Amount AS DECIMAL(18,2)) AS Amount,
+   CAST(coalesce(p.paid, 0) AS DECIMAL(18,2)) AS Paid, CAST(f.Amount - coalesce(p.paid, 0) AS DECIMAL(18,2)) AS Balance
+   FROM fine f LEFT JOIN p ON f.FineID = p.FineID)
+SELECT *, CASE WHEN Status = 'Paid' AND Balance > 0 THEN 'Paid with balance'
+  WHEN Status = 'Unpaid' AND Balance <= 0 THEN 'Unpaid but settled' END AS Issue FROM x
+ WHERE (Status = 'Paid' AND Balance > 0) OR (Status = 'Unpaid' AND Balance <= 0)""")
+def _c2r(t, spark):
+    """C2 by checksums of 16 FineIDs."""
+    return reconcile.fine_settlement_drift(t, range_size=16)
+
+
 @query("c1_fine_amount_drift", """WITH f AS (SELECT LoanID, sum(Amount) AS total FROM fine GROUP BY LoanID)
 SELECT * FROM (SELECT coalesce(l.LoanID, f.LoanID) AS LoanID, CAST(coalesce(l.FineAmount, 0) AS DECIMAL(18,2)) AS LoanFineAmount,
  CAST(coalesce(f.total, 0) AS DECIMAL(18,2)) AS FineTotal, l.LoanID IS NOT NULL AS LoanExists

@@ -704,3 +704,113 @@ def test_fold_keeps_null_keys_out_of_the_aggregate(spark):
     assert sorted((r.LoanID or 0, r.Reason) for r in rejects.collect()) == [(0, "no LoanID")] * 51 + [(2, "no ISSUE event")]
     facts = spark._jvm.PythonSQLUtils.explainString(loans._jdf.queryExecution(), "simple")
     assert "isnotnull(LoanID" in facts
+
+
+# ----------------------------------------------------------------- title index
+def test_title_search_by_grams_equals_a_scan(spark, tmp_path):
+    import random
+
+    from circula.operators import title_index as X
+    rnd = random.Random(5)
+    words = ["Über", "night", "Knight", "the", "a%b", "x_y", "Éa", "ab", "", "moonlight"]
+    titles = [" ".join(rnd.choice(words) for _ in range(rnd.randrange(5))) for _ in range(300)] + [None, "ab", "abc"]
+    books = spark.createDataFrame([(f"i{k}", t, 2000, "G", "A", "Available") for k, t in enumerate(titles)],
+                                  "ISBN string, Title string, PublicationYear int, Genre string, Author string, Status string")
+    index = X.add_titles(books.filter("ISBN < 'i2'"), str(tmp_path / "x"))
+    assert index.candidates("%night%").count() < 200
+    index = X.add_titles(books.filter("ISBN >= 'i2'"), str(tmp_path / "x"))
+    X.add_titles(spark.createDataFrame([("gone", "night")], "ISBN string, Title string"), str(tmp_path / "x"))
+    t = {"book": books, "book_authors": spark.createDataFrame([], "ISBN string, AuthorName string")}
+    for pattern in ("%KNIGHT%", "%ight_the%", "über%", "%éa a\\%b%", "%x\\_y n%", "ab"):
+        want = sorted(r.ISBN for r in figures.browse_catalog(t, title_like=pattern).collect())
+        got = sorted(r.ISBN for r in figures.browse_catalog(t, title_like=pattern, title_index=index).collect())
+        assert got == want, pattern
+    assert index.candidates("%ab%") is None and index.candidates("%qqq%").count() == 0
+    cut = figures.browse_catalog(t, title_like="%moonlight%night%", title_index=index)
+    plan = spark._jvm.PythonSQLUtils.explainString(cut._jdf.queryExecution(), "simple")
+    assert "LeftSemi" in plan
+    postings = spark.read.parquet(index.batches("postings")[0]).filter("bucket = 3 and gram = 'nig'")
+    plan = spark._jvm.PythonSQLUtils.explainString(postings._jdf.queryExecution(), "formatted")
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(gram,nig)" in plan
+    empty = X.add_titles(books.limit(0), str(tmp_path / "none"))
+    assert figures.browse_catalog(t, title_like="%night%", title_index=empty).count() == 0
+
+
+# ------------------------------------------------------------- queues by days
+def test_queues_changed_by_days_equal_a_full_numbering(spark):
+    import random
+    rnd = random.Random(2)
+    rows = [(rnd.choice(["hot", "hot", "b1", "b2"]), i, i % 9, None if i % 50 == 7 else D(2001, 1, 1) + dt.timedelta(days=rnd.randrange(40)))
+            for i in range(400)]
+    schema = "ISBN string, ReservationID int, UserID int, ReservationDate date"
+
+    def full(items):
+        out = {}
+        for isbn in {r[0] for r in items}:
+            mine = sorted((r for r in items if r[0] == isbn), key=lambda r: (r[3] is None, r[3] or D(1, 1, 1), r[1]))
+            out.update({(isbn, r[1]): k for k, r in enumerate(mine, 1)})
+        return out
+
+    def frame_of(items):
+        return spark.createDataFrame(items, schema)
+
+    now = [r for r in rows if r[3] is not None and r[3] < D(2001, 1, 20) and r[1] % 5]
+    queue = frame_of([]).withColumn("QueuePosition", F.lit(1).cast("bigint"))
+    counts = member.queue_counts(frame_of([]))
+    queue, counts = member.change_queue(queue, counts, frame_of(now), num_partitions=4)
+    steps = [([r for r in rows if r[3] is not None and D(2001, 1, 20) <= r[3] < D(2001, 2, 1) and r[1] % 5], []),
+             ([r for r in rows if r[3] is None or (r[3] >= D(2001, 2, 1) and r[1] % 5)], now[::7]),
+             ([r for r in rows if r[3] is not None and r[1] % 5 == 0 and r[0] != "b2"], [])]  # late ones, of earlier days
+    for new, gone in steps:
+        away = spark.createDataFrame([(r[0], r[1]) for r in gone], "ISBN string, ReservationID int") if gone else None
+        queue, counts = member.change_queue(queue, counts, frame_of(new), away, num_partitions=4)
+        now = [r for r in now if r not in gone] + new
+        got = {(r.ISBN, r.ReservationID): r.QueuePosition for r in queue.collect()}
+        assert got == full(now)
+        assert sum(r.n for r in counts.collect()) == len(now)
+
+
+def test_only_changed_days_are_numbered_again(spark, monkeypatch):
+    rows = [("hot", i, 1, D(2001, 1, 1) + dt.timedelta(days=i // 100)) for i in range(1000)]
+    items = spark.createDataFrame(rows, "ISBN string, ReservationID int, UserID int, ReservationDate date")
+    queue = items.withColumn("QueuePosition", F.col("ReservationID").cast("bigint") + 1)
+    seen = []
+    old = member.sequence_numbers
+    monkeypatch.setattr(member, "sequence_numbers", lambda df, **k: seen.append(df.count()) or old(df, **k))
+    new = spark.createDataFrame([("hot", 1000, 1, D(2001, 1, 10)), ("hot", 1001, 1, D(2001, 1, 11)), ("b", 1002, 1, None)], items.schema)
+    got, _ = member.change_queue(queue, member.queue_counts(items), new)
+    places = {r.ReservationID: r.QueuePosition for r in got.collect()}
+    assert places == {**{i: i + 1 for i in range(1002)}, 1002: 1} and seen == [103]
+
+
+# --------------------------------------------------------- checksums by range
+def test_drift_by_checksums_equals_the_plain_join(spark, monkeypatch):
+    from circula.operators import reconcile
+    loans = [(i, 1, D(2001, 1, 1), None, None, Decimal(i % 5)) for i in range(2000)]
+    fines = [(i * 2 + k, i, 1, D(2001, 1, 1), Decimal(i % 5) / 2 if i not in (70, 71, 1500) else Decimal(9), "Paid", None)
+             for i in range(2000) for k in (0, 1)]
+    fines += [(9000, None, 1, None, Decimal(3), "Unpaid", None), (9001, 5000, 1, None, Decimal(1), "Unpaid", None),
+              (9002, 300, 1, None, Decimal(-1), "Unpaid", None), (9003, 301, 1, None, Decimal(1), "Paid", None),
+              (9004, 302, 1, None, Decimal(0), "Unpaid", None), (9005, 303, 1, None, None, "Paid", None)]
+    payments = [(k, f[0], D(2001, 1, 2), f[4], "Cash") for k, f in enumerate(fines) if f[5] == "Paid" and f[4] is not None and k % 997]
+    t = {"loan": frame(spark, "loan", loans), "payment": frame(spark, "payment", payments),
+         "fine": spark.createDataFrame(fines, "FineID int, LoanID int, UserID int, IssueDate date, Amount decimal(8,2), Status string, Description string")}
+    # 300 is one too low and 301 one too high: plain sums over the range would not see it
+    for check in (reconcile.fine_amount_drift, reconcile.fine_settlement_drift):
+        want = sorted(check(t).collect(), key=str)
+        assert want and sorted(check(t, range_size=32).collect(), key=str) == want
+    kept = []
+    old = reconcile.in_ranges
+    monkeypatch.setattr(reconcile, "in_ranges", lambda rows, *a: kept.append(old(rows, *a).count()) or old(rows, *a))
+    reconcile.fine_amount_drift(t, range_size=32)
+    assert kept[0] <= 32 * 6 and kept[1] <= 64 * 6 + 10  # of 2000 loans and 4006 fines
+
+
+def test_ranges_that_agree_are_not_joined(spark):
+    from circula.operators import reconcile
+    loans = [(i, 1, D(2001, 1, 1), None, None, Decimal(i % 5)) for i in range(500)]
+    fines = [(i, i, 1, D(2001, 1, 1), Decimal(i % 5), "Unpaid", None) for i in range(500)]
+    t = {"loan": frame(spark, "loan", loans), "fine": frame(spark, "fine", fines)}
+    same = reconcile.differing_ranges(reconcile.range_checksums(t["loan"], "LoanID", F.col("FineAmount"), 50),
+                                      reconcile.range_checksums(t["fine"], "LoanID", F.col("Amount"), 50))
+    assert same.count() == 0 and reconcile.fine_amount_drift(t, range_size=50).count() == 0
