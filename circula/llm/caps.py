@@ -36,6 +36,7 @@ from circula.llm.workers import free
 LISTED, AT_LEAST = 24, 12
 HELD = 48
 BLOCK = 1024
+DIRECTIONS_AT_ONCE = 2048  # columns of a matrix of who has which direction
 SEED = 20_240_501
 
 
@@ -164,9 +165,13 @@ def _compare(filter_: int, left: np.ndarray, right: np.ndarray, node: np.ndarray
     # of those, the directions before this one: a pair that shares one is counted there
     before = [lists[i][lists[i] < filter_] if hit[i] else lists[i][:0] for i in range(len(node))]
     known, place = np.unique(np.concatenate(before), return_inverse=True)
-    has = np.zeros((len(node), max(1, len(known))), np.float32)
-    has[np.repeat(np.arange(len(node)), [len(x) for x in before]), place] = 1
-    count = near & (has[a] @ has[b].T == 0)
+    owner = np.repeat(np.arange(len(node)), [len(x) for x in before])
+    count = near.copy()
+    for lo in range(0, len(known), DIRECTIONS_AT_ONCE):
+        some = (place >= lo) & (place < lo + DIRECTIONS_AT_ONCE)
+        has = np.zeros((len(node), min(DIRECTIONS_AT_ONCE, len(known) - lo)), np.float32)
+        has[owner[some], place[some] - lo] = 1
+        count &= has[a] @ has[b].T == 0
     if left is right:
         links[a] = count @ copies[b]
     else:

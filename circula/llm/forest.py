@@ -3,10 +3,11 @@
 A document's *set* is the hashes of its distinct shingles (``words`` words,
 A-Z lower-cased); documents of one set are one class and one copy goes on.
 
-*Forest.*  Each of ``TREES`` trees orders the sets by a signature of its own,
-a list of ``LEVELS`` minimum hashes.  Neighbours in a tree's order whose
-longest common prefix has ``BASE`` entries or more are candidates: they lie
-in one *region*, the sets with those entries in common.  Two sets with a
+*Forest.*  Each of ``TREES`` trees has a signature of its own for a set, a list of ``LEVELS`` minimum
+hashes; in the order of a tree's signatures, sets with a common prefix lie side by side, in one *region*.
+The orders are not sorted: a region is a group by the hash of the prefix, which finds all sets that
+share ``BASE`` entries, where a sorted order would compare neighbours only (README names this
+under the choices that differ).  Two sets with a
 similarity of 0.8 share no region in any tree with probability
 (1 - 0.8**BASE)**TREES, 1e-5.
 

@@ -111,9 +111,9 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids written as framed records in order of doc_id, and read back."""
     stage = Staging(spark, "records")
     dest = stage.path("files")
-    records.write(read_table(spark, sf_dir, "documents"), dest, public_tokenizers.path("word_bpe_49k.json"), 2, 49_408)
+    records.write(read_table(spark, sf_dir, "documents"), dest, public_tokenizers.path("word_bpe_49k.json"), 2, 49_408, stage)
     rows = stage.keep(records.read(spark, dest), "rows")
-    stage.drop("files")
+    stage.drop("files", "names")
     return records.placed(rows)
 
 

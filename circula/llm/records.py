@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from circula.llm.bpe import WordTokens
+from circula.llm.tables import Staging
 from circula.llm.workers import free, held
 from circula.sources.paths import path_exists
 
@@ -139,11 +140,13 @@ class _File:
         self.fs.move(self.own, self.to + ".rec")
 
 
-def write(docs: DataFrame, dest: str, tokenizer: str, end_id: int, vocabulary: int) -> list[str]:
+def write(docs: DataFrame, dest: str, tokenizer: str, end_id: int, vocabulary: int,
+          names_to: Staging | None = None) -> list[str] | DataFrame:
     """Write the ids of every row's text and ``end_id`` as records under
     ``dest``, a folder that all executors and the driver share, by a URI or path that
     pyarrow can open (local, s3, gs, hdfs).  Null texts are empty; null ids come
-    first; rows of one id come by their ids' bytes.  Returns the files by name."""
+    first; rows of one id come by their ids' bytes.  Returns the files by name: as a table (column name) kept by
+    ``names_to``, or without it as a list, which grows with the corpus."""
     width = 2 if vocabulary <= 1 << 16 else 4
     n = docs.count()
     ranges = int(min(max(1, -(-n // ROWS_PER_RANGE)), MOST_RANGES))
@@ -191,7 +194,7 @@ def write(docs: DataFrame, dest: str, tokenizer: str, end_id: int, vocabulary: i
         encode, "range int, doc_id long, payload binary")
     made = (rows.repartitionById(len(bounds) + 1, F.col("range"))
             .sortWithinPartitions("range", "doc_id", "payload").mapInArrow(store, "name string"))
-    return sorted(r["name"] for r in made.collect())
+    return names_to.keep(made, "names") if names_to is not None else sorted(r["name"] for r in made.collect())
 
 
 def read(spark: SparkSession, dest: str) -> DataFrame:
@@ -220,10 +223,15 @@ def read(spark: SparkSession, dest: str) -> DataFrame:
 
 
 def placed(records: DataFrame) -> DataFrame:
-    """``read``'s rows with ``start`` counted over all files: each file's ids
-    are summed, and the files (not the records) are ordered in one window."""
-    files = records.groupBy(F.col("file").alias("_file")).agg(F.sum("n_tokens").alias("_n"))
-    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    base = files.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    """``read``'s rows with ``start`` counted over all files: ids are summed by
+    file, the files of a range are ordered by themselves, and the ranges (``MOST_RANGES`` at most) in one window."""
+    files = records.groupBy(F.col("file").alias("_file")).agg(F.sum("n_tokens").alias("_n")).withColumn(
+        "_range", F.substring_index("_file", "-", 2))
+    earlier = Window.unboundedPreceding, -1
+    ranges = files.groupBy(F.col("_range").alias("_r")).agg(F.sum("_n").alias("_all"))
+    ranges = ranges.select("_r", F.coalesce(F.sum("_all").over(Window.orderBy("_r").rowsBetween(*earlier)), F.lit(0)).alias("_base"))
+    inside = F.coalesce(F.sum("_n").over(Window.partitionBy("_range").orderBy("_file").rowsBetween(*earlier)), F.lit(0))
+    base = files.withColumn("_inside", inside).join(ranges, F.col("_range") == F.col("_r")).select(
+        "_file", (F.col("_inside") + F.col("_base")).alias("_before"))
     return records.join(base, F.col("file") == F.col("_file")).select(
         "doc_id", (F.col("start") + F.col("_before")).alias("start"), "n_tokens", "ids_crc32")
