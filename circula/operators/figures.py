@@ -264,9 +264,8 @@ def _newest(t: dict, events: DataFrame, k: int, after: tuple | None = None) -> D
             found = found.filter(~same | (F.col("ISBN") > isbn))
         return _numbered(found.orderBy(*_tx_order()).limit(k), _tx_order())
 
-    ensure_checkpoint_dir(events.sparkSession)
     wanted = k if after is None else k + 1
-    first = events.orderBy(*_tx_order(last="")).limit(wanted).checkpoint(eager=True)
+    first = events.orderBy(*_tx_order(last="")).limit(wanted)
     top = rows(F.broadcast(first), t["loan_item"])  # k + 1 rows at most
     if top.count() == k or first.count() < wanted:
         return top
