@@ -11,6 +11,7 @@ encoded alone; decoding maps ids to pieces and characters back to bytes.
 from __future__ import annotations
 
 import base64
+import codecs
 import itertools
 import json
 import os
@@ -23,11 +24,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from circula.llm.tables import extended
+from circula.llm.tables import extended, together
 from circula.llm.workers import held
 
 SHIFT = 0x100  # a byte's character; none of these is white space or changes under identity normalisation
 CACHE = 400_000  # pieces of text whose ids a Python worker remembers, and twice as many words
+TOGETHER = 200_000  # characters of texts whose new words are learned at once
 _NORMAL, _UNKNOWN, _BPE = 1, 2, 2  # of sentencepiece's model format
 
 
@@ -52,11 +54,11 @@ def _field(number: int, value: int | float | bytes) -> bytes:
     return _number(number << 3) + _number(value)
 
 
-_CHARACTER = {b: SHIFT + b for b in range(256)}
+_CHARACTERS = "".join(chr(SHIFT + b) for b in range(256))
 
 
 def to_characters(piece: bytes) -> str:
-    return piece.decode("latin-1").translate(_CHARACTER)
+    return codecs.charmap_decode(piece, "strict", _CHARACTERS)[0]
 
 
 def to_bytes(characters: str) -> bytes:
@@ -89,42 +91,70 @@ class Coder:
         self.split = regex.compile(pattern).findall
         # the inverse mapping of every id but the unknown one, which is last
         self.table = [to_bytes(self.sp.id_to_piece(i)) for i in range(self.sp.get_piece_size() - 1)]
-        self.decimal = [str(i) for i in range(len(self.table))]
+        self.decimal = [b"%d," % i for i in range(len(self.table))]
         # a piece of text that is itself a token is that token, even if no merges lead to it
         whole = self.sp.encode([to_characters(t) for t in self.table], num_threads=1)
         self.fixed = {t.decode(): (i,) for i, (t, ids) in enumerate(zip(self.table, whole, strict=True))
                       if ids != [i] and _is_text(t)}
         self.known: dict[str, tuple[int, ...]] = dict(self.fixed)  # by match of the pattern
         self.words: dict[str, tuple[int, ...]] = {}  # by word with a space before it
+        self.said: dict[str, tuple[bytes, bytes]] = {}  # the same words' ids in decimals, and decoded
 
     def encode(self, text: str | None) -> list[int]:
         text = text or ""
         if not plain(text):
-            return list(itertools.chain.from_iterable(map(self._piece, self.split(text))))
+            return self._pieces(text)
         words = text.split(" ")  # all but the first have a space before them
-        known = self.words
-        try:
-            ids = list(itertools.chain.from_iterable(map(known.__getitem__, words[1:])))
-        except KeyError:
-            met = set(words[1:])
-            if len(known) + len(met) > 2 * CACHE:
-                known.clear()
-            new = [w for w in met if w not in known]
-            pieces = [self.split(" " + w) for w in new]
-            self._learn([p for ps in pieces for p in ps])
-            get = self.known.__getitem__
-            known.update((w, tuple(itertools.chain.from_iterable(map(get, ps))))
-                         for w, ps in zip(new, pieces, strict=True))
-            ids = list(itertools.chain.from_iterable(map(known.__getitem__, words[1:])))
-        return list(itertools.chain.from_iterable(map(self._piece, self.split(words[0])))) + ids
+        rest = words[1:]
+        self._meet(set(rest), self.words, tuple)
+        return list(itertools.chain(self._pieces(words[0]), *map(self.words.__getitem__, rest)))
+
+    def digests(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
+        """Of each text: the number of its ids, and the digests of the ids as comma-joined decimals and of
+        the ids decoded.  Both are put together from those of the words that were met before."""
+        cut = [t.split(" ") if plain(t) else None for t in (t or "" for t in texts)]
+        rest = [w[1:] if w else () for w in cut]
+        self._meet(set().union(*rest), self.said, self._said)
+        get, out = self.said.__getitem__, []
+        for text, words, others in zip(texts, cut, rest, strict=True):
+            first = self._said(self._pieces(text if words is None else words[0]))
+            decimals, decoded = zip(first, *map(get, others), strict=True)
+            ids = b"".join(decimals)
+            out.append((ids.count(b","), sha256(ids[:-1]).hexdigest(), sha256(b"".join(decoded)).hexdigest()))
+        return out
+
+    def _said(self, ids) -> tuple[bytes, bytes]:
+        return b"".join([self.decimal[i] for i in ids]), self.decode(ids)
+
+    def _meet(self, met: set[str], known: dict, form) -> None:
+        """Adds to ``known`` what ``form`` makes of the ids of every word met, with a space before it.  The
+        words are cut as one text, in which each piece that begins with a space begins a word."""
+        new = list(met.difference(known))
+        if not new:
+            return
+        if len(known) + len(new) > 2 * CACHE:
+            known.clear()
+            new = list(met)
+        pieces = self.split(" " + " ".join(new))
+        self._learn(pieces)
+        ids = list(map(self.known.__getitem__, pieces))
+        starts = [i for i, p in enumerate(pieces) if p[0] == " "]
+        for w, lo, hi in zip(new, starts, [*starts[1:], len(pieces)], strict=True):
+            known[w] = form(ids[lo] if hi - lo == 1 else tuple(itertools.chain.from_iterable(ids[lo:hi])))
 
     def _learn(self, pieces: list[str]) -> None:
-        new = list({p for p in pieces if p not in self.known})
+        new = list(set(pieces).difference(self.known))
+        if not new:
+            return
         if len(self.known) + len(new) > CACHE:
             self.known = dict(self.fixed)
-            new = list({p for p in pieces if p not in self.known})
-        ids = self.sp.encode([to_characters(p.encode()) for p in new], num_threads=1)
-        self.known.update(zip(new, map(tuple, ids), strict=True))
+            new = list(set(pieces).difference(self.known))
+        # a byte that no text has stands between the pieces
+        said = to_characters(b"\xff".join([p.encode() for p in new])).split(_CHARACTERS[0xFF])
+        self.known.update(zip(new, map(tuple, self.sp.encode(said, num_threads=1)), strict=True))
+
+    def _pieces(self, text: str | None):
+        return list(itertools.chain.from_iterable(map(self._piece, self.split(text or ""))))
 
     def _piece(self, piece: str) -> tuple[int, ...]:
         ids = self.known.get(piece)
@@ -133,7 +163,7 @@ class Coder:
             ids = self.known[piece]
         return ids
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: list[int] | tuple[int, ...]) -> bytes:
         return b"".join(map(self.table.__getitem__, ids))
 
 
@@ -197,16 +227,12 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         coder = held(mark, lambda: Coder(model.value, pattern))
-        decimal = coder.decimal.__getitem__
         for b in batches:
-            n, said, back = [], [], []
-            for text in b.column(1):
-                ids = coder.encode(text.as_py())
-                n.append(len(ids))
-                said.append(sha256(",".join(map(decimal, ids)).encode()).hexdigest())
-                back.append(sha256(coder.decode(ids)).hexdigest())
+            out = []
+            for texts in together(b.column(1), TOGETHER):
+                out += coder.digests(texts)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(said, pa.string()), pa.array(back, pa.string())],
+                [b.column(0), *(pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string())))],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select("doc_id", "text")
@@ -220,8 +246,11 @@ _PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _STANDS = dict(zip((b for b in range(256) if b not in _PLAIN), itertools.count(256)))
 
 
+_STANDING = "".join(chr(_STANDS.get(b, b)) for b in range(256))
+
+
 def _standing(piece: str) -> str:
-    return piece.encode().decode("latin-1").translate(_STANDS)
+    return codecs.charmap_decode(piece.encode(), "strict", _STANDING)[0]
 
 
 def added_tokens(path: str) -> dict[str, int]:
@@ -257,16 +286,20 @@ class Tokens:
         raise NotImplementedError
 
     def joined(self, words: list) -> bytes:
+        self.meet(set(words))
+        return b"".join(map(self.words.__getitem__, words))
+
+    def meet(self, met: set) -> None:
+        """Learns the words met that are new; nearly every text has some."""
         known = self.words
-        new = [w for w in set(words) if w not in known]  # nearly every text has some
+        new = met.difference(known)
         if new:
             if len(known) + len(new) > 2 * CACHE:
                 known.clear()
-                new = list(set(words))
+                new = met
             if len(self.pieces) > CACHE:
                 self.pieces.clear()
-            self.learn(new)
-        return b"".join(map(known.__getitem__, words))
+            self.learn(list(new))
 
     def piece(self, piece: str) -> bytes:
         """Ids of one piece that the pre-tokenizer cuts no further."""
@@ -311,7 +344,7 @@ class WordTokens(Tokens):
     tokenizer's pattern here; any other goes through the whole tokenizer."""
 
     _LATIN = regex.compile("[\x21-\x7e\u00a1-\u012f\u0131-\u024f]+").fullmatch
-    _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+    _PIECES = regex.compile(r" |'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
 
     def ids(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -321,17 +354,27 @@ class WordTokens(Tokens):
         return b"".join([self.packed[self.added[part]] if part in self.added else self.joined(part.encode().split())
                          for part in self.cut(text)])
 
+    def all_ids(self, texts: list[bytes | None]) -> list[bytes]:
+        """``ids`` of each text, given in UTF-8; the new words of all are learned at once."""
+        texts, added = [t or b"" for t in texts], [a.encode() for a in self.added]
+        words = [None if any(a in t for a in added) else t.split() for t in texts]
+        self.meet(set().union(*(w for w in words if w)))
+        get = self.words.__getitem__
+        out = [None if w is None else b"".join(map(get, w)) for w in words]
+        return [self.ids(t.decode()) if x is None else x for t, x in zip(texts, out, strict=True)]
+
     def learn(self, words: list[bytes]) -> None:
-        known, pieces, packed, merge = self.words, self.pieces, self.packed, self.merge
-        for w in words:
-            text = w.decode()
+        known, piece, cut = self.words, self.piece, []
+        for w, text in zip(words, b" ".join(words).decode().split(" "), strict=True):
+            if not (text.isprintable() if text.isascii() else self._LATIN(text)):
+                known[w] = b"".join([self.packed[i] for i in self.model.encode(text, add_special_tokens=False).ids])
+                continue
             low = text.lower()
-            if low.isalpha() and w.isascii():
-                ids = pieces.get(low)
-                if ids is None:
-                    ids = pieces[low] = b"".join([packed[t.id] for t in merge(low)])
-                known[w] = ids
-            elif not self._LATIN(text):
-                known[w] = b"".join([packed[i] for i in self.model.encode(text, add_special_tokens=False).ids])
+            if low.isalpha():  # one run of letters
+                known[w] = piece(low)
             else:
-                known[w] = b"".join(map(self.piece, self._PIECES(low)))
+                cut.append((w, low))
+        # the others are cut as one text, in which a space stands between them
+        parts = iter(self._PIECES(" ".join([low for _, low in cut])))
+        for w, _ in cut:
+            known[w] = b"".join(map(piece, iter(parts.__next__, " ")))

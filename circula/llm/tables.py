@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -51,6 +53,19 @@ def extended(schema: StructType, ddl: str) -> StructType:
     return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
 
 
+def together(texts: pa.Array, chars: int) -> Iterator[list]:
+    """The texts in order, in lists of about ``chars`` characters (bytes of binary texts), or of one longer text."""
+    some, n = [], 0
+    for text in texts:
+        some.append(text.as_py())
+        n += len(some[-1] or ())
+        if n >= chars:
+            yield some
+            some, n = [], 0
+    if some:
+        yield some
+
+
 class Staging:
     """Tables that one operator call writes and reads again.
 

@@ -153,3 +153,18 @@ def test_wide_ids():
     ids = np.array([1, 70_000], "<u4").tobytes()
     assert records.read_payload(records.payload_of(None, ids, 4), 4)[1].tolist() == [1, 70_000]
     assert isinstance(Staging, type)
+
+
+def test_words_met_together_equal_texts_alone(monkeypatch, reference):
+    monkeypatch.setattr(bpe, "CACHE", 40)  # what is remembered is dropped again and again
+    said = [*texts(), None]
+    coder = bpe.Coder(bpe.sentencepiece_model(bpe.read_ranks(RANKS)), P.PATTERN)
+    got = [r for lo in range(0, len(said), 50) for r in coder.digests(said[lo:lo + 50])]
+    for t, r in zip(said, got, strict=True):
+        ids = reference.encode_ordinary(t or "")
+        assert r == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(),
+                     hashlib.sha256((t or "").encode()).hexdigest()), t
+    said += ["a <|endoftext|> b", "b c"]
+    own, whole = bpe.WordTokens(P.path("word_bpe_49k.json"), added=True), Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    ids = own.all_ids([t and t.encode() for t in said])
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids] == [whole.encode(t or "", add_special_tokens=False).ids for t in said]
