@@ -23,6 +23,7 @@ lost or repeated leaves no half-written file under a final name.
 
 from __future__ import annotations
 
+import itertools
 import posixpath
 import struct
 import uuid
@@ -34,8 +35,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from circula.llm.bpe import WordTokens
-from circula.llm.tables import Staging
+from circula.llm.bpe import TOGETHER, WordTokens
+from circula.llm.tables import Staging, together
 from circula.llm.workers import free, held
 from circula.sources.paths import path_exists
 
@@ -166,7 +167,8 @@ def write(docs: DataFrame, dest: str, tokenizer: str, end_id: int, vocabulary: i
             ids = b.column(0).to_pylist()
             at = np.searchsorted(cuts, [i or 0 for i in ids], "right")
             at[[i is None for i in ids]] = 0
-            body = [payload_of(i, coder.ids(t.as_py()) + last, width) for i, t in zip(ids, b.column(1), strict=True)]
+            said = itertools.chain.from_iterable(map(coder.all_ids, together(b.column(1).cast(pa.binary()), TOGETHER)))
+            body = [payload_of(i, x + last, width) for i, x in zip(ids, said, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), b.column(0), pa.array(body, pa.binary())],
                                              ["range", "doc_id", "payload"])
 
