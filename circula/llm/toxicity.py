@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from circula.llm.tables import extended
+from circula.llm.tables import extended, together
 from circula.llm.workers import held
 
 P = 3           # letters of a counted subsequence
@@ -52,7 +52,8 @@ FEATURES = 5    # of a document
 COST = 1.0      # of the SVM's squared hinge loss
 LANDMARK_CHARS = 10  # longest landmark
 SENTENCE_CHARS = 2000  # of a part of a training sentence; scoring reads whole texts
-CACHE_WORDS = 400_000  # words a Python worker remembers, as they stand and without marks
+CACHE_WORDS = 200_000  # words in each of the two halves of what a Python worker remembers
+TOGETHER = 500_000     # characters of texts whose words are learned at once
 
 START = "\x02"    # stands before every word, as a letter
 LEVELS = (1e-7, 1e-5, 1e-3, 1e-2)  # of chance for words that mark toxic documents
@@ -228,19 +229,29 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model, self.kernel = model, Kernel(model.landmarks)
-        self.known: dict[str, float] = {}  # by word as it stands
-        self.bare: dict[str, float] = {}   # by word without marks
+        self.known: dict[str, float] = {}  # by word, as it stands or without marks
+        self.older: dict[str, float] = {}  # the words known before, without those met since
 
     def learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known.clear()
-        if len(self.bare) > CACHE_WORDS:
-            self.bare.clear()
-        plain = {w: _bare(w) for w in words if w not in self.known}
-        new = list({b for b in plain.values() if b not in self.bare})
-        self.bare.update(zip(new, (self.kernel.values(new) @ self.model.weights + self.model.bias).tolist(),
-                             strict=True))
-        self.known.update((w, self.bare[b]) for w, b in plain.items())
+        if len(self.known) + len(words.difference(self.known)) > CACHE_WORDS:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        plain = {}
+        for w in words.difference(known):
+            margin = older.pop(w, None)
+            if margin is None:
+                plain[w] = _bare(w)
+            else:
+                known[w] = margin
+        new = []
+        for b in set(plain.values()).difference(known):
+            margin = older.pop(b, None)
+            if margin is None:
+                new.append(b)
+            else:
+                known[b] = margin
+        known.update(zip(new, (self.kernel.values(new) @ self.model.weights + self.model.bias).tolist(), strict=True))
+        known.update([(w, known[b]) for w, b in plain.items()])
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         bags = [words(t) for t in texts]
@@ -546,9 +557,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, name: st
     def run(batches):
         scorer = held(mark, lambda: Scorer(model))  # the model is a few kB and goes with the task
         for b in batches:
-            texts, out = b.column(at), []
-            for lo in range(0, len(texts), 256):
-                out.append(scorer.scores(texts.slice(lo, 256).to_pylist()))
+            out = [scorer.scores(texts) for texts in together(b.column(at), TOGETHER)]
             got = pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(keep))), got], [*keep, name])
 

@@ -107,3 +107,13 @@ def test_held_out_accuracy(spark):
     assert all(r["held_out"] == (zlib.crc32(str(d).encode()) % 5 == 0) for d, r in got.items())
     held = [d for d in labels if got[d]["held_out"]]
     assert np.mean([got[d]["predicted"] == labels[d] for d in held]) > 0.93
+
+
+def test_few_words_are_remembered(monkeypatch):
+    model = T.Model(["idiot", "trash"], np.array([1.0, 2.0]), -0.5, np.arange(5.0) - 2)
+    said = [" ".join(f"w{i * 7 % 90}, w{i * 11 % 90} idiot{i % 5}!" for i in range(k, k + 9)) for k in range(60)]
+    want = T.Scorer(model).scores(said)
+    monkeypatch.setattr(T, "CACHE_WORDS", 30)
+    scorer = T.Scorer(model)
+    assert np.concatenate([scorer.scores([t]) for t in said]).tolist() == want.tolist()
+    assert len(scorer.known) + len(scorer.older) <= 150  # two halves, and the words of one text more
