@@ -83,6 +83,8 @@ def change_queue(queue: DataFrame, counts: DataFrame, new: DataFrame, gone: Data
     before = (spread_join(counts, first, ["ISBN"], "inner").filter(F.col("Day") < F.col("_first"))
               .groupBy("ISBN").agg(F.sum("n").alias("_before")))
     changed = spread_join(queue, first, ["ISBN"], "left").withColumn("_behind", F.coalesce(_queue_day() >= F.col("_first"), F.lit(False)))
+    # read by the sampling, the numbering and the result, each of which would join anew
+    changed = changed.checkpoint(eager=True)
     behind = changed.filter("_behind").select(*items.columns)
     if gone is not None:
         behind = spread_join(behind, gone.select("ISBN", "ReservationID").distinct(), ["ISBN", "ReservationID"], "left_anti")

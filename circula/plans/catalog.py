@@ -435,7 +435,7 @@ def _u7(t, spark):
 def _u3c(t, spark):
     """The queues kept by days: numbered once up to 2001-06, then changed by the reservations of three later periods, the
     last of which brings back some that had been left out."""
-    items = member.queue_items(t, AS_OF)
+    items = member.queue_items(t, AS_OF).checkpoint(eager=True)  # every period reads it
     day, late = F.col("ReservationDate"), F.col("ReservationID") % 17 == 5
     cuts = ["2001-06-01", "2001-07-01", "2001-07-20"]
     start = items.filter((day < F.lit(cuts[0])) & ~late)

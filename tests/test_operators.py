@@ -814,3 +814,17 @@ def test_ranges_that_agree_are_not_joined(spark):
     same = reconcile.differing_ranges(reconcile.range_checksums(t["loan"], "LoanID", F.col("FineAmount"), 50),
                                       reconcile.range_checksums(t["fine"], "LoanID", F.col("Amount"), 50))
     assert same.count() == 0 and reconcile.fine_amount_drift(t, range_size=50).count() == 0
+
+
+def test_queue_change_joins_the_queue_once(spark):
+    from circula.operators import member
+    rows = [(str(i % 3), i, i, dt.date(2001, 1, 1 + i % 9)) for i in range(40)]
+    items = spark.createDataFrame(rows, "ISBN string, ReservationID int, UserID int, ReservationDate date")
+    old, new = items.filter("ReservationID < 30"), items.filter("ReservationID >= 30")
+    order = ["ReservationDate", "ReservationID"]
+    queue = member.sequence_numbers(old, order, ["ISBN"], "QueuePosition")
+    got, _ = member.change_queue(queue, member.queue_counts(old), new)
+    # joins left when the result is read: of numbers, of day counts and of places; the queue was joined once, for all who read it
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 3
+    want = member.sequence_numbers(items, order, ["ISBN"], "QueuePosition")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect()))
