@@ -13,6 +13,8 @@ CORRUPT = "_corrupt_record"
 #: Both directions: quotes are doubled, line ends within quotes belong to the text, no space is cut off.
 CSV = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true",
        "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+#: Rows of a CSV file that is written at most: files are read whole, by one task each.
+FILE_ROWS = 250_000
 NO_TEXT = "\0"  # how the reader marks a field of nothing, so that ``""`` stays an empty text
 
 
@@ -73,6 +75,6 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
     if fmt == "parquet":
         w.parquet(path)
     elif fmt == "csv":
-        w.options(**CSV).option("dateFormat", "yyyy-MM-dd").csv(path)
+        w.options(**CSV).option("dateFormat", "yyyy-MM-dd").option("maxRecordsPerFile", FILE_ROWS).csv(path)
     else:
         raise ValueError(f"unsupported format {fmt!r}")

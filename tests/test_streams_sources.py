@@ -338,3 +338,15 @@ def test_w1_null_kinds_redelivered_events_and_null_times(spark):
     assert got == [("2024-01-20", "", 2), ("2024-01-20", "view", 3), ("2024-01-21", "", 1)]
     assert sorted(r.event_id for r in read_rejects(spark, f"{base}/sink").collect()) == [4, 6]
     assert read_rejects(spark, f"{base}/nothing").count() == 0
+
+
+def test_csv_files_hold_few_rows(spark, tmp_path, monkeypatch):
+    """A CSV file is read by one task, so even one task's rows are written as several files."""
+    from circula.sources import tables
+    monkeypatch.setattr(tables, "FILE_ROWS", 10, raising=False)
+    rows = spark.range(0, 45, 1, 1).selectExpr("cast(id as int) ReportID", "cast(null as int) GeneratedBy",
+                                               "date'2001-01-01' GenerationDate", "'a' Type", "'b\nc' Content")
+    tables.write_table(rows, f"{tmp_path}/r", fmt="csv")
+    assert len(list((tmp_path / "r").glob("part-*.csv"))) == 5
+    back = tables.load_table(spark, "report", f"{tmp_path}/r", fmt="csv")
+    assert sorted(map(tuple, back.drop("_corrupt_record").collect())) == sorted(map(tuple, rows.collect()))
