@@ -206,8 +206,11 @@ def check_foreign_key(child: DataFrame, parent: DataFrame, tname: str, fk=None)
     frames = []
     for f in fks:
         p = parent[f.parent] if isinstance(parent, dict) else parent
-        # an anti join needs no distinct parents, and without it AQE can split a hot key
+        # an anti join needs no distinct parents; a set number of partitions keeps AQE from merging
+        # them up to its size in compressed bytes, which for bare keys is ten million rows to sort
+        # (the session's own number would be dropped where the parents are dealt out by the key already)
         keys = p.select(*[F.col(pc).alias(cc) for cc, pc in zip(f.columns, f.parent_columns)])
+        keys = keys.repartition(2 * int(p.sparkSession.conf.get("spark.sql.shuffle.partitions")), *f.columns)
         nonnull = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in f.columns])
         orphans = child.filter(nonnull).join(keys, list(f.columns), "left_anti")
         detail = F.concat(F.lit(f"{'|'.join(f.columns)}="), key_text(*f.columns))

@@ -152,9 +152,10 @@ class Fixtures:
             F.when(F.col("Amount").isNull() | (F.col("LoanID") % 17 == 0),
                    F.lit(0).cast("decimal(8,2)")).otherwise(F.col("Amount")).alias("FineAmount"))
 
+    # The orders' side of these joins is hashed: a task need not sort its share of lineitem.
     def _raw_loan_item(self) -> DataFrame:
         li = self.raw("lineitem").select("l_orderkey", "l_partkey")
-        lb = self["loan_base"].select("LoanID")
+        lb = self["loan_base"].select("LoanID").hint("shuffle_hash")
         return li.join(lb, li.l_orderkey == lb.LoanID).select(
             "LoanID", _s("l_partkey").alias("ISBN"))
 
@@ -174,7 +175,7 @@ class Fixtures:
 
     def _reservation_item(self) -> DataFrame:
         li = self.raw("lineitem").select("l_orderkey", "l_partkey")
-        r = self["reservation"].select("ReservationID")
+        r = self["reservation"].select("ReservationID").hint("shuffle_hash")
         return li.join(r, li.l_orderkey == r.ReservationID).select(
             "ReservationID", _s("l_partkey").alias("ISBN")).distinct()
 

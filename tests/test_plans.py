@@ -5,8 +5,12 @@ from __future__ import annotations
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from circula.operators import quality
 from circula.plans.catalog import BUILDERS
+from circula.schema import TABLES
+from circula.sources.fixtures import Fixtures
 from circula.sources.stored import StoredTables, materialize
 from tests.conftest import SF_SMALL
 
@@ -91,3 +95,44 @@ def test_date_partitioned_store_prunes_by_the_operators_own_predicates(spark, tm
     for name in ("l1_checked_out_on", "a7_monthly_revenue_period", "a3_books_added_this_month"):
         a, b = BUILDERS[name](t, spark), BUILDERS[name](plain, spark)
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def _without_broadcast(spark):
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    old = {n: spark.conf.get(n, None) for n in names}
+    for n in names:
+        spark.conf.set(n, "-1")
+    return old
+
+
+def _restored(spark, old):
+    for n, value in old.items():
+        spark.conf.unset(n) if value is None else spark.conf.set(n, value)
+
+
+@pytest.mark.parametrize("dealt", [False, True])  # parents that are dealt out by the key already, too
+def test_foreign_key_joins_are_not_merged_into_few_tasks(spark, dealt):
+    """Keys shrink to little on the way; merged by their bytes, one task would sort ten million."""
+    loans = spark.range(3000).selectExpr("cast(id as int) LoanID")
+    if dealt:
+        loans = loans.groupBy("LoanID").agg(F.count(F.lit(1)).alias("n"))
+    items = spark.range(4000).selectExpr("cast(nullif(id, 3999) as int) LoanID", "cast(id % 7 as string) ISBN")
+    fk = next(f for f in TABLES["loan_item"].foreign_keys if f.parent == "loan")
+    old = _without_broadcast(spark)
+    try:
+        found = quality.check_foreign_key(items, loans, "loan_item", fk).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        _restored(spark, old)
+    assert sorted(r.row_key for r in found) == sorted(f"{i}|{i % 7}" for i in range(3000, 3999))
+    assert len({r.task for r in found}) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@pytest.mark.parametrize("name", ["raw_loan_item", "reservation_item"])
+def test_item_rows_are_not_sorted(spark, name):
+    old = _without_broadcast(spark)
+    try:
+        df = getattr(Fixtures(spark, SF_SMALL), f"_{name}")()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        _restored(spark, old)
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
